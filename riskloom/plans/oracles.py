@@ -36,7 +36,7 @@ def _velocity_sql(source_cte: str, src: str, entity: str, prefix: str, windows=N
         sel.append(
             f"round(CASE WHEN count(p.amount) {zf} = 0 THEN NULL ELSE "
             f"(any_value(a.amount) - avg(p.amount) {zf}) / "
-            f"(coalesce(CASE WHEN count(p.amount) {zf} >= 2 THEN stddev_samp(p.amount) {zf} END, 0.0) + 1e-6) END, 4)"
+            f"(coalesce(CASE WHEN count(p.amount) {zf} >= 2 THEN stddev_samp(p.amount) {zf} END, 0.0) + 1e-6) END, 4) + 0.0"
             " AS z_score_amount")
     return f"""WITH {source_cte},
 pairs AS (
@@ -62,4 +62,59 @@ fo AS (SELECT id, date, client_id, amount, CAST(NULL AS BIGINT) AS merchant_id,
                                               windows={"7d": 604800, "90d": 7776000})
     q["velocity_orders_strict"] = _velocity_sql(fo, "fo", "client_id", "cust",
                                                 windows={"7d": 604800, "90d": 7776000}, strict=True)
+    for kind in ("tx_count", "amount_sum", "amount_mean", "amount_max", "unique_merchants", "unique_mcc"):
+        cols = ", ".join(f"user_{kind}_{lab}" for lab in DEFAULT_WINDOWS)
+        q[f"velocity_{kind.replace('tx_', '').replace('amount_', '')}"] = \
+            f"WITH v AS ({_velocity_sql(TX_SQL, 'tx', 'client_id', 'user')}) SELECT id, {cols} FROM v"
+    q["recency"] = f"""WITH {TX_SQL}
+SELECT id,
+  round((epoch_us(date) - epoch_us(lag(date) OVER (PARTITION BY card_id ORDER BY date, id))) / 1e6, {R})
+    AS time_since_last_tx_card,
+  round((epoch_us(date) - epoch_us(lag(date) OVER (PARTITION BY client_id ORDER BY date, id))) / 1e6, {R})
+    AS time_since_last_tx_user
+FROM tx"""
+    q["recency_orders"] = f"""WITH {FACT_ORDERS_SQL}
+SELECT id,
+  round((epoch_us(date) - epoch_us(lag(date) OVER (PARTITION BY client_id ORDER BY date, id))) / 1e6, {R})
+    AS time_since_last_tx_cust
+FROM fact_orders"""
+    nov = []
+    for ent, ep in (("card_id", "card"), ("client_id", "user")):
+        for attr, an in (("merchant_id", "merchant"), ("mcc_str", "mcc")):
+            nov.append(f"CAST(CASE WHEN {ent} IS NOT NULL AND {attr} IS NOT NULL AND row_number() OVER "
+                       f"(PARTITION BY {ent}, {attr} ORDER BY date, id) = 1 THEN 1 ELSE 0 END AS INTEGER) "
+                       f"AS first_time_{an}_{ep}")
+    q["novelty"] = f"WITH {TX_SQL} SELECT id, {', '.join(nov)} FROM tx"
+    q["z_score"] = (f"WITH v AS ({_velocity_sql(TX_SQL, 'tx', 'client_id', 'user', windows={'7d': 604800}, z=True)}) "
+                    "SELECT id, z_score_amount FROM v")
+    card = _velocity_sql(TX_SQL, "tx", "card_id", "card")
+    user = _velocity_sql(TX_SQL, "tx", "client_id", "user", z=True)
+    q["behavioral_all"] = f"""WITH c AS ({card}), u AS ({user}), r AS ({q['recency']}), n AS ({q['novelty']})
+SELECT * FROM c JOIN u USING (id) JOIN r USING (id) JOIN n USING (id)"""
+    ratio = []
+    for a, b in (("1h", "24h"), ("24h", "7d")):
+        ratio += [f"round(CAST(user_tx_count_{a} AS DOUBLE) / nullif(user_tx_count_{b}, 0), {R}) "
+                  f"AS user_count_ratio_{a}_{b}",
+                  f"round(user_amount_sum_{a} / nullif(user_amount_sum_{b}, 0), {R}) AS user_amount_ratio_{a}_{b}"]
+    q["velocity_ratio"] = f"WITH v AS ({_velocity_sql(TX_SQL, 'tx', 'client_id', 'user')}) " \
+                          f"SELECT id, {', '.join(ratio)} FROM v"
+
+    def rate(ent: str, out: str, order: str = "date, id", frame: str = "ROWS") -> str:
+        w = f"(PARTITION BY {ent} ORDER BY {order} {frame} BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        if frame == "RANGE":
+            w = (f"(PARTITION BY {ent} ORDER BY epoch_us(date) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+        return (f"CASE WHEN {ent} IS NULL THEN NULL ELSE round((coalesce(sum(CASE WHEN has_label THEN "
+                f"coalesce(is_fraud, 0) ELSE 0 END) OVER {w}, 0) + 1.0) / (coalesce(sum(CASE WHEN has_label "
+                f"THEN 1 ELSE 0 END) OVER {w}, 0) + 10.0), {R}) END AS {out}")
+    q["risk_rate_merchant"] = f"WITH {TX_SQL} SELECT id, {rate('merchant_id', 'merchant_historical_fraud_rate')} FROM tx"
+    q["risk_rate_mcc"] = f"WITH {TX_SQL} SELECT id, {rate('mcc_str', 'mcc_historical_fraud_rate')} FROM tx"
+    q["risk_rate_brand"] = f"WITH {TX_SQL} SELECT id, {rate('card_brand', 'card_brand_historical_fraud_rate')} FROM tx"
+    q["risk_rates_all"] = (f"WITH {TX_SQL} SELECT id, {rate('merchant_id', 'merchant_historical_fraud_rate')}, "
+                           f"{rate('mcc_str', 'mcc_historical_fraud_rate')}, "
+                           f"{rate('card_brand', 'card_brand_historical_fraud_rate')} FROM tx")
+    q["risk_rate_orders_strict"] = f"""WITH {FACT_ORDERS_SQL},
+fo AS (SELECT *, status <> 'P' AS has_label,
+              CASE WHEN status <> 'P' THEN CAST(priority = '1-URGENT' AS INTEGER) END AS is_fraud
+       FROM fact_orders)
+SELECT id, {rate('segment', 'segment_rate', frame='RANGE')}, {rate('nation', 'nation_rate')} FROM fo"""
     return q
