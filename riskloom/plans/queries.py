@@ -10,24 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
 
 from riskloom.operators import risk as RK
 from riskloom.operators import windows as W
 from riskloom.plans import views as V
 
-R = 6
-
-
-def rounded(df: DataFrame, digits: int = R, overrides: dict[str, int] | None = None) -> DataFrame:
-    overrides = overrides or {}
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name), overrides.get(f.name, digits)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+from riskloom.plans.queries_common import R, rounded  # noqa: F401
 
 
 def _new_cols(out: DataFrame, src: DataFrame) -> list[str]:
@@ -132,7 +120,11 @@ def q_risk_rate_orders_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    from riskloom.plans import q_data
+    return {**WINDOW_QUERIES, **q_data.QUERIES}
+
+
+WINDOW_QUERIES = {
         "velocity_user": q_velocity_user,
         "velocity_card": q_velocity_card,
         "velocity_orders_ties": q_velocity_orders_ties,
@@ -154,4 +146,4 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "risk_rate_brand": _rate_query(RK.add_card_brand_fraud_rate, "card_brand_historical_fraud_rate"),
         "risk_rates_all": q_risk_rates_all,
         "risk_rate_orders_strict": q_risk_rate_orders_strict,
-    }
+}
