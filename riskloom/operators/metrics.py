@@ -31,7 +31,7 @@ def _keyed(df: DataFrame, keys: list[str] | None) -> tuple[DataFrame, list[str]]
 
 
 def score_table(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
-    """(keys, p, pos, neg, cum_pos, cum_neg, P, N): cum_* count rows with score >= p."""
+    """(keys, p, pos, neg, cum_pos, cum_neg, tot_pos, tot_neg): cum_* count rows with score >= p."""
     df, keys = _keyed(df, keys)
     g = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, p).agg(
         F.sum(F.col(y).cast("long")).alias("pos"),
@@ -39,7 +39,7 @@ def score_table(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: s
     g = g.withColumn("__sb", F.floor(-F.col(p) * F.lit(SCORE_RESOLUTION)).cast("long"))
     c = bucketed_running_sums(g, keys, "__sb", [F.col(p).desc()],
                               {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, inclusive=True).drop("__sb")
-    tot = g.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = g.groupBy(*keys).agg(F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
     return c.join(tot, keys, "left")
 
 
@@ -50,16 +50,16 @@ def curve_metrics(df: DataFrame, keys: list[str] | None = None, y: str = "y", p:
     df, keys = _keyed(df, keys)
     t = score_table(df, keys, y, p)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    rec = F.col("cum_pos") / F.col("P")
-    below = F.col("N") - F.col("cum_neg")
+    rec = F.col("cum_pos") / F.col("tot_pos")
+    below = F.col("tot_neg") - F.col("cum_neg")
     agg = [
-        F.try_divide(F.sum(F.col("pos") * prec), F.first("P").cast("double")).alias("pr_auc"),
+        F.try_divide(F.sum(F.col("pos") * prec), F.first("tot_pos").cast("double")).alias("pr_auc"),
         F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
-                     (F.first("P") * F.first("N")).cast("double")).alias("roc_auc"),
-        F.when(F.first("P") > 0, F.coalesce(F.max(F.when(prec >= min_precision, rec)), F.lit(0.0)))
+                     (F.first("tot_pos") * F.first("tot_neg")).cast("double")).alias("roc_auc"),
+        F.when(F.first("tot_pos") > 0, F.coalesce(F.max(F.when(prec >= min_precision, rec)), F.lit(0.0)))
          .alias("recall_at_precision"),
-        F.when((F.first("P") > 0) & (F.first("N") > 0),
-               F.max(F.abs(F.col("cum_pos") / F.col("P") - F.col("cum_neg") / F.col("N"))))
+        F.when((F.first("tot_pos") > 0) & (F.first("tot_neg") > 0),
+               F.max(F.abs(F.col("cum_pos") / F.col("tot_pos") - F.col("cum_neg") / F.col("tot_neg"))))
          .otherwise(F.lit(0.0)).alias("ks_stat"),
     ]
     out = t.groupBy(*keys).agg(*agg)
@@ -130,11 +130,11 @@ def ks_threshold(df: DataFrame, y: str = "y", p: str = "p", n_points: int = 200)
     j = grid.join(F.broadcast(cells), "g", "left").fillna(0, ["pos", "neg"])
     w = Window.orderBy(F.col("g").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 200 rows
     c = j.select("g", F.sum("pos").over(w).alias("cp"), F.sum("neg").over(w).alias("cn"),
-                 F.sum("pos").over(Window.partitionBy()).alias("P"), F.sum("neg").over(Window.partitionBy()).alias("N"))
+                 F.sum("pos").over(Window.partitionBy()).alias("tot_pos"), F.sum("neg").over(Window.partitionBy()).alias("tot_neg"))
     t = F.when(F.col("g") >= n_points - 1, F.lit(1.0)).otherwise(F.col("g").cast("double") * F.lit(1.0 / (n_points - 1)))
-    d = c.select(t.alias("t"), "g", "P", "N", (F.col("cp") / F.col("P") - F.col("cn") / F.col("N")).alias("d"))
+    d = c.select(t.alias("t"), "g", "tot_pos", "tot_neg", (F.col("cp") / F.col("tot_pos") - F.col("cn") / F.col("tot_neg")).alias("d"))
     best = d.orderBy(F.col("d").desc(), F.col("g").asc()).limit(1)
-    return best.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("t")).otherwise(F.lit(0.5))
+    return best.select(F.when((F.col("tot_pos") > 0) & (F.col("tot_neg") > 0), F.col("t")).otherwise(F.lit(0.5))
                        .alias("ks_threshold"))
 
 
