@@ -245,14 +245,14 @@ def add_novelty(df: DataFrame, *, date_col: str = "date", id_col: str = "id",
     """``first_time_{attr}_{entity}`` = 1 on the first row (date, id) of
     each (entity, attribute) pair; NULL attribute or entity -> 0.
 
-    Plan: per pair ``min(struct(us, id))`` - a partial aggregation, so a hot
-    pair is combined map-side - then one left join on the unique row id for
-    all flags together (no skew on a unique key).
+    Plan: one scan explodes each row into its (flag, entity, attribute) keys;
+    per key ``min(struct(us, id))`` is a partial aggregation, so a hot pair is
+    combined map-side; one left join on the unique row id attaches all flags
+    (no skew on a unique key).
     """
     mcc = "mcc_str" if "mcc_str" in df.columns else "mcc"
     attrs = attrs or (("merchant_id", "merchant"), (mcc, "mcc"))
-    us = epoch_us(date_col)
-    firsts = []
+    pairs = []
     names = []
     for entity, eprefix in entities:
         if entity not in df.columns:
@@ -262,17 +262,17 @@ def add_novelty(df: DataFrame, *, date_col: str = "date", id_col: str = "id",
                 continue
             name = f"first_time_{aname}_{eprefix}"
             names.append(name)
-            f = (df.where(F.col(entity).isNotNull() & F.col(attr).isNotNull())
-                 .groupBy(entity, attr)
-                 .agg(F.min(F.struct(us.alias("u"), F.col(id_col).alias("i"))).alias("__f"))
-                 .select(F.col("__f.i").alias("__fid"), F.lit(name).alias("__flag")))
-            firsts.append(f)
-    if not firsts:
+            pairs.append(F.when(F.col(entity).isNotNull() & F.col(attr).isNotNull(),
+                                F.struct(F.lit(name).alias("f"), F.col(entity).cast("string").alias("e"),
+                                         F.col(attr).cast("string").alias("a"))))
+    if not names:
         return df
-    allf = firsts[0]
-    for f in firsts[1:]:
-        allf = allf.unionByName(f)
-    flags = allf.groupBy("__fid").agg(
+    # one scan: every row becomes up to len(names) (flag, entity, attribute) keys
+    keyed = df.select(epoch_us(date_col).alias("__u"), F.col(id_col).alias("__i"),
+                      F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("__k"))
+    firsts = keyed.groupBy("__k").agg(F.min(F.struct("__u", "__i")).alias("__m")) \
+        .select(F.col("__m.__i").alias("__fid"), F.col("__k.f").alias("__flag"))
+    flags = firsts.groupBy("__fid").agg(
         *[F.max(F.when(F.col("__flag") == n, 1).otherwise(0)).alias(n) for n in names])
     j = df.join(flags, df[id_col] == flags["__fid"], "left")
     return j.select(*[df[c] for c in df.columns],
