@@ -117,7 +117,8 @@ fo AS (SELECT *, status <> 'P' AS has_label,
               CASE WHEN status <> 'P' THEN CAST(priority = '1-URGENT' AS INTEGER) END AS is_fraud
        FROM fact_orders)
 SELECT id, {rate('segment', 'segment_rate', frame='RANGE')}, {rate('nation', 'nation_rate')} FROM fo"""
-    from riskloom.plans import o_data, o_eval
+    from riskloom.plans import o_data, o_eval, o_ml
     q.update(o_data.build())
     q.update(o_eval.build())
+    q.update(o_ml.build())
     return q

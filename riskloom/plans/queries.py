@@ -120,8 +120,8 @@ def q_risk_rate_orders_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from riskloom.plans import q_data, q_eval
-    return {**WINDOW_QUERIES, **q_data.QUERIES, **q_eval.QUERIES}
+    from riskloom.plans import q_data, q_eval, q_ml
+    return {**WINDOW_QUERIES, **q_data.QUERIES, **q_eval.QUERIES, **q_ml.QUERIES}
 
 
 WINDOW_QUERIES = {
