@@ -50,7 +50,7 @@ def curve_metrics(df: DataFrame, keys: list[str] | None = None, y: str = "y", p:
     df, keys = _keyed(df, keys)
     t = score_table(df, keys, y, p)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    rec = F.col("cum_pos") / F.col("tot_pos")
+    rec = F.try_divide(F.col("cum_pos").cast("double"), F.col("tot_pos").cast("double"))
     below = F.col("tot_neg") - F.col("cum_neg")
     agg = [
         F.try_divide(F.sum(F.col("pos") * prec), F.first("tot_pos").cast("double")).alias("pr_auc"),
@@ -59,7 +59,8 @@ def curve_metrics(df: DataFrame, keys: list[str] | None = None, y: str = "y", p:
         F.when(F.first("tot_pos") > 0, F.coalesce(F.max(F.when(prec >= min_precision, rec)), F.lit(0.0)))
          .alias("recall_at_precision"),
         F.when((F.first("tot_pos") > 0) & (F.first("tot_neg") > 0),
-               F.max(F.abs(F.col("cum_pos") / F.col("tot_pos") - F.col("cum_neg") / F.col("tot_neg"))))
+               F.max(F.abs(F.try_divide(F.col("cum_pos").cast("double"), F.col("tot_pos").cast("double"))
+                             - F.try_divide(F.col("cum_neg").cast("double"), F.col("tot_neg").cast("double")))))
          .otherwise(F.lit(0.0)).alias("ks_stat"),
     ]
     out = t.groupBy(*keys).agg(*agg)
@@ -132,8 +133,9 @@ def ks_threshold(df: DataFrame, y: str = "y", p: str = "p", n_points: int = 200)
     c = j.select("g", F.sum("pos").over(w).alias("cp"), F.sum("neg").over(w).alias("cn"),
                  F.sum("pos").over(Window.partitionBy()).alias("tot_pos"), F.sum("neg").over(Window.partitionBy()).alias("tot_neg"))
     t = F.when(F.col("g") >= n_points - 1, F.lit(1.0)).otherwise(F.col("g").cast("double") * F.lit(1.0 / (n_points - 1)))
-    d = c.select(t.alias("t"), "g", "tot_pos", "tot_neg", (F.col("cp") / F.col("tot_pos") - F.col("cn") / F.col("tot_neg")).alias("d"))
-    best = d.orderBy(F.col("d").desc(), F.col("g").asc()).limit(1)
+    d = c.select(t.alias("t"), "g", "tot_pos", "tot_neg", (F.try_divide(F.col("cp").cast("double"), F.col("tot_pos").cast("double"))
+                  - F.try_divide(F.col("cn").cast("double"), F.col("tot_neg").cast("double"))).alias("d"))
+    best = d.orderBy(F.col("d").desc_nulls_last(), F.col("g").asc()).limit(1)
     return best.select(F.when((F.col("tot_pos") > 0) & (F.col("tot_neg") > 0), F.col("t")).otherwise(F.lit(0.5))
                        .alias("ks_threshold"))
 
