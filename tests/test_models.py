@@ -54,3 +54,19 @@ def test_vif_drops_collinear(spark):
     assert len(dropped) >= 1 and "c" in kept
     k2, d2 = SE.correlation_filter(df, ["a", "b", "c"], 0.95)
     assert k2 == ["a", "c"] and d2 == ["b"]
+
+
+def test_verify_saved_model_one_row(spark):
+    """A persisted PipelineModel reloads and scores a single row."""
+    import tempfile
+
+    from pyspark.ml import PipelineModel
+    df = spark.range(200).select(F.col("id"), (F.col("id") % 5 == 0).cast("int").alias("is_fraud"),
+                                 (F.col("id") % 5).cast("double").alias("x"),
+                                 F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("c"))
+    m = L.fit_classifier(df, ["x", "c"], ["c"], kind="gbt", params=L.TreeParams(max_iter=3, max_depth=2))
+    path = tempfile.mkdtemp(prefix="riskloom-model-") + "/m"
+    m.write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    one = L.predict_proba(again, df.limit(1), ["x", "c"], ["c"], keep=["id"]).first()
+    assert 0.0 <= one.proba <= 1.0
