@@ -50,6 +50,8 @@ SKETCH_BITS = 22
 SLICES = 64
 #: Postings of one bucket of the index, on average.
 BUCKET_ROWS = 1_500_000
+#: Lists up to this length are pruned by position entry by entry; longer ones pass whole.
+SHORT_LIST = 24
 _POST = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u2"), ("p", "<u2")])
 
 
@@ -184,7 +186,23 @@ def _shared(batches):
         once[1:] |= x["s"][1:] != x["s"][:-1]
         x, new_t = x[once], new_t[once]
         run = np.cumsum(new_t) - 1
-        yield from out(x[np.bincount(run)[run] > 1])
+        size = np.bincount(run)[run]
+        x, run, size = x[size > 1], run[size > 1], size[size > 1]
+        yield from out(x[(size > SHORT_LIST) | _has_partner(x, run, int(min(SHORT_LIST, size.max(initial=1))))])
+
+
+def _has_partner(x: np.ndarray, run: np.ndarray, longest: int) -> np.ndarray:
+    """Entries of short lists for which size and position leave some partner in the list."""
+    keep = np.zeros(len(x), bool)
+    n, rest = x["n"].astype(np.int64), x["n"].astype(np.int64) - x["p"]
+    for k in range(1, longest):
+        a, b = slice(0, len(x) - k), slice(k, len(x))
+        fits = (np.minimum(n[a], n[b]) * DEN >= np.maximum(n[a], n[b]) * NUM) & \
+            (np.minimum(rest[a], rest[b]) * (NUM + DEN) >= (n[a] + n[b]) * NUM)
+        fits = (run[a] == run[b]) & (fits | (n[a] == 65535) | (n[b] == 65535))
+        keep[a] |= fits
+        keep[b] |= fits
+    return keep
 
 
 def _tokens(batches):
@@ -222,9 +240,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id and set_size_links columns for every row of ``docs``.
+    """doc_id, n_shingles, component_id and set_id of every row of ``docs``.
 
-    Returns doc_id, n_shingles, component_id, set_id.  See the module docstring
+     See the module docstring
     for the method and the defined cases.
     """
     spark = docs.sparkSession
