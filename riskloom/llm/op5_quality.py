@@ -3,7 +3,8 @@
 A text's bytes are cut into overlapping chunks that together cover the whole
 document.  Learned byte embeddings go through learned filters (WIDTH bytes,
 every STRIDE bytes), a rectifier and a maximum over the chunk; a linear layer
-turns the pooled features into the chunk's logit.  A document's probability
+turns the pooled features and the chunk's filled share (log scale) into its
+logit.  A document's probability
 comes from the mean and the minimum of its chunks' logits, weighted by two
 learned numbers.
 
@@ -30,7 +31,7 @@ from riskloom.llm import common as C
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 8, 32
-TRAIN_PER_CLASS = 1500
+TRAIN_PER_CLASS = 2000
 TRAIN_CHUNKS = 4
 EPOCHS = 6
 THRESHOLD = 0.3
@@ -60,7 +61,7 @@ class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.p = {"embed": rng.normal(0, 0.5, (256, EMBED)), "filters": rng.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)),
-                  "bias": np.zeros(FILTERS), "out": rng.normal(0, FILTERS ** -0.5, FILTERS), "shift": np.zeros(1)}
+                  "bias": np.zeros(FILTERS), "out": rng.normal(0, FILTERS ** -0.5, FILTERS), "fill": np.zeros(2), "shift": np.zeros(1)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.mix = np.array([1.0, 0.0, 0.0], np.float32)     # of the mean logit, the least logit, 1
 
@@ -69,12 +70,19 @@ class Network:
         w = np.lib.stride_tricks.sliding_window_view(e, WIDTH * EMBED, axis=1)[:, ::STRIDE * EMBED]
         return np.ascontiguousarray(w).reshape(len(x) * _WINDOWS, WIDTH * EMBED)
 
+    @staticmethod
+    def _filled(x: np.ndarray) -> np.ndarray:
+        """Filled share of each chunk on a log scale, and its square: short texts excite few filters."""
+        u = np.log2(np.maximum((x != 0).sum(axis=1), 1) / CHUNK).astype(np.float32) / 9
+        return np.stack([u, u * u], axis=1)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(x), np.float32)
         for i in range(0, len(x), 128):
             part = x[i:i + 128]
             a = (self._columns(part) @ self.p["filters"]).reshape(len(part), _WINDOWS, FILTERS).max(axis=1)
-            out[i:i + 128] = np.maximum(a + self.p["bias"], 0) @ self.p["out"] + self.p["shift"]
+            out[i:i + 128] = np.maximum(a + self.p["bias"], 0) @ self.p["out"] \
+                + self._filled(part) @ self.p["fill"] + self.p["shift"]
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -83,12 +91,13 @@ class Network:
         best = a.argmax(axis=1)
         top = np.take_along_axis(a, best[:, None, :], axis=1)[:, 0] + self.p["bias"]
         pooled = np.maximum(top, 0)
-        z = pooled @ self.p["out"] + self.p["shift"]
+        filled = self._filled(x)
+        z = pooled @ self.p["out"] + filled @ self.p["fill"] + self.p["shift"]
         d = ((1 / (1 + np.exp(-z)) - y) * weight / weight.sum()).astype(np.float32)
         back = d[:, None] * self.p["out"] * (top > 0)
         # Only the window that gave the maximum of a filter has a gradient.
         windows = cols.reshape(len(x), _WINDOWS, WIDTH * EMBED)[np.arange(len(x))[:, None], best]
-        g = {"out": pooled.T @ d, "shift": d.sum(keepdims=True), "bias": back.sum(0),
+        g = {"out": pooled.T @ d, "fill": filled.T @ d, "shift": d.sum(keepdims=True), "bias": back.sum(0),
              "filters": np.einsum("nf,nfk->kf", back, windows)}
         into = (back[:, :, None] * self.p["filters"].T).reshape(len(x), FILTERS, WIDTH, EMBED)
         bytes_at = x[np.arange(len(x))[:, None, None], best[:, :, None] * STRIDE + np.arange(WIDTH)]
@@ -97,7 +106,8 @@ class Network:
         return g
 
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 7, rate: float = 0.01) -> None:
-        """Adam over shuffled batches; both classes weigh the same."""
+        """Adam over shuffled batches; both classes weigh the same.  In each epoch a quarter
+        of the chunks is cut to a random shorter length, as short documents are rare."""
         rng = np.random.default_rng(seed)
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -105,10 +115,12 @@ class Network:
         t = 0
         for epoch in range(EPOCHS):
             order = rng.permutation(len(x))
+            keep = np.where(rng.random(len(x)) < 0.25, np.exp(rng.uniform(np.log(12), np.log(CHUNK), len(x))), CHUNK)
+            cropped = np.where(np.arange(CHUNK) < keep[:, None], x, 0).astype(np.uint8)
             for i in range(0, len(x), 64):
                 b = order[i:i + 64]
                 t += 1
-                for k, g in self.gradient(x[b], y[b], weight[b]).items():
+                for k, g in self.gradient(cropped[b], y[b], weight[b]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     step = rate * (1 - epoch / EPOCHS * 0.8) * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v[k] / (1 - 0.999 ** t)) + 1e-7)
