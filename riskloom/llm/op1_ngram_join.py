@@ -326,5 +326,19 @@ def _between(alive: DataFrame, comp: DataFrame, checked: DataFrame) -> DataFrame
     return pairs.join(far, ["a", "b"], "left_anti")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of linked documents: the one with the smallest doc_id.
+
+    Rows without words all stay.  Rows that share a doc_id and a text are one
+    document.  A row with a null doc_id stays where its group has no other id.
+    """
+    found = ngram_join(docs)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"))
+    return rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(C.load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

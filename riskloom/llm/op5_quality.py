@@ -198,21 +198,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Network | float:
     return net
 
 
-def score(docs: DataFrame, net: Network | float) -> DataFrame:
-    """All columns of ``docs`` and score: the probability of label 1."""
+def score(docs: DataFrame, net: Network | float, out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out``, the probability of label 1 (a column of that name is replaced)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
     C.prepare(docs.sparkSession)
     if isinstance(net, float):
-        return docs.withColumn("score", F.lit(net))
+        return docs.withColumn(out, F.lit(net))
 
     def run(batches):
         for b in batches:
             raw, off = C.string_buffers(b.column("text").cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(net.probability(raw, off).astype(np.float64))],
-                                             names=[*b.schema.names, "score"])
+                                             names=[*b.schema.names, out])
 
-    kept = docs.drop("score")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    kept = docs.drop(out)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, DoubleType())]))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a score of THRESHOLD or more, all columns as they were."""
+    C.prepare(docs.sparkSession)
+    name = "_" * (1 + max(map(len, docs.columns))) + "score"       # no column of docs is called so
+    return score(docs, train(docs, labels), name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -140,61 +140,80 @@ class ItemIndex:
 _DDL = "doc_id long, item_id long, similarity double, first_word long, n_words long, distance int"
 
 
+def _found(index: ItemIndex, text: pa.Array):
+    """(row, item, similarity, first word, words, distance) of all matches in a column of texts."""
+    raw, off = C.string_buffers(text)
+    for i, j in C.row_slices(off):
+        h, _, _, first = C.words_of(_TO_WORD[raw[off[i]:off[j]]], off[i:j + 1] - off[i])
+        n = np.diff(first)
+        s, row, at = C.shingles_of(h, first, K)
+        hit = index.maybe[s & np.uint64((1 << _FILTER_BITS) - 1)]
+        hit[hit] = np.isin(s[hit], index.key)
+        for r in np.unique(row[hit]).tolist():
+            if n[r] >= K:
+                lo, hi = np.searchsorted(row, [r, r + 1])
+                for item, v in sorted(index.matches(s[lo:hi], int(n[r]), np.flatnonzero(hit[lo:hi])).items()):
+                    yield (i + r, item, *v)
+        for k, table in index.short.items():
+            s, row, at = C.shingles_of(h, first, k)
+            use = (n[row] >= k) & np.isin(s, np.array(list(table), np.uint64))
+            done = set()
+            for key, r, p in zip(s[use].tolist(), row[use].tolist(), at[use].tolist()):
+                for item in table[key]:
+                    if (r, item) not in done:
+                        done.add((r, item))
+                        yield i + r, item, 1.0, p - int(first[r]), k, 0
+
+
 def _search(shared):
     def run(batches):
-        index: ItemIndex = shared.value
         for b in batches:
-            raw, off = C.string_buffers(b.column("text"))
             ids = b.column("doc_id").to_pylist()
-            out = [[] for _ in range(6)]
-
-            def add(doc, item, sim, first, n, distance):
-                for col, v in zip(out, (doc, item, sim, first, n, distance)):
-                    col.append(v)
-
-            for i, j in C.row_slices(off):
-                o = off[i:j + 1] - off[i]
-                h, _, _, first = C.words_of(_TO_WORD[raw[off[i]:off[j]]], o)
-                s, row, at = C.shingles_of(h, first, K)
-                hit = index.maybe[s & np.uint64((1 << _FILTER_BITS) - 1)]
-                hit[hit] = np.isin(s[hit], index.key)
-                for r in np.unique(row[hit]).tolist():
-                    if first[r + 1] - first[r] < K:
-                        continue
-                    lo, hi = np.searchsorted(row, [r, r + 1])
-                    near = np.flatnonzero(hit[lo:hi])
-                    for item, v in sorted(index.matches(s[lo:hi], int(first[r + 1] - first[r]), near).items()):
-                        add(ids[i + r], item, *v)
-                for k, table in index.short.items():
-                    s, row, at = C.shingles_of(h, first, k)
-                    use = (np.diff(first)[row] >= k) & np.isin(s, np.array(list(table), np.uint64))
-                    done = set()
-                    for key, r, p in zip(s[use].tolist(), row[use].tolist(), at[use].tolist()):
-                        for item in table[key]:
-                            if (r, item) not in done:
-                                done.add((r, item))
-                                add(ids[i + r], item, 1.0, p - int(first[r]), k, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()),
-                                              pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int32())],
-                                             names=["doc_id", "item_id", "similarity", "first_word", "n_words", "distance"])
+            rows = [(ids[r], *v) for r, *v in _found(shared.value, b.column("text"))]
+            kinds = (("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()),
+                     ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, (_, t) in enumerate(kinds)],
+                                             names=[c for c, _ in kinds])
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words, distance of all matches."""
-    spark = docs.sparkSession
-    C.prepare(spark)
+def _without(shared):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[x[0] for x in _found(shared.value, b.column("text").cast(pa.string()))]] = False
+            yield b.filter(pa.array(keep))
+    return run
+
+
+def item_blocks(benchmark: DataFrame):
+    """Broadcast indexes of blocks of items, about ITEM_BYTES of text in each."""
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n_blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES) + 1
+    n = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES) + 1
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield sc.broadcast(ItemIndex(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, item_id, similarity, first_word, n_words, distance of all matches (a null item_id is -1)."""
+    C.prepare(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()   # about ITEM_BYTES at most
-        index = ItemIndex(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows))
-        part = src.mapInArrow(_search(spark.sparkContext.broadcast(index)), _DDL)
+    for shared in item_blocks(benchmark):
+        part = src.mapInArrow(_search(shared), _DDL)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns as they were, without a shuffle."""
+    C.prepare(docs.sparkSession)
+    for shared in item_blocks(benchmark):
+        docs = docs.mapInArrow(_without(shared), docs.schema)
+    return docs
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(C.load(spark, sf_dir, "documents"), C.load(spark, sf_dir, "benchmark"))
