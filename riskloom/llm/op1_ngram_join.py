@@ -13,7 +13,8 @@ sets without emitting the pairs inside a group of copies:
    very large count are spread instead.  Only lists of two sets or more stay.
 3. index skipping: the entries of a list carry size and position; blocks of a
    list whose size or position bound rules out the needed overlap are skipped
-   before their members are expanded.
+   before their members are expanded, and a pair must share as many prefix
+   shingles as its sizes demand.
 4. answer skipping: in each list the entry with the smallest position is the
    pivot; a set is verified against the pivot with which it shares most prefix
    shingles, and derives its answers from the pivot's: inside one component
@@ -48,6 +49,7 @@ K = 5
 NUM, DEN = 4, 5
 SKETCH_BITS = 22
 SLICES = 64
+MARK_BITS = 26
 #: Postings of one bucket of the index, on average.
 BUCKET_ROWS = 1_500_000
 #: Lists up to this length are pruned by position entry by entry; longer ones pass whole.
@@ -198,7 +200,7 @@ def _has_partner(x: np.ndarray, run: np.ndarray, longest: int) -> np.ndarray:
     for k in range(1, longest):
         a, b = slice(0, len(x) - k), slice(k, len(x))
         fits = (np.minimum(n[a], n[b]) * DEN >= np.maximum(n[a], n[b]) * NUM) & \
-            (np.minimum(rest[a], rest[b]) * (NUM + DEN) >= (n[a] + n[b]) * NUM)
+            ((np.minimum(rest[a], rest[b]) + np.minimum(n[a] - rest[a], n[b] - rest[b])) * (NUM + DEN) >= (n[a] + n[b]) * NUM)
         fits = (run[a] == run[b]) & (fits | (n[a] == 65535) | (n[b] == 65535))
         keep[a] |= fits
         keep[b] |= fits
@@ -206,37 +208,84 @@ def _has_partner(x: np.ndarray, run: np.ndarray, longest: int) -> np.ndarray:
 
 
 def _tokens(batches):
-    """(set_id, tokens) of the rows, tokens as signed hashes."""
+    """(set_id, tokens) of the rows, tokens as signed hashes; a set is given once by a task."""
     schema = pa.schema([("set_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    seen: set[int] = set()
     for b in batches:
         for i, j, s, row, n, digest in _sets(b):
-            off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.ListArray.from_arrays(pa.array(off), pa.array(s.view(np.int64)))],
-                                             schema=schema)
+            fresh = np.zeros(j - i, bool)
+            for r, d in enumerate(digest.tolist()):
+                fresh[r] = d not in seen
+                seen.add(d)
+            off = np.concatenate(([0], np.cumsum(n[fresh]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(digest[fresh]), pa.ListArray.from_arrays(
+                pa.array(off), pa.array(s[fresh[row]].view(np.int64)))], schema=schema)
+
+
+def _marked(bitmap):
+    """Rows whose bit is set."""
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            at = b.column("bit").to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+    return run
+
+
+def _only(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``src`` whose doc_id is in ``ids``.
+
+    A bitmap of 2^MARK_BITS bits (8 MB, whatever the input) drops most other
+    rows before the exact semi join shuffles their texts; where so many ids are
+    wanted that the bitmap fills up, the join alone decides.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+    part = ids.select((bit + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    whole = bytearray(1 << (MARK_BITS - 3))
+    for r in part.collect():
+        whole[(r["k"] - 1) * 4096:r["k"] * 4096] = r["bits"]
+    shared = src.sparkSession.sparkContext.broadcast(bytes(whole))
+    rows = src.withColumn("bit", bit)
+    return rows.mapInArrow(_marked(shared), rows.schema).drop("bit").join(ids, "doc_id", "left_semi")
 
 
 def _possible(x: str, y: str):
     """Whether sizes and positions of a shared prefix shingle leave room for the needed overlap.
 
-    Holds for the first shingle that two linked sets share, which is enough to
-    find the pair.  65535 stands for "not known" and passes.
+    At most min(pos) shared shingles come before it, at most the shorter rest
+    from it on.  65535 stands for "not known" and passes.
     """
     nx, ny, px, py = (F.col(f"{c}.{f}").cast("long") for f in ("n", "pos") for c in (x, y))
     known = (nx < 65535) & (ny < 65535)
     fits = (F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & \
-        (F.least(nx - px, ny - py) * (NUM + DEN) >= (nx + ny) * NUM)
+        ((F.least(nx - px, ny - py) + F.least(px, py)) * (NUM + DEN) >= (nx + ny) * NUM)
     return ~known | fits
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d, linked) with the exact Jaccard distance d of each pair."""
-    out = pairs.select("a", "b").join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a") \
+def _enough(shared: str, nx: str, ny: str):
+    """Whether two prefixes share as many shingles as linked sets must.
+
+    Of the needed overlap o = ceil(0.8 / 1.8 (nx + ny)), the k-th shared shingle
+    stands at position k + n - o or before, so the first
+    o - ceil(0.8 max(nx, ny)) + 1 of them lie in both prefixes.
+    """
+    need = F.expr(f"({NUM} * ({nx} + {ny}) + {NUM + DEN - 1}) div {NUM + DEN} - ({NUM} * greatest({nx}, {ny}) + {DEN - 1}) div {DEN} + 1")
+    return (F.greatest(nx, ny) >= 65535) | (F.col(shared) >= need)
+
+
+def _verify(pairs: DataFrame, src: DataFrame, first_doc: DataFrame, name: str) -> DataFrame:
+    """(a, b, d, linked) with the exact Jaccard distance d of each pair; only their sets are made again."""
+    pairs = C.materialize(pairs.select("a", "b"), f"op1-{name}-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(first_doc, "set_id").select("doc_id")
+    sets = C.materialize(_only(src, ids).mapInArrow(_tokens, "set_id long, tokens array<long>"), f"op1-{name}-sets")
+    out = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a") \
         .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b") \
         .select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"),
                 F.size(F.array_intersect("ta", "tb")).alias("both"))
     union = F.col("na") + F.col("nb") - F.col("both")
-    return out.select("a", "b", (F.lit(1.0) - F.col("both") / union).alias("d"),
-                      (F.col("both") * DEN >= union * NUM).alias("linked"))
+    return C.materialize(out.select("a", "b", (F.lit(1.0) - F.col("both") / union).alias("d"),
+                                    (F.col("both") * DEN >= union * NUM).alias("linked")), f"op1-{name}")
 
 
 def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -257,10 +306,12 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 def with_components(doc: DataFrame, comp: DataFrame) -> DataFrame:
     """component_id of every document: the smallest doc_id of its component of sets."""
-    joined = doc.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left") \
+    sets = doc.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    sets = sets.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left") \
         .withColumn("component", F.coalesce("component", "set_id"))
-    least = joined.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(least, "component", "left") \
+    least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_set = sets.join(least, "component").select("set_id", "component_id")
+    return doc.join(of_set, "set_id", "left") \
         .select("doc_id", "n_shingles",
                 F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                 "set_id")
@@ -283,22 +334,19 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
         .repartition(n_buckets, "bucket")
     alive = C.materialize(posted.mapInArrow(_shared, "token long, set_id long, n int, pos int"), "op1-lists")
     first_doc = doc.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    wanted = alive.select("set_id").distinct().join(first_doc, "set_id").select("doc_id")
-    sets = src.join(wanted, "doc_id", "left_semi").mapInArrow(_tokens, "set_id long, tokens array<long>") \
-        .dropDuplicates(["set_id"])
-    sets = C.materialize(sets, "op1-sets")
 
     # Answers by pivot: one candidate for each set, the pivot that it shares most prefix shingles with.
     entry = F.struct("pos", "n", "set_id")
     pivot = alive.groupBy("token").agg(F.min(entry).alias("q"))
     near = alive.select("token", "set_id", entry.alias("e")).join(pivot, "token") \
         .where("set_id <> q.set_id").where(_possible("e", "q")) \
-        .groupBy("set_id", F.col("q.set_id").alias("pivot")).agg(F.count(F.lit(1)).alias("shared")) \
+        .groupBy("set_id", F.col("q.set_id").alias("pivot"), F.col("e.n").alias("n"), F.col("q.n").alias("m")) \
+        .agg(F.count(F.lit(1)).alias("shared")).where(_enough("shared", "n", "m")) \
         .groupBy("set_id").agg(F.max(F.struct("shared", "pivot")).alias("best")) \
         .select(F.least("set_id", "best.pivot").alias("a"), F.greatest("set_id", "best.pivot").alias("b")).distinct()
-    checked = C.materialize(_verify(near, sets), "op1-pivots")
+    checked = _verify(near, src, first_doc, "pivots")
     comp = C.connected_components(checked.where("linked"), name="op1-cc1")
-    rest = C.materialize(_verify(_between(alive, comp, checked), sets), "op1-rest")
+    rest = _verify(_between(alive, comp, checked), src, first_doc, "rest")
     return checked.where("linked").select("a", "b").unionByName(rest.where("linked").select("a", "b"))
 
 
@@ -313,13 +361,16 @@ def _between(alive: DataFrame, comp: DataFrame, checked: DataFrame) -> DataFrame
     x = blocks.select("token", F.struct("component", "n", "pos", "members").alias("x"))
     y = blocks.select("token", F.struct("component", "n", "pos", "members").alias("y"))
     pairs = x.join(y, "token").where("x.component < y.component").where(_possible("x", "y")) \
-        .select(F.explode("x.members").alias("u"), "y.members").select("u", F.explode("members").alias("v")) \
-        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        .select("x", "y", F.explode("x.members").alias("u")).select("u", F.col("x.n").alias("n"), F.col("y.n").alias("m"),
+                                                                    F.explode("y.members").alias("v")) \
+        .groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")) \
+        .agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")) \
+        .where(_enough("shared", "n", "m")).select("a", "b")
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    # Distances to the own pivot and, where verified, of the other set to the same pivot.
+    # Distances to a pivot that both sets were verified with.
     to = checked.select(F.col("a").alias("s"), F.col("b").alias("p"), "d") \
         .unionByName(checked.select(F.col("b").alias("s"), F.col("a").alias("p"), "d"))
-    own = checked.select(F.col("a").alias("s"), F.col("b").alias("p"), "d")
+    own = to.groupBy("s").agg(F.min(F.struct("d", "p")).alias("best")).select("s", "best.p", "best.d")
     far = pairs.join(own.select(F.col("s").alias("a"), "p", F.col("d").alias("da")), "a") \
         .join(to.select(F.col("s").alias("b"), "p", F.col("d").alias("db")), ["b", "p"]) \
         .where(F.abs(F.col("da") - F.col("db")) > 1 - NUM / DEN + 1e-9).select("a", "b").distinct()
