@@ -98,7 +98,8 @@ def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: t
     diff = F.col("qf").bitwiseXOR(F.col("xf"))
     at = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
     # Hits at all radii are a superset of the pairs: the bit count and the first-table rule decide.
-    hits = q.withColumnRenamed("t", "qt").withColumnRenamed("key", "qk") \
+    # A merge join: the tables are twenty times the fingerprints that Spark would judge a broadcast by.
+    hits = q.withColumnRenamed("t", "qt").withColumnRenamed("key", "qk").hint("merge") \
         .join(i, (F.col("qk") == F.col("key")) & (F.col("qt") == F.col("t"))
               & (F.bit_count(diff) <= radius) & (at == F.col("t")))
     return hits.groupBy(F.col("qf").alias("fp")).agg(F.sum("n").alias("n_near"))
@@ -133,10 +134,11 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     src = src.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("key"), "text", F.char_length("text").cast("long").alias("n"))
     ring = C.materialize(successors(src), "op9-ring")
-    joined = src.select("key", "doc_id", "text").join(ring, "key")
+    # Both uses of the texts need the same columns, so one shuffle by key serves both.
+    joined = src.select("key", "text").join(ring, "key")
     heads = joined.select("prev_key", F.substring(F.col("text"), F.lit(1), F.col("need").cast("int")).alias("head")) \
         .groupBy("prev_key").agg(F.min("head").alias("head")).withColumnRenamed("prev_key", "key")
-    rows = joined.select("key", "doc_id", "next_key", "text").join(heads, "key") \
+    rows = joined.select("key", F.nullif(F.col("key"), F.lit(_FIRST)).alias("doc_id"), "next_key", "text").join(heads, "key") \
         .withColumn("row", F.monotonically_increasing_id()) \
         .withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.expr("n_chars div 4").cast("int"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("cut")),
