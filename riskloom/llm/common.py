@@ -23,7 +23,7 @@ from riskloom.session import checkpoint_dir
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 #: Bytes of text worked on at once inside a task (one longer document goes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -82,7 +82,7 @@ _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = max(n, SLICE_BYTES + (1 << 12))
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -50,6 +50,8 @@ NUM, DEN = 4, 5
 SKETCH_BITS = 22
 SLICES = 64
 MARK_BITS = 26
+#: Entries a task holds before it hands them on.
+FLUSH_ROWS = 500_000
 #: Postings of one bucket of the index, on average.
 BUCKET_ROWS = 1_500_000
 #: Lists up to this length are pruned by position entry by entry; longer ones pass whole.
@@ -77,16 +79,27 @@ def _scan(batches):
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
                         ("part", pa.int32()), ("blob", pa.binary())])
-    any_rows = False
+    any_rows, held, size = False, [], 0
+
+    def count():
+        if held:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            counts[at] += n.astype(np.uint32)
+            held.clear()
+
     for b in batches:
         for i, j, s, _, n, digest in _sets(b):
             any_rows = True
-            counts += np.bincount((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64),
-                                  minlength=1 << SKETCH_BITS).astype(np.uint32)
+            held.append((s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.uint32))
+            size += len(s)
+            if size >= FLUSH_ROWS:
+                count()
+                size = 0
             m = j - i
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, m).cast(pa.int64()),
                                               pa.array(n.astype(np.int64)), pa.array(digest),
                                               pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+    count()
     if any_rows:
         for k, part in enumerate(np.split(counts, SLICES)):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [
@@ -150,7 +163,7 @@ def _post(levels, n_buckets: int, hot_level: int):
                 where = np.where(hot, C.mix64(x["s"].view(np.uint64)), C.mix64(t)) % np.uint64(n_buckets)
                 held.append((x, where.astype(np.int64), hot))
                 held_rows += len(x)
-                if held_rows >= 1_500_000:
+                if held_rows >= FLUSH_ROWS:
                     yield from flush()
                     held_rows = 0
         yield from flush()

@@ -29,12 +29,14 @@ from __future__ import annotations
 import bisect
 import os
 import random
+import re
 import zlib
 from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +54,15 @@ ELITES = 2
 MAX_LEVELS = 5
 #: A bin with at most this many free tokens is final before the last level.
 KEEP_FREE = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_CHARS = 48
 
 
 # --- pieces ---------------------------------------------------------------
 
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
 class _Ids(dict):
     """Little-endian ids of words between blanks; the pre-tokenizer never joins two of them."""
 
@@ -65,18 +70,65 @@ class _Ids(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not t.normalized]
+        self.mark, self.mark_id = special[0] if special else (None, -1)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.final = np.zeros(max(vocab.values()) + 1, bool) if self.tokenizer.model.end_of_word_suffix else None
+        if self.final is not None:
+            for piece, i in vocab.items():
+                self.final[i] = piece.endswith(self.tokenizer.model.end_of_word_suffix)
         self[""] = b""
 
     def learn(self, words: set[str]) -> None:
-        """Encode the missing words of a batch together; forget all when the table is full."""
+        """Encode the missing words of some texts together; forget all when the table is full."""
         if len(self) > CACHE_WORDS:
             self.clear()
             self[""] = b""
-        new = [w for w in words if w not in self]
-        for k in range(0, len(new), 5000):
-            part = new[k:k + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.asarray(e.ids, "<u4").tobytes()
+        new = {w for w in words if w not in self}
+        stops = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalnum() and "<|" not in w]
+        # A full stop or comma after a letter or digit is a pre-token of its own.
+        new = new.difference(stops).union({w[:-1] for w in stops if w[:-1] not in self}, {".", ","} - self.keys())
+        plain = [w for w in new if _PLAIN(w)]
+        if not self._learn_plain(plain):
+            plain = []
+        self._learn_marked([w for w in new.difference(plain)])
+        for w in stops:
+            self[w] = self[w[:-1]] + self[w[-1]]
+
+    def _encode(self, strings: list[str]):
+        for k in range(0, len(strings), 64):
+            part = self.tokenizer.encode_batch_fast(strings[k:k + 64], add_special_tokens=False)
+            yield np.concatenate([np.asarray(e.ids, "<u4") for e in part])
+
+    def _learn_plain(self, words: list[str]) -> bool:
+        """Words that are one pre-token each: the last piece of a pre-token is marked as such."""
+        if self.final is None:
+            return not words
+        for k in range(0, len(words), 16384):
+            part = words[k:k + 16384]
+            ids = np.concatenate(list(self._encode([" ".join(part[i:i + 256]) for i in range(0, len(part), 256)])))
+            ends = ((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()
+            if len(ends) != len(part):
+                return False
+            data, start = ids.tobytes(), 0
+            for w, end in zip(part, ends):
+                self[w] = data[start:end]
+                start = end
+        return True
+
+    def _learn_marked(self, new: list[str]) -> None:
+        """Any words: a special token between them is cut out before anything else."""
+        alone = [w for w in new if self.mark is None or "<|" in w]
+        for w in alone:
+            self[w] = np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        new = [w for w in new if self.mark is not None and "<|" not in w]
+        at = 0
+        for ids in self._encode([self.mark.join(new[k:k + 256]) + self.mark for k in range(0, len(new), 256)]):
+            data, ends, start = ids.tobytes(), (np.flatnonzero(ids == self.mark_id) * 4).tolist(), 0
+            for w, end in zip(new[at:at + len(ends)], ends):
+                self[w] = data[start:end]
+                start = end + 4
+            at += len(ends)
 
     def drop_long(self, words: set[str]) -> None:
         for w in words:
@@ -84,6 +136,16 @@ class _Ids(dict):
                 self.pop(w, None)
 
 
+def _words(text: str | None) -> list[str]:
+    """Parts between blanks and line feeds, A-Z lower-cased as the normalizer will do
+    (not where that could spell a special token)."""
+    if not text:
+        return [""]
+    if "<|" not in text:
+        text = text.encode().lower().decode()
+    return text.replace("\n", " ").split(" ")
+
+
 _tables: dict[str, _Ids] = {}
 
 
@@ -105,23 +167,25 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         ids = _table(tokenizer)
         step = 4 * capacity
         for b in batches:
-            split = [(t or "").replace("\n", " ").split(" ") for t in b.column("text").to_pylist()]
-            words = set().union(*split) if split else set()
-            ids.learn(words)
-            out = [[], [], [], [], [], []]
-            for doc_id, ws in zip(b.column("doc_id").to_pylist(), split):
-                data = b"".join(map(ids.__getitem__, ws)) + last
-                for k in range(0, len(data), step):
-                    part = data[k:k + step]
-                    for col, v in zip(out, (doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part), part)):
-                        col.append(v)
-            ids.drop_long(words)
-            cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                cols.append(pa.array(out[5], pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            texts = b.column("text")
+            for i, j in C.row_slices(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))), 1 << 19):
+                split = [_words(t) for t in texts.slice(i, j - i).to_pylist()]
+                words = set().union(*split)
+                ids.learn(words)
+                out = [[], [], [], [], [], []]
+                for doc_id, ws in zip(b.column("doc_id").slice(i, j - i).to_pylist(), split):
+                    data = b"".join(map(ids.__getitem__, ws)) + last
+                    for k in range(0, len(data), step):
+                        part = data[k:k + step]
+                        for col, v in zip(out, (doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
+                            col.append(v)
+                ids.drop_long(words)
+                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    cols.append(pa.array(out[5], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)

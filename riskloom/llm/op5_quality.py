@@ -146,7 +146,7 @@ class Network:
     def probability(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Of each row, from all of its chunks."""
         out = []
-        for i, j in C.row_slices(off, 1 << 20):
+        for i, j in C.row_slices(off, 1 << 18):
             x, row = chunk_matrix(raw[off[i]:off[j]], off[i:j + 1] - off[i])
             s = self.summary(self.logits(x), row, j - i)
             out.append(1 / (1 + np.exp(-np.clip(s @ self.mix, -30, 30))))
@@ -159,7 +159,7 @@ def _training_chunks(batches):
         raw, off = C.string_buffers(b.column("text"))
         ids, labels = b.column("doc_id").to_pylist(), b.column("label").to_pylist()
         out = [[], [], []]
-        for i, j in C.row_slices(off, 1 << 20):
+        for i, j in C.row_slices(off, 1 << 18):
             x, row = chunk_matrix(raw[off[i]:off[j]], off[i:j + 1] - off[i])
             for r in range(j - i):
                 lo, hi = np.searchsorted(row, [r, r + 1])

@@ -326,3 +326,17 @@ def test_op9_tables_find_all_within_radius(spark):
                                  o8.token_counts, o9.fingerprints], ids=lambda f: f.__module__.split(".")[-1] + "." + f.__name__)
 def test_empty_table(no_docs, run):
     assert run(no_docs).count() == 0
+
+
+def test_op2_word_table_equals_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(o2.TOKENIZER)
+    tok = Tokenizer.from_file(path)
+    table = o2._Ids(path)
+    texts = ["It's end. A.. b ., x., don't.", "É é. İstanbul. ſ ß. 12. a1, 漢字. é. ́. ", "<|endoftext|> x<|ENDOFTEXT|>y <|endoftext|>. a",
+             "tab\tin. nbsp here, \x1c x", ".. , . a.b. ﬁn. Σας ΟΔΟΣ. ²³. x​.", "", " ", "\n\n"]
+    for t in texts + [para(k, 60).replace(" ", ". ", 7) for k in range(20)]:
+        ws = o2._words(t)
+        table.learn(set(ws))
+        assert b"".join(table[w] for w in ws) == np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
