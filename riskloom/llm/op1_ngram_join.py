@@ -263,17 +263,18 @@ def _only(src: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(_marked(shared), rows.schema).drop("bit").join(ids, "doc_id", "left_semi")
 
 
-def _possible(x: str, y: str):
+def _possible(x: str, y: str, first: bool = False):
     """Whether sizes and positions of a shared prefix shingle leave room for the needed overlap.
 
     At most min(pos) shared shingles come before it, at most the shorter rest
-    from it on.  65535 stands for "not known" and passes.
+    from it on.  ``first``: the bound of the first shared shingle, before which
+    there is none; it finds a pair with far fewer rows.  65535 stands for "not
+    known" and passes.
     """
     nx, ny, px, py = (F.col(f"{c}.{f}").cast("long") for f in ("n", "pos") for c in (x, y))
     known = (nx < 65535) & (ny < 65535)
-    fits = (F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & \
-        ((F.least(nx - px, ny - py) + F.least(px, py)) * (NUM + DEN) >= (nx + ny) * NUM)
-    return ~known | fits
+    room = F.least(nx - px, ny - py) + (F.lit(0) if first else F.least(px, py))
+    return ~known | ((F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & (room * (NUM + DEN) >= (nx + ny) * NUM))
 
 
 def _enough(shared: str, nx: str, ny: str):
@@ -373,12 +374,9 @@ def _between(alive: DataFrame, comp: DataFrame, checked: DataFrame) -> DataFrame
         .agg(F.collect_set("set_id").alias("members"))
     x = blocks.select("token", F.struct("component", "n", "pos", "members").alias("x"))
     y = blocks.select("token", F.struct("component", "n", "pos", "members").alias("y"))
-    pairs = x.join(y, "token").where("x.component < y.component").where(_possible("x", "y")) \
-        .select("x", "y", F.explode("x.members").alias("u")).select("u", F.col("x.n").alias("n"), F.col("y.n").alias("m"),
-                                                                    F.explode("y.members").alias("v")) \
-        .groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")) \
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m")) \
-        .where(_enough("shared", "n", "m")).select("a", "b")
+    pairs = x.join(y, "token").where("x.component < y.component").where(_possible("x", "y", first=True)) \
+        .select(F.explode("x.members").alias("u"), "y.members").select("u", F.explode("members").alias("v")) \
+        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     # Distances to a pivot that both sets were verified with.
     to = checked.select(F.col("a").alias("s"), F.col("b").alias("p"), "d") \
