@@ -77,9 +77,14 @@ def fit_classifier(train: DataFrame, features: list[str], cats: list[str], *, ki
     keep = [label] + ([weight_col] if weight_col else [])
     tr = prepare_matrix(train, features, cats, keep=keep).withColumn(label, F.col(label).cast("double"))
     stages, _ = _stages_for(features, cats, enc, label)
+    max_bins = params.max_bins
+    if cats and enc == "index" and kind in ("gbt", "rf"):
+        # a tree needs a bin for each category and one for unseen ones
+        most = tr.agg(F.greatest(*[F.count_distinct(c) for c in cats], F.lit(0)).alias("n")).first()["n"]
+        max_bins = max(max_bins, int(most) + 1)
     if kind in ("gbt", "gbt_te"):
         clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=params.max_iter,
-                            maxDepth=params.max_depth, stepSize=params.step_size, maxBins=params.max_bins,
+                            maxDepth=params.max_depth, stepSize=params.step_size, maxBins=max_bins,
                             subsamplingRate=params.subsampling_rate,
                             minInstancesPerNode=params.min_instances_per_node, seed=params.seed)
         if val is not None:
@@ -88,7 +93,7 @@ def fit_classifier(train: DataFrame, features: list[str], cats: list[str], *, ki
             clf = clf.setValidationIndicatorCol("__is_val")
     elif kind == "rf":
         clf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=max(10, params.max_iter),
-                                     maxDepth=params.max_depth, maxBins=params.max_bins, seed=params.seed,
+                                     maxDepth=params.max_depth, maxBins=max_bins, seed=params.seed,
                                      subsamplingRate=params.subsampling_rate)
     elif kind == "lr":
         clf = LogisticRegression(labelCol=label, featuresCol="features", maxIter=100)

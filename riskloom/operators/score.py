@@ -24,3 +24,14 @@ def risk_level(df: DataFrame, p_col: str = "p", t_high: float = T_HIGH, t_med: f
     p = F.col(p_col)
     return df.withColumn("risk_score", F.round(p, 6)).withColumn("level", level_of(p, t_high, t_med)) \
         .withColumn("action", action_of(F.col("level")))
+
+
+def top_transactions(df: DataFrame, n: int, by: str = "amount", id_col: str = "id") -> DataFrame:
+    """O2: the ``n`` rows with the largest ``by`` (NULLs last, ties by id): one
+    TakeOrdered, so each task keeps at most ``n`` rows."""
+    return df.orderBy(F.col(by).desc_nulls_last(), F.col(id_col)).limit(n)
+
+
+def predictions_preview(scored: DataFrame, n: int = 20, p_col: str = "p", id_col: str = "id") -> DataFrame:
+    """The ``n`` highest scores with level and action."""
+    return top_transactions(risk_level(scored, p_col), n, "risk_score", id_col).select(id_col, "risk_score", "level", "action")

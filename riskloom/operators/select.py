@@ -7,7 +7,7 @@ matrices of scalars (p = number of candidate features, bounded).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import eda
@@ -67,19 +67,28 @@ def vif_filter(df: DataFrame, features: list[str], max_vif: float = 10.0, min_ro
     return keep, dropped
 
 
-def shuffle_column(df: DataFrame, col: str, seed: int, n_parts: int | None = None) -> DataFrame:
-    """Permute one column: rows are hash-scattered over partitions, then the
-    column is permuted inside each partition (Arrow batches in mapInPandas)."""
+def _hash_rank(df: DataFrame, key_col: str, seed: int, out: str) -> DataFrame:
+    """Rank of each row in md5 order of its key: counts of 65,536 even hash
+    buckets give offsets, and rows are numbered inside their bucket."""
     from riskloom.operators.splits import hash_key
-    n_parts = n_parts or df.sparkSession.sparkContext.defaultParallelism
-    schema = df.schema
-
-    def perm(it):
-        rng = np.random.default_rng(seed)
-        for pdf in it:
-            pdf[col] = pdf[col].to_numpy()[rng.permutation(len(pdf))]
-            yield pdf
-    return df.repartition(n_parts, hash_key(df.columns[0], seed)).mapInPandas(perm, schema)
+    staged = df.withColumn("__h", hash_key(key_col, seed)) \
+        .withColumn("__hb", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    counts = staged.groupBy("__hb").agg(F.count(F.lit(1)).alias("__cnt"))
+    w = Window.orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("__hb", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__hb").orderBy("__h", key_col)
+    return staged.join(F.broadcast(offs), "__hb") \
+        .withColumn(out, F.col("__off") + F.row_number().over(inside)).drop("__h", "__hb", "__off")
+
+
+def shuffle_column(df: DataFrame, col: str, seed: int) -> DataFrame:
+    """Permute one column over all rows: the row that is k-th in one hash order
+    of the ids (first column) gets the value of the k-th row in another.  The
+    result depends on data and seed only, not on partitions or batch sizes."""
+    key = df.columns[0]
+    rows = _hash_rank(df.drop(col), key, seed, "__rank")
+    values = _hash_rank(df.select(key, F.col(col)), key, seed + 1_000_003, "__rank").select("__rank", col)
+    return rows.join(values, "__rank").select(*df.columns)
 
 
 def permutation_importance(scored_fn, df: DataFrame, features: list[str], label: str = "is_fraud",
@@ -100,7 +109,8 @@ def permutation_importance(scored_fn, df: DataFrame, features: list[str], label:
 
 
 def run_all_filters(df: DataFrame, features: list[str], corr_threshold: float = 0.95, max_vif: float = 10.0,
-                    scored_fn=None, min_importance: float = 1e-4, label: str = "is_fraud") -> DataFrame:
+                    scored_fn=None, min_importance: float = 1e-4, label: str = "is_fraud",
+                    n_repeats: int = 5) -> DataFrame:
     """Correlation -> VIF -> permutation importance; (feature, kept, stage)."""
     spark = df.sparkSession
     kept, dropped_c = correlation_filter(df, features, corr_threshold)
@@ -109,7 +119,7 @@ def run_all_filters(df: DataFrame, features: list[str], corr_threshold: float =
     final = kept2
     if scored_fn is not None:
         imp = {r["feature"]: r["importance"] for r in
-               permutation_importance(scored_fn, df, kept2, label=label, n_repeats=2).collect()}
+               permutation_importance(scored_fn, df, kept2, label=label, n_repeats=n_repeats).collect()}
         final = [f for f in kept2 if imp.get(f, 0.0) >= min_importance]
         rows += [(f, False, "permutation") for f in kept2 if f not in final]
     rows += [(f, True, "kept") for f in final]

@@ -64,8 +64,8 @@ def split_fraud_rates(df: DataFrame, split_col: str = "split", label_col: str =
 
 def save_splits(df: DataFrame, out_dir: str, b: SplitBoundaries, date_col: str = "date",
                 mode: str = "overwrite") -> str:
-    """One write, partitioned by split (rows in no split are not written)."""
-    add_split(df, b, date_col).where(F.col("split").isNotNull()) \
+    """One write, partitioned by split; rows in no split go to split=unassigned."""
+    add_split(df, b, date_col).withColumn("split", F.coalesce("split", F.lit("unassigned"))) \
         .write.mode(mode).partitionBy("split").parquet(out_dir)
     return out_dir
 

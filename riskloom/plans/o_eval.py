@@ -117,9 +117,10 @@ k AS (SELECT period_start, count(*) AS n_rows, count(*) FILTER (WHERE p >= 0.7)
              count(*) FILTER (WHERE p >= 0.3 AND p < 0.7) AS n_med,
              count(*) FILTER (WHERE p >= 0.7 AND y = 1) AS fh,
              count(*) FILTER (WHERE p >= 0.3 AND p < 0.7 AND y = 1) AS fm FROM s GROUP BY period_start)
-SELECT k.period_start, n_rows, round(cm.pr_auc, {R}) AS pr_auc, n_high, n_med,
-  round(fh / nullif(n_high, 0), {R}) AS precision_high, round(fm / nullif(n_med, 0), {R}) AS precision_med
-FROM k LEFT JOIN cm USING (period_start) WHERE n_rows >= 10"""
+SELECT k.period_start, n_rows, CASE WHEN n_rows >= 10 THEN round(cm.pr_auc, {R}) END AS pr_auc, n_high, n_med,
+  CASE WHEN n_rows >= 10 THEN round(fh / nullif(n_high, 0), {R}) END AS precision_high,
+  CASE WHEN n_rows >= 10 THEN round(fm / nullif(n_med, 0), {R}) END AS precision_med
+FROM k LEFT JOIN cm USING (period_start)"""
     rc = f"""{TX_SQL},
 ref AS (SELECT * FROM tx WHERE date < TIMESTAMP '2024-01-16'),
 cur AS (SELECT * FROM tx WHERE date >= TIMESTAMP '2024-01-16')"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskloom.config import ACTIONS
 from riskloom.plans.o_data import SPLIT_CASE
 from riskloom.plans.views import SCORED_SQL, TX_SQL
 
@@ -74,4 +75,10 @@ rk AS (SELECT *, row_number() OVER (ORDER BY value DESC, model_type) AS pos FROM
 rk2 AS (SELECT *, row_number() OVER (PARTITION BY pos = 1 ORDER BY model_type DESC) AS last FROM rk)
 SELECT model_type, CAST(version AS INTEGER) AS version, run_id, round(value, {R}) AS pr_auc,
   CASE WHEN pos = 1 THEN 'champion' WHEN last = 1 THEN 'challenger' END AS alias FROM rk2"""
+    q["top_transactions"] = f"""WITH {TX_SQL}
+SELECT id, round(amount, {R}) AS amount FROM tx ORDER BY amount DESC NULLS LAST, id LIMIT 20"""
+    q["predictions_preview"] = f"""WITH {SCORED_SQL},
+s AS (SELECT id, round(p, 6) AS risk_score, CASE WHEN p >= 0.7 THEN 'HIGH' WHEN p >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM scored)
+SELECT id, risk_score, level, CASE level WHEN 'HIGH' THEN '{ACTIONS["HIGH"]}' WHEN 'MEDIUM' THEN '{ACTIONS["MEDIUM"]}'
+  ELSE '{ACTIONS["LOW"]}' END AS action FROM s ORDER BY risk_score DESC NULLS LAST, id LIMIT 20"""
     return q

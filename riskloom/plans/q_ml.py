@@ -15,7 +15,8 @@ from riskloom.operators import runs as RU
 from riskloom.operators import select as SE
 from riskloom.operators import splits as SP
 from riskloom.operators import windows as W
-from riskloom.operators.score import risk_level
+from riskloom.config import SplitBoundaries
+from riskloom.operators.score import predictions_preview, risk_level, top_transactions
 from riskloom.plans import views as V
 from riskloom.plans.q_data import TX_SPLITS
 from riskloom.plans.q_eval import candidate_scores, metrics_long
@@ -25,6 +26,9 @@ ML_WINDOWS = {"1h": 3600, "24h": 86400, "7d": 604800}
 FEATURES = ["amount", "user_tx_count_1h", "user_amount_sum_24h", "user_unique_merchants_7d",
             "merchant_historical_fraud_rate", "mcc_historical_fraud_rate", "mcc_str", "card_brand"]
 CATS = ["mcc_str", "card_brand"]
+#: Whole days: every dated row is in one of the splits.
+ML_SPLITS = SplitBoundaries(train_end=TX_SPLITS.train_end, val_end=TX_SPLITS.val_end,
+                            test_start=TX_SPLITS.test_start, end_of_day=True)
 FAST = L.TreeParams(max_iter=15, max_depth=4, step_size=0.1, max_bins=32)
 LINEAR = ["amount", "p", "merchant_id"]
 
@@ -33,7 +37,7 @@ def ml_frame(spark: SparkSession, sf: str) -> DataFrame:
     t = V.tx(spark, sf)
     t = W.add_velocity(t, "client_id", "user", windows=ML_WINDOWS)
     t = RK.add_risk_aggregates(t)
-    return SP.add_split(t, TX_SPLITS)
+    return SP.add_split(t, ML_SPLITS)
 
 
 def _parts(spark, sf):
@@ -142,30 +146,41 @@ def q_vif(spark, sf):
     return spark.createDataFrame(rows, "feature string, kept boolean, vif double")
 
 
-def _toy_scorer(d: DataFrame) -> DataFrame:
-    return d.select("is_fraud", (F.col("amount") / (F.col("amount") + 50.0)).alias("proba"))
+def _fitted_scorer(lab: DataFrame, features: list[str]):
+    """Scorer of a logistic regression fitted on all labeled rows."""
+    model = L.fit_classifier(lab, features, [], kind="lr")
+    return lambda d: L.predict_proba(model, d, features, [], keep=["is_fraud"])
 
 
 def q_permutation_importance(spark, sf):
     lab = V.tx(spark, sf).where(F.col("has_label") & F.col("is_fraud").isNotNull()).select("id", "amount", "p",
                                                                                            "is_fraud")
-    return rounded(SE.permutation_importance(_toy_scorer, lab, ["amount", "p"], n_repeats=2))
+    return rounded(SE.permutation_importance(_fitted_scorer(lab, ["amount", "p"]), lab, ["amount", "p"]))
 
 
 def q_select_features(spark, sf):
     t = ml_frame(spark, sf)
     feats = [c for c in FEATURES if c not in CATS] + ["p"]
-    return SE.run_all_filters(t, feats)
+    lab = L.labeled(t).select("id", *feats, "is_fraud").persist()
+    return SE.run_all_filters(lab, feats, scored_fn=_fitted_scorer(lab, feats), n_repeats=1)
+
+
+def q_top_transactions(spark, sf):
+    return rounded(top_transactions(V.tx(spark, sf), 20).select("id", "amount"))
+
+
+def q_predictions_preview(spark, sf):
+    return rounded(predictions_preview(V.scored(spark, sf), 20))
 
 
 def q_benchmark(spark, sf):
     tr, va, _ = _parts(spark, sf)
-    return rounded(L.run_benchmark(tr, va, FEATURES, CATS, kinds=("gbt", "rf"), params=FAST))
+    return rounded(L.run_benchmark(tr, va, FEATURES, CATS, kinds=("gbt", "gbt_te", "rf"), params=FAST))
 
 
 def q_tune(spark, sf):
     tr, va, _ = _parts(spark, sf)
-    return rounded(L.run_tuning(tr, va, FEATURES, CATS, n_trials=2,
+    return rounded(L.run_tuning(tr, va, FEATURES, CATS, n_trials=5,
                                 space={"max_depth": (2, 4, "int"), "step_size": (0.05, 0.3, "log"),
                                        "max_iter": (5, 15, "int")}))
 
@@ -195,6 +210,7 @@ def q_score_batch(spark, sf):
 
 
 QUERIES = {
+    "top_transactions": q_top_transactions, "predictions_preview": q_predictions_preview,
     "train_gbt": _train_query("gbt"), "train_gbt_te": _train_query("gbt_te"), "train_rf": _train_query("rf"),
     "class_weights": q_class_weights, "calibrate_isotonic": q_calibrate_isotonic,
     "calibrate_platt": q_calibrate_platt, "calibrated_clip": q_calibrated_clip, "shap_linear": q_shap_linear,

@@ -24,12 +24,12 @@ def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def load_transactions(spark: SparkSession, path: str, nrows: int | None = None,
                       parse_dates: bool = True) -> DataFrame:
-    """Transactions CSV; ``date`` parsed (bad -> NULL); optional first N rows."""
+    """Transactions CSV; ``date`` parsed (bad -> NULL); optional first N rows by id."""
     df = _csv(spark, path, TRANSACTIONS_SCHEMA)
     if parse_dates:
         df = df.withColumn("date", F.try_to_timestamp(F.col("date")))
     if nrows is not None:
-        df = df.limit(nrows)
+        df = df.orderBy("id").limit(nrows)
     return df
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_PER_FILE = 5_000_000
+
+
 def read_gold(spark: SparkSession, path: str, labeled_only: bool = False) -> DataFrame:
     """Parquet scan; ``labeled_only`` becomes a pushed-down filter."""
     df = spark.read.parquet(path)
@@ -16,10 +19,12 @@ def read_gold(spark: SparkSession, path: str, labeled_only: bool = False) -> Dat
 def write_gold(df: DataFrame, path: str, date_col: str = "date", id_col: str = "id",
                n_files: int | None = None, mode: str = "overwrite") -> None:
     """Date-ordered Parquet: range partitions on date, each sorted by (date, id),
-    so readers prune row groups on date."""
-    n = n_files or df.sparkSession.sparkContext.defaultParallelism
-    df.repartitionByRange(n, date_col, id_col).sortWithinPartitions(date_col, id_col) \
-        .write.mode(mode).parquet(path)
+    so readers prune row groups on date.  Without ``n_files`` the number of
+    files follows the data: adaptive execution merges small partitions, and a
+    file ends after ROWS_PER_FILE rows."""
+    cols = [date_col, id_col]
+    ranged = df.repartitionByRange(n_files, *cols) if n_files else df.repartitionByRange(*cols)
+    ranged.sortWithinPartitions(*cols).write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
 
 
 def write_predictions_csv(df: DataFrame, path: str, top_k: int = 3, mode: str = "overwrite") -> None:
@@ -34,13 +39,17 @@ def write_metrics(metrics_long: DataFrame, path: str, mode: str = "append") -> N
 
 
 def staged_publish(df: DataFrame, staging: str, target: str, expected_rows: int | None = None) -> int:
-    """Write to a staging folder, validate the row count there, then
-    publish to the target with an overwrite (the old target stays intact
-    until the validated data is complete)."""
+    """Write to a staging folder, validate the row count there, keep the old
+    target as ``<target>.backup``, then publish with an overwrite."""
     df.write.mode("overwrite").parquet(staging)
     staged = df.sparkSession.read.parquet(staging)
     n = staged.count()
     if expected_rows is not None and n != expected_rows:
         raise ValueError(f"staged rows {n} != expected {expected_rows}; target left untouched")
+    jvm = df.sparkSession.sparkContext._jvm
+    old = jvm.org.apache.hadoop.fs.Path(target)
+    fs = old.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        df.sparkSession.read.parquet(target).write.mode("overwrite").parquet(target.rstrip("/") + ".backup")
     staged.write.mode("overwrite").parquet(target)
     return n

@@ -70,3 +70,21 @@ def test_verify_saved_model_one_row(spark):
     again = PipelineModel.load(path)
     one = L.predict_proba(again, df.limit(1), ["x", "c"], ["c"], keep=["id"]).first()
     assert 0.0 <= one.proba <= 1.0
+
+
+def test_shuffle_column_ignores_partitions(spark):
+    from riskloom.operators.select import shuffle_column
+    df = spark.range(500).selectExpr("id", "id * 3 AS v", "id % 7 AS w")
+    one = {r.id: r.v for r in shuffle_column(df.repartition(1), "v", 5).collect()}
+    many = {r.id: r.v for r in shuffle_column(df.repartition(13), "v", 5).collect()}
+    assert one == many and sorted(one.values()) == [3 * k for k in range(500)]
+    assert one != {k: 3 * k for k in range(500)}
+
+
+def test_trees_take_more_categories_than_bins(spark):
+    from riskloom.operators import learn as L
+    rows = [(i, float(i % 13), f"c{i % 109}", float(i % 109 < 20)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, x double, cat string, is_fraud double")
+    for kind in ("gbt", "rf"):
+        m = L.fit_classifier(df, ["x", "cat"], ["cat"], kind=kind, params=L.TreeParams(max_iter=2, max_depth=2))
+        assert L.predict_proba(m, df, ["x", "cat"], ["cat"], keep=["id"]).count() == 1500

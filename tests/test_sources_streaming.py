@@ -67,3 +67,17 @@ def test_alert_counts_stream(spark):
     q.stop()
     total = spark.table("alerts_out").agg(F.sum("n")).first()[0]
     assert total == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_publish_keeps_a_backup_and_splits_keep_all_rows(spark, tmp_path):
+    from riskloom.config import SplitBoundaries
+    from riskloom.operators.splits import save_splits
+    from riskloom.sources.sinks import staged_publish
+    target = f"{tmp_path}/t"
+    staged_publish(spark.range(3), f"{tmp_path}/s", target)
+    staged_publish(spark.range(5), f"{tmp_path}/s", target, expected_rows=5)
+    assert spark.read.parquet(target).count() == 5 and spark.read.parquet(target + ".backup").count() == 3
+    df = spark.sql("SELECT id, timestamp'2024-01-18' + make_dt_interval(id) AS date FROM range(10)")
+    b = SplitBoundaries(train_end="2024-01-20", val_end="2024-01-23", test_start="2024-01-25")
+    out = spark.read.parquet(save_splits(df, f"{tmp_path}/splits", b))
+    assert out.count() == 10 and out.where("split = 'unassigned'").count() == 1
