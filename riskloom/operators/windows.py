@@ -5,20 +5,21 @@ same entity that comes earlier in (date, id) order and has date >= date_i - w.
 Earlier rows with an *equal* timestamp count ("row_order" ties); ``ties=
 "strict"`` keeps only rows with date < date_i.
 
-Spark plan, per entity:
-
-* a RANGE frame ``rangeBetween(-w, -1)`` on epoch microseconds gives the
-  strictly earlier rows, and a ROWS frame over ``(entity, instant)`` ordered
-  by id gives the earlier rows of the same instant; both are merged
-  (count/sum add, max via greatest, distinct via array_union);
-* all frames share one partitioning and order, so the whole feature block is
-  one Exchange + one Window operator;
-* hot entities: partitions are (entity, time bucket) where a bucket spans
-  ``bucket_factor`` x the longest window.  Rows within one window length of a
-  bucket's end are also sent to the next bucket as read-only context, so
-  every target row still sees its complete past.  A key holding a third of
-  all rows is thus spread over all its buckets instead of one task, at a
-  cost of ~1/bucket_factor extra shuffled rows.
+Every frame is unbounded on one side, so a window costs a sort and one pass
+however many rows it holds:
+
+* count and distinct counts are running sums over an event sweep: a row adds
+  at its instant and expires just after instant + w.  A row of a value still
+  live adds nothing, and a row expires silently when the value came again;
+* sum, mean, max and moments need no subtraction: time is cut into blocks of
+  length w, and the past of a row is the prefix of its own block plus the
+  suffix of the block before.  The suffix is carried on the sweep by the last
+  expired row; without one in that block it is the whole block;
+* partitions are (entity, time bucket), a bucket spans ``bucket_factor`` x the
+  longest window, and rows within one window of a bucket's end go to the next
+  bucket as context too.  All sorts reuse that one Exchange;
+* rows without entity or instant have constant features; they are dealt by
+  id, so they meet in no task.
 """
 
 from __future__ import annotations
@@ -40,16 +41,119 @@ def _resolve_attr(df: DataFrame, spec: str | None, candidates: tuple[str, ...])
     return spec
 
 
-def _halo_buckets(df: DataFrame, us: str, w_max_us: int, factor: int) -> DataFrame:
-    """Explode each row into its own bucket (target) and, when it lies within
-    w_max of the bucket end, the next bucket (context)."""
-    span = max(1, factor) * w_max_us
-    b = F.floor(F.col(us) / F.lit(span)).cast("long")
-    near_end = F.col(us) >= (b + 1) * F.lit(span) - F.lit(w_max_us)
-    arr = F.when(near_end, F.array(b, b + 1)).otherwise(F.array(b))
-    return (df.withColumn("__b0", b)
-              .withColumn("__b", F.explode(arr))
-              .withColumn("__tgt", F.col("__b").eqNullSafe(F.col("__b0"))))
+_DEAD_GROUPS = 1 << 16  # rows without entity or instant are dealt over so many groups
+
+
+def _stats(x: Column, over, moments: bool) -> Column:
+    """Aggregates of one frame; every frame used here is unbounded on one side."""
+    none = F.lit(None).cast("double")
+    return F.struct(F.count(x).over(over).alias("n"), F.sum(x).over(over).alias("s"), F.max(x).over(over).alias("x"),
+                    (F.avg(x).over(over) if moments else none).alias("m"),
+                    (F.var_samp(x).over(over) if moments else none).alias("v"))
+
+
+def _stage(df: DataFrame, span: int, w_max: int) -> DataFrame:
+    """One row per (row, bucket): its own bucket (target) and, within w_max of
+    the bucket's end, the next one (context, without the payload)."""
+    live = F.col("__e").isNotNull() & F.col("__us").isNotNull()
+    b = F.floor(F.col("__us") / F.lit(span)).cast("long")
+    own = F.when(live, b).otherwise(F.pmod(F.xxhash64("__id"), F.lit(_DEAD_GROUPS)))
+    both = live & (F.col("__us") + F.lit(w_max) >= (b + 1) * F.lit(span))
+    out = df.withColumn("__live", live).withColumn("__b0", own) \
+        .withColumn("__b", F.explode(F.when(both, F.array("__b0", F.col("__b0") + 1)).otherwise(F.array("__b0")))) \
+        .withColumn("__tgt", F.col("__b") == F.col("__b0"))
+    # the one shuffle: every later window partitions by these two columns and more
+    return out.withColumn("__row", F.when(F.col("__tgt"), F.col("__row"))).drop("__b0").repartition("__e", "__b")
+
+
+def _block_parts(s: DataFrame, lens: list[int], span: int, z_us: int | None, strict: bool, recency: bool) -> DataFrame:
+    """Per window length: eligibility for this bucket, block number, prefix
+    before the row, suffix after it, and the whole block before (if any)."""
+    us = F.col("__us")
+    s = s.withColumns({f"__el{k}": F.col("__live") & (us + F.lit(w) >= F.col("__b") * F.lit(span))
+                       for k, w in enumerate(lens)}
+                      | {f"__k{k}": F.floor(us / F.lit(w)).cast("long") for k, w in enumerate(lens)})
+    parts = {}
+    for k, w_us in enumerate(lens):
+        x = F.when(F.col(f"__el{k}"), F.col("__a"))
+        block = Window.partitionBy("__e", "__b", f"__k{k}")
+        asc = block.orderBy("__us", "__id")
+        before = block.orderBy("__us").rangeBetween(Window.unboundedPreceding, -1) if strict \
+            else asc.rowsBetween(Window.unboundedPreceding, -1)
+        after = block.orderBy(F.desc("__us"), F.desc("__id")).rowsBetween(Window.unboundedPreceding, -1)
+        mom = w_us == z_us
+        parts |= {f"__p{k}": _stats(x, before, mom), f"__s{k}": _stats(x, after, mom),
+                  f"__i{k}": _stats(x, asc.rowsBetween(Window.unboundedPreceding, 0), mom)}
+    s = s.withColumns(parts)
+    whole = Window.partitionBy("__e", "__b").orderBy("__us", "__id")
+    lags = {f"__l{k}": F.lag(F.struct(F.col(f"__k{k}").alias("k"), F.col(f"__i{k}").alias("i"))).over(whole)
+            for k in range(len(lens))}
+    if recency:
+        lags["__lag_us"] = F.lag("__us").over(whole)
+    s = s.withColumns(lags)
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    # the first row of a block sees the last row, and so the total, of the block before; the others take it over
+    s = s.withColumns({f"__t{k}": F.last(F.when(F.col(f"__l{k}.k") != F.col(f"__k{k}"), F.col(f"__l{k}")),
+                                         ignorenulls=True).over(upto) for k in range(len(lens))})
+    return s.drop(*[f"__{c}{k}" for c in "li" for k in range(len(lens))])
+
+
+def _sweep(s: DataFrame, lens: list[int], span: int, attrs: list[str], strict: bool, recency: bool) -> DataFrame:
+    """Event sweep per (entity, bucket): per window length the live count, live
+    distinct counts and the last expired row with the suffix after it."""
+    us, start = F.col("__us"), F.col("__b") * F.lit(span)
+    ks = range(len(lens))
+    seen = {}
+    for c in attrs:
+        same = Window.partitionBy("__e", "__b", c).orderBy("__us", "__id")
+        seen |= {f"{c}_prev": F.lag("__us").over(same), f"{c}_next": F.lead("__us").over(same)}
+    s = s.withColumns(seen) if seen else s
+
+    def adds(c: str, w: int) -> Column:  # no row of this value is live any more
+        prev = F.col(f"{c}_prev")
+        return F.col(c).isNotNull() & (prev.isNull() | (prev + F.lit(w) < F.greatest(us, start)))
+
+    def ends(c: str, w: int) -> Column:  # the value does not come again while the row is live
+        nxt = F.col(f"{c}_next")
+        return F.col(c).isNotNull() & (nxt.isNull() | (nxt > us + F.lit(w)))
+
+    # one array of events per row: k = -1 the row itself with what each window gains, else the expiry of window k
+    gain = F.struct(*[F.struct(F.col(f"__el{k}").cast("long").alias("n"),
+                               *[(F.col(f"__el{k}") & adds(c, w)).cast("long").alias(c) for c in attrs]).alias(f"w{k}")
+                      for k, w in enumerate(lens)])
+    keeps = ["__us", "__a", "__live", "__row"] + (["__lag_us"] if recency else []) \
+        + [f"__{c}{k}" for k in ks for c in "kpt"]
+    own = F.when(F.col("__tgt"), F.struct(*keeps))
+    loss = [F.struct((us + F.lit(w)).alias("t"), F.lit(k).alias("k"),
+                     F.struct(F.lit(-1).cast("long").alias("n"), *[(-ends(c, w).cast("long")).alias(c) for c in attrs]).alias("d"),
+                     F.struct(us.alias("u"), F.col("__id").alias("i"), F.col(f"__k{k}").alias("k"),
+                              F.col(f"__s{k}").alias("s")).alias("x")) for k, w in enumerate(lens)]
+    end = start + F.lit(span)
+    expiries = F.array(*[F.when(F.col(f"__el{k}") & (us + F.lit(w) < end), loss[k]) for k, w in enumerate(lens)])
+    rows = s.select("__e", "__b", "__id", us.alias("__us"), gain.alias("__gain"), own.alias("__own"),
+                    expiries.alias("__exp"))
+    ev = rows.select("__e", "__b", "__id", "__us", "__gain", "__own", F.posexplode(
+        F.concat(F.array(F.lit(None).cast(rows.schema["__exp"].dataType.elementType)), "__exp")).alias("__pos", "__x"))
+    is_row = F.col("__pos") == 0
+    ev = ev.where(is_row | F.col("__x").isNotNull()).select(
+        "__e", "__b", "__id", F.when(is_row, F.col("__us")).otherwise(F.col("__x.t")).alias("__t"),
+        F.when(is_row, 0).otherwise(1).alias("__kind"), F.when(is_row, F.col("__gain")).alias("__gain"),
+        F.when(is_row, F.col("__own")).alias("__own"), "__x")
+    part = Window.partitionBy("__e", "__b")
+    past = part.orderBy((F.col("__t") * 2 + F.col("__kind"))).rangeBetween(Window.unboundedPreceding, -1) if strict \
+        else part.orderBy("__t", "__kind", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    new = {}
+    for k in ks:
+        gone = F.col("__x.k") == k
+        for c, name in [("n", "__cnt"), *[(c, f"{c}_n") for c in attrs]]:
+            step = F.when(gone, F.col("__x.d")[c]).otherwise(F.col(f"__gain.w{k}")[c])
+            new[f"{name}{k}"] = F.coalesce(F.sum(step).over(past), F.lit(0))
+        new[f"__x{k}"] = F.max(F.when(gone, F.col("__x.x"))).over(past)
+    ev = ev.withColumns(new).where(F.col("__own").isNotNull()) \
+        .select("__b", "__own.*", *new)
+    # the part of the past in the block before: after the last expired row, or the whole block
+    return ev.withColumns({f"__o{k}": F.when(F.col(f"__x{k}.k") == F.col(f"__k{k}") - 1, F.col(f"__x{k}.s"))
+                           .when(F.col(f"__t{k}.k") == F.col(f"__k{k}") - 1, F.col(f"__t{k}.i")) for k in ks})
 
 
 def add_velocity(
@@ -64,132 +168,85 @@ def add_velocity(
     mcc_col: str | None = "auto",
     windows: dict[str, int | str] | None = None,
     ties: str = "row_order",
-    bucket_factor: int = 4,
+    bucket_factor: int = 1,
     z_window: str | None = None,
     z_eps: float = Z_EPS,
     recency: bool = False,
+    history: DataFrame | None = None,
 ) -> DataFrame:
-    """W1-W7 (+ W10 z-score, + W8 recency) for one entity in one Window pass.
+    """W1-W7 (+ W10 z-score, + W8 recency) for one entity after one Exchange.
 
     Adds ``{prefix}_tx_count_{w}``, ``{prefix}_amount_sum_{w}``,
     ``{prefix}_amount_mean_{w}``, ``{prefix}_amount_max_{w}``,
     ``{prefix}_unique_merchants_{w}``, ``{prefix}_unique_mcc_{w}`` per window;
     ``z_score_amount`` when ``z_window`` is set; ``time_since_last_tx_{prefix}``
-    when ``recency``.
-    Empty past: count 0, sum 0, mean/max NULL, unique 0, z NULL.
+    when ``recency``.  ``history`` has the same rows as ``df`` by a shorter plan
+    (``df`` before features were added); recency reads earlier buckets from it.
+    Empty past: count 0, sum 0, mean/max NULL, unique 0, z NULL.  Rows without
+    entity or instant: the same.
     """
     if ties not in ("row_order", "strict"):
         raise ValueError("ties must be 'row_order' or 'strict'")
     wins = {k: parse_window(v) * US_PER_S for k, v in (windows or DEFAULT_WINDOWS).items()}
     z_us = parse_window(z_window) * US_PER_S if z_window else None
-    w_max = max(list(wins.values()) + ([z_us] if z_us else []))
+    lens = sorted(set(wins.values()) | ({z_us} if z_us else set()))
+    span = max(1, bucket_factor) * lens[-1]
+    strict = ties == "strict"
     merch = _resolve_attr(df, merchant_col, ("merchant_id",))
     mcc = _resolve_attr(df, mcc_col, ("mcc_str", "mcc"))
-    use_ties = ties == "row_order"
+    attrs = {"__m": (merch, "unique_merchants"), "__c": (mcc, "unique_mcc")}
+    attrs = {k: v for k, v in attrs.items() if v[0]}
 
     cols = df.columns
-    staged = _halo_buckets(df.withColumn("__us", epoch_us(date_col)), "__us", w_max, bucket_factor)
-
-    e, amt = F.col(entity_col), F.col(amount_col)
-    part = [entity_col, "__b"]
-    w_tie = Window.partitionBy(*part, "__us").orderBy(id_col) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-
-    def rng(w_us: int):
-        return Window.partitionBy(*part).orderBy("__us").rangeBetween(-w_us, -1)
-
-    empty_entity = e.isNull() | F.col("__us").isNull()
-    zero_l = F.lit(0).cast("long")
-
-    def merged_count(c_r: Column, c_t: Column | None) -> Column:
-        return c_r + c_t if c_t is not None else c_r
-
-    tie = {}
-    if use_ties:
-        tie["cnt"] = F.count(F.lit(1)).over(w_tie)
-        tie["n"] = F.count(amt).over(w_tie)
-        tie["sum"] = F.sum(amt).over(w_tie)
-        tie["max"] = F.max(amt).over(w_tie)
-        if merch:
-            tie["m"] = F.collect_set(merch).over(w_tie)
-        if mcc:
-            tie["c"] = F.collect_set(mcc).over(w_tie)
-
+    base = df.select(F.struct(*[F.col(c) for c in cols]).alias("__row"), epoch_us(date_col).alias("__us"),
+                     F.col(entity_col).alias("__e"), F.col(id_col).alias("__id"),
+                     F.col(amount_col).cast("double").alias("__a"),
+                     *[F.col(v[0]).alias(k) for k, v in attrs.items()])
+    s = _block_parts(_stage(base, span, lens[-1]), lens, span, z_us, strict, recency)
+    s = _sweep(s, lens, span, list(attrs), strict, recency)
+
+    live = F.col("__live")
     out = []
     for label, w_us in wins.items():
-        w = rng(w_us)
-        cnt = merged_count(F.count(F.lit(1)).over(w), tie.get("cnt"))
-        n = merged_count(F.count(amt).over(w), tie.get("n"))
-        s = F.coalesce(F.sum(amt).over(w), F.lit(0.0))
-        if use_ties:
-            s = s + F.coalesce(tie["sum"], F.lit(0.0))
-        mx = F.max(amt).over(w)
-        if use_ties:
-            mx = F.greatest(mx, tie["max"])
-        out += [
-            F.when(empty_entity, zero_l).otherwise(cnt).alias(f"{prefix}_tx_count_{label}"),
-            F.when(empty_entity, F.lit(0.0)).otherwise(s).alias(f"{prefix}_amount_sum_{label}"),
-            F.when(empty_entity | (n == 0), F.lit(None).cast("double"))
-             .otherwise(s / n).alias(f"{prefix}_amount_mean_{label}"),
-            F.when(empty_entity, F.lit(None).cast("double")).otherwise(mx)
-             .alias(f"{prefix}_amount_max_{label}"),
-        ]
-        for attr, key, name in ((merch, "m", "unique_merchants"), (mcc, "c", "unique_mcc")):
-            if not attr:
-                continue
-            st = F.collect_set(attr).over(w)
-            if use_ties:
-                st = F.array_union(st, tie[key])
-            out.append(F.when(empty_entity, zero_l).otherwise(F.size(st).cast("long"))
-                       .alias(f"{prefix}_{name}_{label}"))
-
+        k = lens.index(w_us)
+        p, o = F.col(f"__p{k}"), F.col(f"__o{k}")
+        n = F.coalesce(p["n"], F.lit(0)) + F.coalesce(o["n"], F.lit(0))
+        total = F.coalesce(p["s"], F.lit(0.0)) + F.coalesce(o["s"], F.lit(0.0))
+        out += [F.when(live, F.col(f"__cnt{k}")).otherwise(F.lit(0).cast("long")).alias(f"{prefix}_tx_count_{label}"),
+                F.when(live, total).otherwise(F.lit(0.0)).alias(f"{prefix}_amount_sum_{label}"),
+                F.when(live & (n > 0), total / n).alias(f"{prefix}_amount_mean_{label}"),
+                F.when(live, F.greatest(p["x"], o["x"])).alias(f"{prefix}_amount_max_{label}")]
+        out += [F.when(live, F.col(f"{c}_n{k}")).otherwise(F.lit(0).cast("long")).alias(f"{prefix}_{name}_{label}")
+                for c, (_, name) in attrs.items()]
     if z_us:
-        out.append(_z_score(amt, rng(z_us), w_tie if use_ties else None, z_eps, empty_entity)
-                   .alias("z_score_amount"))
-
-    extra = []
-    if recency:
-        w_lag = Window.partitionBy(*part).orderBy("__us", id_col)
-        extra = [F.lag("__us").over(w_lag).alias("__lag_us")]
-
-    res = staged.select(*[F.col(c) for c in cols], "__us", "__b", "__tgt", *out, *extra) \
-        .where(F.col("__tgt"))
-    if recency:
-        res = _finish_recency(res, df, entity_col, prefix, bucket_factor, w_max, date_col)
-    return res.drop("__us", "__b", "__tgt")
-
-
-def _z_score(amt: Column, w_r, w_t, eps: float, empty: Column) -> Column:
-    """(a - mean) / (std + eps) over the past frame; std ddof=1, 0 with one
-    past value, NULL with none.  Frame moments are merged exactly with the
+        k = lens.index(z_us)
+        out.append(F.when(live, _z_score(F.col("__a"), F.col(f"__p{k}"), F.col(f"__o{k}"), z_eps)).alias("z_score_amount"))
+    payload = [F.col("__row")[c].alias(c) for c in cols]
+    if not recency:
+        return s.select(*payload, *out)
+    res = s.select(*payload, "__us", "__b", *out, "__lag_us")
+    return _finish_recency(res, df if history is None else history, entity_col, prefix, span, date_col).drop("__us", "__b")
+
+
+def _z_score(amt: Column, p: Column, o: Column, eps: float) -> Column:
+    """(a - mean) / (std + eps) over the past; std ddof=1, 0 with one past
+    value, NULL with none.  The moments of both parts are merged with the
     parallel-variance formula (no sum-of-squares cancellation)."""
-    n1 = F.count(amt).over(w_r)
-    m1 = F.avg(amt).over(w_r)
-    v1 = F.var_samp(amt).over(w_r)
-    if w_t is None:
-        n, mean = n1, m1
-        m2 = F.coalesce(v1 * (n1 - 1), F.lit(0.0))
-    else:
-        n2 = F.count(amt).over(w_t)
-        mt = F.avg(amt).over(w_t)
-        v2 = F.var_samp(amt).over(w_t)
-        n = n1 + n2
-        a1 = F.coalesce(m1, F.lit(0.0))
-        a2 = F.coalesce(mt, F.lit(0.0))
-        mean = (a1 * n1 + a2 * n2) / n
-        delta = a2 - a1
-        m2 = (F.coalesce(v1 * (n1 - 1), F.lit(0.0)) + F.coalesce(v2 * (n2 - 1), F.lit(0.0))
-              + delta * delta * n1 * n2 / n)
-    std = F.when(n >= 2, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1))).otherwise(F.lit(0.0))
-    return F.when(empty | (n == 0), F.lit(None).cast("double")).otherwise((amt - mean) / (std + F.lit(eps)))
+    n1, n2 = F.coalesce(p["n"], F.lit(0)), F.coalesce(o["n"], F.lit(0))
+    m1, m2 = F.coalesce(p["m"], F.lit(0.0)), F.coalesce(o["m"], F.lit(0.0))
+    q1, q2 = F.coalesce(p["v"] * (n1 - 1), F.lit(0.0)), F.coalesce(o["v"] * (n2 - 1), F.lit(0.0))
+    n = n1 + n2
+    mean = F.try_divide(m1 * n1 + m2 * n2, n)
+    sq = q1 + q2 + (m2 - m1) * (m2 - m1) * F.try_divide((n1 * n2).cast("double"), n)
+    std = F.when(n >= 2, F.sqrt(F.greatest(F.try_divide(sq, n - 1), F.lit(0.0)))).otherwise(F.lit(0.0))
+    return F.when(n > 0, (amt - mean) / (std + F.lit(eps)))
 
 
 def _finish_recency(res: DataFrame, src: DataFrame, entity_col: str, prefix: str,
-                    factor: int, w_max: int, date_col: str = "date") -> DataFrame:
+                    span: int, date_col: str = "date") -> DataFrame:
     """Rows whose previous row lies before the halo (older than the bucket's
     context) take the latest instant of all earlier buckets of the entity,
     from a small (entity, bucket) -> max(us) table."""
-    span = max(1, factor) * w_max
     per_bucket = (src.select(F.col(entity_col).alias("__re"),
                              F.floor(epoch_us(date_col) / F.lit(span)).cast("long").alias("__rb"),
                              epoch_us(date_col).alias("__rus"))
@@ -281,7 +338,7 @@ def add_novelty(df: DataFrame, *, date_col: str = "date", id_col: str = "id",
 
 def add_z_score_amount(df: DataFrame, *, date_col: str = "date", amount_col: str = "amount",
                        entity_col: str = "client_id", window: str = "7d", eps: float = Z_EPS,
-                       id_col: str = "id", ties: str = "row_order", bucket_factor: int = 4) -> DataFrame:
+                       id_col: str = "id", ties: str = "row_order", bucket_factor: int = 1) -> DataFrame:
     """W10 alone: z-score of the amount against the entity's past window."""
     out = add_velocity(df, entity_col, "__z", date_col=date_col, amount_col=amount_col,
                        id_col=id_col, merchant_col=None, mcc_col=None, windows={"w": window},
@@ -304,18 +361,18 @@ def add_velocity_ratios(df: DataFrame, prefix: str, pairs=(("1h", "24h"), ("24h"
 
 def add_behavioral_features(df: DataFrame, *, date_col: str = "date", amount_col: str = "amount",
                             windows: dict | None = None, z_window: str = "7d", eps: float = Z_EPS,
-                            ties: str = "row_order", bucket_factor: int = 4) -> DataFrame:
+                            ties: str = "row_order", bucket_factor: int = 1) -> DataFrame:
     """Card and user velocity, recency, novelty and the user z-score.
 
-    Two entity passes (one Exchange + Window each, recency folded in), then
+    Two entity passes (one Exchange each, recency folded in), then
     one aggregation + id join for the novelty flags.
     """
     out = df
     if "card_id" in df.columns:
         out = add_velocity(out, "card_id", "card", date_col=date_col, amount_col=amount_col,
-                           windows=windows, ties=ties, bucket_factor=bucket_factor, recency=True)
+                           windows=windows, ties=ties, bucket_factor=bucket_factor, recency=True, history=df)
     if "client_id" in df.columns:
         out = add_velocity(out, "client_id", "user", date_col=date_col, amount_col=amount_col,
                            windows=windows, ties=ties, bucket_factor=bucket_factor,
-                           z_window=z_window, z_eps=eps, recency=True)
+                           z_window=z_window, z_eps=eps, recency=True, history=df)
     return add_novelty(out, date_col=date_col)

@@ -130,3 +130,20 @@ def test_risk_rate_brute_and_buckets(spark):
             assert out[q[0]] == pytest.approx((fr + 1.0) / (lab + 10.0))
             if q[8]:
                 acc[q[9]] = (lab + 1, fr + (q[7] or 0))
+
+
+def test_no_sliding_frame_and_null_entities(spark):
+    rows = [r if r[0] % 3 else r[:2] + (None,) + r[3:] for r in make_rows(300, seed=21)]
+    rows += [(20_000 + i, None, 1, 1, 5.0, 1, "a", 0, True, "Visa") for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    q = windows.add_velocity(df, "card_id", "card", windows={"10m": 600, "1h": 3600})
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "-600000000" not in plan and "collect_set" not in plan
+    out = {r.id: r for r in q.collect()}
+    assert len(out) == len(rows)
+    live = [r for r in rows if r[2] is not None and r[1] is not None]
+    exp = brute(live, 2, 3600)
+    for r in rows:
+        o = out[r[0]]
+        got = (o.card_tx_count_1h, o.card_amount_max_1h, o.card_unique_merchants_1h)
+        assert got == ((exp[r[0]][0], exp[r[0]][3], exp[r[0]][4]) if r[0] in exp else (0, None, 0))
