@@ -17,7 +17,11 @@ corpus without any, is still scored.  At most TRAIN_PAGES labelled pages
 
 Inside the region, boilerplate containers (menus, headers and footers outside
 the article, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) are left out.  Blocks end at block elements; <br> is white space.
+comments) are left out.  Layout words count as whole class tokens (``sidebar``,
+``site-footer``; not ``has-sidebar``).  A content mark ends the boilerplate around
+it, and a container that holds a mark, or most of the words of a page (or of the
+mark around it) with no marked text elsewhere, is no boilerplate; boilerplate
+opened inside a mark stays out.  Blocks end at block elements; <br> is white space.
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined by one line feed.
 
@@ -56,13 +60,18 @@ NAMES = frozenset("ad ads adv advert adverts advertisement banner sponsor sponso
                   "breadcrumbs sidebar side aside widget footer foot header masthead notice cookie cookies consent gdpr alert popup modal "
                   "overlay comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe "
                   "subscription signup login search tags pagination pager toolbar".split())
+#: Words that may stand beside them in a compound token, as in site-footer or comment-list.
+PARTS = frozenset("area bar block body bottom box button buttons column container form icons inner item items link links list main media "
+                  "posts primary secondary section site top wrap wrapper".split())
+HEADS = frozenset("header head masthead".split())
+COMMENTS = frozenset("comment comments respond reply replies disqus".split())
 _CONTENT = frozenset(("article", "main"))
 _CLOSES_P = BLOCK - {"body", "html", "head", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "title", "legend"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
                     r"|<[!?/][^>]*>|<(?:[a-zA-Z/!?][^>]*)\Z", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]+")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -89,8 +98,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
-def _named(attributes: str) -> bool:
-    return any(not NAMES.isdisjoint(_NAME.findall((a or b or c).lower())) for a, b, c in _ATTR.findall(attributes))
+def _named(attributes: str) -> frozenset[str]:
+    """The layout words of whole class, id, role and itemprop tokens."""
+    found: set[str] = set()
+    for a, b, c in _ATTR.findall(attributes):
+        for token in (a or b or c).lower().split():
+            parts = {x for x in _PART.split(token) if x and not x[0].isdigit()}
+            if parts <= NAMES | PARTS:
+                found |= parts & NAMES
+    return frozenset(found)
 
 
 class Page:
@@ -106,7 +122,11 @@ class Page:
         self.inside: list[bool] = []
         self.kept: list[bool] = []
         self.text: list[str] = []
-        stack: list[tuple[str, str, bool]] = []     # element, its boilerplate class or "", whether it is a content mark
+        # Of each element: parent, own boilerplate class or "", whether it is a content mark, the mark around it (0: none),
+        # whether it holds reader comments, its words outside of links.
+        self._up, self._own, self._mark, self._within, self._talk, self._words = [0], [""], [False], [0], [False], [0]
+        self._at: list[int] = []                        # element of each event
+        stack: list[tuple[str, int, bool, bool]] = []   # name, element, whether hidden, whether in a link
         block = 0
         for kind, name, rest in tokens(page):
             if kind == "text":
@@ -122,21 +142,35 @@ class Page:
                     self._close("p", stack, {"button", "table", "td"})
                 elif name in ("li", "td", "th", "tr", "option", "dt", "dd"):
                     self._close(name, stack, {"ul", "ol", "table", "select", "dl"})
-                marked = name in _CONTENT or "articlebody" in rest.lower()
-                if name in NOT_TEXT:
-                    group = "hidden"
-                elif marked:
-                    group = ""
-                elif name in BOILERPLATE or name == "header" and not any(s[2] for s in stack):
-                    group = name
-                else:
-                    group = "named" if rest and name not in ("body", "html") and _named(rest) else ""
-                self._tag(name if name in BLOCK else "inline", stack)
+                self._tag(name, stack)
                 if name not in VOID and not rest.rstrip().endswith("/"):
-                    stack.append((name, group, marked))
+                    self._open(name, rest, stack)
             else:
                 self._close(name, stack, set())
-                self._tag(name if name in BLOCK else "inline", stack)
+                self._tag(name, stack)
+        self._resolve()
+
+    def _open(self, name: str, rest: str, stack: list) -> None:
+        up = stack[-1][1] if stack else 0
+        within = up if self._mark[up] else self._within[up]
+        names = _named(rest) if rest and name not in ("body", "html") else frozenset()
+        if within:
+            names -= HEADS
+        body = "articlebody" in rest.lower()
+        talk = bool(names) and names <= COMMENTS
+        marked = body or name in _CONTENT and not (name == "article" and talk)
+        if name in NOT_TEXT:
+            group = "hidden"
+        elif marked:
+            group = ""
+        elif name in BOILERPLATE or name == "header" and not within:
+            group = name
+        else:
+            group = "named" if names else ""
+        stack.append((name, len(self._up), group == "hidden" or bool(stack) and stack[-1][2], name == "a" or bool(stack) and stack[-1][3]))
+        for column, value in ((self._up, up), (self._own, group), (self._mark, marked), (self._within, within), (self._talk, talk),
+                              (self._words, 0)):
+            column.append(value)
 
     @staticmethod
     def _close(name: str, stack: list, limit: set) -> None:
@@ -148,24 +182,57 @@ class Page:
                 return
 
     def _tag(self, name: str, stack: list) -> None:
-        group = next((s[1] for s in reversed(stack) if s[1]), "")
-        self.events.append((f"<{group}:{name}>" if group else f"<{name}>", 0, -1))
-        self.inside.append(any(s[2] for s in stack))
-        self.kept.append(False)
+        at = stack[-1][1] if stack else 0
+        if name == "header" and (self._mark[at] or self._within[at]):
+            name = "div"                                # the heading of the content, not of the site
+        self.events.append((name if name in BLOCK else "inline", 0, -1))
         self.text.append("")
+        self._at.append(at)
 
     def _run(self, raw: str, stack: list, block: int) -> None:
         self._add(entities.unescape(raw), stack, block)
 
     def _add(self, text: str, stack: list, block: int) -> None:
-        group = next((s[1] for s in reversed(stack) if s[1]), "")
-        if group == "hidden":
+        _, at, hidden, link = stack[-1] if stack else ("", 0, False, False)
+        if hidden:
             return
-        element = group or next((s[0] for s in reversed(stack) if s[0] in BLOCK or s[0] == "a"), "none")
-        self.events.append((element, len(text.split()), block))
-        self.inside.append(any(s[2] for s in stack))
-        self.kept.append(not group)
+        words = len(text.split())
+        if not link:
+            self._words[at] += words
+        self.events.append((next((s[0] for s in reversed(stack) if s[0] in BLOCK or s[0] == "a"), "none"), words, block))
         self.text.append(text)
+        self._at.append(at)
+
+    def _resolve(self) -> None:
+        """Decide what is boilerplate, now that the words and marks of every element are known."""
+        up, own, mark, within, words = self._up, self._own, self._mark, self._within, self._words
+        holds, marked = [False] * len(up), [0] * len(up)   # whether it holds a mark, words of it in marked content
+        for k in range(len(up) - 1, 0, -1):
+            if mark[k]:
+                marked[k] = words[k]
+            words[up[k]] += words[k]
+            marked[up[k]] += marked[k]
+            holds[up[k]] |= holds[k] or mark[k]
+        group = [""] * len(up)
+        for k in range(1, len(up)):
+            g = own[k]
+            if g == "hidden" or group[up[k]] == "hidden":
+                group[k] = "hidden"
+                continue
+            if g and within[k]:
+                if g == "form" and holds[k] or 2 * words[k] > words[within[k]] and not self._talk[k]:
+                    g = ""
+            elif g and (holds[k] or 2 * words[k] > words[0] and not marked[0]):
+                g = ""
+            group[k] = g or ("" if mark[k] and not within[k] else group[up[k]])
+        for k, (name, words_, block) in enumerate(self.events):
+            g = group[self._at[k]]
+            if block < 0:
+                self.events[k] = (f"<{g}:{name}>" if g else f"<{name}>", 0, -1)
+            elif g:
+                self.events[k] = (g, words_, block)
+            self.inside.append(bool(mark[self._at[k]] or within[self._at[k]]))
+            self.kept.append(block >= 0 and not g)
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
         """First event and end of the contiguous region with the largest sum (linear scan)."""

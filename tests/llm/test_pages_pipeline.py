@@ -40,6 +40,28 @@ def test_op10_blocks_entities_and_boilerplate(spark):
     assert o10.html_text(df.limit(0)).count() == 0
 
 
+def test_op10_layout_words_do_not_lose_the_article(spark):
+    long1, long2 = para(1, 40), para(2, 40)
+    art = f"<article><header class='entry-header'><h1>Big new title</h1></header><p>{long1}</p><p>{long2}</p></article>"
+    bare = f"<p>{long1}</p><p>{long2}</p>"
+    menu = "<nav><a href='/'>menu one</a></nav>"
+    bodies = {
+        "has-sidebar": f"<div class='page has-sidebar'>{menu}{art}<div class='sidebar'><p>side words here</p></div></div>",
+        "comments-open": f"{menu}<div class='post comments-open'>{bare}</div>",
+        "form": f"<form id='aspnetForm'>{menu}<div class='header'>site name</div>{art}<div class='site-footer'>imprint</div></form>",
+        "form no mark": f"<form id='aspnetForm'>{menu}{bare}</form>",
+        "one word": f"<div class='menu share'>{menu}{art}</div>",
+        "comments": f"{menu}{art[:-10]}<div class='comments'><article class='comment-body'><p>{para(3, 300)}</p></article></div></article>"
+                    f"<ol class='comment-list'><li class='comment'><article class='comment-body'><p>{para(4, 300)}</p></article></li></ol>",
+        "hidden": f"{menu}<template><main><p>{para(5, 50)}</p></main></template>{art}",
+    }
+    df = spark.createDataFrame([(1, k, f"<html><body>{b}</body></html>") for k, b in bodies.items()], "page_id long, url string, html string")
+    got = {r.url: r.text for r in o10.html_text(df).collect()}
+    title = f"Big new title\n{long1}\n{long2}"
+    want = {k: f"{long1}\n{long2}" if k in ("comments-open", "form no mark") else title for k in bodies}
+    assert got == want
+
+
 def test_op10_region_is_the_maximum(spark):
     import random
     rng = random.Random(4)
