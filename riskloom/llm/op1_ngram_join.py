@@ -75,9 +75,9 @@ def _sets(batch: pa.RecordBatch):
 
 
 def _scan(batches):
-    """Rows of (doc_id, n_shingles, set_id), and at the end the task's counters in slices."""
+    """Rows of (doc_id, text_id, n_shingles, set_id), and at the end the task's counters in slices."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()),
                         ("part", pa.int32()), ("blob", pa.binary())])
     any_rows, held, size = False, [], 0
 
@@ -96,13 +96,13 @@ def _scan(batches):
                 count()
                 size = 0
             m = j - i
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, m).cast(pa.int64()),
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, m).cast(pa.int64()), b.column("text_id").slice(i, m),
                                               pa.array(n.astype(np.int64)), pa.array(digest),
                                               pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
     count()
     if any_rows:
         for k, part in enumerate(np.split(counts, SLICES)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 4 + [
                 pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], schema=schema)
 
 
@@ -236,31 +236,39 @@ def _tokens(batches):
 
 
 def _marked(bitmap):
-    """Rows whose bit is set."""
+    """Rows whose bit is set; of the rows without doc_id a task gives one for each key."""
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
+        seen: set[int] = set()
         for b in batches:
             at = b.column("bit").to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            doc_id = b.column("doc_id")
+            if doc_id.null_count:
+                for r in np.flatnonzero(keep & doc_id.is_null().to_numpy(zero_copy_only=False)).tolist():
+                    key = b.column("key")[r].as_py()
+                    keep[r] = key not in seen
+                    seen.add(key)
+            yield b.filter(pa.array(keep))
     return run
 
 
 def _only(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``src`` whose doc_id is in ``ids``.
+    """Rows of ``src`` whose key (doc_id, text_id where that is null) is in ``ids``.
 
     A bitmap of 2^MARK_BITS bits (8 MB, whatever the input) drops most other
     rows before the exact semi join shuffles their texts; where so many ids are
     wanted that the bitmap fills up, the join alone decides.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MARK_BITS))
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << MARK_BITS))
     part = ids.select((bit + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     whole = bytearray(1 << (MARK_BITS - 3))
     for r in part.collect():
         whole[(r["k"] - 1) * 4096:r["k"] * 4096] = r["bits"]
     shared = src.sparkSession.sparkContext.broadcast(bytes(whole))
-    rows = src.withColumn("bit", bit)
-    return rows.mapInArrow(_marked(shared), rows.schema).drop("bit").join(ids, "doc_id", "left_semi")
+    rows = src.select("doc_id", "text", F.coalesce("doc_id", "text_id").alias("key")).withColumn("bit", bit)
+    return rows.mapInArrow(_marked(shared), rows.schema).select("key", "text").join(ids, "key", "left_semi")
 
 
 def _possible(x: str, y: str, first: bool = False):
@@ -288,10 +296,10 @@ def _enough(shared: str, nx: str, ny: str):
     return (F.greatest(nx, ny) >= 65535) | (F.col(shared) >= need)
 
 
-def _verify(pairs: DataFrame, src: DataFrame, first_doc: DataFrame, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
     """(a, b, d, linked) with the exact Jaccard distance d of each pair; only their sets are made again."""
     pairs = C.materialize(pairs.select("a", "b"), f"op1-{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(first_doc, "set_id").select("doc_id")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(row_of, "set_id").select("key")
     sets = C.materialize(_only(src, ids).mapInArrow(_tokens, "set_id long, tokens array<long>"), f"op1-{name}-sets")
     out = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a") \
         .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b") \
@@ -308,27 +316,37 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
      See the module docstring
     for the method and the defined cases.
     """
+    return _joined(docs, text_col, id_col).select("doc_id", "n_shingles", "component_id", "set_id")
+
+
+def _joined(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ngram_join with text_id (a hash of the text) and component (null without words)."""
     spark = docs.sparkSession
     C.prepare(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scan = C.materialize(src.mapInArrow(_scan, "doc_id long, n_shingles long, set_id long, part int, blob binary"), "op1-scan")
-    doc = scan.where("part is null").select("doc_id", "n_shingles", "set_id")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
+        .withColumn("text_id", _text_id("text"))
+    scan = C.materialize(src.mapInArrow(_scan, "doc_id long, text_id long, n_shingles long, set_id long, part int, blob binary"), "op1-scan")
+    doc = scan.where("part is null").select("doc_id", "text_id", "n_shingles", "set_id")
     found = links(spark, src, scan, doc)
     comp = C.connected_components(found, name="op1-cc")
     return with_components(doc, comp)
 
 
+def _text_id(text: str):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def with_components(doc: DataFrame, comp: DataFrame) -> DataFrame:
-    """component_id of every document: the smallest doc_id of its component of sets."""
+    """component and component_id of every document: the smallest doc_id of its component of sets."""
     sets = doc.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     sets = sets.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left") \
         .withColumn("component", F.coalesce("component", "set_id"))
     least = sets.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = sets.join(least, "component").select("set_id", "component_id")
+    of_set = sets.join(least, "component").select("set_id", "component", "component_id")
     return doc.join(of_set, "set_id", "left") \
-        .select("doc_id", "n_shingles",
+        .select("doc_id", "text_id", "n_shingles",
                 F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                "set_id")
+                "set_id", "component")
 
 
 def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame) -> DataFrame:
@@ -347,7 +365,7 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
     posted = src.mapInArrow(_post(shared_levels, n_buckets, hot_level), "bucket int, hot boolean, blob binary") \
         .repartition(n_buckets, "bucket")
     alive = C.materialize(posted.mapInArrow(_shared, "token long, set_id long, n int, pos int"), "op1-lists")
-    first_doc = doc.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    row_of = doc.groupBy("set_id").agg(F.coalesce(F.min("doc_id"), F.min("text_id")).alias("key"))
 
     # Answers by pivot: one candidate for each set, the pivot that it shares most prefix shingles with.
     entry = F.struct("pos", "n", "set_id")
@@ -358,9 +376,9 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
         .agg(F.count(F.lit(1)).alias("shared")).where(_enough("shared", "n", "m")) \
         .groupBy("set_id").agg(F.max(F.struct("shared", "pivot")).alias("best")) \
         .select(F.least("set_id", "best.pivot").alias("a"), F.greatest("set_id", "best.pivot").alias("b")).distinct()
-    checked = _verify(near, src, first_doc, "pivots")
+    checked = _verify(near, src, row_of, "pivots")
     comp = C.connected_components(checked.where("linked"), name="op1-cc1")
-    rest = _verify(_between(alive, comp, checked), src, first_doc, "rest")
+    rest = _verify(_between(alive, comp, checked), src, row_of, "rest")
     return checked.where("linked").select("a", "b").unionByName(rest.where("linked").select("a", "b"))
 
 
@@ -392,14 +410,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of linked documents: the one with the smallest doc_id.
 
     Rows without words all stay.  Rows that share a doc_id and a text are one
-    document.  A row with a null doc_id stays where its group has no other id.
+    document.  Of a group without any doc_id, and of different linked texts under
+    the smallest doc_id, the one with the smallest hash stays.
     """
-    found = ngram_join(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    found = _joined(docs)
+    first = found.where("n_shingles > 0").groupBy("component") \
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("f"))
+    keep = first.select("f.doc_id", "f.text_id") \
+        .unionByName(found.where("n_shingles = 0").select("doc_id", "text_id")) \
+        .select(F.col("doc_id").alias("_keep"), F.col("text_id").alias("_keep_text"))
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
-                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"))
-    return rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["_id", "_text"]).select("_row.*")
+    rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), _text_id("text").alias("_text"))
+    return rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_keep_text")), "left_semi") \
+        .dropDuplicates(["_id", "_text"]).select("_row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

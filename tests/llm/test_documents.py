@@ -74,6 +74,33 @@ def test_op1_odd_rows(odd_wide):
     assert got == want
 
 
+def test_op1_links_of_texts_without_doc_id(spark):
+    def edited(seed, *at):
+        w = para(seed, 100).split()
+        for k in at:
+            w[k] = f"edit{k}"
+        return " ".join(w)
+    chain = [edited(31, *range(10 * k, 10 * k + 3)) for k in range(3)]
+    left, middle, right = edited(32), edited(32, 0, 1, 2, 3, 4, 5, 6), edited(32, 0, 1, 2, 3, 4, 5, 6, 93, 94, 95, 96, 97, 98, 99)
+    rows = [(7, edited(30)), (None, edited(30, 50)), (None, edited(30)),         # a near and an exact copy
+            (1, left), (None, middle), (2, right),                               # a chain
+            (None, edited(33)), (None, edited(33, 20)), (None, edited(33)),      # a group without ids
+            (None, edited(34)), (None, None), (40, edited(35)), (40, edited(30, 10))] \
+        + [(50 + k if k != 1 else None, t) for k, t in enumerate(chain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets, comp = components(rows)
+    assert comp[1] == 7 and comp[5] == 1 and comp[7] is None
+    want = sorted(((d, len(sets[i]), comp[i]) for i, (d, _) in enumerate(rows)), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in o1.ngram_join(df).collect()), key=str)
+    assert got == want
+    kept = [(r.doc_id, r.text) for r in o1.keep_one(df).collect()]
+    assert sum(k in ((None, edited(33)), (None, edited(33, 20))) for k in kept) == 1
+    ids = {(comp[i], d) for i, (d, _) in enumerate(rows) if comp[i] is not None and d == comp[i]}
+    assert sorted((k for k in kept if k[0] is not None)) == sorted((d, t) for i, (d, t) in enumerate(rows) if (comp[i], d) in ids and comp[i] == d)
+    assert sorted((k for k in kept if k[0] is None and k[1] in (None, edited(34))), key=str) == sorted([(None, None), (None, edited(34))], key=str)
+    assert len(kept) == len(ids) + 3
+
+
 def test_op1_groups_of_near_copies(spark):
     base = para(9, 200).split()
     rows, k = [], 0
