@@ -162,7 +162,7 @@ def q_select_features(spark, sf):
     t = ml_frame(spark, sf)
     feats = [c for c in FEATURES if c not in CATS] + ["p"]
     lab = L.labeled(t).select("id", *feats, "is_fraud").persist()
-    return SE.run_all_filters(lab, feats, scored_fn=_fitted_scorer(lab, feats), n_repeats=1)
+    return SE.run_all_filters(lab, feats, scored_fn=_fitted_scorer(lab, feats))
 
 
 def q_top_transactions(spark, sf):

@@ -88,3 +88,15 @@ def test_trees_take_more_categories_than_bins(spark):
     for kind in ("gbt", "rf"):
         m = L.fit_classifier(df, ["x", "cat"], ["cat"], kind=kind, params=L.TreeParams(max_iter=2, max_depth=2))
         assert L.predict_proba(m, df, ["x", "cat"], ["cat"], keep=["id"]).count() == 1500
+
+
+def test_select_features_uses_the_operators_repeats(spark, monkeypatch):
+    from riskloom.plans import q_ml
+    seen = []
+    monkeypatch.setattr(SE, "correlation_filter", lambda df, feats, t: (feats[:2], []))
+    monkeypatch.setattr(SE, "vif_filter", lambda df, feats, t: (feats, []))
+    monkeypatch.setattr(SE, "shuffle_column", lambda df, col, seed: seen.append((col, seed)) or df)
+    monkeypatch.setattr(SE, "evaluate", lambda df: spark.createDataFrame([(0.5,)], "pr_auc double"))
+    monkeypatch.setattr(q_ml, "_fitted_scorer", lambda lab, feats: lambda d: d.select("is_fraud", F.lit(0.5).alias("proba")))
+    assert q_ml.q_select_features(spark, "/root/testdata/sf0.001").count()
+    assert len(seen) == len(set(seen)) == 10
