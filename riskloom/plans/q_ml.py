@@ -29,7 +29,7 @@ CATS = ["mcc_str", "card_brand"]
 #: Whole days: every dated row is in one of the splits.
 ML_SPLITS = SplitBoundaries(train_end=TX_SPLITS.train_end, val_end=TX_SPLITS.val_end,
                             test_start=TX_SPLITS.test_start, end_of_day=True)
-FAST = L.TreeParams(max_iter=15, max_depth=4, step_size=0.1, max_bins=32)
+TUNE_TRIALS = 10
 LINEAR = ["amount", "p", "merchant_id"]
 
 
@@ -51,8 +51,7 @@ def _parts(spark, sf):
 def _train_query(kind: str):
     def q(spark, sf):
         tr, va, te = _parts(spark, sf)
-        m = L.fit_classifier(tr, FEATURES, CATS, kind=kind, val=va if kind.startswith("gbt") else None,
-                             params=FAST)
+        m = L.fit_classifier(tr, FEATURES, CATS, kind=kind, val=va if kind.startswith("gbt") else None)
         return rounded(L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"]))
     return q
 
@@ -65,7 +64,7 @@ def q_class_weights(spark, sf):
 
 def q_calibrate_isotonic(spark, sf):
     tr, va, te = _parts(spark, sf)
-    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt", params=FAST)
+    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt")
     sv = L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"])
     cal = L.fit_calibrator(sv, "proba", "is_fraud", "isotonic")  # fit on val (SURVEY Q7)
     st = L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"])
@@ -74,7 +73,7 @@ def q_calibrate_isotonic(spark, sf):
 
 def q_calibrate_platt(spark, sf):
     tr, va, te = _parts(spark, sf)
-    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt", params=FAST)
+    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt")
     sv = L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"])
     cal = L.fit_calibrator(sv, "proba", "is_fraud", "platt")
     st = L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"])
@@ -175,14 +174,12 @@ def q_predictions_preview(spark, sf):
 
 def q_benchmark(spark, sf):
     tr, va, _ = _parts(spark, sf)
-    return rounded(L.run_benchmark(tr, va, FEATURES, CATS, kinds=("gbt", "gbt_te", "rf"), params=FAST))
+    return rounded(L.run_benchmark(tr, va, FEATURES, CATS, kinds=("gbt", "gbt_te", "rf")))
 
 
 def q_tune(spark, sf):
     tr, va, _ = _parts(spark, sf)
-    return rounded(L.run_tuning(tr, va, FEATURES, CATS, n_trials=5,
-                                space={"max_depth": (2, 4, "int"), "step_size": (0.05, 0.3, "log"),
-                                       "max_iter": (5, 15, "int")}))
+    return rounded(L.run_tuning(tr, va, FEATURES, CATS, n_trials=TUNE_TRIALS, space=L.GBT_SPACE))
 
 
 def runs_table(spark, sf) -> DataFrame:
@@ -198,7 +195,7 @@ def q_champion_challenger(spark, sf):
 def q_score_batch(spark, sf):
     """Model -> calibrated probability -> level -> top-3 reason codes."""
     tr, va, te = _parts(spark, sf)
-    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt", params=FAST)
+    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt")
     cal = L.fit_calibrator(L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"]), "proba", "is_fraud")
     st = cal.transform(L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"]), "proba", "proba_cal")
     scored = risk_level(st, "proba_cal")

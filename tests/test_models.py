@@ -100,3 +100,27 @@ def test_select_features_uses_the_operators_repeats(spark, monkeypatch):
     monkeypatch.setattr(q_ml, "_fitted_scorer", lambda lab, feats: lambda d: d.select("is_fraud", F.lit(0.5).alias("proba")))
     assert q_ml.q_select_features(spark, "/root/testdata/sf0.001").count()
     assert len(seen) == len(set(seen)) == 10
+
+
+@pytest.mark.parametrize("name", ["train_gbt", "train_gbt_te", "train_rf", "calibrate_isotonic", "calibrate_platt", "benchmark", "tune",
+                                  "score_batch"])
+def test_registered_queries_train_whole_models(spark, monkeypatch, name):
+    from riskloom.plans import q_ml
+
+    class Seen(Exception):
+        pass
+
+    def fit(*args, params=None, **kw):
+        raise Seen(params or L.TreeParams())
+
+    def tune(*args, n_trials=5, space=None, **kw):
+        raise Seen((n_trials, space or L.GBT_SPACE))
+    monkeypatch.setattr(q_ml, "_parts", lambda spark, sf: (None, None, None))
+    monkeypatch.setattr(L, "fit_classifier", fit)
+    monkeypatch.setattr(L, "run_tuning", tune)
+    with pytest.raises(Seen) as e:
+        q_ml.QUERIES[name](spark, "/root/testdata/sf0.001")
+    if name == "tune":
+        assert e.value.args[0][0] >= 10 and e.value.args[0][1] == L.GBT_SPACE
+    else:
+        assert e.value.args[0] == L.TreeParams()
