@@ -193,15 +193,13 @@ def q_champion_challenger(spark, sf):
 
 
 def q_score_batch(spark, sf):
-    """Model -> calibrated probability -> level -> top-3 reason codes."""
+    """Model -> calibrated probability -> level -> top-3 reason codes of that model's margin."""
     tr, va, te = _parts(spark, sf)
     m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt")
     cal = L.fit_calibrator(L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"]), "proba", "is_fraud")
-    st = cal.transform(L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"]), "proba", "proba_cal")
-    scored = risk_level(st, "proba_cal")
-    t, coefs, means = linear_model(spark, sf)
-    rc = X.widen_reasons(X.reason_codes(X.linear_contributions(t.select("id", *LINEAR), coefs, means), k=3), k=3)
-    j = scored.join(rc.drop("contrib", "reason_codes", *LINEAR), "id", "left")
+    st, _ = X.gbt_contributions(m, te, FEATURES, CATS, keep=["id", "is_fraud"])
+    scored = risk_level(cal.transform(st, "proba", "proba_cal"), "proba_cal")
+    j = X.widen_reasons(X.reason_codes(scored, k=3), k=3)
     return rounded(j.select("id", "risk_score", "level", "reason_1_feature", "reason_1_impact",
                             "reason_2_feature", "reason_2_impact", "reason_3_feature", "reason_3_impact"))
 

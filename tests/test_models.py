@@ -124,3 +124,33 @@ def test_registered_queries_train_whole_models(spark, monkeypatch, name):
         assert e.value.args[0][0] >= 10 and e.value.args[0][1] == L.GBT_SPACE
     else:
         assert e.value.args[0] == L.TreeParams()
+
+
+def test_gbt_contributions_add_up_to_the_margin(spark):
+    import math
+
+    from riskloom.operators import explain as X
+    df = spark.range(600).select("id", ((F.col("id") % 7 == 0) | (F.col("id") % 11 == 3)).cast("int").alias("is_fraud"),
+                                 (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("z"),
+                                 F.concat(F.lit("c"), F.col("id") % 11).alias("c"))
+    m = L.fit_classifier(df, ["x", "z", "c"], ["c"], kind="gbt", params=L.TreeParams(max_iter=5, max_depth=4))
+    got, base = X.gbt_contributions(m, df, ["x", "z", "c"], ["c"], keep=["id"])
+    want = {r.id: r.proba for r in L.predict_proba(m, df, ["x", "z", "c"], ["c"], keep=["id"]).collect()}
+    rows = got.collect()
+    assert len(rows) == 600 and len({tuple(c.impact for c in r.contrib) for r in rows}) >= 3
+    for r in rows:
+        assert {c.feature for c in r.contrib} == {"x", "z", "c"}
+        assert r.proba == pytest.approx(want[r.id])
+        assert 1 / (1 + math.exp(-2 * (base + sum(c.impact for c in r.contrib)))) == pytest.approx(r.proba)
+
+
+def test_score_batch_explains_the_scoring_model(spark, monkeypatch):
+    from riskloom.plans import q_ml
+    df = spark.range(300).select("id", (F.col("id") % 7 == 0).cast("int").alias("is_fraud"),
+                                 *[(F.col("id") % k).cast("double").alias(c) for k, c in zip((7, 3, 4, 5, 6, 8), q_ml.FEATURES[:6])],
+                                 *[F.concat(F.lit("c"), F.col("id") % 3).alias(c) for c in q_ml.CATS])
+    monkeypatch.setattr(q_ml, "_parts", lambda spark, sf: (df, df, df))
+    monkeypatch.setattr(L.TreeParams.__init__, "__defaults__", (3, 3) + L.TreeParams.__init__.__defaults__[2:])
+    rows = q_ml.q_score_batch(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 300 and {r.reason_1_feature for r in rows} == {"amount"}
+    assert {r[f"reason_{k}_feature"] for r in rows for k in (1, 2, 3)} <= set(q_ml.FEATURES)
