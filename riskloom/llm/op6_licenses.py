@@ -10,11 +10,11 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  Bas
 labels come from places where a phrase's words stand consecutively; templates
 add labels of their own.  ``score`` is 1 for an accepted text, else the largest
 share of a template's mandatory words matched from some start, 0 where no
-license word occurs at all.
+license word occurs at all (none that the given phrases and templates need).
 
 Every word of every whole text is counted (a vectorised pass over the bytes);
-only texts with a word that each phrase and template needs go through the
-automata.  Defined cases: a null or empty text has 0 words and no labels;
+only texts with a word that some phrase or template needs go through the
+automata, all texts where one needs no word.  Defined cases: a null or empty text has 0 words and no labels;
 repeated rows give repeated results; an empty table gives no rows.
 """
 
@@ -50,7 +50,8 @@ TEMPLATES = {
     "gpl-grant": "you can redistribute it and or modify it under the terms of the gnu general public license as published by "
                  "the free software foundation",
 }
-_NEEDED = (b"licen", b"cc", b"permission", b"redistribut")
+#: Parts of license words; a phrase or template with one of them needs it.
+_STEMS = (b"licen", b"cc", b"permission", b"redistribut")
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -65,6 +66,7 @@ class Automaton:
         self.moves: list[list[tuple[frozenset | None, int]]] = [[]]
         self.skips: list[list[int]] = [[]]
         self.progress = [0]
+        self.required: list[frozenset] = []             # words of which each accepted text has one
         parts = re.findall(r"\[\[|\]\]|\{\{\w+:\d+-\d+\}\}|\([^)]*\)|[^\s\[\]{}()]+", template)
         opened: list[int] = []
         at = 0
@@ -93,6 +95,8 @@ class Automaton:
                 at = end
                 continue
             words = frozenset(part.strip("()").split("|"))
+            if not opened:
+                self.required.append(words)
             new = self._state(at, add=0 if opened else 1)
             self.moves[at].append((words, new))
             at = new
@@ -169,6 +173,16 @@ def scan_words(words: list[str], phrases: dict[str, str], templates: dict[str, s
     return base, found, score
 
 
+def needed(phrases: dict[str, str], templates: dict[str, str]) -> tuple[bytes, ...]:
+    """Strings of which every text with a phrase or an accepted template has one; the empty string where there are none."""
+    out: set[bytes] = set()
+    for groups in [[{w} for w in p.split()] for p in phrases] + [m.required for m in automata(templates).values()]:
+        groups = [[w.encode() for w in g] for g in groups]
+        stems = {x for x in _STEMS for g in groups if all(x in w for w in g)}
+        out |= stems or set(max(groups, key=lambda g: min(map(len, g)), default=[b""]))
+    return tuple(sorted(out))
+
+
 def _word_counts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     inside = _WORD[raw]
     start = inside.copy()
@@ -187,6 +201,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                  text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: word and base counts, labels, score, and the places of all template matches."""
     C.prepare(docs.sparkSession)
+    parts = needed(phrases, templates)
     match_type = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -198,7 +213,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 text = raw[off[i]:off[i + 1]].tobytes()
                 low = text.lower()                      # bytes: A-Z only
                 base, found, score = [], [], 0.0
-                if any(x in low for x in _NEEDED):
+                if any(x in low for x in parts):
                     base, found, score = scan_words(_WORDS(low.decode("utf-8", "replace")), phrases, templates)
                 at = [s for _, s, _ in base]
                 tags = {x for x, _, _ in base}

@@ -269,6 +269,19 @@ def test_op6_brute_force_and_templates(odd_wide):
         assert m.match(text.split(), 0)[0] == end
 
 
+def test_op6_finds_whatever_phrases_and_templates_are_passed(spark):
+    rows = [(1, "this is in the Public Domain now"), (2, "all rights reserved by us"), (3, "nothing here"), (4, "free of charge"),
+            (5, "under the MIT license"), (6, "no charge at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = o6.license_scan(df, {"public domain": "pd", "mit license": "mit"},
+                          {"arr": "all rights reserved [[by {{who:1-3}}]]", "free": "(free|no) [[of]] charge"}).collect()
+    assert {r.doc_id: r.labels for r in got} == {1: "pd", 2: "arr", 3: "", 4: "free", 5: "mit", 6: "free"}
+    got = o6.license_scan(df, {}, {"choice": "(free|nothing) [[of charge]]"}).collect()
+    assert {r.doc_id for r in got if r.labels} == {3, 4}
+    assert set(o6.needed(o6.PHRASES, o6.TEMPLATES)) == {b"licen", b"cc", b"permission", b"redistribut"}
+    assert o6.needed({}, {"any": "[[a]]"}) == (b"",)
+
+
 def test_op7_brute_force(spark, odd_wide):
     items = [(1, para(71, 40)), (2, para(72, 25)), (3, para(73, 3)), (4, None), (5, ""), (None, para(75, 30))]
     hit = para(71, 40).upper().split()
