@@ -112,8 +112,10 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         i = j
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of lower-cased (A-Z) rows.
+def words_of(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE,
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of lower-cased (A-Z) rows: runs of bytes that are not ``outside`` (a table of 256; by
+    default ``[^\\x20\\x09-\\x0D]+``).
 
     Returns the hash of each word, its first byte and end, and for each row the
     index of its first word (n_rows + 1 entries).
@@ -123,7 +125,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(rows + 1, np.int64)
     low = _LOWER[raw]
-    inside = ~_SPACE[low]
+    inside = ~outside[low]
     edge = np.zeros(n + 1, bool)
     edge[offsets[:-1]] = True
     edge[n] = True

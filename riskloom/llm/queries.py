@@ -12,9 +12,12 @@ from riskloom.llm.op7_decontaminate import op7_decontaminate
 from riskloom.llm.op8_token_counts import op8_token_counts
 from riskloom.llm.op9_simhash import op9_simhash
 from riskloom.llm.op10_html_text import op10_html_text
+from riskloom.llm.op11_language_id import op11_language_id
+from riskloom.llm.op12_treap_search import op12_treap_search
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm_scoring, op4_hilbert_shards, op5_quality, op6_licenses,
-                                   op7_decontaminate, op8_token_counts, op9_simhash, op10_html_text)}
+                                   op7_decontaminate, op8_token_counts, op9_simhash, op10_html_text, op11_language_id,
+                                   op12_treap_search)}
 
 _OP1 = r"""
 WITH RECURSIVE w AS (
@@ -36,4 +39,26 @@ SELECT n.doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, min(root) AS componen
 FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n_shingles
 """
 
-ORACLES = {"op1_ngram_join": _OP1}
+_OP12 = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark),
+l AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM l),
+f AS (SELECT t, doc_id, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY t, doc_id),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT t, count(*) AS df FROM f GROUP BY t), c),
+i AS (
+  SELECT f.t, f.doc_id, w.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)))) AS impact
+  FROM f JOIN w ON w.t = f.t JOIN l ON l.doc_id = f.doc_id, c),
+s AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN i ON i.t = q.t GROUP BY item_id, doc_id),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM r WHERE r <= 50
+"""
+
+ORACLES = {"op12_treap_search": _OP12, "op1_ngram_join": _OP1}
