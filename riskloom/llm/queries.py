@@ -14,10 +14,11 @@ from riskloom.llm.op9_simhash import op9_simhash
 from riskloom.llm.op10_html_text import op10_html_text
 from riskloom.llm.op11_language_id import op11_language_id
 from riskloom.llm.op12_treap_search import op12_treap_search
+from riskloom.llm.op13_spelling import op13_spelling
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_lm_scoring, op4_hilbert_shards, op5_quality, op6_licenses,
                                    op7_decontaminate, op8_token_counts, op9_simhash, op10_html_text, op11_language_id,
-                                   op12_treap_search)}
+                                   op12_treap_search, op13_spelling)}
 
 _OP1 = r"""
 WITH RECURSIVE w AS (
@@ -61,4 +62,41 @@ r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORD
 SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM r WHERE r <= 50
 """
 
-ORACLES = {"op12_treap_search": _OP12, "op1_ngram_join": _OP1}
+_OP13 = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS w
+  FROM documents),
+o AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE length(w) >= 6 GROUP BY doc_id, w),
+x AS (SELECT w, k, hex(encode(concat(doc_id, ':', w))) AS x FROM o WHERE doc_id IS NOT NULL),
+h AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2),
+         lambda i: CAST(concat('0x', substr(x, i, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM x, tab),
+res AS (
+  SELECT CASE WHEN h % 199 = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, k FROM h
+  UNION ALL SELECT w, k FROM o WHERE doc_id IS NULL),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM res WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT a.word AS word, b.word AS near FROM d a JOIN d b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.d
+  UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.d),
+g AS (
+  SELECT p.word, p.near, v.n, count(*) OVER (PARTITION BY p.word) AS n_near,
+         row_number() OVER (PARTITION BY p.word ORDER BY v.n DESC, p.near) AS r
+  FROM p JOIN v ON v.word = p.near),
+f AS (
+  SELECT v.word, v.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN g.n >= 5 * v.n THEN g.near END AS form,
+         CASE WHEN g.n >= 5 * v.n THEN g.n END AS form_n
+  FROM v LEFT JOIN g ON g.word = v.word AND g.r = 1),
+c(word, root, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON e.word = f.word
+"""
+
+ORACLES = {"op1_ngram_join": _OP1, "op12_treap_search": _OP12, "op13_spelling": _OP13}
