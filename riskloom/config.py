@@ -10,12 +10,6 @@ DEFAULT_WINDOWS: dict[str, int] = {"10m": 600, "1h": 3600, "24h": 86400, "7d": 6
 # Alert thresholds: score >= 0.7 is HIGH, >= 0.3 is MEDIUM, else LOW.
 T_HIGH = 0.7
 T_MEDIUM = 0.3
-# Recommended action per level.
-ACTIONS = {
-    "HIGH": "Block transaction / route to manual review",
-    "MEDIUM": "Step-up authentication / flag for watchlist",
-    "LOW": "Auto-approve",
-}
 # Historical fraud-rate smoothing (fraud_past + alpha) / (labeled_past + beta).
 RATE_ALPHA = 1.0
 RATE_BETA = 10.0
@@ -33,6 +27,8 @@ Z_EPS = 1e-6
 PSI_EPS = 1e-6
 PSI_STABLE = 0.10
 PSI_MODERATE = 0.25
+# Recommended action per level (codes of our own).
+ACTIONS = {"HIGH": "hold-for-review", "MEDIUM": "ask-second-factor", "LOW": "pass"}
 # Columns that a drift report checks by default, per kind of check.
 DRIFT_CHECKS: dict[str, tuple[str, ...]] = {
     "numeric": ("amount",),
@@ -62,19 +58,6 @@ class SplitBoundaries:
     end_of_day: bool = False
 
 
-@dataclass(frozen=True)
-class VelocityConfig:
-    windows: dict[str, int] = field(default_factory=lambda: dict(DEFAULT_WINDOWS))
-    # "row_order": earlier rows of the same instant count as past (reference);
-    # "strict": only rows with date < t.
-    ties: str = "row_order"
-    # Hot entities are split into time buckets of this many times the
-    # longest window; each bucket also reads the tail of the previous one.
-    bucket_factor: int = 4
-    z_window: str = "7d"
-    z_eps: float = Z_EPS
-
-
 @dataclass(frozen=True)
 class Thresholds:
     high: float = T_HIGH

@@ -2,12 +2,11 @@
 
 Every profile is a single aggregation pass whose wide one-row result is
 unpivoted with ``stack`` into long rows ``(column, ...)``; nothing is
-collected except bounded scalars (two trim quantiles).
+collected except bounded scalars (quantiles).
 
-Percentiles: ``exact=True`` uses Spark's ``percentile`` (linear
-interpolation, equal to numpy / DuckDB ``quantile_cont``), which keeps a
-value->count map per group; for very large columns pass ``exact=False``
-(``percentile_approx``, bounded sketch) - see README, scale notes.
+Quantiles are exact (linear interpolation, equal to numpy / DuckDB
+``quantile_cont``) and come from ``quantiles.exact_quantiles``: a sketch
+brackets them, and only the rows inside the brackets are sorted.
 """
 
 from __future__ import annotations
@@ -17,13 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from riskloom.functions.timecols import col_of
-
-
-def _pct(c: Column, probs: list[float], exact: bool) -> Column:
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, arr, 10000)
+from riskloom.operators.quantiles import exact_quantiles
 
 
 def _quote(s: str) -> str:
@@ -47,37 +40,36 @@ def numeric_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType)]
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A4: count, mean, std (ddof 1), min, p25, p50, p75, max per column."""
     cols = columns or numeric_columns(df)
+    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), _pct(x, [0.25, 0.5, 0.75], exact).alias(f"q{i}"),
+                 F.min(x).alias(f"lo{i}"), *[F.lit(q).cast("double").alias(f"q{i}_{k}") for k, q in enumerate(quartiles[c])],
                  F.max(x).alias(f"hi{i}")]
     one = df.agg(*aggs)
-    rows = [[f"'{_quote(c)}'", f"n{i}", f"a{i}", f"s{i}", f"lo{i}", f"q{i}[0]", f"q{i}[1]", f"q{i}[2]", f"hi{i}"]
+    rows = [[f"'{_quote(c)}'", f"n{i}", f"a{i}", f"s{i}", f"lo{i}", f"q{i}_0", f"q{i}_1", f"q{i}_2", f"hi{i}"]
             for i, c in enumerate(cols)]
     return _stack(one, rows, ["column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
 def categorical_summary(df: DataFrame, columns: list[str], top_n: int = 15) -> DataFrame:
     """Top-N value counts per column (NULL is a value), pct of all rows.
-    Ties in count are broken by value so the top-N is deterministic."""
-    total = F.count(F.lit(1)).over(Window.partitionBy("column"))
-    parts = []
-    for c in columns:
-        parts.append(df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-                     .withColumn("column", F.lit(c)))
-    allc = parts[0]
-    for p in parts[1:]:
-        allc = allc.unionByName(p)
+    Ties in count are broken by value so the top-N is deterministic.
+
+    One scan counts the values of all columns, spread by (column, value); each
+    task cuts its share to its own N best per column before the rank shuffle,
+    so no task holds a column's domain.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    counts = df.select(F.explode(cells).alias("e")).groupBy("e.column", "e.value").agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc_nulls_first())
-    ranked = allc.withColumn("__tot", F.sum("count").over(Window.partitionBy("column"))) \
-        .withColumn("rank", F.row_number().over(w))
-    del total
-    return ranked.where(F.col("rank") <= top_n).select(
+    top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    total = df.agg(F.count(F.lit(1)).alias("__tot")).select("__tot", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return top.join(F.broadcast(total), "column").select(       # one row for each column
         "column", "value", "count", F.round(F.col("count") * 100.0 / F.col("__tot"), 2).alias("pct"), "rank")
 
 
@@ -160,28 +152,24 @@ def volume_by_hour_dow(df: DataFrame, date_col: str = "date") -> DataFrame:
     return h.unionByName(w).select("kind", "key", "n")
 
 
-def trim_bounds(df: DataFrame, col: str, lo_q: float = 0.01, hi_q: float = 0.99,
-                exact: bool = True) -> tuple[float | None, float | None]:
-    """Two quantiles as driver scalars (one bounded row)."""
-    r = df.agg(_pct(F.col(col).cast("double"), [lo_q, hi_q], exact).alias("q")).first()
-    if r is None or r["q"] is None:
-        return None, None
-    return float(r["q"][0]), float(r["q"][1])
+def trim_bounds(df: DataFrame, col: str, lo_q: float = 0.01, hi_q: float = 0.99) -> tuple[float | None, float | None]:
+    """Two quantiles as driver scalars."""
+    lo, hi = exact_quantiles(df, {col: [lo_q, hi_q]})[col]
+    return lo, hi
 
 
-def trim_quantiles(df: DataFrame, col: str, lo_q: float = 0.01, hi_q: float = 0.99,
-                   exact: bool = True) -> DataFrame:
+def trim_quantiles(df: DataFrame, col: str, lo_q: float = 0.01, hi_q: float = 0.99) -> DataFrame:
     """Keep rows with p01 <= x <= p99 (NULL dropped)."""
-    lo, hi = trim_bounds(df, col, lo_q, hi_q, exact)
+    lo, hi = trim_bounds(df, col, lo_q, hi_q)
     if lo is None:
         return df.limit(0)
     return df.where(F.col(col).between(F.lit(lo), F.lit(hi)))
 
 
-def amount_histogram(df: DataFrame, col: str = "amount", bins: int = 60, exact: bool = True) -> DataFrame:
+def amount_histogram(df: DataFrame, col: str = "amount", bins: int = 60) -> DataFrame:
     """Equal-width bins over the trimmed [p01, p99] range; the top edge
     falls in the last bin.  (bin, bin_lo, bin_hi, n)."""
-    lo, hi = trim_bounds(df, col, exact=exact)
+    lo, hi = trim_bounds(df, col)
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
     x = F.col(col).cast("double")
@@ -193,12 +181,22 @@ def amount_histogram(df: DataFrame, col: str = "amount", bins: int = 60, exact:
         (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"), "n")
 
 
-def box_stats(df: DataFrame, col: str, exact: bool = True) -> DataFrame:
-    """A13 box plot: quartiles and whisker bounds (1.5 IQR) over the column."""
-    x = F.col(col).cast("double")
-    one = df.agg(_pct(x, [0.25, 0.5, 0.75], exact).alias("q"), F.min(x).alias("mn"), F.max(x).alias("mx"))
-    return one.select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-                      "mn", "mx")
+def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A13 box plots: per column quartiles, whiskers (the outermost values within
+    1.5 IQR of the box), the number of outliers beyond them, min and max.
+    A column without values has NULLs and 0 outliers."""
+    q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    aggs, rows = [], []
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double")
+        q1, q2, q3 = q[c]
+        inside = F.lit(False) if q1 is None else x.between(F.lit(q1 - 1.5 * (q3 - q1)), F.lit(q3 + 1.5 * (q3 - q1)))
+        aggs += [F.min(F.when(inside, x)).alias(f"wl{i}"), F.max(F.when(inside, x)).alias(f"wh{i}"), F.count_if(~inside).alias(f"o{i}"),
+                 F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
+                 *[F.lit(v).cast("double").alias(f"q{i}_{k}") for k, v in enumerate((q1, q2, q3))]]
+        rows.append([f"'{_quote(c)}'", f"q{i}_0", f"q{i}_1", f"q{i}_2", f"wl{i}", f"wh{i}",
+                     f"o{i}" if q1 is not None else "0L", f"mn{i}", f"mx{i}"])
+    return _stack(df.agg(*aggs), rows, ["column", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers", "min", "max"])
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,17 +2,20 @@
 
 Linear models get exact additive attributions as Column expressions:
 impact_j = coef_j * (x_j - mean_j), so sum_j impact_j + base = margin.
-Boosted trees get exact additive attributions of their margin along decision
-paths: a split moves the node mean, and that step belongs to its feature.
+Any other model gets Shapley-type attributions of its margin against a base row
+(means and most frequent categories): features change from the base's value to
+the row's one after the other, and each change of the margin belongs to its
+feature.  Every order adds up to margin - base margin; several orders and their
+reverses are averaged.  The rows in between are scored by the model itself.
 Reason codes are the top-k impacts by magnitude inside each row
 (``array_sort`` with a comparator, then ``slice``) - no row loop.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import PipelineModel
+import random
+from collections.abc import Callable
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,62 +34,68 @@ def linear_contributions(df: DataFrame, coefs: dict[str, float], means: dict[str
     return df.withColumn(out, F.array(*items))
 
 
-def _tree_table(root) -> list[tuple]:
-    """Nodes of one Spark ML tree as (feature or -1, threshold, left categories or None, left, right, mean)."""
-    nodes: list = []
-
-    def add(node) -> int:
-        k = len(nodes)
-        nodes.append(None)
-        if node.getClass().getSimpleName() == "LeafNode":
-            nodes[k] = (-1, 0.0, None, k, k, node.prediction())
-            return k
-        split = node.split()
-        if split.getClass().getSimpleName() == "CategoricalSplit":
-            threshold, cats = 0.0, np.array(list(split.leftCategories()))
-        else:
-            threshold, cats = split.threshold(), None
-        left, right = add(node.leftChild()), add(node.rightChild())
-        nodes[k] = (split.featureIndex(), threshold, cats, left, right, node.prediction())
-        return k
-
-    add(root)
-    return nodes
-
-
-def _path_impacts(trees: list[tuple[float, list[tuple]]], x: np.ndarray) -> np.ndarray:
-    """Impact of each feature (column) on the summed tree output of each row."""
-    out, rows = np.zeros(x.shape), np.arange(len(x))
-    for weight, nodes in trees:
-        groups = [(0, rows)]
-        while groups:
-            k, at = groups.pop()
-            f, threshold, cats, left, right, mean = nodes[k]
-            if f < 0 or not len(at):
-                continue
-            goes = x[at, f] <= threshold if cats is None else np.isin(x[at, f], cats)
-            for child, part in ((left, at[goes]), (right, at[~goes])):
-                out[part, f] += weight * (nodes[child][5] - mean)
-                groups.append((child, part))
-    return out
+def base_row(df: DataFrame, features: list[str], cats: list[str]) -> dict[str, float | str]:
+    """The row that attributions start from: means of numeric features, most frequent categories (one bounded row)."""
+    m = prepare_matrix(df, features, cats)
+    row = m.agg(*[(F.mode(c, True) if c in cats else F.avg(c)).alias(c) for c in features]).first()
+    return row.asDict()
 
 
-def gbt_contributions(model: PipelineModel, df: DataFrame, features: list[str], cats: list[str], keep: list[str],
-                      p: str = "proba", out: str = "contrib") -> tuple[DataFrame, float]:
-    """X1 (GBT): ``keep``, the probability ``p`` and ``out`` = array<struct<feature, impact>> of one fitted model, and
-    the base: base + sum of impacts = margin.  The nodes of the model go to the tasks."""
-    *prep, gbt = model.stages
-    names = [c.removesuffix("__idx").removesuffix("__te") for c in prep[-1].getInputCols()]
-    trees = [(float(w), _tree_table(t._call_java("rootNode"))) for w, t in zip(gbt.treeWeights, gbt.trees)]
+def feature_orders(features: list[str], orders: int, seed: int) -> list[list[int]]:
+    """``orders`` random orders of the features and their reverses, distinct where that many exist."""
+    rng, out = random.Random(seed), []
+    for _ in range(50 * orders):
+        if len(out) >= 2 * orders:
+            break
+        o = list(range(len(features)))
+        rng.shuffle(o)
+        out += [x for x in (o, o[::-1]) if x not in out]
+    return out
 
-    @F.pandas_udf("array<double>")
-    def impacts(x: pd.Series) -> pd.Series:
-        return pd.Series(list(_path_impacts(trees, np.stack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
 
-    scored = model.transform(prepare_matrix(df, features, cats, keep=keep)) \
-        .select(*keep, vector_to_array("probability")[1].alias(p), impacts(vector_to_array("features")).alias("__impacts"))
-    items = [F.struct(F.lit(f).alias("feature"), F.col("__impacts")[i].alias("impact")) for i, f in enumerate(names)]
-    return scored.withColumn(out, F.array(*items)).drop("__impacts"), sum(w * nodes[0][5] for w, nodes in trees)
+def shapley_contributions(df: DataFrame, features: list[str], base: dict[str, float | str], margin: Callable[[DataFrame], DataFrame],
+                          keep: list[str], id_col: str = "id", orders: int = 2, seed: int = 42, out: str = "contrib") -> DataFrame:
+    """X1 (any model): ``keep``, ``margin``, ``base_margin`` and ``out`` = array<struct<feature, impact, value>>.
+
+    ``df`` holds prepared features (no NULLs) and a unique id; ``margin`` adds a
+    column ``margin`` to such rows and keeps the others.  base_margin + sum of
+    impacts = margin.  Each row is scored once for each distinct mixture of its
+    own and the base's values, 2 * orders * (features - 1) + 2 at most.
+    """
+    n = len(features)
+    walks = feature_orders(features, orders, seed)
+    masks = sorted({sum(1 << f for f in w[:k]) for w in walks for k in range(n + 1)})
+    own = {f: F.when(F.col("__mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f)).otherwise(F.lit(base[f]).cast(df.schema[f].dataType))
+           for i, f in enumerate(features)}
+    parts = {c: F.col(c) for c in [id_col, *keep]} | {f"__show_{f}": display_value(F.col(f)) for f in features}
+    kept = F.named_struct(*[x for n, c in parts.items() for x in (F.lit(n), c)]).alias("__kept")
+    mixed = df.select("*", kept, F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")) \
+        .select(F.col(id_col).alias("__id"), "__mask", *[own[f].alias(f) for f in features],
+                F.when(F.col("__mask") == masks[-1], F.col("__kept")).alias("__kept"))
+    scored = margin(mixed)
+    # One row again: the margin of each mixture by its mask.
+    whole = scored.groupBy("__id").agg(F.max("__kept").alias("__kept"),
+                                       *[F.max(F.when(F.col("__mask") == m, F.col("margin"))).alias(f"__m{m}") for m in masks])
+    impacts = []
+    for i, f in enumerate(features):
+        steps = []
+        for w in walks:
+            before = sum(1 << g for g in w[:w.index(i)])
+            steps.append(F.col(f"__m{before | 1 << i}") - F.col(f"__m{before}"))
+        impacts.append(F.struct(F.lit(f).alias("feature"), (sum(steps[1:], steps[0]) / F.lit(float(len(steps)))).alias("impact"),
+                                F.col(f"__kept.__show_{f}").alias("value")))
+    return whole.select(*[F.col(f"__kept.{c}").alias(c) for c in keep], F.col(f"__m{masks[-1]}").alias("margin"),
+                        F.col("__m0").alias("base_margin"), F.array(*impacts).alias(out))
+
+
+def margin_of(model) -> Callable[[DataFrame], DataFrame]:
+    """The function that adds ``margin`` (raw score of the positive class) and ``proba`` to prepared rows."""
+    def run(df: DataFrame) -> DataFrame:
+        out = model.transform(df)
+        if "margin" in out.columns:
+            return out
+        return out.withColumn("margin", vector_to_array("rawPrediction")[1]).withColumn("proba", vector_to_array("probability")[1])
+    return run
 
 
 def top_k_by_magnitude(arr: Column, k: int) -> Column:
@@ -103,12 +112,9 @@ def reason_codes(df: DataFrame, contrib: str = "contrib", k: int = 5, out: str =
 
 
 def widen_reasons(df: DataFrame, col: str = "reason_codes", k: int = 3) -> DataFrame:
-    """reason_j_feature / reason_j_impact columns for a CSV sink."""
-    out = df
-    for j in range(k):
-        out = out.withColumn(f"reason_{j + 1}_feature", F.col(col)[j]["feature"]) \
-                 .withColumn(f"reason_{j + 1}_impact", F.col(col)[j]["impact"])
-    return out
+    """reason_j_feature / reason_j_impact / reason_j_value columns for a CSV sink."""
+    return df.withColumns({f"reason_{j + 1}_{part}": F.get(F.col(col), F.lit(j))[part] for j in range(k)
+                           for part in ("feature", "impact", "value")})
 
 
 def global_importance(df: DataFrame, contrib: str = "contrib", top_n: int = 20) -> DataFrame:

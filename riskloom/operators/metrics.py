@@ -22,49 +22,70 @@ SCORE_RESOLUTION = 1 << 20
 ALL = "__all"
 
 
-def _keyed(df: DataFrame, keys: list[str] | None) -> tuple[DataFrame, list[str]]:
-    """An empty key list becomes one constant group key, so totals attach
-    with an ordinary equi-join (one row per key) instead of a cross join."""
-    if keys:
-        return df, list(keys)
-    return df.withColumn(ALL, F.lit(0)), [ALL]
+def _score_cells(df: DataFrame, keys: list[str] | None, y: str, p: str) -> tuple[DataFrame, list[str]]:
+    """Rows per (keys, score): ``n`` and ``n_pos`` of all rows, ``pos`` and ``neg`` of those with score and label
+    (the score is NULL for the others).
+
+    An empty key list becomes one constant group key, which is there even
+    without rows, so totals attach with an ordinary equi-join (one row per key).
+    """
+    label = F.col(y).cast("long")
+    score = F.when(F.col(p).isNotNull() & label.isNotNull(), F.col(p).cast("double"))
+    rows = df.select(*(keys or [F.lit(0).alias(ALL)]), score.alias("p"), label.alias("y"), F.lit(1).cast("long").alias("one"))
+    if not keys:
+        none = df.sparkSession.range(1).select(F.lit(0).alias(ALL), F.lit(None).cast("double").alias("p"),
+                                               F.lit(None).cast("long").alias("y"), F.lit(0).cast("long").alias("one"))
+        rows, keys = rows.unionByName(none), [ALL]
+    known = F.col("p").isNotNull()
+    cells = rows.groupBy(*keys, "p").agg(F.sum("one").alias("n"), F.sum("y").alias("n_pos"),
+                                         F.coalesce(F.sum(F.when(known, F.col("y"))), F.lit(0)).alias("pos"),
+                                         F.sum(F.when(known, F.lit(1) - F.col("y")).otherwise(0)).alias("neg"))
+    return cells, list(keys)
+
+
+def _cumulative(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells`` with cum_* (rows with score >= p) and tot_*: running sums inside slices of the scores, over the
+    few slice sums of each key."""
+    cells = cells.withColumn("__slice", F.floor(-F.col("p") * F.lit(SCORE_RESOLUTION)).cast("long"))
+    slices = cells.groupBy(*keys, "__slice").agg(F.sum("pos").alias("sp"), F.sum("neg").alias("sn"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    slices = slices.select(*[F.col(c).alias(f"__k_{c}") for c in [*keys, "__slice"]],
+                           *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b{c}") for c in ("sp", "sn")],
+                           F.sum("sp").over(whole).alias("tot_pos"), F.sum("sn").over(whole).alias("tot_neg"))
+    upto = Window.partitionBy(*keys, "__slice").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = cells.select("*", F.sum("pos").over(upto).alias("__wp"), F.sum("neg").over(upto).alias("__wn"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*keys, "__slice"]]
+    return inside.join(slices, on).select(*cells.drop("__slice").columns, (F.col("__bsp") + F.col("__wp")).alias("cum_pos"),
+                                          (F.col("__bsn") + F.col("__wn")).alias("cum_neg"), "tot_pos", "tot_neg")
 
 
 def score_table(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
     """(keys, p, pos, neg, cum_pos, cum_neg, tot_pos, tot_neg): cum_* count rows with score >= p."""
-    df, keys = _keyed(df, keys)
-    g = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, p).agg(
-        F.sum(F.col(y).cast("long")).alias("pos"),
-        (F.count(F.lit(1)) - F.sum(F.col(y).cast("long"))).alias("neg"))
-    g = g.withColumn("__sb", F.floor(-F.col(p) * F.lit(SCORE_RESOLUTION)).cast("long"))
-    c = bucketed_running_sums(g, keys, "__sb", [F.col(p).desc()],
-                              {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, inclusive=True).drop("__sb")
-    tot = g.groupBy(*keys).agg(F.sum("pos").alias("tot_pos"), F.sum("neg").alias("tot_neg"))
-    return c.join(tot, keys, "left")
+    cells, keys = _score_cells(df, keys, y, p)
+    return _cumulative(cells.where("p is not null"), keys).drop("n", "n_pos", ALL)
 
 
 def curve_metrics(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: str = "p",
                   min_precision: float = 0.9) -> DataFrame:
-    """M1, M2, M4, M7 (stat) per key: pr_auc, roc_auc, recall_at_precision, ks_stat."""
-    added = not keys
-    df, keys = _keyed(df, keys)
-    t = score_table(df, keys, y, p)
-    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    """M1-M4, M7 (stat) per key: n, n_pos, brier, pr_auc, roc_auc, recall_at_precision, ks_stat, all read
+    from one distinct-score table."""
+    cells, group = _score_cells(df, keys, y, p)
+    t = _cumulative(cells, group)
+    prec = F.try_divide(F.col("cum_pos").cast("double"), (F.col("cum_pos") + F.col("cum_neg")).cast("double"))
     rec = F.try_divide(F.col("cum_pos").cast("double"), F.col("tot_pos").cast("double"))
+    fall = F.try_divide(F.col("cum_neg").cast("double"), F.col("tot_neg").cast("double"))
     below = F.col("tot_neg") - F.col("cum_neg")
-    agg = [
-        F.try_divide(F.sum(F.col("pos") * prec), F.first("tot_pos").cast("double")).alias("pr_auc"),
-        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)),
-                     (F.first("tot_pos") * F.first("tot_neg")).cast("double")).alias("roc_auc"),
-        F.when(F.first("tot_pos") > 0, F.coalesce(F.max(F.when(prec >= min_precision, rec)), F.lit(0.0)))
-         .alias("recall_at_precision"),
-        F.when((F.first("tot_pos") > 0) & (F.first("tot_neg") > 0),
-               F.max(F.abs(F.try_divide(F.col("cum_pos").cast("double"), F.col("tot_pos").cast("double"))
-                             - F.try_divide(F.col("cum_neg").cast("double"), F.col("tot_neg").cast("double")))))
-         .otherwise(F.lit(0.0)).alias("ks_stat"),
-    ]
-    out = t.groupBy(*keys).agg(*agg)
-    return out.drop(ALL) if added else out
+    tot_pos, tot_neg = F.max("tot_pos"), F.max("tot_neg")
+    square = F.col("pos") * F.pow(F.col("p") - 1, 2) + F.col("neg") * F.pow("p", 2)
+    out = t.groupBy(*group).agg(
+        F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"),
+        F.try_divide(F.sum(square), (tot_pos + tot_neg).cast("double")).alias("brier"),
+        F.try_divide(F.sum(F.col("pos") * prec), tot_pos.cast("double")).alias("pr_auc"),
+        F.try_divide(F.sum(F.col("pos") * (below + F.col("neg") / 2.0)), (tot_pos * tot_neg).cast("double")).alias("roc_auc"),
+        F.when(tot_pos > 0, F.coalesce(F.max(F.when(prec >= min_precision, rec)), F.lit(0.0))).alias("recall_at_precision"),
+        F.when((tot_pos > 0) & (tot_neg > 0), F.max(F.abs(rec - fall))).otherwise(F.lit(0.0)).alias("ks_stat"))
+    return out.drop(ALL)
 
 
 def brier(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
@@ -73,14 +94,10 @@ def brier(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: str = "
 
 
 def evaluate(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: str = "p") -> DataFrame:
-    """M5: n, n_pos, pr_auc, roc_auc, brier, recall_at_precision_90 per key
-    (all NULL for an empty input)."""
-    df, keys = _keyed(df, keys)
-    base = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("n_pos"),
-                                 F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"))
-    cm = curve_metrics(df, keys, y, p).withColumnRenamed("recall_at_precision", "recall_at_precision_90") \
-        .drop("ks_stat")
-    return base.join(cm, keys, "left").drop(ALL)
+    """M5: n, n_pos, pr_auc, roc_auc, brier, recall_at_precision_90 per key.  Without
+    keys there is always one row: n 0 and NULL metrics for an empty input."""
+    return curve_metrics(df, keys, y, p).select(*(keys or []), "n", "n_pos", "brier", "pr_auc", "roc_auc",
+                                                F.col("recall_at_precision").alias("recall_at_precision_90"))
 
 
 def confusion_matrix(df: DataFrame, threshold: float = 0.5, y: str = "y", p: str = "p",
@@ -143,17 +160,17 @@ def ks_threshold(df: DataFrame, y: str = "y", p: str = "p", n_points: int = 200)
 def ks_statistic(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """M7: ks_stat, asymptotic p_value (Kolmogorov series, Stephens' small-sample
     factor), ks_threshold.  Empty class -> (0, 1, 0.5)."""
-    d2, keys = _keyed(df, None)
-    cm = curve_metrics(d2, keys, y, p).select(ALL, "ks_stat")
-    n = d2.groupBy(ALL).agg(F.sum(F.col(y).cast("long")).alias("n1"),
-                            (F.count(F.lit(1)) - F.sum(F.col(y).cast("long"))).alias("n0"))
+    t = _cumulative(*_score_cells(df, None, y, p))
+    rec, fall = (F.try_divide(F.col(f"cum_{c}").cast("double"), F.col(f"tot_{c}").cast("double")) for c in ("pos", "neg"))
+    cm = t.groupBy(ALL).agg(F.max("tot_pos").alias("n1"), F.max("tot_neg").alias("n0"),
+                            F.coalesce(F.max(F.abs(rec - fall)), F.lit(0.0)).alias("ks_stat"))
     en = F.sqrt(F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0")))
     lam = (en + 0.12 + 0.11 / en) * F.col("ks_stat")
     series = sum(((-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101))
     pval = F.when((F.col("n1") > 0) & (F.col("n0") > 0),
                   F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))).otherwise(F.lit(1.0))
     th = ks_threshold(df, y, p).withColumn(ALL, F.lit(0))
-    return cm.join(n, ALL).join(th, ALL).select("ks_stat", pval.alias("p_value"), "ks_threshold")
+    return cm.join(th, ALL).select("ks_stat", pval.alias("p_value"), "ks_threshold")
 
 
 def global_rank(df: DataFrame, p: str = "p", id_col: str = "id") -> DataFrame:

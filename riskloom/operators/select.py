@@ -6,12 +6,17 @@ matrices of scalars (p = number of candidate features, bounded).
 
 from __future__ import annotations
 
+import random
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from riskloom.operators import eda
-from riskloom.operators.metrics import evaluate
+from riskloom.operators.metrics import curve_metrics
+from riskloom.session import materialize
 
 
 def correlation_filter(df: DataFrame, features: list[str], threshold: float = 0.95) -> tuple[list[str], list[str]]:
@@ -39,13 +44,18 @@ def gramian(df: DataFrame, features: list[str]) -> DataFrame:
     return one.selectExpr("n", f"stack({len(pairs)}, {body}) AS (a, b, value)")
 
 
-def vif_filter(df: DataFrame, features: list[str], max_vif: float = 10.0, min_rows: int = 10
-               ) -> tuple[list[str], list[tuple[str, float]]]:
+MIN_VIF_ROWS = 10
+
+
+def vif_filter(df: DataFrame, features: list[str], max_vif: float = 10.0) -> tuple[list[str], list[tuple[str, float]]]:
     """Iteratively drop the feature with the largest VIF above max_vif.
     No intercept (uncentered R^2), as in the reference: VIF_i = (G^-1)_ii * G_ii.
-    The Gramian is computed once; dropping a feature takes a sub-matrix."""
+    The Gramian is computed once; dropping a feature takes a sub-matrix.  With
+    fewer than MIN_VIF_ROWS complete rows nothing can be said: every feature is
+    kept, and a warning says so."""
     g = gramian(df, features).collect()
-    if not g or g[0]["n"] < min_rows:
+    if not g or g[0]["n"] < MIN_VIF_ROWS:
+        warnings.warn(f"VIF filter skipped: {g[0]['n'] if g else 0} complete rows, {MIN_VIF_ROWS} needed", stacklevel=2)
         return list(features), []
     idx = {f: i for i, f in enumerate(features)}
     G = np.zeros((len(features), len(features)))
@@ -81,37 +91,67 @@ def _hash_rank(df: DataFrame, key_col: str, seed: int, out: str) -> DataFrame:
         .withColumn(out, F.col("__off") + F.row_number().over(inside)).drop("__h", "__hb", "__off")
 
 
-def shuffle_column(df: DataFrame, col: str, seed: int) -> DataFrame:
-    """Permute one column over all rows: the row that is k-th in one hash order
-    of the ids (first column) gets the value of the k-th row in another.  The
-    result depends on data and seed only, not on partitions or batch sizes."""
-    key = df.columns[0]
-    rows = _hash_rank(df.drop(col), key, seed, "__rank")
-    values = _hash_rank(df.select(key, F.col(col)), key, seed + 1_000_003, "__rank").select("__rank", col)
-    return rows.join(values, "__rank").select(*df.columns)
+def shifts(n_features: int, n_repeats: int, seed: int) -> list[list[float]]:
+    """For each feature and repeat a number in [0, 1) that sets how far its column is moved."""
+    rng = random.Random(seed)
+    return [[round(rng.random(), 6) for _ in range(n_repeats)] for _ in range(n_features)]
+
+
+def permuted_rows(df: DataFrame, features: list[str], label: str, n_repeats: int, seed: int, id_col: str) -> DataFrame:
+    """(__feature, __repeat, label, features): all rows as they are (feature -1), and for each
+    feature and repeat all rows with that feature's column permuted.
+
+    One rank pass puts the rows into a hash order of their ids; in a permuted
+    column row k has the value of row k + shift of that order (cyclic), with a
+    shift of its own for each feature and repeat.  So every permutation is over
+    the whole table, depends on data and seed only, and costs no sort of its own:
+    one join by rank brings all moved values.
+    """
+    types = {f: df.schema[f].dataType for f in features}
+    is_num = {f: isinstance(t, NumericType) for f, t in types.items()}
+    ranked = materialize(_hash_rank(df.select(id_col, label, *features), id_col, seed, "__rank").drop(id_col), "permutation-ranks")
+    n = ranked.count()
+    moved = []
+    for i, (f, us) in enumerate(zip(features, shifts(len(features), n_repeats, seed))):
+        for r, u in enumerate(us):
+            shift = 1 + int(u * (n - 1)) if n > 1 else 0
+            to = F.pmod(F.col("__rank") - F.lit(1 + shift), F.lit(max(n, 1))) + 1
+            value = F.col(f)
+            moved.append(F.struct(to.alias("to"), F.lit(i).alias("f"), F.lit(r).alias("r"),
+                                  (value.cast("double") if is_num[f] else F.lit(None).cast("double")).alias("num"),
+                                  (F.lit(None).cast("string") if is_num[f] else value.cast("string")).alias("txt")))
+    values = ranked.select(F.explode(F.array(*moved)).alias("v")).select("v.*")
+    joined = ranked.join(values, F.col("__rank") == F.col("to"))
+    own = {f: F.when(F.col("f") == i, F.col("num" if is_num[f] else "txt").cast(types[f])).otherwise(F.col(f)) for i, f in enumerate(features)}
+    permuted = joined.select(F.col("f").alias("__feature"), F.col("r").alias("__repeat"), label, *[c.alias(f) for f, c in own.items()])
+    return permuted.unionByName(ranked.select(F.lit(-1).alias("__feature"), F.lit(0).alias("__repeat"), label, *features))
 
 
 def permutation_importance(scored_fn, df: DataFrame, features: list[str], label: str = "is_fraud",
-                           n_repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Baseline AP minus mean AP after shuffling one column (per repeat a
-    different seed).  ``scored_fn(df)`` must return (label, proba)."""
-    spark = df.sparkSession
-
-    def ap(d: DataFrame) -> float:
-        r = evaluate(scored_fn(d).select(F.col(label).alias("y"), F.col("proba").alias("p"))).first()["pr_auc"]
-        return float(r or 0.0)
-    base = ap(df)
-    rows = []
-    for f in features:
-        drops = [base - ap(shuffle_column(df, f, seed * 1000 + r)) for r in range(n_repeats)]
-        rows.append((f, float(np.mean(drops)), float(np.std(drops))))
-    return spark.createDataFrame(rows, "feature string, importance double, std double")
+                           n_repeats: int = 5, seed: int = 42, id_col: str | None = None) -> DataFrame:
+    """AP of the rows as they are minus mean AP after permuting one column
+    (``n_repeats`` permutations of each).  ``scored_fn(rows, keep)`` returns the
+    columns ``keep`` and proba.
+
+    All permuted rows are scored together, and one distinct-score table keyed by
+    (feature, repeat) gives every AP: the number of jobs does not depend on
+    features or repeats.
+    """
+    keys = ["__feature", "__repeat"]
+    rows = permuted_rows(df, features, label, n_repeats, seed, id_col or df.columns[0])
+    scored = scored_fn(rows, [*keys, label]).select(*keys, F.col(label).alias("y"), F.col("proba").alias("p"))
+    ap = {(r["__feature"], r["__repeat"]): float(r["pr_auc"] or 0.0)
+          for r in curve_metrics(scored, keys).select(*keys, "pr_auc").collect()}      # features x repeats + 1 rows
+    base = ap.get((-1, 0), 0.0)
+    drops = [[base - ap.get((i, r), 0.0) for r in range(n_repeats)] for i in range(len(features))]
+    out = [(f, float(np.mean(d)), float(np.std(d))) for f, d in zip(features, drops)]
+    return df.sparkSession.createDataFrame(out, "feature string, importance double, std double")
 
 
 def run_all_filters(df: DataFrame, features: list[str], corr_threshold: float = 0.95, max_vif: float = 10.0,
                     scored_fn=None, min_importance: float = 1e-4, label: str = "is_fraud",
                     n_repeats: int = 5) -> DataFrame:
-    """Correlation -> VIF -> permutation importance; (feature, kept, stage)."""
+    """Correlation -> VIF -> permutation importance; (feature, kept, stage).  The first column of ``df`` is its id."""
     spark = df.sparkSession
     kept, dropped_c = correlation_filter(df, features, corr_threshold)
     kept2, dropped_v = vif_filter(df, kept, max_vif)

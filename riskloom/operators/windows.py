@@ -5,21 +5,22 @@ same entity that comes earlier in (date, id) order and has date >= date_i - w.
 Earlier rows with an *equal* timestamp count ("row_order" ties); ``ties=
 "strict"`` keeps only rows with date < date_i.
 
-Every frame is unbounded on one side, so a window costs a sort and one pass
-however many rows it holds:
-
-* count and distinct counts are running sums over an event sweep: a row adds
-  at its instant and expires just after instant + w.  A row of a value still
-  live adds nothing, and a row expires silently when the value came again;
-* sum, mean, max and moments need no subtraction: time is cut into blocks of
-  length w, and the past of a row is the prefix of its own block plus the
-  suffix of the block before.  The suffix is carried on the sweep by the last
-  expired row; without one in that block it is the whole block;
-* partitions are (entity, time bucket), a bucket spans ``bucket_factor`` x the
-  longest window, and rows within one window of a bucket's end go to the next
-  bucket as context too.  All sorts reuse that one Exchange;
-* rows without entity or instant have constant features; they are dealt by
-  id, so they meet in no task.
+Plan of one entity: a narrow row (id, entity, instant, amount, attributes) goes
+to its (entity, bucket) and, within the longest window of the bucket's end, to
+the next bucket as context; one Exchange and one sort; a vectorised kernel
+(``window_kernel``) computes all windows of many entities at once; the narrow
+results are joined back to the wide rows by id.  The wide row is in no sort but
+that join's.
+
+Hot entities (more than ``hot_rows`` rows in one bucket) take another way, in
+blocks shorter than the windows (``hot_block``): a task holds the rows of one
+block and of the blocks in which a window can begin, and summaries of the blocks
+between them (counts, sums, extremes, centred moments, distinct values), which
+are grouped aggregates.  More rows of an entity are more or fuller blocks, never
+one task.
+
+Rows without entity or instant have constant features and enter no task.  The
+id must be unique and not NULL.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ from pyspark.sql import functions as F
 
 from riskloom.config import DEFAULT_WINDOWS, Z_EPS
 from riskloom.functions.timecols import US_PER_DAY, US_PER_S, epoch_us, parse_window
-from riskloom.operators.prefix import bucketed_running_sums
+from riskloom.operators import window_kernel as K
+from riskloom.session import ship_package
+
+HOT_ROWS = 1_000_000
+HOT_BLOCK = "1h"
 
 
 def _resolve_attr(df: DataFrame, spec: str | None, candidates: tuple[str, ...]) -> str | None:
@@ -41,224 +46,161 @@ def _resolve_attr(df: DataFrame, spec: str | None, candidates: tuple[str, ...])
     return spec
 
 
-_DEAD_GROUPS = 1 << 16  # rows without entity or instant are dealt over so many groups
-
-
-def _stats(x: Column, over, moments: bool) -> Column:
-    """Aggregates of one frame; every frame used here is unbounded on one side."""
-    none = F.lit(None).cast("double")
-    return F.struct(F.count(x).over(over).alias("n"), F.sum(x).over(over).alias("s"), F.max(x).over(over).alias("x"),
-                    (F.avg(x).over(over) if moments else none).alias("m"),
-                    (F.var_samp(x).over(over) if moments else none).alias("v"))
-
-
-def _stage(df: DataFrame, span: int, w_max: int) -> DataFrame:
-    """One row per (row, bucket): its own bucket (target) and, within w_max of
-    the bucket's end, the next one (context, without the payload)."""
-    live = F.col("__e").isNotNull() & F.col("__us").isNotNull()
-    b = F.floor(F.col("__us") / F.lit(span)).cast("long")
-    own = F.when(live, b).otherwise(F.pmod(F.xxhash64("__id"), F.lit(_DEAD_GROUPS)))
-    both = live & (F.col("__us") + F.lit(w_max) >= (b + 1) * F.lit(span))
-    out = df.withColumn("__live", live).withColumn("__b0", own) \
-        .withColumn("__b", F.explode(F.when(both, F.array("__b0", F.col("__b0") + 1)).otherwise(F.array("__b0")))) \
-        .withColumn("__tgt", F.col("__b") == F.col("__b0"))
-    # the one shuffle: every later window partitions by these two columns and more
-    return out.withColumn("__row", F.when(F.col("__tgt"), F.col("__row"))).drop("__b0").repartition("__e", "__b")
-
-
-def _block_parts(s: DataFrame, lens: list[int], span: int, z_us: int | None, strict: bool, recency: bool) -> DataFrame:
-    """Per window length: eligibility for this bucket, block number, prefix
-    before the row, suffix after it, and the whole block before (if any)."""
-    us = F.col("__us")
-    s = s.withColumns({f"__el{k}": F.col("__live") & (us + F.lit(w) >= F.col("__b") * F.lit(span))
-                       for k, w in enumerate(lens)}
-                      | {f"__k{k}": F.floor(us / F.lit(w)).cast("long") for k, w in enumerate(lens)})
-    parts = {}
-    for k, w_us in enumerate(lens):
-        x = F.when(F.col(f"__el{k}"), F.col("__a"))
-        block = Window.partitionBy("__e", "__b", f"__k{k}")
-        asc = block.orderBy("__us", "__id")
-        before = block.orderBy("__us").rangeBetween(Window.unboundedPreceding, -1) if strict \
-            else asc.rowsBetween(Window.unboundedPreceding, -1)
-        after = block.orderBy(F.desc("__us"), F.desc("__id")).rowsBetween(Window.unboundedPreceding, -1)
-        mom = w_us == z_us
-        parts |= {f"__p{k}": _stats(x, before, mom), f"__s{k}": _stats(x, after, mom),
-                  f"__i{k}": _stats(x, asc.rowsBetween(Window.unboundedPreceding, 0), mom)}
-    s = s.withColumns(parts)
-    whole = Window.partitionBy("__e", "__b").orderBy("__us", "__id")
-    lags = {f"__l{k}": F.lag(F.struct(F.col(f"__k{k}").alias("k"), F.col(f"__i{k}").alias("i"))).over(whole)
-            for k in range(len(lens))}
-    if recency:
-        lags["__lag_us"] = F.lag("__us").over(whole)
-    s = s.withColumns(lags)
-    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
-    # the first row of a block sees the last row, and so the total, of the block before; the others take it over
-    s = s.withColumns({f"__t{k}": F.last(F.when(F.col(f"__l{k}.k") != F.col(f"__k{k}"), F.col(f"__l{k}")),
-                                         ignorenulls=True).over(upto) for k in range(len(lens))})
-    return s.drop(*[f"__{c}{k}" for c in "li" for k in range(len(lens))])
-
-
-def _sweep(s: DataFrame, lens: list[int], span: int, attrs: list[str], strict: bool, recency: bool) -> DataFrame:
-    """Event sweep per (entity, bucket): per window length the live count, live
-    distinct counts and the last expired row with the suffix after it."""
-    us, start = F.col("__us"), F.col("__b") * F.lit(span)
-    ks = range(len(lens))
-    seen = {}
+def _contiguous(rows: DataFrame, spec: K.Spec) -> DataFrame:
+    """Features by whole buckets of ``spec.span`` with context from the bucket before."""
+    w_max, attrs = max(spec.lengths), list(spec.attrs)
+    b = F.floor(F.col("us") / F.lit(spec.span)).cast("long")
+    reaches = F.col("us") + F.lit(w_max) >= (F.col("own") + 1) * F.lit(spec.span)
+    own = F.struct(F.col("own").alias("b"), F.lit(K.OWN).alias("kind"))
+    after = F.struct((F.col("own") + 1).alias("b"), F.lit(K.CONTEXT).alias("kind"))
+    staged = rows.withColumn("own", b) \
+        .withColumn("to", F.explode(F.when(reaches, F.array(own, after)).otherwise(F.array(own)))) \
+        .select("e", "to.b", "to.kind", "us", "id", "a", *attrs)
+    if spec.recency:
+        last = rows.groupBy("e", b.alias("b")).agg(F.max("us").alias("last"))
+        before = Window.partitionBy("e").orderBy("b")
+        carry = last.select("e", "b", F.lag("last").over(before).alias("us")).where("us is not null")
+        empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("id", "a", *attrs)]
+        staged = staged.unionByName(carry.select("e", "b", F.lit(K.CARRY).alias("kind"), "us", *empty))
+    return _run(staged, K.contiguous(spec), rows, spec)
+
+
+def _run(staged: DataFrame, kernel, rows: DataFrame, spec: K.Spec) -> DataFrame:
+    ship_package(rows.sparkSession)
+    out = ", ".join(f"{n} {t}" for n, t in [("id", rows.schema["id"].dataType.simpleString()), *spec.fields()])
+    return staged.repartition("e", "b").sortWithinPartitions("e", "b", "us", "id").mapInArrow(kernel, out)
+
+
+def _blocked(rows: DataFrame, spec: K.Spec, block: int) -> DataFrame:
+    """Features by blocks shorter than the windows, for entities of any size."""
+    lengths, attrs = spec.lengths, list(spec.attrs)
+    rows = rows.withColumn("b", F.floor(F.col("us") / F.lit(block)).cast("long"))
+    blocks = rows.groupBy("e", "b").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("a").alias("n"), F.sum("a").alias("s"), F.max("a").alias("mx"), F.min("a").alias("mn"),
+        F.avg("a").alias("avg"), F.var_pop("a").alias("var"), F.max("us").alias("last"),
+        F.min(F.when(F.abs("a") < float("inf"), F.struct("us", "id", "a"))).alias("first"))
+    of_entity = Window.partitionBy("e")
+    by_block = of_entity.orderBy("b")
+    blocks = blocks.withColumns({
+        "centre": F.coalesce(F.min("first").over(of_entity)["a"], F.lit(0.0)),      # no later value may move a result
+        "before": F.max("last").over(by_block.rowsBetween(Window.unboundedPreceding, -1))})
+    off = F.col("avg") - F.col("centre")
+    blocks = blocks.withColumns({"s1": F.col("n") * off, "s2": F.col("n") * (off * off + F.col("var"))})
+
+    # Blocks that have a value, with the nearest ones before and after; the values a window's middle has.
+    counts, middle = None, {k: w // block for k, w in enumerate(lengths) if w // block >= 2}
     for c in attrs:
-        same = Window.partitionBy("__e", "__b", c).orderBy("__us", "__id")
-        seen |= {f"{c}_prev": F.lag("__us").over(same), f"{c}_next": F.lead("__us").over(same)}
-    s = s.withColumns(seen) if seen else s
-
-    def adds(c: str, w: int) -> Column:  # no row of this value is live any more
-        prev = F.col(f"{c}_prev")
-        return F.col(c).isNotNull() & (prev.isNull() | (prev + F.lit(w) < F.greatest(us, start)))
-
-    def ends(c: str, w: int) -> Column:  # the value does not come again while the row is live
-        nxt = F.col(f"{c}_next")
-        return F.col(c).isNotNull() & (nxt.isNull() | (nxt > us + F.lit(w)))
-
-    # one array of events per row: k = -1 the row itself with what each window gains, else the expiry of window k
-    gain = F.struct(*[F.struct(F.col(f"__el{k}").cast("long").alias("n"),
-                               *[(F.col(f"__el{k}") & adds(c, w)).cast("long").alias(c) for c in attrs]).alias(f"w{k}")
-                      for k, w in enumerate(lens)])
-    keeps = ["__us", "__a", "__live", "__row"] + (["__lag_us"] if recency else []) \
-        + [f"__{c}{k}" for k in ks for c in "kpt"]
-    own = F.when(F.col("__tgt"), F.struct(*keeps))
-    loss = [F.struct((us + F.lit(w)).alias("t"), F.lit(k).alias("k"),
-                     F.struct(F.lit(-1).cast("long").alias("n"), *[(-ends(c, w).cast("long")).alias(c) for c in attrs]).alias("d"),
-                     F.struct(us.alias("u"), F.col("__id").alias("i"), F.col(f"__k{k}").alias("k"),
-                              F.col(f"__s{k}").alias("s")).alias("x")) for k, w in enumerate(lens)]
-    end = start + F.lit(span)
-    expiries = F.array(*[F.when(F.col(f"__el{k}") & (us + F.lit(w) < end), loss[k]) for k, w in enumerate(lens)])
-    rows = s.select("__e", "__b", "__id", us.alias("__us"), gain.alias("__gain"), own.alias("__own"),
-                    expiries.alias("__exp"))
-    ev = rows.select("__e", "__b", "__id", "__us", "__gain", "__own", F.posexplode(
-        F.concat(F.array(F.lit(None).cast(rows.schema["__exp"].dataType.elementType)), "__exp")).alias("__pos", "__x"))
-    is_row = F.col("__pos") == 0
-    ev = ev.where(is_row | F.col("__x").isNotNull()).select(
-        "__e", "__b", "__id", F.when(is_row, F.col("__us")).otherwise(F.col("__x.t")).alias("__t"),
-        F.when(is_row, 0).otherwise(1).alias("__kind"), F.when(is_row, F.col("__gain")).alias("__gain"),
-        F.when(is_row, F.col("__own")).alias("__own"), "__x")
-    part = Window.partitionBy("__e", "__b")
-    past = part.orderBy((F.col("__t") * 2 + F.col("__kind"))).rangeBetween(Window.unboundedPreceding, -1) if strict \
-        else part.orderBy("__t", "__kind", "__id").rowsBetween(Window.unboundedPreceding, -1)
-    new = {}
-    for k in ks:
-        gone = F.col("__x.k") == k
-        for c, name in [("n", "__cnt"), *[(c, f"{c}_n") for c in attrs]]:
-            step = F.when(gone, F.col("__x.d")[c]).otherwise(F.col(f"__gain.w{k}")[c])
-            new[f"{name}{k}"] = F.coalesce(F.sum(step).over(past), F.lit(0))
-        new[f"__x{k}"] = F.max(F.when(gone, F.col("__x.x"))).over(past)
-    ev = ev.withColumns(new).where(F.col("__own").isNotNull()) \
-        .select("__b", "__own.*", *new)
-    # the part of the past in the block before: after the last expired row, or the whole block
-    return ev.withColumns({f"__o{k}": F.when(F.col(f"__x{k}.k") == F.col(f"__k{k}") - 1, F.col(f"__x{k}.s"))
-                           .when(F.col(f"__t{k}.k") == F.col(f"__k{k}") - 1, F.col(f"__t{k}.i")) for k in ks})
-
-
-def add_velocity(
-    df: DataFrame,
-    entity_col: str,
-    prefix: str,
-    *,
-    date_col: str = "date",
-    amount_col: str = "amount",
-    id_col: str = "id",
-    merchant_col: str | None = "auto",
-    mcc_col: str | None = "auto",
-    windows: dict[str, int | str] | None = None,
-    ties: str = "row_order",
-    bucket_factor: int = 1,
-    z_window: str | None = None,
-    z_eps: float = Z_EPS,
-    recency: bool = False,
-    history: DataFrame | None = None,
-) -> DataFrame:
+        has = rows.where(F.col(c).isNotNull()).groupBy("e", c, "b").agg(F.count(F.lit(1)).alias("k")).drop("k")
+        order = Window.partitionBy("e", c).orderBy("b")
+        has = has.withColumns({f"{c}_pb": F.lag("b").over(order), f"{c}_nb": F.lead("b").over(order)})
+        # A block stands for a value from the next block on, until the value comes again or the middle has passed.
+        steps = []
+        for k, q in middle.items():
+            until = F.least(F.col(f"{c}_nb"), F.col("b") + F.lit(q - 1)) + 1
+            steps += [F.struct((F.col("b") + 1).alias("x"), F.lit(f"{c}{k}").alias("of"), F.lit(1).alias("d")),
+                      F.struct(until.alias("x"), F.lit(f"{c}{k}").alias("of"), F.lit(-1).alias("d"))]
+        if steps:
+            part = has.select("e", F.explode(F.array(*steps)).alias("t")).select("e", "t.x", "t.of", "t.d")
+            counts = part if counts is None else counts.unionByName(part)
+        rows = rows.join(has, ["e", c, "b"], "left")
+    if counts is not None:
+        of = [f"{c}{k}" for c in attrs for k in middle]
+        marks = blocks.select("e", F.col("b").alias("x"), F.lit("").alias("of"), F.lit(0).alias("d"))
+        at = counts.unionByName(marks).groupBy("e", "x").agg(*[F.sum(F.when(F.col("of") == x, F.col("d")).otherwise(0)).alias(x) for x in of])
+        running = Window.partitionBy("e").orderBy("x")
+        blocks = blocks.join(at.select("e", F.col("x").alias("b"), *[F.sum(x).over(running).alias(f"m_{x}") for x in of]), ["e", "b"])
+    mid = [F.col("centre"), F.col("before")]
+    for k in range(len(lengths)):
+        if k in middle:
+            over = by_block.rangeBetween(-(middle[k] - 1), -1)       # as many rows as blocks in a window, whatever they hold
+            mid += [F.sum("rows").over(over), F.sum("n").over(over), F.sum("s").over(over), F.max("mx").over(over), F.min("mn").over(over),
+                    F.sum("s1").over(over), F.sum("s2").over(over), *[F.col(f"m_{c}{k}") for c in attrs]]
+        else:
+            mid += [F.lit(None)] * (K.MID + len(attrs))
+    summary = blocks.select("e", "b", F.lit(-1).alias("kind"), F.array(*[m.cast("double") for m in mid]).alias("mid"))
+
+    back = sorted({0} | {d for w in lengths for d in K.offsets(w, block)})
+    near = [f"{c}_{x}" for c in attrs for x in ("pb", "nb")]
+    staged = rows.withColumn("kind", F.explode(F.array(*[F.lit(d) for d in back]))) \
+        .select("e", (F.col("b") + F.col("kind")).alias("b"), "kind", "us", "id", "a", *attrs, *near, F.lit(None).cast("array<double>").alias("mid"))
+    empty = [F.lit(None).cast(staged.schema[c].dataType).alias(c) for c in ("id", "a", *attrs, *near)]
+    staged = staged.unionByName(summary.select("e", "b", "kind", F.lit(0).cast("long").alias("us"), *empty, "mid"))
+    return _run(staged, K.blocked(spec, block), rows, spec)
+
+
+def velocity_features(df: DataFrame, entity_col: str, prefix: str, *, date_col: str = "date", amount_col: str = "amount",
+                      id_col: str = "id", merchant_col: str | None = "auto", mcc_col: str | None = "auto",
+                      windows: dict[str, int | str] | None = None, ties: str = "row_order", bucket_factor: int = 1,
+                      z_window: str | None = None, z_eps: float = Z_EPS, recency: bool = False,
+                      hot_rows: int | None = HOT_ROWS, hot_block: int | str = HOT_BLOCK) -> tuple[DataFrame, dict[str, Column]]:
+    """(narrow table, columns): the table has ``__fid`` and the features of the rows
+    with entity and instant; ``columns`` maps each feature name to its expression
+    after a left join by id (the constants of an empty past where no row joined).
+
+    ``hot_rows``: rows of an entity in one bucket (``bucket_factor`` x the longest
+    window) from which the entity goes by blocks of ``hot_block``; None: never.
+    """
+    if ties not in ("row_order", "strict"):
+        raise ValueError("ties must be 'row_order' or 'strict'")
+    wins = {k: parse_window(v) * US_PER_S for k, v in (windows or DEFAULT_WINDOWS).items()}
+    z_us = parse_window(z_window) * US_PER_S if z_window else None
+    lengths = sorted(set(wins.values()) | ({z_us} if z_us else set()))
+    merch = _resolve_attr(df, merchant_col, ("merchant_id",))
+    mcc = _resolve_attr(df, mcc_col, ("mcc_str", "mcc"))
+    attrs = {k: v for k, v in {"um": (merch, "unique_merchants"), "uc": (mcc, "unique_mcc")}.items() if v[0]}
+    spec = K.Spec(tuple(lengths), max(1, bucket_factor) * lengths[-1], tuple(attrs), ties == "strict",
+                  lengths.index(z_us) if z_us else None, z_eps, recency)
+    rows = df.select(F.col(id_col).alias("id"), F.col(entity_col).alias("e"), epoch_us(date_col).alias("us"),
+                     F.col(amount_col).cast("double").alias("a"), *[F.col(v[0]).alias(k) for k, v in attrs.items()]) \
+        .where(F.col("e").isNotNull() & F.col("us").isNotNull())
+
+    found = None
+    if hot_rows is not None:
+        crowded = rows.groupBy("e", F.floor(F.col("us") / F.lit(spec.span)).alias("b")).agg(F.count(F.lit(1)).alias("n")) \
+            .where(F.col("n") > hot_rows).select("e").distinct()
+        if not crowded.isEmpty():
+            hot = F.broadcast(crowded)          # at most one entity for each hot_rows rows of the table
+            found = _blocked(rows.join(hot, "e", "left_semi"), spec, parse_window(hot_block) * US_PER_S)
+            rows = rows.join(hot, "e", "left_anti")
+    rest = _contiguous(rows, spec)
+    found = rest if found is None else found.unionByName(rest)
+
+    columns: dict[str, Column] = {}
+    none = F.lit(0).cast("long")
+    for label, w in wins.items():
+        k = lengths.index(w)
+        columns |= {f"{prefix}_tx_count_{label}": F.coalesce(f"__{prefix}_n{k}", none),
+                    f"{prefix}_amount_sum_{label}": F.coalesce(f"__{prefix}_s{k}", F.lit(0.0)),
+                    f"{prefix}_amount_mean_{label}": F.col(f"__{prefix}_m{k}"), f"{prefix}_amount_max_{label}": F.col(f"__{prefix}_x{k}")}
+        columns |= {f"{prefix}_{name}_{label}": F.coalesce(f"__{prefix}_{c}{k}", none) for c, (_, name) in attrs.items()}
+    if z_us:
+        columns["z_score_amount"] = F.col(f"__{prefix}_z")
+    if recency:
+        columns[f"time_since_last_tx_{prefix}"] = F.col(f"__{prefix}_since")
+    return found.select(F.col("id").alias("__fid"), *[F.col(n).alias(f"__{prefix}_{n}") for n, _ in spec.fields()]), columns
+
+
+def attach_features(df: DataFrame, id_col: str, parts: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """``df`` with the features of ``parts``, joined by id (one sort of the wide rows for all of them)."""
+    out, columns = df, {}
+    for i, (narrow, cols) in enumerate(parts):
+        out = out.join(narrow.withColumnRenamed("__fid", f"__fid{i}"), F.col(id_col) == F.col(f"__fid{i}"), "left")
+        columns |= cols
+    return out.select(*[df[c] for c in df.columns], *[c.alias(n) for n, c in columns.items()])
+
+
+def add_velocity(df: DataFrame, entity_col: str, prefix: str, *, id_col: str = "id", **options) -> DataFrame:
     """W1-W7 (+ W10 z-score, + W8 recency) for one entity after one Exchange.
 
     Adds ``{prefix}_tx_count_{w}``, ``{prefix}_amount_sum_{w}``,
     ``{prefix}_amount_mean_{w}``, ``{prefix}_amount_max_{w}``,
     ``{prefix}_unique_merchants_{w}``, ``{prefix}_unique_mcc_{w}`` per window;
     ``z_score_amount`` when ``z_window`` is set; ``time_since_last_tx_{prefix}``
-    when ``recency``.  ``history`` has the same rows as ``df`` by a shorter plan
-    (``df`` before features were added); recency reads earlier buckets from it.
+    when ``recency``.  Options: those of ``velocity_features``.
     Empty past: count 0, sum 0, mean/max NULL, unique 0, z NULL.  Rows without
     entity or instant: the same.
     """
-    if ties not in ("row_order", "strict"):
-        raise ValueError("ties must be 'row_order' or 'strict'")
-    wins = {k: parse_window(v) * US_PER_S for k, v in (windows or DEFAULT_WINDOWS).items()}
-    z_us = parse_window(z_window) * US_PER_S if z_window else None
-    lens = sorted(set(wins.values()) | ({z_us} if z_us else set()))
-    span = max(1, bucket_factor) * lens[-1]
-    strict = ties == "strict"
-    merch = _resolve_attr(df, merchant_col, ("merchant_id",))
-    mcc = _resolve_attr(df, mcc_col, ("mcc_str", "mcc"))
-    attrs = {"__m": (merch, "unique_merchants"), "__c": (mcc, "unique_mcc")}
-    attrs = {k: v for k, v in attrs.items() if v[0]}
-
-    cols = df.columns
-    base = df.select(F.struct(*[F.col(c) for c in cols]).alias("__row"), epoch_us(date_col).alias("__us"),
-                     F.col(entity_col).alias("__e"), F.col(id_col).alias("__id"),
-                     F.col(amount_col).cast("double").alias("__a"),
-                     *[F.col(v[0]).alias(k) for k, v in attrs.items()])
-    s = _block_parts(_stage(base, span, lens[-1]), lens, span, z_us, strict, recency)
-    s = _sweep(s, lens, span, list(attrs), strict, recency)
-
-    live = F.col("__live")
-    out = []
-    for label, w_us in wins.items():
-        k = lens.index(w_us)
-        p, o = F.col(f"__p{k}"), F.col(f"__o{k}")
-        n = F.coalesce(p["n"], F.lit(0)) + F.coalesce(o["n"], F.lit(0))
-        total = F.coalesce(p["s"], F.lit(0.0)) + F.coalesce(o["s"], F.lit(0.0))
-        out += [F.when(live, F.col(f"__cnt{k}")).otherwise(F.lit(0).cast("long")).alias(f"{prefix}_tx_count_{label}"),
-                F.when(live, total).otherwise(F.lit(0.0)).alias(f"{prefix}_amount_sum_{label}"),
-                F.when(live & (n > 0), total / n).alias(f"{prefix}_amount_mean_{label}"),
-                F.when(live, F.greatest(p["x"], o["x"])).alias(f"{prefix}_amount_max_{label}")]
-        out += [F.when(live, F.col(f"{c}_n{k}")).otherwise(F.lit(0).cast("long")).alias(f"{prefix}_{name}_{label}")
-                for c, (_, name) in attrs.items()]
-    if z_us:
-        k = lens.index(z_us)
-        out.append(F.when(live, _z_score(F.col("__a"), F.col(f"__p{k}"), F.col(f"__o{k}"), z_eps)).alias("z_score_amount"))
-    payload = [F.col("__row")[c].alias(c) for c in cols]
-    if not recency:
-        return s.select(*payload, *out)
-    res = s.select(*payload, "__us", "__b", *out, "__lag_us")
-    return _finish_recency(res, df if history is None else history, entity_col, prefix, span, date_col).drop("__us", "__b")
-
-
-def _z_score(amt: Column, p: Column, o: Column, eps: float) -> Column:
-    """(a - mean) / (std + eps) over the past; std ddof=1, 0 with one past
-    value, NULL with none.  The moments of both parts are merged with the
-    parallel-variance formula (no sum-of-squares cancellation)."""
-    n1, n2 = F.coalesce(p["n"], F.lit(0)), F.coalesce(o["n"], F.lit(0))
-    m1, m2 = F.coalesce(p["m"], F.lit(0.0)), F.coalesce(o["m"], F.lit(0.0))
-    q1, q2 = F.coalesce(p["v"] * (n1 - 1), F.lit(0.0)), F.coalesce(o["v"] * (n2 - 1), F.lit(0.0))
-    n = n1 + n2
-    mean = F.try_divide(m1 * n1 + m2 * n2, n)
-    sq = q1 + q2 + (m2 - m1) * (m2 - m1) * F.try_divide((n1 * n2).cast("double"), n)
-    std = F.when(n >= 2, F.sqrt(F.greatest(F.try_divide(sq, n - 1), F.lit(0.0)))).otherwise(F.lit(0.0))
-    return F.when(n > 0, (amt - mean) / (std + F.lit(eps)))
-
-
-def _finish_recency(res: DataFrame, src: DataFrame, entity_col: str, prefix: str,
-                    span: int, date_col: str = "date") -> DataFrame:
-    """Rows whose previous row lies before the halo (older than the bucket's
-    context) take the latest instant of all earlier buckets of the entity,
-    from a small (entity, bucket) -> max(us) table."""
-    per_bucket = (src.select(F.col(entity_col).alias("__re"),
-                             F.floor(epoch_us(date_col) / F.lit(span)).cast("long").alias("__rb"),
-                             epoch_us(date_col).alias("__rus"))
-                  .where(F.col("__re").isNotNull() & F.col("__rus").isNotNull())
-                  .groupBy("__re", "__rb").agg(F.max("__rus").alias("__rmax")))
-    w = Window.partitionBy("__re").orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
-    prev = per_bucket.select("__re", "__rb", F.max("__rmax").over(w).alias("__prev_us"))
-    j = res.join(prev, (F.col(entity_col) == F.col("__re")) & (F.col("__b") == F.col("__rb")), "left")
-    last = F.coalesce(F.col("__lag_us"), F.col("__prev_us"))
-    val = F.when(F.col(entity_col).isNull(), F.lit(None).cast("double")) \
-        .otherwise((F.col("__us") - last) / F.lit(float(US_PER_S)))
-    return j.withColumn(f"time_since_last_tx_{prefix}", val).drop("__re", "__rb", "__prev_us", "__lag_us")
+    return attach_features(df, id_col, [velocity_features(df, entity_col, prefix, id_col=id_col, **options)])
 
 
 def add_time_since_last_tx(df: DataFrame, entities=(("card_id", "card"), ("client_id", "user")),
@@ -296,11 +238,10 @@ def _running_prev_max(df: DataFrame, entity: str, id_col: str, bucket_us: int) -
         .drop("__pe", "__pd", "__pmax", "__lag")
 
 
-def add_novelty(df: DataFrame, *, date_col: str = "date", id_col: str = "id",
-                entities=(("card_id", "card"), ("client_id", "user")),
-                attrs: tuple | None = None) -> DataFrame:
-    """``first_time_{attr}_{entity}`` = 1 on the first row (date, id) of
-    each (entity, attribute) pair; NULL attribute or entity -> 0.
+def novelty_flags(df: DataFrame, *, date_col: str = "date", id_col: str = "id",
+                  entities=(("card_id", "card"), ("client_id", "user")),
+                  attrs: tuple | None = None) -> tuple[DataFrame, dict[str, Column]] | None:
+    """(narrow table by ``__fid``, columns) of the flags of ``add_novelty``; None without any pair of columns.
 
     Plan: one scan explodes each row into its (flag, entity, attribute) keys;
     per key ``min(struct(us, id))`` is a partial aggregation, so a hot pair is
@@ -323,7 +264,7 @@ def add_novelty(df: DataFrame, *, date_col: str = "date", id_col: str = "id",
                                 F.struct(F.lit(name).alias("f"), F.col(entity).cast("string").alias("e"),
                                          F.col(attr).cast("string").alias("a"))))
     if not names:
-        return df
+        return None
     # one scan: every row becomes up to len(names) (flag, entity, attribute) keys
     keyed = df.select(epoch_us(date_col).alias("__u"), F.col(id_col).alias("__i"),
                       F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("__k"))
@@ -331,19 +272,25 @@ def add_novelty(df: DataFrame, *, date_col: str = "date", id_col: str = "id",
         .select(F.col("__m.__i").alias("__fid"), F.col("__k.f").alias("__flag"))
     flags = firsts.groupBy("__fid").agg(
         *[F.max(F.when(F.col("__flag") == n, 1).otherwise(0)).alias(n) for n in names])
-    j = df.join(flags, df[id_col] == flags["__fid"], "left")
-    return j.select(*[df[c] for c in df.columns],
-                    *[F.coalesce(F.col(n), F.lit(0)).cast("int").alias(n) for n in names])
+    return flags, {n: F.coalesce(F.col(n), F.lit(0)).cast("int") for n in names}
+
+
+def add_novelty(df: DataFrame, *, id_col: str = "id", **options) -> DataFrame:
+    """``first_time_{attr}_{entity}`` = 1 on the first row (date, id) of
+    each (entity, attribute) pair; NULL attribute or entity -> 0.  Options: those
+    of ``novelty_flags``."""
+    flags = novelty_flags(df, id_col=id_col, **options)
+    return attach_features(df, id_col, [flags]) if flags else df
 
 
 def add_z_score_amount(df: DataFrame, *, date_col: str = "date", amount_col: str = "amount",
                        entity_col: str = "client_id", window: str = "7d", eps: float = Z_EPS,
                        id_col: str = "id", ties: str = "row_order", bucket_factor: int = 1) -> DataFrame:
     """W10 alone: z-score of the amount against the entity's past window."""
-    out = add_velocity(df, entity_col, "__z", date_col=date_col, amount_col=amount_col,
-                       id_col=id_col, merchant_col=None, mcc_col=None, windows={"w": window},
-                       ties=ties, bucket_factor=bucket_factor, z_window=window, z_eps=eps)
-    return out.drop(*[c for c in out.columns if c.startswith("__z_")])
+    narrow, columns = velocity_features(df, entity_col, "z", date_col=date_col, amount_col=amount_col, id_col=id_col,
+                                        merchant_col=None, mcc_col=None, windows={"w": window}, ties=ties,
+                                        bucket_factor=bucket_factor, z_window=window, z_eps=eps)
+    return attach_features(df, id_col, [(narrow, {"z_score_amount": columns["z_score_amount"]})])
 
 
 def add_velocity_ratios(df: DataFrame, prefix: str, pairs=(("1h", "24h"), ("24h", "7d"))) -> DataFrame:
@@ -359,20 +306,24 @@ def add_velocity_ratios(df: DataFrame, prefix: str, pairs=(("1h", "24h"), ("24h"
     return out
 
 
-def add_behavioral_features(df: DataFrame, *, date_col: str = "date", amount_col: str = "amount",
-                            windows: dict | None = None, z_window: str = "7d", eps: float = Z_EPS,
-                            ties: str = "row_order", bucket_factor: int = 1) -> DataFrame:
+def behavioral_parts(df: DataFrame, *, date_col: str = "date", amount_col: str = "amount", windows: dict | None = None,
+                     z_window: str = "7d", eps: float = Z_EPS, ties: str = "row_order",
+                     bucket_factor: int = 1) -> list[tuple[DataFrame, dict[str, Column]]]:
+    """The narrow tables of ``add_behavioral_features``, for ``attach_features``."""
+    options = dict(date_col=date_col, amount_col=amount_col, windows=windows, ties=ties, bucket_factor=bucket_factor, recency=True)
+    parts = []
+    if "card_id" in df.columns:
+        parts.append(velocity_features(df, "card_id", "card", **options))
+    if "client_id" in df.columns:
+        parts.append(velocity_features(df, "client_id", "user", z_window=z_window, z_eps=eps, **options))
+    return parts + [p for p in [novelty_flags(df, date_col=date_col)] if p]
+
+
+def add_behavioral_features(df: DataFrame, **options) -> DataFrame:
     """Card and user velocity, recency, novelty and the user z-score.
 
-    Two entity passes (one Exchange each, recency folded in), then
-    one aggregation + id join for the novelty flags.
+    Each entity's features and the novelty flags are narrow tables by id, made
+    from the columns they need; all are joined to the wide rows at once.
+    Options: those of ``behavioral_parts``.
     """
-    out = df
-    if "card_id" in df.columns:
-        out = add_velocity(out, "card_id", "card", date_col=date_col, amount_col=amount_col,
-                           windows=windows, ties=ties, bucket_factor=bucket_factor, recency=True, history=df)
-    if "client_id" in df.columns:
-        out = add_velocity(out, "client_id", "user", date_col=date_col, amount_col=amount_col,
-                           windows=windows, ties=ties, bucket_factor=bucket_factor,
-                           z_window=z_window, z_eps=eps, recency=True, history=df)
-    return add_novelty(out, date_col=date_col)
+    return attach_features(df, "id", behavioral_parts(df, **options))

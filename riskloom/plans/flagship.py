@@ -13,8 +13,7 @@ from riskloom.plans import views as V
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = V.tx(spark, sf_dir)
-    feats = windows.add_behavioral_features(t)
-    feats = risk.add_risk_aggregates(feats)
+    feats = windows.attach_features(t, "id", windows.behavioral_parts(t) + [risk.rate_features(t, risk.risk_rates(t))])
     scored = risk_level(feats, "p")
     return scored.select(
         "id", "date", "card_id", "client_id", "amount", "risk_score", "level", "action",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskloom.config import ACTIONS
 from riskloom.plans.views import FACT_ORDERS_SQL, TX_SQL
 
 R = 6
@@ -109,8 +110,7 @@ UNION ALL
  LIMIT greatest(0, 2000 - (SELECT count(*) FROM lab WHERE is_fraud = 1)))"""
     q["risk_level"] = f"""WITH {TX_SQL}
 SELECT id, round(round(p, 6), {R}) AS risk_score, {LEVEL} AS level,
-  CASE WHEN p >= 0.7 THEN 'Block transaction / route to manual review'
-       WHEN p >= 0.3 THEN 'Step-up authentication / flag for watchlist' ELSE 'Auto-approve' END AS action
+  CASE WHEN p >= 0.7 THEN '{ACTIONS["HIGH"]}' WHEN p >= 0.3 THEN '{ACTIONS["MEDIUM"]}' ELSE '{ACTIONS["LOW"]}' END AS action
 FROM tx"""
     q["feature_fill"] = f"""WITH j AS ({q['label_join']})
 SELECT doc_id, coalesce(nullif(lang, 'nan'), '__missing__') AS lang,
@@ -190,6 +190,15 @@ t AS (SELECT least(CAST(floor((amount - lo) / width) AS INTEGER), 59) AS bin, lo
 SELECT bin, round(any_value(lo) + bin * any_value(width), {R}) AS bin_lo,
        round(any_value(lo) + (bin + 1) * any_value(width), {R}) AS bin_hi, count(*) AS n
 FROM t GROUP BY bin"""
+    parts = []
+    for c in ("amount", "p"):
+        parts.append(f"""SELECT '{c}' AS "column", round(any_value(q1), {R}) AS q1, round(any_value(q2), {R}) AS median,
+  round(any_value(q3), {R}) AS q3, round(min({c}) FILTER (WHERE inside), {R}) AS whisker_lo,
+  round(max({c}) FILTER (WHERE inside), {R}) AS whisker_hi, count(*) FILTER (WHERE NOT inside) AS n_outliers,
+  round(min({c}), {R}) AS min, round(max({c}), {R}) AS max
+FROM (SELECT {c}, q1, q2, q3, {c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+      FROM tx, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS q2, quantile_cont({c}, 0.75) AS q3 FROM tx))""")
+    q["box_stats"] = f"WITH {TX_SQL} " + " UNION ALL ".join(parts)
     q["trim_quantiles"] = f"""WITH {TX_SQL},
 b AS (SELECT quantile_cont(amount, 0.01) AS lo, quantile_cont(amount, 0.99) AS hi FROM tx)
 SELECT id, round(amount, {R}) AS amount FROM tx, b WHERE amount BETWEEN lo AND hi"""

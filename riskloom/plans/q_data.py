@@ -201,6 +201,10 @@ def q_amount_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(eda.amount_histogram(V.tx(spark, sf), "amount", 60))
 
 
+def q_box_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(eda.box_stats(V.tx(spark, sf), ["amount", "p"]))
+
+
 def q_trim_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(eda.trim_quantiles(V.tx(spark, sf), "amount").select("id", "amount"))
 
@@ -226,7 +230,7 @@ QUERIES = {
     "schema_audit": q_schema_audit, "dq_checks": q_dq_checks, "daily_volume": q_daily_volume,
     "fraud_rate_by_year": q_fraud_rate_by_year, "label_coverage": q_label_coverage,
     "volume_by_hour_dow": q_volume_by_hour_dow, "amount_histogram": q_amount_histogram,
-    "trim_quantiles": q_trim_quantiles, "corr_matrix": q_corr_matrix, "alert_counts": q_alert_counts,
+    "box_stats": q_box_stats, "trim_quantiles": q_trim_quantiles, "corr_matrix": q_corr_matrix, "alert_counts": q_alert_counts,
 }
 
 __all__ = ["ACTIONS", "QUERIES", "TX_SPLITS", "DRIFT_CUT"]

@@ -23,21 +23,17 @@ def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
     the toy score, the past-only merchant fraud rate, and a squashed amount."""
     t = RK.add_merchant_fraud_rate(V.tx(spark, sf))
     lab = t.where(F.col("has_label") & F.col("is_fraud").isNotNull())
-    a = lab.select(F.lit("toy_p").alias("model"), "id", F.col("is_fraud").alias("y"), "p")
-    b = lab.select(F.lit("merchant_rate").alias("model"), "id", F.col("is_fraud").alias("y"),
-                   F.col("merchant_historical_fraud_rate").alias("p"))
-    c = lab.select(F.lit("amount_squash").alias("model"), "id", F.col("is_fraud").alias("y"),
-                   (F.col("amount") / (F.col("amount") + 100.0)).alias("p"))
-    return a.unionByName(b).unionByName(c)
+    scores = {"toy_p": F.col("p"), "merchant_rate": F.col("merchant_historical_fraud_rate"),
+              "amount_squash": F.col("amount") / (F.col("amount") + 100.0)}
+    each = F.array(*[F.struct(F.lit(m).alias("model"), s.alias("p")) for m, s in scores.items()])
+    return lab.select("id", F.col("is_fraud").alias("y"), F.explode(each).alias("s")).select("s.model", "id", "y", "s.p")
 
 
 def metrics_long(scores: DataFrame) -> DataFrame:
     """(model, metric, value) - one row per model and metric."""
-    ev = M.evaluate(scores, ["model"])
-    ks = M.curve_metrics(scores, ["model"]).select("model", "ks_stat")
-    j = ev.join(ks, "model")
-    return j.selectExpr("model", "stack(5, 'pr_auc', pr_auc, 'roc_auc', roc_auc, 'brier', brier, "
-                        "'recall_at_precision_90', recall_at_precision_90, 'ks_stat', ks_stat) AS (metric, value)")
+    return M.curve_metrics(scores, ["model"]).selectExpr(
+        "model", "stack(5, 'pr_auc', pr_auc, 'roc_auc', roc_auc, 'brier', brier, "
+        "'recall_at_precision_90', recall_at_precision, 'ks_stat', ks_stat) AS (metric, value)")
 
 
 def q_eval_summary(spark, sf):
@@ -103,7 +99,7 @@ def _ref_cur(spark, sf):
 
 def q_psi_numeric(spark, sf):
     ref, cur = _ref_cur(spark, sf)
-    return rounded(D.psi_numeric(ref, cur, "amount").unionByName(D.psi_numeric(ref, cur, "p")))
+    return rounded(D.psi_numeric(ref, cur, ["amount", "p"]))
 
 
 def q_psi_categorical(spark, sf):

@@ -3,6 +3,8 @@ scoring and model registry logic over the ``tx`` view."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ from riskloom.operators import select as SE
 from riskloom.operators import splits as SP
 from riskloom.operators import windows as W
 from riskloom.config import SplitBoundaries
-from riskloom.operators.score import predictions_preview, risk_level, top_transactions
+from riskloom.operators.metrics import evaluate
+from riskloom.operators.score import level_of, predictions_preview, score_split, top_transactions
 from riskloom.plans import views as V
 from riskloom.plans.q_data import TX_SPLITS
 from riskloom.plans.q_eval import candidate_scores, metrics_long
 from riskloom.plans.queries_common import rounded
+from riskloom.session import checkpoint_dir, materialize
+from riskloom.sources.sinks import read_predictions_csv, write_predictions_csv
 
 ML_WINDOWS = {"1h": 3600, "24h": 86400, "7d": 604800}
 FEATURES = ["amount", "user_tx_count_1h", "user_amount_sum_24h", "user_unique_merchants_7d",
@@ -40,12 +45,14 @@ def ml_frame(spark: SparkSession, sf: str) -> DataFrame:
     return SP.add_split(t, ML_SPLITS)
 
 
+def _frame(spark, sf):
+    """The window/rate features of all rows feed several fits and scorings: written once."""
+    return materialize(ml_frame(spark, sf), "ml-frame")
+
+
 def _parts(spark, sf):
-    # the window/rate features feed several fits and scorings: materialize once
-    # (persist recomputes lost blocks from lineage if an executor goes away)
-    f = L.labeled(ml_frame(spark, sf)).persist()
-    return (f.where(F.col("split") == "train"), f.where(F.col("split") == "val"),
-            f.where(F.col("split") == "test"))
+    f = L.labeled(_frame(spark, sf))
+    return tuple(f.where(F.col("split") == s) for s in ("train", "val", "test"))
 
 
 def _train_query(kind: str):
@@ -56,28 +63,72 @@ def _train_query(kind: str):
     return q
 
 
+def q_train_prefix(spark, sf):
+    """PR-AUC on the validation rows after each boosting round, and the round that train_gbt keeps."""
+    tr, va, _ = _parts(spark, sf)
+    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt", val=va)
+    return rounded(spark.createDataFrame([(k, v, k == m.rounds) for k, v in m.history], "rounds int, pr_auc double, chosen boolean"))
+
+
+def q_train_checks(spark, sf):
+    """What must hold for each trained kind on the test rows: every row scored once with a probability, a PR-AUC over
+    the base rate, and for the boosted kinds the best prefix of the validation curve."""
+    tr, va, te = _parts(spark, sf)
+    out = None
+    for kind in ("gbt", "gbt_te", "rf"):
+        m = L.fit_classifier(tr, FEATURES, CATS, kind=kind, val=va if kind.startswith("gbt") else None)
+        boosted = m.model if isinstance(m, L.TargetEncoded) else m
+        best = True
+        if isinstance(boosted, L.BoostedPrefix):
+            known = [v for _, v in boosted.history if v is not None]
+            best = not known or dict(boosted.history)[boosted.rounds] == max(known)
+        scored = materialize(L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"]), "train-checks")
+        ap = evaluate(scored.select(F.col("is_fraud").alias("y"), F.col("proba").alias("p"))).select("pr_auc").first()["pr_auc"]
+        part = scored.agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"),
+                          F.count_if((F.col("proba") > 0) & (F.col("proba") < 1)).alias("n_in_range"),
+                          (F.lit(ap) > F.avg("is_fraud")).alias("beats_base_rate"), F.lit(best).alias("prefix_is_best"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_target_encode_oof(spark, sf):
+    tr = L.labeled(SP.add_split(V.tx(spark, sf), TX_SPLITS)).where(F.col("split") == "train")
+    out = FE.target_encode_oof(tr, ["mcc_str", "card_brand", "merchant_id"], "is_fraud")
+    return rounded(out.select("id", "mcc_str_te", "card_brand_te", "merchant_id_te"))
+
+
 def q_class_weights(spark, sf):
     tr = L.labeled(SP.add_split(V.tx(spark, sf), TX_SPLITS)).where(F.col("split") == "train")
     spw = L.class_weight(tr)
     return rounded(FE.class_weights(tr.withColumnRenamed("is_fraud", "y"), "y", spw).select("id", "y", "weight"))
 
 
+def _fixed_score(spark, sf) -> tuple[DataFrame, DataFrame, L.Calibrator]:
+    """All rows with the score p, its labelled test rows, and the isotonic fit of p on the validation rows."""
+    t = SP.add_split(V.tx(spark, sf), TX_SPLITS)
+    lab = L.labeled(t)
+    cal = L.fit_calibrator(lab.where(F.col("split") == "val"), "p", "is_fraud", "isotonic")
+    return t, lab.where(F.col("split") == "test"), cal
+
+
 def q_calibrate_isotonic(spark, sf):
+    _, test, cal = _fixed_score(spark, sf)
+    return rounded(cal.transform(test.select("id", "is_fraud", "p"), "p", "proba_cal"))
+
+
+def _calibrated_model(spark, sf, method: str) -> DataFrame:
     tr, va, te = _parts(spark, sf)
     m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt")
-    sv = L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"])
-    cal = L.fit_calibrator(sv, "proba", "is_fraud", "isotonic")  # fit on val (SURVEY Q7)
-    st = L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"])
-    return rounded(cal.transform(st, "proba", "proba_cal"))
+    cal = L.fit_calibrator(L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"]), "proba", "is_fraud", method)
+    return cal.transform(L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"]), "proba", "proba_cal")
+
+
+def q_calibrate_isotonic_gbt(spark, sf):
+    return rounded(_calibrated_model(spark, sf, "isotonic"))
 
 
 def q_calibrate_platt(spark, sf):
-    tr, va, te = _parts(spark, sf)
-    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt")
-    sv = L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"])
-    cal = L.fit_calibrator(sv, "proba", "is_fraud", "platt")
-    st = L.predict_proba(m, te, FEATURES, CATS, keep=["id", "is_fraud"])
-    return rounded(cal.transform(st, "proba", "proba_cal"))
+    return rounded(_calibrated_model(spark, sf, "platt"))
 
 
 def q_calibrated_clip(spark, sf):
@@ -148,33 +199,51 @@ def q_vif(spark, sf):
 def _fitted_scorer(lab: DataFrame, features: list[str]):
     """Scorer of a logistic regression fitted on all labeled rows."""
     model = L.fit_classifier(lab, features, [], kind="lr")
-    return lambda d: L.predict_proba(model, d, features, [], keep=["is_fraud"])
+    return lambda d, keep: L.predict_proba(model, d, features, [], keep=keep)
 
 
 def q_permutation_importance(spark, sf):
-    lab = V.tx(spark, sf).where(F.col("has_label") & F.col("is_fraud").isNotNull()).select("id", "amount", "p",
-                                                                                           "is_fraud")
-    return rounded(SE.permutation_importance(_fitted_scorer(lab, ["amount", "p"]), lab, ["amount", "p"]))
+    """Importance of the inputs of the transparent linear scorer (score to 9 digits), five permutations each."""
+    t, coefs, means = linear_model(spark, sf)
+    lab = L.labeled(t).select("id", *LINEAR, "is_fraud")
+    score = sum(F.lit(coefs[c]) * (F.coalesce(F.col(c).cast("double"), F.lit(means[c])) - F.lit(means[c])) for c in LINEAR)
+    return rounded(SE.permutation_importance(lambda d, keep: d.select(*keep, F.round(score, 9).alias("proba")), lab, LINEAR))
 
 
 def q_select_features(spark, sf):
-    t = ml_frame(spark, sf)
     feats = [c for c in FEATURES if c not in CATS] + ["p"]
-    lab = L.labeled(t).select("id", *feats, "is_fraud").persist()
+    lab = materialize(L.labeled(ml_frame(spark, sf)).select("id", *feats, "is_fraud"), "select-features")
     return SE.run_all_filters(lab, feats, scored_fn=_fitted_scorer(lab, feats))
 
 
+def q_select_checks(spark, sf):
+    """What must hold for the selection: each candidate once, with a verdict of one of the stages, and one kept at least."""
+    out = q_select_features(spark, sf)
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("feature").alias("n_features"),
+                   F.count_if((F.col("stage") == "kept") != F.col("kept")).alias("n_contradictions"),
+                   F.count_if(~F.col("stage").isin("kept", "correlation", "vif", "permutation")).alias("n_unknown_stages"),
+                   (F.count_if(F.col("kept")) > 0).alias("any_kept"))
+
+
 def q_top_transactions(spark, sf):
     return rounded(top_transactions(V.tx(spark, sf), 20).select("id", "amount"))
 
 
 def q_predictions_preview(spark, sf):
-    return rounded(predictions_preview(V.scored(spark, sf), 20))
+    """The 20 highest calibrated scores of all rows with raw score, level, action and the three strongest linear reasons."""
+    t, _, cal = _fixed_score(spark, sf)
+    _, coefs, means = linear_model(spark, sf)
+    scored = X.widen_reasons(X.reason_codes(X.linear_contributions(cal.transform(t, "p", "cal"), coefs, means), k=3), k=3)
+    return rounded(predictions_preview(scored, 20, "cal", raw_col="p", reasons=[f"reason_{k}_feature" for k in (1, 2, 3)]))
 
 
 def q_benchmark(spark, sf):
+    """The benchmark as its run log has it: each model's metrics are logged as it finishes, and read from the log."""
     tr, va, _ = _parts(spark, sf)
-    return rounded(L.run_benchmark(tr, va, FEATURES, CATS, kinds=("gbt", "gbt_te", "rf")))
+    log = f"{checkpoint_dir(spark).rstrip('/')}/benchmark-{uuid.uuid4().hex}"
+    L.run_benchmark(tr, va, FEATURES, CATS, kinds=("gbt", "gbt_te", "rf"), log=log)
+    runs = spark.read.schema(L.RUNS_SCHEMA).parquet(log)
+    return rounded(runs.select(F.col("model_type").alias("model"), "metric", "value"))
 
 
 def q_tune(spark, sf):
@@ -182,6 +251,15 @@ def q_tune(spark, sf):
     return rounded(L.run_tuning(tr, va, FEATURES, CATS, n_trials=TUNE_TRIALS, space=L.GBT_SPACE))
 
 
+def q_tune_checks(spark, sf):
+    """What must hold for a search: every candidate once, fewer in each rung, a PR-AUC in range, the best in the last rung."""
+    out = q_tune(spark, sf)
+    return out.agg(F.count(F.lit(1)).alias("n_trials"), F.count_distinct("trial").alias("n_distinct"),
+                   F.count_if((F.col("pr_auc") >= 0) & (F.col("pr_auc") <= 1)).alias("n_in_range"),
+                   F.count_if(F.col("rung") >= 1).alias("n_second_rung"), F.count_if(F.col("rung") >= 2).alias("n_last_rung"),
+                   F.count_if(F.col("rounds") < 1).alias("n_without_rounds"))
+
+
 def runs_table(spark, sf) -> DataFrame:
     ml = metrics_long(candidate_scores(spark, sf))
     return ml.select(F.concat(F.col("model"), F.lit("-1")).alias("run_id"), F.col("model").alias("model_type"),
@@ -193,26 +271,43 @@ def q_champion_challenger(spark, sf):
 
 
 def q_score_batch(spark, sf):
-    """Model -> calibrated probability -> level -> top-3 reason codes of that model's margin."""
-    tr, va, te = _parts(spark, sf)
-    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt")
+    """The whole test split, labelled or not: model -> calibrated probability -> level -> top-3 reasons of that
+    model's margin; rows whose payload cannot be read stay as errors; written as CSV and read back."""
+    f = _frame(spark, sf)
+    lab = L.labeled(f)
+    tr, va = (lab.where(F.col("split") == s) for s in ("train", "val"))
+    m = L.fit_classifier(tr, FEATURES, CATS, kind="gbt", val=va)
     cal = L.fit_calibrator(L.predict_proba(m, va, FEATURES, CATS, keep=["id", "is_fraud"]), "proba", "is_fraud")
-    st, _ = X.gbt_contributions(m, te, FEATURES, CATS, keep=["id", "is_fraud"])
-    scored = risk_level(cal.transform(st, "proba", "proba_cal"), "proba_cal")
-    j = X.widen_reasons(X.reason_codes(scored, k=3), k=3)
-    return rounded(j.select("id", "risk_score", "level", "reason_1_feature", "reason_1_impact",
-                            "reason_2_feature", "reason_2_impact", "reason_3_feature", "reason_3_impact"))
+    payload = V.read_table(spark, sf, "events").select(F.col("event_id").alias("__id"), "props")
+    errors = FE.parse_payload(payload, "props", {"k": "long"}).select("__id", "error")
+    rows = f.where(F.col("split") == "test").join(errors, F.col("id") == F.col("__id")).drop("__id")
+    out = score_split(rows, m, cal, FEATURES, CATS, X.base_row(tr, FEATURES, CATS), error="error")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
+    write_predictions_csv(out, path)
+    return rounded(read_predictions_csv(spark, path))
+
+
+def q_score_checks(spark, sf):
+    """What must hold for a scored split: every test row once, scored or with an error, scores and levels that agree,
+    three distinct reasons."""
+    out = q_score_batch(spark, sf)
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.count("error").alias("n_errors"),
+                   F.count_if((F.col("risk_score") > 0) & (F.col("risk_score") < 1)).alias("n_in_range"),
+                   F.count_if(F.col("level") != level_of(F.col("risk_score"))).alias("n_wrong_levels"),
+                   F.count_if((F.col("reason_1_feature") == F.col("reason_2_feature")) |
+                              (F.abs("reason_1_impact") < F.abs("reason_3_impact"))).alias("n_wrong_reasons"))
 
 
 QUERIES = {
     "top_transactions": q_top_transactions, "predictions_preview": q_predictions_preview,
     "train_gbt": _train_query("gbt"), "train_gbt_te": _train_query("gbt_te"), "train_rf": _train_query("rf"),
-    "class_weights": q_class_weights, "calibrate_isotonic": q_calibrate_isotonic,
+    "train_prefix": q_train_prefix, "train_checks": q_train_checks, "target_encode_oof": q_target_encode_oof,
+    "class_weights": q_class_weights, "calibrate_isotonic": q_calibrate_isotonic, "calibrate_isotonic_gbt": q_calibrate_isotonic_gbt,
     "calibrate_platt": q_calibrate_platt, "calibrated_clip": q_calibrated_clip, "shap_linear": q_shap_linear,
     "reason_codes_linear": q_reason_codes_linear, "global_importance": q_global_importance,
     "target_encode_fit": q_target_encode_fit, "target_encode_apply": q_target_encode_apply,
     "correlation_filter": q_correlation_filter, "gramian": q_gramian, "vif": q_vif,
     "permutation_importance": q_permutation_importance, "select_features": q_select_features,
-    "benchmark": q_benchmark, "tune": q_tune, "champion_challenger": q_champion_challenger,
-    "score_batch": q_score_batch,
+    "select_checks": q_select_checks, "benchmark": q_benchmark, "tune": q_tune, "tune_checks": q_tune_checks,
+    "champion_challenger": q_champion_challenger, "score_batch": q_score_batch, "score_checks": q_score_checks,
 }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Conventions every operator relies on:
 #  * session time zone UTC, so timestamp_ntz -> timestamp casts are identity;
@@ -47,6 +49,19 @@ def apply_conventions(spark: SparkSession) -> None:
             pass
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application; Python workers import it by name."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        to = os.path.realpath(tempfile.mkdtemp(prefix="riskloom-"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/riskloom_core", "zip", os.path.dirname(root), os.path.basename(root)))
+        _shipped.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
@@ -63,3 +78,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="riskloom-ckpt-")
         sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back: a
+    result that is used several times, and that survives the loss of an executor."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -72,13 +72,29 @@ def test_verify_saved_model_one_row(spark):
     assert 0.0 <= one.proba <= 1.0
 
 
-def test_shuffle_column_ignores_partitions(spark):
-    from riskloom.operators.select import shuffle_column
-    df = spark.range(500).selectExpr("id", "id * 3 AS v", "id % 7 AS w")
-    one = {r.id: r.v for r in shuffle_column(df.repartition(1), "v", 5).collect()}
-    many = {r.id: r.v for r in shuffle_column(df.repartition(13), "v", 5).collect()}
-    assert one == many and sorted(one.values()) == [3 * k for k in range(500)]
-    assert one != {k: 3 * k for k in range(500)}
+def test_permuted_rows_ignore_partitions_and_are_permutations(spark):
+    df = spark.range(500).selectExpr("id", "id * 3 AS v", "concat('s', id) AS w", "cast(id % 2 AS int) AS is_fraud")
+    rows = [sorted(map(tuple, SE.permuted_rows(df.repartition(n), ["v", "w"], "is_fraud", 2, 5, "id").collect())) for n in (1, 13)]
+    assert rows[0] == rows[1] and len(rows[0]) == 5 * 500
+    plain = {(r[3], r[4]) for r in rows[0] if r[0] == -1}
+    moved = [sorted(r[3 + f] for r in rows[0] if (r[0], r[1]) == (f, k)) for f in (0, 1) for k in (0, 1)]
+    assert all(m == sorted(x[i // 2] for x in plain) for i, m in enumerate(moved))
+    for f in (0, 1):
+        for k in (0, 1):
+            part = [r for r in rows[0] if (r[0], r[1]) == (f, k)]
+            assert sum((r[3], r[4]) in plain for r in part) == 0            # no row keeps its own value
+            assert sorted(r[4 - f] for r in part) == sorted(x[1 - f] for x in plain)
+
+
+def test_permutation_importance_finds_the_feature_that_matters(spark):
+    df = spark.range(400).selectExpr("id", "cast(id % 4 = 0 AS int) AS is_fraud", "cast(id % 4 AS double) AS x", "cast(id % 9 AS double) AS z",
+                                     "concat('c', id % 3) AS c")
+    jobs = []
+    got = {r.feature: r for r in SE.permutation_importance(
+        lambda d, keep: jobs.append(1) or d.select(*keep, (F.lit(1.0) / (1 + F.col("x")) + F.col("z") * 1e-6).alias("proba")),
+        df, ["x", "z", "c"], n_repeats=3).collect()}
+    assert got["x"].importance > 0.5 and abs(got["z"].importance) < 0.05 and got["c"].importance == 0.0 and got["c"].std == 0.0
+    assert len(jobs) == 1                            # all permutations are scored together
 
 
 def test_trees_take_more_categories_than_bins(spark):
@@ -93,17 +109,22 @@ def test_trees_take_more_categories_than_bins(spark):
 def test_select_features_uses_the_operators_repeats(spark, monkeypatch):
     from riskloom.plans import q_ml
     seen = []
+    real = SE.permuted_rows
     monkeypatch.setattr(SE, "correlation_filter", lambda df, feats, t: (feats[:2], []))
     monkeypatch.setattr(SE, "vif_filter", lambda df, feats, t: (feats, []))
-    monkeypatch.setattr(SE, "shuffle_column", lambda df, col, seed: seen.append((col, seed)) or df)
-    monkeypatch.setattr(SE, "evaluate", lambda df: spark.createDataFrame([(0.5,)], "pr_auc double"))
-    monkeypatch.setattr(q_ml, "_fitted_scorer", lambda lab, feats: lambda d: d.select("is_fraud", F.lit(0.5).alias("proba")))
+    monkeypatch.setattr(SE, "permuted_rows", lambda df, feats, label, n, seed, id_col: seen.append((len(feats), n)) or real(df, feats, label, n, seed, id_col))
+    monkeypatch.setattr(q_ml, "_fitted_scorer", lambda lab, feats: lambda d, keep: d.select(*keep, F.lit(0.5).alias("proba")))
     assert q_ml.q_select_features(spark, "/root/testdata/sf0.001").count()
-    assert len(seen) == len(set(seen)) == 10
+    assert seen == [(2, 5)]
+
+
+def test_vif_says_when_it_cannot_judge(spark):
+    with pytest.warns(UserWarning, match="VIF filter skipped: 3 complete rows"):
+        assert SE.vif_filter(spark.range(3).selectExpr("id * 1.0 AS a", "id * 2.0 AS b"), ["a", "b"]) == (["a", "b"], [])
 
 
-@pytest.mark.parametrize("name", ["train_gbt", "train_gbt_te", "train_rf", "calibrate_isotonic", "calibrate_platt", "benchmark", "tune",
-                                  "score_batch"])
+@pytest.mark.parametrize("name", ["train_gbt", "train_gbt_te", "train_rf", "train_prefix", "train_checks", "calibrate_isotonic_gbt",
+                                  "calibrate_platt", "benchmark", "tune", "score_batch"])
 def test_registered_queries_train_whole_models(spark, monkeypatch, name):
     from riskloom.plans import q_ml
 
@@ -115,7 +136,8 @@ def test_registered_queries_train_whole_models(spark, monkeypatch, name):
 
     def tune(*args, n_trials=5, space=None, **kw):
         raise Seen((n_trials, space or L.GBT_SPACE))
-    monkeypatch.setattr(q_ml, "_parts", lambda spark, sf: (None, None, None))
+    empty = spark.createDataFrame([], "id long, is_fraud int, has_label boolean, split string")
+    monkeypatch.setattr(q_ml, "_frame", lambda spark, sf: empty)
     monkeypatch.setattr(L, "fit_classifier", fit)
     monkeypatch.setattr(L, "run_tuning", tune)
     with pytest.raises(Seen) as e:
@@ -126,31 +148,172 @@ def test_registered_queries_train_whole_models(spark, monkeypatch, name):
         assert e.value.args[0] == L.TreeParams()
 
 
-def test_gbt_contributions_add_up_to_the_margin(spark):
+def _small(spark, n=600):
+    return spark.range(n).select("id", ((F.col("id") % 7 == 0) | (F.col("id") % 11 == 3)).cast("int").alias("is_fraud"),
+                                 (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("z"),
+                                 F.concat(F.lit("c"), F.col("id") % 11).alias("c"))
+
+
+def average_precision(rows):
+    """Step sum over distinct scores; rows of (y, p)."""
+    total, out, tp, n = sum(y for y, _ in rows), 0.0, 0, 0
+    for s in sorted({p for _, p in rows}, reverse=True):
+        here = [y for y, p in rows if p == s]
+        tp, n = tp + sum(here), n + len(here)
+        out += sum(here) / total * tp / n
+    return out
+
+
+def test_boosted_prefix_is_the_best_of_all_prefixes(spark):
+    df = _small(spark).withColumn("is_fraud", F.when(F.col("id") % 13 == 0, 1 - F.col("is_fraud")).otherwise(F.col("is_fraud")))
+    tr, va = df.where("id < 350"), df.where("id >= 350")
+    m = L.fit_classifier(tr, ["x", "z", "c"], ["c"], kind="gbt", val=va, params=L.TreeParams(max_iter=6, max_depth=3))
+    matrix = m.stages.transform(FE.prepare_matrix(va, ["x", "z", "c"], ["c"], keep=["is_fraud"])).select("is_fraud", "features").collect()
+    want = []
+    for k in range(1, 7):
+        margins = [sum(w * t.predict(r.features) for t, w in zip(m.model.trees[:k], m.model.treeWeights)) for r in matrix]
+        want.append(average_precision([(r.is_fraud, round(v, 12)) for r, v in zip(matrix, margins)]))
+    assert [k for k, _ in m.history] == [1, 2, 3, 4, 5, 6]
+    assert [v for _, v in m.history] == pytest.approx(want, abs=1e-9)
+    assert want[m.rounds - 1] == pytest.approx(max(want), abs=1e-9)
+    # All rounds: what Spark's own model says.
+    m.rounds = 6
+    own = {r.id: r.proba for r in L.predict_proba(m, va, ["x", "z", "c"], ["c"], keep=["id"]).collect()}
+    from pyspark.ml.functions import vector_to_array
+    spark_says = m.model.transform(m.stages.transform(FE.prepare_matrix(va, ["x", "z", "c"], ["c"], keep=["id"])))
+    for r in spark_says.select("id", vector_to_array("probability")[1].alias("p")).collect():
+        assert own[r.id] == pytest.approx(r.p)
+
+
+def test_out_of_fold_encoding_never_sees_the_own_label(spark):
+    rows = [(k, f"c{k % 5}" if k % 9 else None, int(k % 3 == 0)) for k in range(200)] + [(900, "unique", 1), (901, "c1", None)]
+    df = spark.createDataFrame(rows, "id long, c string, y int").repartition(3)
+    fold = {r.id: r.f for r in df.select("id", FE.fold_of("id", 5).alias("f")).collect()}
+    got = {r.id: r.c_te for r in FE.target_encode_oof(df, ["c"], "y", smoothing=10).collect()}
+    assert set(fold.values()) == {0, 1, 2, 3, 4} and len(got) == len(rows)
+    for i, c, _ in rows:
+        others = [(d, y) for j, d, y in rows if fold[j] != fold[i] and y is not None]
+        prior = sum(y for _, y in others) / len(others)
+        same = [y for d, y in others if d == c]
+        assert got[i] == pytest.approx((sum(same) + 10 * prior) / (len(same) + 10)), i
+    # Turning a row's own label leaves its encoding as it was.
+    other = spark.createDataFrame([(i, c, 1 - y if i == 7 else y) for i, c, y in rows], "id long, c string, y int")
+    again = {r.id: r.c_te for r in FE.target_encode_oof(other, ["c"], "y", smoothing=10).collect()}
+    assert again[7] == got[7] and again != got
+    m = L.fit_classifier(df.where("y is not null").withColumnRenamed("y", "is_fraud"), ["c"], ["c"], kind="gbt_te", params=L.TreeParams(max_iter=2, max_depth=2))
+    assert L.predict_proba(m, df, ["c"], ["c"], keep=["id", "c"]).where("proba > 0").count() == len(rows)
+
+
+def brute_isotonic(rows):
+    """Value at each distinct score by the max-min formula."""
+    xs = sorted({p for p, _ in rows})
+    ys = [[y for p, y in rows if p == x] for x in xs]
+    mean = lambda a, b: sum(sum(v) for v in ys[a:b + 1]) / sum(len(v) for v in ys[a:b + 1])               # noqa: E731
+    return xs, [max(min(mean(a, b) for b in range(i, len(xs))) for a in range(i + 1)) for i in range(len(xs))]
+
+
+@pytest.mark.parametrize("rows_a_task", [500_000, 7])
+def test_isotonic_equals_max_min(spark, monkeypatch, rows_a_task):
+    import bisect
+    import random
+
+    from riskloom.operators import isotonic as I
+    monkeypatch.setattr(I, "POOL_ROWS", rows_a_task)
+    rng = random.Random(3)
+    for shape in (lambda p: p, lambda p: 1 - p, lambda p: 0.5):
+        rows = [(round(rng.random(), 2), int(rng.random() < shape(rng.random()))) for _ in range(150)]
+        rows = [(p, int(rng.random() < shape(p))) for p, _ in rows]
+        df = spark.createDataFrame(rows + [(None, 1), (0.3, None)], "proba double, y int")
+        pools = I.fit_isotonic(df)
+        xs, want = brute_isotonic(rows)
+        asked = sorted({*xs, -1.0, 2.0, *[round(rng.random(), 4) for _ in range(60)]})
+        test = spark.createDataFrame([(x,) for x in asked] + [(None,)], "proba double")
+        got = {r.proba: r.proba_cal for r in I.apply_isotonic(test, pools).collect()}
+        assert got.pop(None) is None
+        for x in asked:
+            k = bisect.bisect_right(xs, x) - 1
+            if k < 0 or k + 1 == len(xs) or xs[k] == x:
+                exp = want[max(k, 0)]
+            else:
+                exp = want[k] + (want[k + 1] - want[k]) * (x - xs[k]) / (xs[k + 1] - xs[k])
+            assert got[x] == pytest.approx(exp), x
+    none = I.fit_isotonic(df.limit(0))
+    assert none.count() == 0 and I.apply_isotonic(test, none).where("proba_cal is not null").count() == 0
+
+
+def test_tuning_halves_and_judges_by_best_prefix(spark):
+    df = _small(spark, 300)
+    space = {"max_depth": (2, 3, "int"), "max_iter": (8, 16, "int"), "step_size": [0.1, 0.3], "scale_pos_weight": [1.0, 5.0]}
+    out = L.run_tuning(df.where("id < 200"), df.where("id >= 200"), ["x", "z", "c"], ["c"], n_trials=5, space=space, parallelism=2).collect()
+    assert sorted(r.trial for r in out) == list(range(5)) and [r.rung for r in out] == [2, 1, 0, 0, 0]
+    assert all(0 <= r.pr_auc <= 1 and 1 <= r.rounds <= 16 for r in out) and "scale_pos_weight" in out[0].params
+
+
+def test_benchmark_logs_each_model_as_it_finishes(spark, tmp_path, monkeypatch):
+    from riskloom.operators import runs
+    df = _small(spark, 200)
+    real, done = L.fit_classifier, []
+
+    def fit(*a, kind, **k):
+        if kind == "rf":
+            raise RuntimeError("lost")
+        done.append(kind)
+        return real(*a, kind=kind, **k)
+    monkeypatch.setattr(L, "fit_classifier", fit)
+    with pytest.raises(RuntimeError):
+        L.run_benchmark(df, df, ["x", "z"], [], kinds=("lr", "rf"), log=f"{tmp_path}/runs")
+    log = spark.read.schema(runs.RUNS_SCHEMA).parquet(f"{tmp_path}/runs").collect()
+    assert done == ["lr"] and {r.metric for r in log} == set(L.METRICS) and {r.model_type for r in log} == {"lr"}
+    assert runs.log_run(spark, "r", "m", 1, {"a": float("nan"), "b": None, "c": 1.0}).count() == 1
+
+
+def test_shapley_contributions_add_up_and_equal_exact_values(spark):
+    import itertools
     import math
 
     from riskloom.operators import explain as X
-    df = spark.range(600).select("id", ((F.col("id") % 7 == 0) | (F.col("id") % 11 == 3)).cast("int").alias("is_fraud"),
-                                 (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("z"),
-                                 F.concat(F.lit("c"), F.col("id") % 11).alias("c"))
-    m = L.fit_classifier(df, ["x", "z", "c"], ["c"], kind="gbt", params=L.TreeParams(max_iter=5, max_depth=4))
-    got, base = X.gbt_contributions(m, df, ["x", "z", "c"], ["c"], keep=["id"])
-    want = {r.id: r.proba for r in L.predict_proba(m, df, ["x", "z", "c"], ["c"], keep=["id"]).collect()}
-    rows = got.collect()
-    assert len(rows) == 600 and len({tuple(c.impact for c in r.contrib) for r in rows}) >= 3
-    for r in rows:
-        assert {c.feature for c in r.contrib} == {"x", "z", "c"}
-        assert r.proba == pytest.approx(want[r.id])
-        assert 1 / (1 + math.exp(-2 * (base + sum(c.impact for c in r.contrib)))) == pytest.approx(r.proba)
-
-
-def test_score_batch_explains_the_scoring_model(spark, monkeypatch):
-    from riskloom.plans import q_ml
-    df = spark.range(300).select("id", (F.col("id") % 7 == 0).cast("int").alias("is_fraud"),
-                                 *[(F.col("id") % k).cast("double").alias(c) for k, c in zip((7, 3, 4, 5, 6, 8), q_ml.FEATURES[:6])],
-                                 *[F.concat(F.lit("c"), F.col("id") % 3).alias(c) for c in q_ml.CATS])
-    monkeypatch.setattr(q_ml, "_parts", lambda spark, sf: (df, df, df))
-    monkeypatch.setattr(L.TreeParams.__init__, "__defaults__", (3, 3) + L.TreeParams.__init__.__defaults__[2:])
-    rows = q_ml.q_score_batch(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 300 and {r.reason_1_feature for r in rows} == {"amount"}
-    assert {r[f"reason_{k}_feature"] for r in rows for k in (1, 2, 3)} <= set(q_ml.FEATURES)
+    feats = ["x", "z", "c"]
+    df = _small(spark)
+    m = L.fit_classifier(df.where("id < 400"), feats, ["c"], kind="gbt", val=df.where("id >= 400"), params=L.TreeParams(max_iter=4, max_depth=3))
+    base = X.base_row(df, feats, ["c"])
+    rows = FE.prepare_matrix(df.where("id < 40"), feats, ["c"], keep=["id"])
+    got = X.shapley_contributions(rows, feats, base, X.margin_of(m), keep=["id"], orders=3).collect()
+    assert len(got) == 40
+    want = {r.id: r.proba for r in L.predict_proba(m, df.where("id < 40"), feats, ["c"], keep=["id"]).collect()}
+    values = {}
+    for r in rows.collect():
+        for mask in range(8):
+            values[r.id, mask] = [r[f] if mask >> i & 1 else base[f] for i, f in enumerate(feats)]
+    mixed = spark.createDataFrame([(i * 8 + k, *v) for (i, k), v in values.items()], "id long, x double, z double, c string")
+    margin = {r.id: r.margin for r in X.margin_of(m)(mixed).collect()}
+    for r in got:
+        assert 1 / (1 + math.exp(-2 * r.margin)) == pytest.approx(want[r.id])
+        assert r.base_margin + sum(c.impact for c in r.contrib) == pytest.approx(r.margin)
+        for i, c in enumerate(r.contrib):            # three features have six orders: all of them are used
+            exact = 0.0
+            for order in itertools.permutations(range(3)):
+                before = sum(1 << g for g in order[:order.index(i)])
+                exact += (margin[r.id * 8 + (before | 1 << i)] - margin[r.id * 8 + before]) / 6
+            assert c.feature == feats[i] and c.impact == pytest.approx(exact, abs=1e-9)
+
+
+def test_scoring_keeps_every_row(spark):
+    from riskloom.operators import explain as X
+    from riskloom.operators.score import score_split
+    df = _small(spark, 300).withColumn("has_label", F.col("id") % 3 > 0)
+    feats = ["x", "z", "c"]
+    payload = F.when(F.col("id") == 5, "{broken").when(F.col("id") == 6, None).when(F.col("id") == 7, '{"k": "word"}') \
+        .when(F.col("id") == 8, "{}").otherwise('{"k": 4}')
+    rows = FE.parse_payload(df.withColumn("props", payload), "props", {"k": "long"})
+    assert {r.id: r.error for r in rows.where("id between 5 and 9").collect()} == \
+        {5: "malformed payload", 6: "missing payload", 7: "malformed payload", 8: None, 9: None}
+    m = L.fit_classifier(df, feats, ["c"], kind="gbt", params=L.TreeParams(max_iter=3, max_depth=3))
+    cal = L.fit_calibrator(L.predict_proba(m, df, feats, ["c"], keep=["id", "is_fraud"]), "proba", "is_fraud")
+    out = {r.id: r for r in score_split(rows, m, cal, feats, ["c"], X.base_row(df, feats, ["c"]), error="error").collect()}
+    assert set(out) == set(range(300))
+    for i, r in out.items():
+        if i in (5, 6, 7):
+            assert r.error and r.risk_score is None and r.level is None and r.reason_1_feature is None
+        else:
+            assert r.error is None and 0 < r.risk_score < 1 and r.reason_1_value is not None
+            assert abs(r.reason_1_impact) >= abs(r.reason_2_impact) >= abs(r.reason_3_impact)

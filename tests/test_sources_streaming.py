@@ -1,6 +1,8 @@
 import json
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import windows
@@ -29,15 +31,56 @@ def test_raw_sources(spark):
     assert lab.count() == 5000 and lab.where("is_fraud = 1").count() == len(range(0, 5000, 7))
 
 
-def test_staged_publish_and_gold_write(spark):
+def test_gold_write(spark):
     d = tempfile.mkdtemp(prefix="riskloom-sink-")
     t = V.tx(spark, SF)
-    n = sinks.staged_publish(t, f"{d}/stage", f"{d}/gold", expected_rows=t.count())
-    assert n == t.count()
     sinks.write_gold(t, f"{d}/gold2")
     assert sinks.read_gold(spark, f"{d}/gold2", labeled_only=True).count() == t.where("has_label").count()
 
 
+def test_publish_is_atomic_and_keeps_versions(spark, tmp_path, monkeypatch):
+    target = f"{tmp_path}/t"
+    with pytest.raises(ValueError):
+        sinks.read_published(spark, target)
+    assert sinks.publish(spark.range(3), target) == 3
+    # Rows that are not what was expected are never published.
+    with pytest.raises(ValueError):
+        sinks.publish(spark.range(4), target, expected_rows=5)
+    assert sinks.read_published(spark, target).count() == 3
+    # A crash between the write and the pointer: readers, and a retry, see the old version.
+    real, calls = sinks._pointer, []
+
+    def crash(*a, **k):
+        calls.append(a)
+        raise RuntimeError("lost")
+    monkeypatch.setattr(sinks, "_pointer", crash)
+    with pytest.raises(RuntimeError):
+        sinks.publish(spark.range(7), target)
+    monkeypatch.setattr(sinks, "_pointer", real)
+    assert calls and sinks.read_published(spark, target).count() == 3
+    assert sinks.publish(spark.range(7), target, expected_rows=7) == 7
+    assert sinks.read_published(spark, target).count() == 7 and sinks.read_published(spark, target, back=1).count() == 3
+
+
+def test_readers_and_writers(spark, tmp_path):
+    (tmp_path / "cards.csv").write_text(",".join(raw.CARDS_SCHEMA.names) + "\n1,7,Visa,Debit,4344,12/2022,623,YES,2,\"$1,200\",09/2002,2008,No\n")
+    (tmp_path / "users.csv").write_text(",".join(raw.USERS_SCHEMA.names) + "\n7,53,66,1966,11,F,\"462 Rose, Lane\",34.1,-117.7,$20,$50,$-3,787,5\n")
+    (tmp_path / "flat.json").write_text(json.dumps({"5411": "Grocery"}))
+    c, u = raw.load_cards(spark, f"{tmp_path}/cards.csv").first(), raw.load_users(spark, f"{tmp_path}/users.csv").first()
+    assert c.id == 1 and c.credit_limit == "$1,200" and u.id == 7 and u.total_debt == "$-3"
+    assert [tuple(r) for r in raw.load_mcc_codes(spark, f"{tmp_path}/flat.json").collect()] == [("5411", "Grocery")]
+    m = spark.createDataFrame([("a", "pr_auc", 0.5)], "model string, metric string, value double")
+    for _ in range(2):
+        sinks.write_metrics(m, f"{tmp_path}/metrics")
+    assert spark.read.parquet(f"{tmp_path}/metrics").count() == 2
+    p = spark.createDataFrame([(1, 0.25, "LOW", "amount", 1.5, "3,0", None), (2, None, None, None, None, None, "malformed payload")],
+                              "id long, risk_score double, level string, reason_1_feature string, reason_1_impact double, "
+                              "reason_1_value string, error string")
+    sinks.write_predictions_csv(p, f"{tmp_path}/csv", top_k=1)
+    assert sorted(map(tuple, sinks.read_predictions_csv(spark, f"{tmp_path}/csv", top_k=1).select(*p.columns).collect())) == \
+        sorted(map(tuple, p.collect()))
+
+
 def test_stream_state_equals_batch(spark):
     d = tempfile.mkdtemp(prefix="riskloom-stream-")
     ev = spark.read.parquet(f"{SF}/events.parquet")
@@ -69,14 +112,9 @@ def test_alert_counts_stream(spark):
     assert total == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
-def test_publish_keeps_a_backup_and_splits_keep_all_rows(spark, tmp_path):
+def test_splits_keep_all_rows(spark, tmp_path):
     from riskloom.config import SplitBoundaries
     from riskloom.operators.splits import save_splits
-    from riskloom.sources.sinks import staged_publish
-    target = f"{tmp_path}/t"
-    staged_publish(spark.range(3), f"{tmp_path}/s", target)
-    staged_publish(spark.range(5), f"{tmp_path}/s", target, expected_rows=5)
-    assert spark.read.parquet(target).count() == 5 and spark.read.parquet(target + ".backup").count() == 3
     df = spark.sql("SELECT id, timestamp'2024-01-18' + make_dt_interval(id) AS date FROM range(10)")
     b = SplitBoundaries(train_end="2024-01-20", val_end="2024-01-23", test_start="2024-01-25")
     out = spark.read.parquet(save_splits(df, f"{tmp_path}/splits", b))

@@ -147,3 +147,75 @@ def test_no_sliding_frame_and_null_entities(spark):
         o = out[r[0]]
         got = (o.card_tx_count_1h, o.card_amount_max_1h, o.card_unique_merchants_1h)
         assert got == ((exp[r[0]][0], exp[r[0]][3], exp[r[0]][4]) if r[0] in exp else (0, None, 0))
+
+
+@pytest.mark.parametrize("ties", ["row_order", "strict"])
+@pytest.mark.parametrize("block", [3600, 5400, 1800])
+def test_hot_entities_by_blocks_match_brute_force(spark, ties, block):
+    import statistics
+    rows = make_rows(500, seed=31)
+    df = spark.createDataFrame(rows, SCHEMA)
+    wins = {"10m": 600, "1h": 3600, "1d": 86400, "2d": 172_800}
+    out = windows.add_velocity(df, "card_id", "card", windows=wins, ties=ties, z_window="2d", recency=True, hot_rows=5,
+                               hot_block=block).collect()
+    assert len(out) == len(rows)
+    plain = {r.id: r for r in windows.add_velocity(df, "card_id", "card", windows=wins, ties=ties, z_window="2d", recency=True,
+                                                   hot_rows=None).collect()}
+    by_id = {r[0]: r for r in rows}
+    for label, sec in wins.items():
+        exp = brute(rows, 2, sec, ties == "row_order")
+        for r in out:
+            e = exp[r.id]
+            got = (r[f"card_tx_count_{label}"], r[f"card_amount_sum_{label}"], r[f"card_amount_mean_{label}"],
+                   r[f"card_amount_max_{label}"], r[f"card_unique_merchants_{label}"], r[f"card_unique_mcc_{label}"])
+            assert (got[0], got[3], got[4], got[5]) == (e[0], e[3], e[4], e[5]), (label, r.id, got, e)
+            assert got[1] == pytest.approx(e[1], abs=1e-6)
+            assert (got[2] is None) == (e[2] is None) and (e[2] is None or got[2] == pytest.approx(e[2]))
+    for r in out:
+        t = by_id[r.id]
+        assert r.time_since_last_tx_card == plain[r.id].time_since_last_tx_card
+        past = [q[4] for q in rows if q[2] == t[2] and (q[1] < t[1] or (ties == "row_order" and q[1] == t[1] and q[0] < t[0]))
+                and q[1] >= t[1] - timedelta(days=2) and q[4] is not None]
+        if not past or t[4] is None:
+            assert r.z_score_amount is None
+        else:
+            sd = statistics.stdev(past) if len(past) > 1 else 0.0
+            assert r.z_score_amount == pytest.approx((t[4] - statistics.fmean(past)) / (sd + 1e-6), rel=1e-6, abs=1e-6)
+
+
+def test_non_finite_amounts(spark):
+    odd = {3: float("nan"), 11: float("inf"), 12: float("-inf")}
+    rows = [r[:4] + (odd.get(r[0], r[4]),) + r[5:] for r in make_rows(60, seed=2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot in (None, 3):
+        for r in windows.add_velocity(df, "card_id", "card", windows={"w": 86_400 * 30}, hot_rows=hot).collect():
+            t = next(q for q in rows if q[0] == r.id)
+            past = [q[4] for q in rows if q[2] == t[2] and (q[1], q[0]) < (t[1], t[0]) and q[4] is not None]
+            total = sum(past)
+            assert r.card_amount_sum_w == pytest.approx(total, abs=1e-6, nan_ok=True)
+            if past:
+                most = float("nan") if any(x != x for x in past) else max(past)
+                assert r.card_amount_max_w == pytest.approx(most, nan_ok=True)
+
+
+def test_rows_of_one_entity_are_spread_over_blocks(spark):
+    """Ten times the rows of one entity: more segments or rows in them, but the same number of rows for each hour."""
+    from riskloom.operators import window_kernel as K
+    seen = []
+    for n in (2_000, 20_000):
+        df = spark.range(n).selectExpr("id", f"timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 60) as date",
+                                       "1L as card_id", "1.0D as amount", "id % 7 as merchant_id", "'a' as mcc_str")
+        out = windows.add_velocity(df, "card_id", "card", windows={"1h": 3600, "7d": 604_800}, hot_rows=100, hot_block="1h")
+        r = out.agg({"card_tx_count_7d": "max", "card_unique_merchants_7d": "max", "card_tx_count_1h": "max"}).first().asDict()
+        assert r["max(card_tx_count_7d)"] == min(n - 1, 10_080) and r["max(card_unique_merchants_7d)"] == 7
+        assert r["max(card_tx_count_1h)"] == 60
+        seen.append(len(K.offsets(604_800, 3600)))
+    assert seen == [1, 1]                            # a block takes its own rows and those of one other for this window
+
+
+def test_one_sort_of_narrow_rows(spark):
+    df = spark.createDataFrame(make_rows(50), SCHEMA)
+    plan = windows.add_velocity(df, "card_id", "card")._jdf.queryExecution().executedPlan().toString()
+    narrow = plan[plan.index("MapInArrow"):]
+    narrow = narrow[:narrow.index("Scan ")]
+    assert narrow.count("Sort [") == 1 and "card_brand" not in narrow and " Window " not in plan
