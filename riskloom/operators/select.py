@@ -98,8 +98,8 @@ def shifts(n_features: int, n_repeats: int, seed: int) -> list[list[float]]:
 
 
 def permuted_rows(df: DataFrame, features: list[str], label: str, n_repeats: int, seed: int, id_col: str) -> DataFrame:
-    """(__feature, __repeat, label, features): all rows as they are (feature -1), and for each
-    feature and repeat all rows with that feature's column permuted.
+    """(__feature, __repeat, label, features, other columns of ``df``): all rows as they are
+    (feature -1), and for each feature and repeat all rows with that feature's column permuted.
 
     One rank pass puts the rows into a hash order of their ids; in a permuted
     column row k has the value of row k + shift of that order (cyclic), with a
@@ -109,7 +109,8 @@ def permuted_rows(df: DataFrame, features: list[str], label: str, n_repeats: int
     """
     types = {f: df.schema[f].dataType for f in features}
     is_num = {f: isinstance(t, NumericType) for f, t in types.items()}
-    ranked = materialize(_hash_rank(df.select(id_col, label, *features), id_col, seed, "__rank").drop(id_col), "permutation-ranks")
+    other = [c for c in df.columns if c not in (id_col, label, *features)]       # the scorer may need them
+    ranked = materialize(_hash_rank(df.select(id_col, label, *features, *other), id_col, seed, "__rank").drop(id_col), "permutation-ranks")
     n = ranked.count()
     moved = []
     for i, (f, us) in enumerate(zip(features, shifts(len(features), n_repeats, seed))):
@@ -123,8 +124,8 @@ def permuted_rows(df: DataFrame, features: list[str], label: str, n_repeats: int
     values = ranked.select(F.explode(F.array(*moved)).alias("v")).select("v.*")
     joined = ranked.join(values, F.col("__rank") == F.col("to"))
     own = {f: F.when(F.col("f") == i, F.col("num" if is_num[f] else "txt").cast(types[f])).otherwise(F.col(f)) for i, f in enumerate(features)}
-    permuted = joined.select(F.col("f").alias("__feature"), F.col("r").alias("__repeat"), label, *[c.alias(f) for f, c in own.items()])
-    return permuted.unionByName(ranked.select(F.lit(-1).alias("__feature"), F.lit(0).alias("__repeat"), label, *features))
+    permuted = joined.select(F.col("f").alias("__feature"), F.col("r").alias("__repeat"), label, *[c.alias(f) for f, c in own.items()], *other)
+    return permuted.unionByName(ranked.select(F.lit(-1).alias("__feature"), F.lit(0).alias("__repeat"), label, *features, *other))
 
 
 def permutation_importance(scored_fn, df: DataFrame, features: list[str], label: str = "is_fraud",

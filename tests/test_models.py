@@ -86,6 +86,14 @@ def test_permuted_rows_ignore_partitions_and_are_permutations(spark):
             assert sorted(r[4 - f] for r in part) == sorted(x[1 - f] for x in plain)
 
 
+def test_permutation_keeps_columns_that_are_not_permuted(spark):
+    """A scorer of x and z, of which only x is judged (the filters before dropped z)."""
+    df = spark.range(300).selectExpr("id", "cast(id % 4 = 0 AS int) AS is_fraud", "cast(id % 4 AS double) AS x", "id * 1.0D AS z")
+    m = L.fit_classifier(df, ["x", "z"], [], kind="lr")
+    got = SE.permutation_importance(lambda d, keep: L.predict_proba(m, d, ["x", "z"], [], keep=keep), df, ["x"], n_repeats=2).first()
+    assert got.feature == "x" and got.importance > 0.3
+
+
 def test_permutation_importance_finds_the_feature_that_matters(spark):
     df = spark.range(400).selectExpr("id", "cast(id % 4 = 0 AS int) AS is_fraud", "cast(id % 4 AS double) AS x", "cast(id % 9 AS double) AS z",
                                      "concat('c', id % 3) AS c")
