@@ -21,7 +21,15 @@ sets without emitting the pairs inside a group of copies:
    nothing is compared again, and a pair (x, y) is dropped when the verified
    distances to a common pivot p give d(x,y) >= |d(x,p) - d(y,p)| > 0.2
    (Jaccard distance is a metric).
-5. what is left between different components is verified in full.
+5. what is left between different components shares a list.  Lists of up to
+   HOT_LIST sets give their pairs, the rest of a long list is joined through
+   differences: each of its sets is verified against the set that most of the
+   long lists hold, and keeps its symmetric difference to that pivot.  Two sets
+   link exactly when their differences overlap enough, so the same prefix join
+   runs over the differences, which are short, and in which what the group
+   shares is gone; no pair of a long list is written out unless its differences
+   leave room for a link.
+6. the pairs found are verified in full.
 
 Sets are identified by 64 bits of a digest; two different sets share one with
 probability n^2 / 2^65.
@@ -39,7 +47,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import common as C
@@ -54,6 +62,8 @@ MARK_BITS = 26
 FLUSH_ROWS = 500_000
 #: Postings of one bucket of the index, on average.
 BUCKET_ROWS = 1_500_000
+#: Lists up to this length give their pairs; longer ones are joined through differences to a pivot.
+HOT_LIST = 64
 #: Lists up to this length are pruned by position entry by entry; longer ones pass whole.
 SHORT_LIST = 24
 _POST = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u2"), ("p", "<u2")])
@@ -296,15 +306,19 @@ def _enough(shared: str, nx: str, ny: str):
     return (F.greatest(nx, ny) >= 65535) | (F.col(shared) >= need)
 
 
-def _verify(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
-    """(a, b, d, linked) with the exact Jaccard distance d of each pair; only their sets are made again."""
+def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
+    """``pairs`` (a, b) with the tokens ta and tb of their sets; only these sets are made again."""
     pairs = C.materialize(pairs.select("a", "b"), f"op1-{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(row_of, "set_id").select("key")
     sets = C.materialize(_only(src, ids).mapInArrow(_tokens, "set_id long, tokens array<long>"), f"op1-{name}-sets")
-    out = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a") \
-        .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b") \
-        .select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"),
-                F.size(F.array_intersect("ta", "tb")).alias("both"))
+    return pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a") \
+        .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
+
+
+def _verify(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
+    """(a, b, d, linked) with the exact Jaccard distance d of each pair."""
+    out = _with_sets(pairs, src, row_of, name) \
+        .select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
     union = F.col("na") + F.col("nb") - F.col("both")
     return C.materialize(out.select("a", "b", (F.lit(1.0) - F.col("both") / union).alias("d"),
                                     (F.col("both") * DEN >= union * NUM).alias("linked")), f"op1-{name}")
@@ -377,19 +391,74 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
         .groupBy("set_id").agg(F.max(F.struct("shared", "pivot")).alias("best")) \
         .select(F.least("set_id", "best.pivot").alias("a"), F.greatest("set_id", "best.pivot").alias("b")).distinct()
     checked = _verify(near, src, row_of, "pivots")
-    comp = C.connected_components(checked.where("linked"), name="op1-cc1")
-    rest = _verify(_between(alive, comp, checked), src, row_of, "rest")
-    return checked.where("linked").select("a", "b").unionByName(rest.where("linked").select("a", "b"))
-
-
-def _between(alive: DataFrame, comp: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of sets of different components that no bound rules out."""
-    known = alive.join(comp.select(F.col("node").alias("set_id"), "component"), "set_id", "left") \
-        .withColumn("component", F.coalesce("component", "set_id"))
-    mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .where("lo <> hi").select("token")
-    blocks = known.join(mixed, "token", "left_semi").groupBy("token", "component", "n", "pos") \
-        .agg(F.collect_set("set_id").alias("members"))
+    edges = checked.where("linked").select("a", "b")
+    known = _of_components(alive, C.connected_components(edges, name="op1-cc1"))
+    mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")) \
+        .where("lo <> hi").select("token", "k")
+    mixed = C.materialize(mixed, "op1-mixed")
+    pairs = _between(known.join(mixed.where(F.col("k") <= HOT_LIST), "token", "left_semi"), checked)
+    long = known.join(mixed.where(F.col("k") > HOT_LIST), "token", "left_semi").select("token", "set_id")
+    if not long.isEmpty():
+        apart = _differences(long, src, row_of)
+        edges = edges.unionByName(apart.where("linked").select("a", "b"))
+        pairs = pairs.unionByName(_by_difference(apart, C.connected_components(edges, name="op1-cc2"))).distinct()
+    rest = _verify(pairs, src, row_of, "rest")
+    return edges.unionByName(rest.where("linked").select("a", "b"))
+
+
+def _of_components(sets: DataFrame, comp: DataFrame, key: str = "set_id", out: str = "component") -> DataFrame:
+    """``sets`` with the component of the set in ``key`` (the set itself where it has no link)."""
+    return sets.join(comp.select(F.col("node").alias(key), F.col("component").alias(out)), key, "left") \
+        .withColumn(out, F.coalesce(out, key))
+
+
+def _differences(long: DataFrame, src: DataFrame, row_of: DataFrame) -> DataFrame:
+    """(a, b, n, delta, linked): each set b of the long lists with the pivot a of a list that holds it,
+    its size and its symmetric difference to the pivot.
+
+    A list's pivot is that of its sets which most long lists hold, so the lists
+    of one group of near copies have few pivots.
+    """
+    held = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists"))
+    pivots = long.join(held, "set_id").groupBy("token").agg(F.max(F.struct("lists", "set_id")).alias("q"))
+    pairs = long.join(pivots, "token").where("set_id <> q.set_id").select(F.col("q.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
+    both = _with_sets(pairs, src, row_of, "differences")
+    delta = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
+    out = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("n"), delta.alias("delta"))
+    # Linked: |A n B| >= 0.8 |A u B|, in terms of the symmetric difference.
+    linked = F.size("delta") * (NUM + DEN) <= (F.col("na") + F.col("n")) * (DEN - NUM)
+    return C.materialize(out.select("a", "b", "n", "delta", linked.alias("linked")), "op1-apart")
+
+
+def _by_difference(apart: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components with one pivot whose differences can overlap enough.
+
+    |x - y| = |dx| + |dy| - 2 |dx n dy| (symmetric differences) must be at most
+    (nx + ny) / 9, so the differences must share c = ceil((|dx| + |dy| -
+    (nx + ny) div 9) / 2) tokens.  c is at least 1, as sets for which it is not
+    are linked with the pivot and so with each other.  Tokens are ordered by
+    their number among the pivot's differences, rare ones first; the first
+    shared one must leave room for c.
+    """
+    sets = _of_components(apart.select(F.col("a").alias("q"), F.col("b").alias("s"), "n", "delta"), comp, "s")
+    sized = sets.withColumn("m", F.size("delta"))
+    least = sized.groupBy("q").agg(F.min("m").alias("m0"), F.max("n").alias("n1"))
+    tokens = sized.join(least, "q").select("q", "s", "component", "n", "m", "m0", "n1", F.explode("delta").alias("t"))
+    often = tokens.groupBy("q", "t").agg(F.count(F.lit(1)).alias("f"))
+    order = Window.partitionBy("q", "s").orderBy("f", "t")
+    placed = tokens.join(often, ["q", "t"]).withColumn("i", F.row_number().over(order) - 1)
+    # No partner has a smaller difference than m0 or more than n1 shingles: what stands later cannot be a first shared token.
+    room = F.expr(f"m - (m + m0 - (n + n1) * {DEN - NUM} div {NUM + DEN} + 1) div 2")
+    post = placed.where(F.col("f") > 1).where(F.col("i") <= room).select("q", "t", F.struct("s", "component", "n", "m", "i").alias("e"))
+    x, y = post.withColumnRenamed("e", "x"), post.withColumnRenamed("e", "y")
+    c = F.expr(f"(x.m + y.m - (x.n + y.n) * {DEN - NUM} div {NUM + DEN} + 1) div 2")
+    return x.join(y, ["q", "t"]).where("x.component < y.component").where(F.least(F.expr("x.m - x.i"), F.expr("y.m - y.i")) >= c) \
+        .select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
+
+
+def _between(known: DataFrame, checked: DataFrame) -> DataFrame:
+    """Pairs of sets of different components in one list that no bound rules out."""
+    blocks = known.groupBy("token", "component", "n", "pos").agg(F.collect_set("set_id").alias("members"))
     x = blocks.select("token", F.struct("component", "n", "pos", "members").alias("x"))
     y = blocks.select("token", F.struct("component", "n", "pos", "members").alias("y"))
     pairs = x.join(y, "token").where("x.component < y.component").where(_possible("x", "y", first=True)) \
