@@ -30,6 +30,7 @@ import bisect
 import os
 import random
 import re
+import unicodedata
 import zlib
 from array import array
 
@@ -61,6 +62,20 @@ CACHE_CHARS = 48
 # --- pieces ---------------------------------------------------------------
 
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _parts(word: str) -> tuple[str, str, str] | None:
+    """ASCII punctuation before and after a word, which are pre-tokens of their own next to a letter or digit;
+    None where that is not certain: with a special token, or a letter that the normalizer ends in a mark."""
+    core = word.strip(_PUNCTUATION)
+    if not core or len(core) == len(word) or "<|" in word:
+        return None
+    head, _, tail = word.partition(core)
+    first, last = core[0], unicodedata.normalize("NFC", core[-1]).lower()[-1]
+    if head and not first.isalnum() or tail and not last.isalnum():
+        return None
+    return head, core, tail
 
 
 class _Ids(dict):
@@ -78,22 +93,34 @@ class _Ids(dict):
             for piece, i in vocab.items():
                 self.final[i] = piece.endswith(self.tokenizer.model.end_of_word_suffix)
         self[""] = b""
+        self.old: dict[str, bytes] = {}                 # the table before the last change: what is asked for again moves over
+        self.long: list[str] = []
 
     def learn(self, words: set[str]) -> None:
-        """Encode the missing words of some texts together; forget all when the table is full."""
+        """Encode the missing words of some texts together.  A full table becomes the old one."""
         if len(self) > CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
             self[""] = b""
-        new = {w for w in words if w not in self}
-        stops = [w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalnum() and "<|" not in w]
-        # A full stop or comma after a letter or digit is a pre-token of its own.
-        new = new.difference(stops).union({w[:-1] for w in stops if w[:-1] not in self}, {".", ","} - self.keys())
+        new = self._missing(words)
+        split = {w: parts for w in new if (parts := _parts(w))}
+        new = new.difference(split).union(self._missing({x for parts in split.values() for x in parts}))
         plain = [w for w in new if _PLAIN(w)]
         if not self._learn_plain(plain):
             plain = []
         self._learn_marked([w for w in new.difference(plain)])
-        for w in stops:
-            self[w] = self[w[:-1]] + self[w[-1]]
+        for w, (head, core, tail) in split.items():
+            self[w] = self[head] + self[core] + self[tail]
+        self.long += [w for w in new.union(split) if len(w) > CACHE_CHARS]
+
+    def _missing(self, words: set[str]) -> set[str]:
+        """Of ``words`` those that neither table has."""
+        missing = {w for w in words if w not in self}
+        old = self.old
+        for w in [w for w in missing if w in old] if old else ():
+            self[w] = old[w]
+            missing.discard(w)
+        return missing
 
     def _encode(self, strings: list[str]):
         for k in range(0, len(strings), 64):
@@ -130,10 +157,11 @@ class _Ids(dict):
                 start = end + 4
             at += len(ends)
 
-    def drop_long(self, words: set[str]) -> None:
-        for w in words:
-            if len(w) > CACHE_CHARS:
-                self.pop(w, None)
+    def drop_long(self) -> None:
+        """Forget the long words of the last texts."""
+        for w in self.long:
+            self.pop(w, None)
+        self.long.clear()
 
 
 def _words(text: str | None) -> list[str]:
@@ -168,7 +196,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         step = 4 * capacity
         for b in batches:
             texts = b.column("text")
-            for i, j in C.row_slices(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))), 1 << 19):
+            for i, j in C.row_slices(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))), 1 << 21):
                 split = [_words(t) for t in texts.slice(i, j - i).to_pylist()]
                 words = set().union(*split)
                 ids.learn(words)
@@ -179,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                         part = data[k:k + step]
                         for col, v in zip(out, (doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
                             col.append(v)
-                ids.drop_long(words)
+                ids.drop_long()
                 cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:

@@ -312,6 +312,59 @@ def test_op7_brute_force(spark, odd_wide):
     assert o7.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_op7_equals_all_windows(spark):
+    """Swapped halves, moved parts, edits, repeats and cut ends against every window of every document."""
+    import random
+    rng = random.Random(8)
+    items = [(k, para(700 + k, n)) for k, n in enumerate((200, 60, 40, 30, 25, 12))]
+
+    def variant(words):
+        how, n = rng.randrange(7), len(words)
+        if how == 0:
+            return words[n // 2:] + words[:n // 2]
+        if how == 1:
+            a, b = sorted(rng.sample(range(n), 2))
+            return words[:a] + words[b:] + words[a:b]
+        if how == 2:
+            out = list(words)
+            for _ in range(rng.randint(1, max(1, n // 40))):
+                out[rng.randrange(n)] = "edited"
+            return out
+        if how == 3:
+            return words[rng.randint(0, n // 8):n - rng.randint(0, n // 8)]
+        if how == 4:
+            return words + words
+        if how == 5:
+            at = rng.randrange(n)
+            return words[:at] + ["put", "in"] + words[at:]
+        return words
+    docs = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            parts += para(5000 + 7 * d + len(parts), rng.randint(0, 40)).split() + variant(rng.choice(items)[1].split())
+        docs.append((d, " ".join(parts + para(9000 + d, rng.randint(0, 30)).split())))
+    docs += [(100, items[0][1]), (101, " ".join(items[0][1].split()[:185])), (102, items[3][1] + " " + items[3][1]), (102, items[3][1])]
+    counts = lambda w: collections.Counter(tuple(w[k:k + 5]) for k in range(len(w) - 4))                 # noqa: E731
+    want = {}
+    for d, text in docs:
+        w = text.split()
+        for k, item in items:
+            own, n = counts(item.split()), min(len(item.split()), len(w))
+            for at in range(len(w) - n + 1):
+                there = counts(w[at:at + n])
+                both = sum((own & there).values())
+                sim = both / (sum(own.values()) + sum(there.values()) - both)
+                if sim >= 0.8 - 1e-12 and sim > want.get((d, k), (0,))[0] + 1e-12:
+                    want[d, k] = (sim, at)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in
+           o7.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(want) and len(want) > 40
+    for key, (sim, at) in want.items():
+        assert got[key] == (pytest.approx(sim), at), key
+    assert got[next(k for k in want if k[0] == 100)][0] == 1.0
+
+
 def test_op7_multi_index_finds_all_within_radius():
     index = o7.ItemIndex([(k, para(k, 30)) for k in range(300)])
     rng = np.random.default_rng(1)
@@ -368,6 +421,37 @@ def test_empty_table(no_docs, run):
     assert run(no_docs).count() == 0
 
 
+def test_op2_ids_equal_the_library_on_random_texts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(o2.TOKENIZER)
+    tok, table = Tokenizer.from_file(path), o2._Ids(path)
+    rng = random.Random(5)
+    parts = ["\u0130", "\u0130.", "a", "b", "the", "\u00c9", "e\u0301", "\u0301", "\u00df", "\u03a3", "\u039f\u0394\u039f\u03a3", "\u6f22", "1", "\uff12", "\u00b2",
+             "\u00bd", ".", ",", "'", "'s", "'re", "!", "(", ")", "\"", "-", "_", "|", "<", "<|", "|>", "<|endoftext|>", "&", "%", "\u00a0", "\u200b", "\u0958",
+             "\u0958.", "\ufb01", "x\u0327", "\t", "\x1c", "\u1e9e", "K", "\U0001f600", "\u0345.", "\u0149.", "\u1fb3."]
+    for k in range(20_000):
+        text = "".join(rng.choice(parts) + (" " if rng.random() < 0.3 else "") for _ in range(rng.randint(1, 14)))
+        ws = o2._words(text)
+        table.learn(set(ws))
+        assert b"".join(map(table.__getitem__, ws)) == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        table.drop_long()
+
+
+def test_op2_full_table_keeps_what_is_asked_for_again(monkeypatch):
+    import public_tokenizers
+    monkeypatch.setattr(o2, "CACHE_WORDS", 5)
+    table = o2._Ids(public_tokenizers.path(o2.TOKENIZER))
+    for k in range(30):
+        ws = {"again", f"word{k}", f"(other{k}).", "x" * 60}
+        table.learn(ws)
+        assert ws <= table.keys()
+        table.drop_long()
+        assert "x" * 60 not in table and len(table) < 40
+
+
 def test_op2_word_table_equals_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
