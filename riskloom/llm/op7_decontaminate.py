@@ -1,10 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Items and documents are words (letters, digits and non-ASCII, A-Z lower-cased)
-and 5-word shingles.  For each place where a document shares a shingle with an
-item, the window of that item's length is laid so that the shingle lies as in
-the item; windows elsewhere share nothing with any item and have similarity 0.
-Each window's 64-bit SimHash (shingles vote with their counts) is looked up in
+and 5-word shingles.  For each item that shares shingles with a document, windows
+of that item's length are laid wherever enough shared shingles lie inside one to
+reach the similarity, in whatever order they stand; all other windows are below
+it.  Those with the most shared shingles come first, and the rest are left when
+they cannot be better than what was found.  Each window's 64-bit SimHash (shingles vote with their counts) is looked up in
 a multi-index: RADIUS + 1 blocks of bits guarantee that every item fingerprint
 within RADIUS is found.  Candidates are verified by the exact weighted shingle
 similarity, sum of minimum over sum of maximum counts, of 0.8 or more.
@@ -20,7 +21,8 @@ Result: one row for each document and item that match, with the best window.
 Defined cases: null or empty items and documents match nothing; items of fewer
 than five words match their exact word sequence; repeated rows match each.  Equal
 similarities keep the first window.  A null doc_id is kept.  Empty tables give
-no rows.
+no rows.  Very long texts are searched whole.  Only doc_id, item_id and text are
+read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -108,15 +110,28 @@ class ItemIndex:
         c = np.unique(np.concatenate(found))
         return c[np.bitwise_count(self.prints[c] ^ np.uint64(fp)) <= self.radius]
 
-    def windows(self, s: np.ndarray, at: np.ndarray, n_words: int) -> set[tuple[int, int]]:
-        """(first word, end) of item-sized windows laid over shared shingles of one document."""
-        lo, hi = np.searchsorted(self.key, s, "left"), np.searchsorted(self.key, s, "right")
-        out = set()
-        for p, i, j in zip(at.tolist(), lo.tolist(), hi.tolist()):
-            for k in range(i, j):
-                start = max(0, p - int(self.place[k]))
-                out.add((start, min(n_words, start + self.length[self.owner[k]])))
-        return out
+    def shared(self, s: np.ndarray, near: np.ndarray):
+        """(item, ascending places of a document that hold one of its shingles) for each item touched."""
+        lo, hi = np.searchsorted(self.key, s[near], "left"), np.searchsorted(self.key, s[near], "right")
+        n = hi - lo
+        entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pairs = np.unique(np.stack([self.owner[entry], np.repeat(near, n)], axis=1), axis=0)
+        cut = np.flatnonzero(np.concatenate(([True], pairs[1:, 0] != pairs[:-1, 0]))) if len(pairs) else np.zeros(0, int)
+        for i, j in zip(cut, np.append(cut[1:], len(pairs))):
+            yield int(pairs[i, 0]), pairs[i:j, 1]
+
+    def windows(self, item: int, places: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(starts, shared places inside, words) of the windows that can reach the similarity, most shared places first."""
+        words = min(self.length[item], n_words)
+        size = max(1, words - K + 1)
+        need = int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (size + self.length[item] - K + 1) - 1e-9))
+        if len(places) < need:
+            return np.zeros(0, int), np.zeros(0, int), words
+        start = np.arange(max(0, int(places[need - 1]) - size + 1), min(n_words - words, int(places[-need])) + 1)
+        count = np.searchsorted(places, start + size) - np.searchsorted(places, start)
+        start, count = start[count >= need], count[count >= need]
+        order = np.lexsort((start, -count))
+        return start[order], count[order], words
 
     def matches(self, s: np.ndarray, n_words: int, near: np.ndarray) -> dict[int, tuple]:
         """Best (similarity, first word, words, distance) for each item found in a document.
@@ -124,17 +139,27 @@ class ItemIndex:
         ``s``: the shingle at each word but the last four; ``near``: the places that may hold a shared one.
         """
         best: dict[int, tuple] = {}
-        for start, end in sorted(self.windows(s[near], near, n_words)):
-            window = s[start:max(start + 1, end - K + 1)]
-            fp = simhash(window)
-            found = self.within(fp)
-            if len(found):
-                own = np.unique(window, return_counts=True)
-                for k in found.tolist():
+        looked: dict[tuple[int, int], tuple] = {}       # windows: fingerprint, items within the radius, shingles with counts
+        for k, places in self.shared(s, near):
+            found, most = None, -1
+            starts, counts, words = self.windows(k, places, n_words)
+            for start, count in zip(starts.tolist(), counts.tolist()):
+                if count < most:
+                    break
+                if (start, words) not in looked:
+                    window = s[start:start + max(1, words - K + 1)]
+                    fp = simhash(window)
+                    looked[start, words] = (fp, set(self.within(fp).tolist()), np.unique(window, return_counts=True))
+                fp, close, own = looked[start, words]
+                if k in close:
                     sim = weighted_similarity(own, self.sets[k])
-                    if sim >= SIMILARITY and (k not in best or sim > best[k][0]):
-                        best[k] = (sim, start, end - start, (int(self.prints[k]) ^ fp).bit_count())
-        return {self.ids[k]: v for k, v in best.items()}
+                    if sim >= SIMILARITY and (found is None or sim > found[0] or sim == found[0] and start < found[1]):
+                        found = (sim, start, words, (int(self.prints[k]) ^ fp).bit_count())
+                        total = int(own[1].sum() + self.sets[k][1].sum())
+                        most = round(sim * total / (1 + sim))           # shared shingles by count
+            if found and (self.ids[k] not in best or found[0] > best[self.ids[k]][0]):
+                best[self.ids[k]] = found
+        return best
 
 
 _DDL = "doc_id long, item_id long, similarity double, first_word long, n_words long, distance int"
