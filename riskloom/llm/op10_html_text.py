@@ -14,21 +14,25 @@ container), counts inside and outside the mark give
 with additive smoothing towards prior weights, so a page without marks, or a
 corpus without any, is still scored.  At most TRAIN_PAGES labelled pages
 (smallest hash of page_id) are counted; extraction reads every whole page.
+Boilerplate inside a mark, which is left out anyway, costs nothing in the scan,
+and a region that touches a mark is widened to all of it.
 
 Inside the region, boilerplate containers (menus, headers and footers outside
 the article, sidebars, notices, adverts, forms, scripts, styles, reader
 comments) are left out.  Layout words count as whole class tokens (``sidebar``,
 ``site-footer``; not ``has-sidebar``).  A content mark ends the boilerplate around
 it, and a container that holds a mark, or most of the words of a page (or of the
-mark around it) with no marked text elsewhere, is no boilerplate; boilerplate
-opened inside a mark stays out.  Blocks end at block elements; <br> is white space.
+mark around it) with no marked text elsewhere, is no boilerplate, unless it is named
+for reader comments; boilerplate opened inside a mark stays out.  Blocks end at block elements; <br> is white space.
 Character references are decoded, white space inside a block becomes one
 space, blocks are joined by one line feed.
 
 Defined cases: null or empty html, or a page without words, gives an empty text
 with n_chars 0.  Broken markup (unclosed or stray tags, truncated pages) is
 read as far as it goes: an end tag closes the nearest open element of its name
-or is ignored.  Repeated rows give repeated results.  Empty tables give no rows.
+or is ignored.  Very long pages are read whole.  Ties between regions go to the
+first.  Repeated rows give repeated results.  Empty tables give no rows.  Only
+page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -114,7 +118,8 @@ class Page:
 
     ``events``: (class, words, block) for a word run, (tag, 0, -1) for a tag;
     ``inside``: whether it lies in marked content; ``kept``: whether it is text
-    outside of boilerplate.  ``text``: the characters of each run.
+    outside of boilerplate.  ``text``: the characters of each run; ``mark_of``:
+    the outermost content mark around each event (0: none).
     """
 
     def __init__(self, page: str):
@@ -222,31 +227,46 @@ class Page:
             if g and within[k]:
                 if g == "form" and holds[k] or 2 * words[k] > words[within[k]] and not self._talk[k]:
                     g = ""
-            elif g and (holds[k] or 2 * words[k] > words[0] and not marked[0]):
+            elif g and (holds[k] or 2 * words[k] > words[0] and not marked[0] and not self._talk[k]):
                 g = ""
             group[k] = g or ("" if mark[k] and not within[k] else group[up[k]])
+        top = [0] * len(up)                                # the outermost mark that is no boilerplate itself
+        for k in range(1, len(up)):
+            top[k] = top[up[k]] or (k if mark[k] and not group[k] else 0)
+        self.mark_of = [top[at] for at in self._at]
         for k, (name, words_, block) in enumerate(self.events):
-            g = group[self._at[k]]
-            if block < 0:
+            g, at = group[self._at[k]], self._at[k]
+            inside = bool(mark[at] or within[at])
+            if g and top[at]:
+                self.events[k] = ("", 0, block)            # left out of the content: neither words nor tags count
+            elif block < 0:
                 self.events[k] = (f"<{g}:{name}>" if g else f"<{name}>", 0, -1)
             elif g:
                 self.events[k] = (g, words_, block)
-            self.inside.append(bool(mark[self._at[k]] or within[self._at[k]]))
+            self.inside.append(inside)
             self.kept.append(block >= 0 and not g)
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
         """First event and end of the contiguous region with the largest sum (linear scan)."""
         best, total, start, where = 0.0, 0.0, 0, (0, 0)
         for i, (name, words, _) in enumerate(self.events):
-            total += words * weights.get(name, WORD_PRIOR) if words else (weights.get(name, TAG_PRIOR) if name[0] == "<" else 0.0)
+            total += words * weights.get(name, WORD_PRIOR) if words else (weights.get(name, TAG_PRIOR) if name[:1] == "<" else 0.0)
             if total <= 0:
                 total, start = 0.0, i + 1
             elif total > best:
                 best, where = total, (start, i + 1)
         return where
 
+    def widened(self, i: int, j: int) -> tuple[int, int]:
+        """The region and all of every content mark that it touches."""
+        touched = {m for m in self.mark_of[i:j] if m}
+        if touched:
+            at = [k for k, m in enumerate(self.mark_of) if m in touched]
+            i, j = min(i, at[0]), max(j, at[-1] + 1)
+        return i, j
+
     def extract(self, weights: dict[str, float]) -> str:
-        i, j = self.region(weights)
+        i, j = self.widened(*self.region(weights))
         blocks: list[list[str]] = []
         last = None
         for k in range(i, j):
@@ -275,7 +295,8 @@ def learn(pages: DataFrame) -> dict[str, float]:
                 page = Page(text or "")
                 if any(page.inside):
                     for (name, words, _), inside in zip(page.events, page.inside):
-                        seen.setdefault(name, [0, 0])[inside] += words if name[0] != "<" else 1
+                        if name:
+                            seen.setdefault(name, [0, 0])[inside] += words if name[0] != "<" else 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()),
                                               pa.array([v[0] for v in seen.values()], pa.int64())], names=["name", "inside", "outside"])
 

@@ -62,6 +62,32 @@ def test_op10_layout_words_do_not_lose_the_article(spark):
     assert got == want
 
 
+def test_op10_keeps_the_whole_article_and_drops_comments(spark):
+    paras = [para(k, 35) for k in range(6)]
+    ps = lambda a, b: "".join(f"<p>{t}</p>" for t in paras[a:b])                                      # noqa: E731
+    menu = "<nav>" + "".join(f"<a href='/{k}'>menu{k}</a>" for k in range(8)) + "</nav>"
+    links = "".join(f"<li><a href='/{k}'>see {k}</a></li>" for k in range(60))
+    entries = "".join(f"<li>entry {k}</li>" for k in range(50))
+    bodies = {
+        "aside": (f"<article>{ps(0, 3)}<aside><ul>{links}</ul></aside>{ps(3, 6)}</article>", paras),
+        "newsletter": (f"<article>{ps(0, 3)}<div class='newsletter'>{'<span><b>x</b></span>' * 60}</div>{ps(3, 6)}</article>", paras),
+        "list": (f"<main><h1>Heading</h1><p>{paras[0]}</p><ul>{entries}</ul><p>{paras[1]}</p></main>",
+                 ["Heading", paras[0], *[f"entry {k}" for k in range(50)], paras[1]]),
+        "comments": (f"<div id=content><p>only seven words are the article text</p></div><div class=comments><p>{para(9, 150)}</p></div>",
+                     ["only seven words are the article text"]),
+        "comment articles": (f"<article><h1>Title</h1>{ps(0, 1)}</article><div id='comments'><article class='comment'><p>{para(9, 200)}</p></article></div>",
+                             ["Title", paras[0]]),
+        "long": ("<article>" + "".join(f"<p>{para(k, 90)}</p>" for k in range(400)) + "</article>", [para(k, 90) for k in range(400)]),
+    }
+    df = spark.createDataFrame([(1, k, f"<html><body>{menu}{b}<footer>imprint</footer></body></html>") for k, (b, _) in bodies.items()],
+                               "page_id long, url string, html string")
+    want = {k: "\n".join(t) for k, (_, t) in bodies.items()}
+    assert {r.url: r.text for r in o10.html_text(df).collect()} == want
+    learned = o10.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    clash = df.selectExpr("*", "'x' AS text", "'y' AS n_chars", "1 AS events")
+    assert {r.url: r.text for r in o10.html_text(clash, learned).collect()} == want
+
+
 def test_op10_region_is_the_maximum(spark):
     import random
     rng = random.Random(4)
