@@ -1,9 +1,12 @@
 """Structured Streaming path.
 
 T1 stream scan + watermark, T2 stream-static enrichment, T3 per-card
-past-only rolling count/sum kept in ``applyInPandasWithState`` (state holds
-the card's rows of the last window + allowed lateness and is evicted by the
-watermark), T4 scoring through ``foreachBatch`` and windowed alert counts.
+past-only rolling count/sum kept in ``applyInPandasWithState``: a row waits in
+the state until the watermark has passed it, so rows may arrive in any order
+within the watermark and the results equal the batch operator's; state is
+evicted by the watermark, and rows behind it are dropped and counted.  T4
+scoring through ``foreachBatch``, one folder an epoch, so a replayed epoch
+replaces itself, and windowed alert counts.
 Checkpoints go under the session's shared ``spark.checkpoint.dir``.
 """
 
@@ -43,43 +46,58 @@ def enrich(stream: DataFrame, dim: DataFrame, stream_key: str, dim_key: str) ->
 
 
 OUT_SCHEMA = "id long, card_id long, past_count long, past_sum double"
-STATE_SCHEMA = "us array<long>, ids array<long>, amounts array<double>"
+STATE_SCHEMA = "us array<long>, ids array<long>, amounts array<double>, done long"
 
 
-def _rolling_fn(w_us: int, lateness_us: int):
+def rolling_past(us: np.ndarray, amounts: np.ndarray, w_us: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, sum) over the past window of each wanted row of arrays in (instant, id) order."""
+    at = np.flatnonzero(wanted)
+    lo = np.searchsorted(us, us[at] - w_us)
+    total = np.concatenate(([0.0], np.cumsum(np.nan_to_num(amounts))))
+    return at - lo, np.where(at > lo, total[at] - total[lo], 0.0)
+
+
+def _rolling_fn(w_us: int):
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
+        us, ids, amounts, done = state.get if state.exists else ([], [], [], -(1 << 62))
+        parts = [] if state.hasTimedOut else list(pdfs)
+        us = np.concatenate([np.asarray(us, "int64"), *[p["__us"].to_numpy("int64") for p in parts]])
+        ids = np.concatenate([np.asarray(ids, "int64"), *[p["id"].to_numpy("int64") for p in parts]])
+        amounts = np.concatenate([np.asarray(amounts, "float64"), *[p["amount"].to_numpy("float64") for p in parts]])
+        order = np.lexsort((ids, us))
+        us, ids, amounts = us[order], ids[order], amounts[order]
+        # No row before the watermark can come any more: what lies there is final.
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = (us >= done) & (us < mark)
+        count, total = rolling_past(us, amounts, w_us, ready)
+        out = pd.DataFrame({"id": ids[ready], "card_id": np.full(len(count), key[0]), "past_count": count, "past_sum": total})
+        done = max(done, mark)
+        keep = us >= done - w_us
+        us, ids, amounts = us[keep], ids[keep], amounts[keep]
+        if len(us):
+            state.update((us.tolist(), ids.tolist(), amounts.tolist(), int(done)))
+            waiting = us[us >= done]
+            wake = waiting[0] if len(waiting) else us[-1] + w_us
+            state.setTimeoutTimestamp(max(int(wake // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            return
-        if state.exists:
-            us, ids, am = state.get
-            h_us, h_id, h_am = np.asarray(us, "int64"), np.asarray(ids, "int64"), np.asarray(am, "float64")
-        else:
-            h_us = h_id = np.empty(0, "int64")
-            h_am = np.empty(0, "float64")
-        batch = pd.concat(list(pdfs)).sort_values(["__us", "id"])
-        out = []
-        for u, i, a in zip(batch["__us"].to_numpy(), batch["id"].to_numpy(), batch["amount"].to_numpy()):
-            past = (h_us >= u - w_us) & ((h_us < u) | ((h_us == u) & (h_id < i)))
-            out.append((i, key[0], int(past.sum()), float(np.nansum(h_am[past]))))
-            h_us, h_id, h_am = np.append(h_us, u), np.append(h_id, i), np.append(h_am, a)
-        wm_us = state.getCurrentWatermarkMs() * 1000
-        keep = h_us >= max(int(h_us.max()) - w_us - lateness_us, wm_us - w_us) if len(h_us) else h_us.astype(bool)
-        state.update((h_us[keep].tolist(), h_id[keep].tolist(), h_am[keep].tolist()))
-        state.setTimeoutTimestamp(int((h_us.max() + w_us + lateness_us) // 1000) if len(h_us) else
-                                  state.getCurrentWatermarkMs() + 1)
-        yield pd.DataFrame(out, columns=["id", "card_id", "past_count", "past_sum"])
+        yield out
     return fn
 
 
-def rolling_card_state(stream: DataFrame, window_s: int = 3600, lateness_s: int = 3600) -> DataFrame:
+def rolling_card_state(stream: DataFrame, window_s: int = 3600) -> DataFrame:
     """Per-card past-only count and sum over ``window_s`` (row-order ties,
-    like the batch operator).  Rows later than the watermark are dropped by
-    Spark before they reach the state."""
+    like the batch operator), given out when the watermark has passed a row.
+    Rows behind the watermark are dropped by Spark; ``late_rows`` counts them."""
     s = stream.select("id", "card_id", "amount", epoch_us("date").alias("__us"), "date")
     return s.groupBy("card_id").applyInPandasWithState(
-        _rolling_fn(window_s * 1_000_000, lateness_s * 1_000_000), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout)
+        _rolling_fn(window_s * 1_000_000), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_rows(query) -> int:
+    """Rows that the state operators of a running or stopped query dropped behind the watermark, as far as its progress
+    reports reach back."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in (p if isinstance(p, dict) else p.jsonValue)["stateOperators"])
 
 
 def alert_counts_by_window(scored_stream: DataFrame, p_col: str = "p", window: str = "1 hour") -> DataFrame:
@@ -89,12 +107,19 @@ def alert_counts_by_window(scored_stream: DataFrame, p_col: str = "p", window: s
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "level", "n")
 
 
-def start_scoring_sink(stream: DataFrame, score_fn, out_path: str, name: str = "score"):
-    """T4: every micro-batch goes through the same batch ``score_fn`` and is
-    appended to ``out_path``; the checkpoint makes the sink restartable."""
-    spark = stream.sparkSession
-    ck = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+def epoch_writer(score_fn, out_path: str):
+    """The ``foreachBatch`` function that scores a micro-batch into the folder of its epoch.
 
+    An epoch that is replayed after a failure overwrites its own folder, so every
+    row is there once; readers see ``epoch`` as a partition column.
+    """
     def each(batch: DataFrame, epoch_id: int) -> None:
-        score_fn(batch).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_path)
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", ck).start()
+        score_fn(batch).write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch_id}")
+    return each
+
+
+def start_scoring_sink(stream: DataFrame, score_fn, out_path: str, name: str = "score"):
+    """T4: every micro-batch goes through the same batch ``score_fn`` into
+    ``out_path``; the checkpoint makes the sink restartable."""
+    ck = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{name}"
+    return stream.writeStream.foreachBatch(epoch_writer(score_fn, out_path)).option("checkpointLocation", ck).start()

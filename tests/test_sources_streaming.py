@@ -81,25 +81,57 @@ def test_readers_and_writers(spark, tmp_path):
         sorted(map(tuple, p.collect()))
 
 
-def test_stream_state_equals_batch(spark):
+def test_stream_state_equals_batch_on_shuffled_files(spark):
+    """Rows come up to a day out of order; one row far behind the watermark is dropped and counted."""
     d = tempfile.mkdtemp(prefix="riskloom-stream-")
     ev = spark.read.parquet(f"{SF}/events.parquet")
     cuts = ["2024-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2024-02-01"]
-    for lo, hi in zip(cuts, cuts[1:]):  # files arrive in event-time order
-        ev.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(f"{d}/events")
-    s = ST.stream_transactions(spark, f"{d}/events", watermark="2 hours", max_files_per_trigger=1)
-    q = ST.rolling_card_state(s, 3600).writeStream.format("memory").queryName("rolling_out") \
-        .outputMode("append").start()
-    q.processAllAvailable()
+    moved = ev.withColumn("file", F.col("ts") + F.expr("make_dt_interval(0, pmod(hash(event_id), 24))"))
+    last = ev.selectExpr("event_id + 10000000 AS event_id", "timestamp_ntz'2024-03-01' AS ts", "-5L AS user_id", "event_type", "value", "props").limit(1)
+    late = ev.selectExpr("event_id + 20000000 AS event_id", "timestamp_ntz'2024-01-02' AS ts", "user_id", "event_type", "value", "props").limit(1)
+    for k, (lo, hi) in enumerate(zip(["2000-01-01", *cuts[1:4]], [*cuts[1:4], "2100-01-01"])):
+        moved.where((F.col("file") >= lo) & (F.col("file") < hi)).drop("file").coalesce(1).write.parquet(f"{d}/in{k}")
+    last.coalesce(1).write.parquet(f"{d}/in4")
+    late.coalesce(1).write.parquet(f"{d}/in5")
+    spark.createDataFrame([], ev.schema).write.parquet(f"{d}/events")
+    s = ST.stream_transactions(spark, f"{d}/events", watermark="2 days", max_files_per_trigger=1)
+    q = ST.rolling_card_state(s, 3600).writeStream.format("memory").queryName("rolling_out").outputMode("append").start()
+    for k in range(6):                               # one file after the other
+        spark.read.schema(ev.schema).parquet(f"{d}/in{k}").coalesce(1).write.mode("append").parquet(f"{d}/events")
+        q.processAllAvailable()
+    late_count = ST.late_rows(q)
     q.stop()
-    got = {r.id: (r.past_count, r.past_sum) for r in spark.table("rolling_out").collect()}
-    batch = windows.add_velocity(V.tx(spark, SF), "card_id", "card", windows={"1h": 3600})
-    exp = {r.id: (r.card_tx_count_1h, r.card_amount_sum_1h) for r in batch.collect()}
-    assert set(got) == set(exp)
+    rows = spark.table("rolling_out").collect()
+    got = {r.id: (r.past_count, r.past_sum) for r in rows}
+    exp = {r.id: (r.card_tx_count_1h, r.card_amount_sum_1h)
+           for r in windows.add_velocity(V.tx(spark, SF), "card_id", "card", windows={"1h": 3600}).collect()}
+    assert len(rows) == len(got) and set(got) == set(exp) and late_count == 1
     for k, (c, s_) in exp.items():
         assert got[k][0] == c and abs(got[k][1] - s_) < 1e-6
 
 
+def test_scoring_sink_replaces_a_replayed_epoch(spark, tmp_path):
+    from riskloom.operators.score import risk_level
+    t = V.tx(spark, SF).select("id", "p")
+    write = ST.epoch_writer(lambda b: risk_level(b, "p").select("id", "risk_score", "level"), f"{tmp_path}/out")
+    a, b = t.where("id % 2 = 0"), t.where("id % 2 = 1")
+    for batch, epoch in ((a, 0), (b, 1), (b, 1), (a, 0)):
+        write(batch, epoch)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.select("id").distinct().count() == t.count() and out.where("epoch = 0").count() == a.count()
+
+
+def test_enrich_stream(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{tmp_path}/events")
+    dim = spark.createDataFrame([("Visa", "v"), ("Amex", "a")], "brand string, short string")
+    s = ST.enrich(ST.stream_transactions(spark, f"{tmp_path}/events"), dim, "card_brand", "brand")
+    q = s.select("id", "card_brand", "short").writeStream.format("memory").queryName("enriched").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.card_brand, r.short) for r in spark.table("enriched").collect()}
+    assert got == {("Visa", "v"), ("Amex", "a"), ("Mastercard", None), ("Other", None)}
+
+
 def test_alert_counts_stream(spark):
     d = tempfile.mkdtemp(prefix="riskloom-stream2-")
     spark.read.parquet(f"{SF}/events.parquet").write.parquet(f"{d}/events")
