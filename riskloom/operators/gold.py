@@ -127,15 +127,12 @@ def join_dimension(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     return fact.join(d, fact[fact_key] == d[dk], "left")
 
 
-def mcc_table(mcc_map: DataFrame) -> DataFrame:
-    """S4 result as (mcc_str, mcc_description)."""
-    return mcc_map
-
-
-def attach_labels(fact: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
+def attach_labels(fact: DataFrame, labels: DataFrame, id_col: str = "id", validate: bool = True) -> DataFrame:
     """Left join on the long id; ``has_label`` = label present.
-    labels: (transaction_id long, is_fraud int).  Row count is unchanged when
-    the label ids are unique (see ``assert_unique_key``)."""
+    labels: (transaction_id long, is_fraud int).  Duplicate label ids, which
+    would multiply rows, are an error (``validate=False`` skips that check)."""
+    if validate:
+        assert_unique_key(labels, "transaction_id")
     lab = labels.select(F.col("transaction_id").alias("__lid"), F.col("is_fraud").cast("int").alias("is_fraud"))
     j = fact.join(lab, fact[id_col] == lab["__lid"], "left")
     return (j.withColumn("transaction_id_str", F.col(id_col).cast("string"))
@@ -145,9 +142,11 @@ def attach_labels(fact: DataFrame, labels: DataFrame, id_col: str = "id") -> Dat
 
 def build_gold_table(transactions: DataFrame, cards: DataFrame, users: DataFrame,
                      mcc: DataFrame, labels: DataFrame, *, parse_static: bool = True,
-                     validate: bool = False) -> DataFrame:
+                     validate: bool = True) -> DataFrame:
     """Transactions (+time features) -> cards (+acct_age_days) -> users ->
-    MCC descriptions -> labels; one lazy plan, one row per transaction."""
+    MCC descriptions -> labels; one lazy plan, one row per transaction.
+    Duplicate keys in a dimension or among the labels are an error
+    (``validate=False`` skips these aggregations)."""
     t = transactions
     if parse_static:
         t = prepare_static_transaction(t)
@@ -156,7 +155,7 @@ def build_gold_table(transactions: DataFrame, cards: DataFrame, users: DataFrame
     if validate:
         assert_unique_key(cards, "id")
         assert_unique_key(users, "id")
-        assert_unique_key(labels, "transaction_id")
+        assert_unique_key(mcc, "mcc_str")
     t = join_dimension(t, cards, "card_id", "id", "_card")
     if parse_static:
         t = add_acct_age_days(t)
@@ -164,7 +163,7 @@ def build_gold_table(transactions: DataFrame, cards: DataFrame, users: DataFrame
     t = t.withColumn("mcc_str", F.col("mcc").cast("string"))
     m = broadcast_if_small(mcc.select(F.col("mcc_str").alias("__mcc"), "mcc_description"))
     t = t.join(m, t["mcc_str"] == m["__mcc"], "left").drop("__mcc")
-    return attach_labels(t, labels)
+    return attach_labels(t, labels, validate=validate)
 
 
 def star_join_orders(orders: DataFrame, customer: DataFrame, nation: DataFrame,

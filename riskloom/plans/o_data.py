@@ -78,6 +78,23 @@ FROM cards_raw"""
         pm = _parse_money(_money(expr))
         users.append(f"round(CASE WHEN {pm} >= 0 THEN {pm} END, {R}) AS {name}")
     q["static_users"] = f"SELECT s_suppkey AS id, {', '.join(users)} FROM supplier"
+    day = "CAST(o_orderdate AS TIMESTAMP)"
+    opened = _month_year("acct_open_date")
+    q["gold_table"] = f"""WITH {CARDS_RAW},
+c AS (SELECT id AS cid, CASE WHEN {_parse_money('credit_limit')} >= 0 THEN {_parse_money('credit_limit')} END AS credit_limit,
+        {_flag('has_chip')} AS has_chip, {opened} AS opened FROM cards_raw),
+u AS (SELECT s_suppkey AS sid, {', '.join(users)} FROM supplier)
+SELECT o_orderkey AS id, o_custkey AS card_id, o_orderkey % 120 + 1 AS client_id, round(CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DOUBLE), {R}) AS amount,
+  CAST(hour({day}) AS INTEGER) AS hour_of_day, CAST(isodow({day}) - 1 AS INTEGER) AS day_of_week, CAST(isodow({day}) - 1 >= 5 AS INTEGER) AS is_weekend,
+  CAST(month({day}) AS INTEGER) AS month, CAST(hour({day}) < 5 AS INTEGER) AS is_night, round(credit_limit, {R}) AS credit_limit, has_chip,
+  CASE WHEN opened IS NOT NULL THEN greatest(0, CAST(floor((epoch_us({day}) - epoch_us(opened)) / 86400000000.0) AS BIGINT)) END AS acct_age_days,
+  yearly_income, per_capita_income, total_debt, CAST(o_orderkey % 27 AS VARCHAR) AS mcc_str, n_name AS mcc_description,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderpriority = '1-URGENT' AS INTEGER) END AS is_fraud,
+  CAST(o_orderkey AS VARCHAR) AS transaction_id_str, o_orderstatus <> 'P' AS has_label
+FROM orders LEFT JOIN c ON cid = o_custkey LEFT JOIN u ON sid = o_orderkey % 120 + 1 LEFT JOIN nation ON n_nationkey = o_orderkey % 27"""
+    q["label_attach"] = """SELECT o_orderkey AS id, o_custkey AS card_id,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderpriority = '1-URGENT' AS INTEGER) END AS is_fraud,
+  CAST(o_orderkey AS VARCHAR) AS transaction_id_str, o_orderstatus <> 'P' AS has_label FROM orders"""
     q["gold_join"] = (f"WITH {FACT_ORDERS_SQL} SELECT id, date, client_id, round(amount, {R}) AS amount, status, "
                       f"priority, name, segment, round(credit_limit, {R}) AS credit_limit, nation, region "
                       "FROM fact_orders")

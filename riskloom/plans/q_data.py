@@ -94,7 +94,7 @@ def q_static_cards(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(gold.prepare_cards(_cards_raw(spark, sf)))
 
 
-def q_static_users(spark: SparkSession, sf: str) -> DataFrame:
+def _users_raw(spark: SparkSession, sf: str) -> DataFrame:
     s = V.read_table(spark, sf, "supplier")
 
     def money(x):
@@ -102,7 +102,39 @@ def q_static_users(spark: SparkSession, sf: str) -> DataFrame:
     u = s.select(F.col("s_suppkey").alias("id"), money(F.col("s_acctbal")).alias("yearly_income"),
                  money(F.col("s_acctbal") / 10).alias("per_capita_income"),
                  money(F.col("s_acctbal") - 5000).alias("total_debt"))
-    return rounded(gold.prepare_users(u))
+    return u
+
+
+def q_static_users(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gold.prepare_users(_users_raw(spark, sf)))
+
+
+def _raw_orders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as raw transactions (card = customer, client = a supplier, mcc = a nation or none) and their labels."""
+    o = V.read_table(spark, sf, "orders")
+    t = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("date"), F.col("o_custkey").alias("card_id"),
+                 (F.col("o_orderkey") % 120 + 1).alias("client_id"),
+                 F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(14,2)").cast("string")).alias("amount"),
+                 (F.col("o_orderkey") % 27).alias("mcc"))
+    lab = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("transaction_id"),
+                                                 (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("is_fraud"))
+    return t, lab
+
+
+def q_gold_table(spark: SparkSession, sf: str) -> DataFrame:
+    """J5 on raw tables: parsing, time features, cards, users, merchant categories, labels; keys checked."""
+    t, lab = _raw_orders(spark, sf)
+    mcc = V.read_table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("mcc_str"), F.col("n_name").alias("mcc_description"))
+    g = gold.build_gold_table(t, _cards_raw(spark, sf), _users_raw(spark, sf), mcc, lab)
+    return rounded(g.select("id", "card_id", "client_id", "amount", "hour_of_day", "day_of_week", "is_weekend", "month", "is_night", "credit_limit",
+                            "has_chip", "acct_age_days", "yearly_income", "per_capita_income", "total_debt", "mcc_str", "mcc_description",
+                            "is_fraud", "transaction_id_str", "has_label"))
+
+
+def q_label_attach(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions with and without labels."""
+    t, lab = _raw_orders(spark, sf)
+    return gold.attach_labels(t.select("id", "card_id"), lab)
 
 
 def q_gold_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +254,7 @@ QUERIES = {
     "parse_currency": q_parse_currency, "parse_bool": q_parse_bool, "parse_month_year": q_parse_month_year,
     "acct_age": q_acct_age, "time_features": q_time_features, "parse_yes_no": q_parse_yes_no,
     "static_cards": q_static_cards, "static_users": q_static_users, "gold_join": q_gold_join,
-    "label_join": q_label_join, "ref_integrity": q_ref_integrity, "time_split": q_time_split,
+    "gold_table": q_gold_table, "label_attach": q_label_attach, "label_join": q_label_join, "ref_integrity": q_ref_integrity, "time_split": q_time_split,
     "split_rates": q_split_rates, "sample_entities": q_sample_entities,
     "stratified_sample": q_stratified_sample, "risk_level": q_risk_level, "feature_fill": q_feature_fill,
     "payload_to_features": q_payload_to_features, "missing_rate": q_missing_rate,

@@ -81,6 +81,14 @@ def test_gold_join_row_count_and_suffixes(spark):
     assert rows[1].acct_age_days == 365 and rows[2].acct_age_days is None
 
 
+def test_duplicate_label_ids_fail_before_they_multiply_rows(spark):
+    tx = spark.createDataFrame([(1,), (2,)], "id long")
+    twice = spark.createDataFrame([(1, 1), (1, 0)], "transaction_id long, is_fraud int")
+    with pytest.raises(ValueError, match="duplicate transaction_id"):
+        gold.attach_labels(tx, twice)
+    assert gold.attach_labels(tx, twice, validate=False).count() == 3
+
+
 def test_duplicate_dimension_key_fails(spark):
     d = spark.createDataFrame([(1,), (1,)], "id long")
     with pytest.raises(ValueError):
