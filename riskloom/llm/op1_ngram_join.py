@@ -311,8 +311,9 @@ def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -
     pairs = C.materialize(pairs.select("a", "b"), f"op1-{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(row_of, "set_id").select("key")
     sets = C.materialize(_only(src, ids).mapInArrow(_tokens, "set_id long, tokens array<long>"), f"op1-{name}-sets")
-    return pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")), "a") \
-        .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    # Sorted on both sides at every size: the sets are no data to broadcast.
+    return pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a") \
+        .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
 
 
 def _verify(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
@@ -341,9 +342,12 @@ def _joined(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         .withColumn("text_id", _text_id("text"))
     scan = C.materialize(src.mapInArrow(_scan, "doc_id long, text_id long, n_shingles long, set_id long, part int, blob binary"), "op1-scan")
     doc = scan.where("part is null").select("doc_id", "text_id", "n_shingles", "set_id")
-    found = links(spark, src, scan, doc)
-    comp = C.connected_components(found, name="op1-cc")
-    return with_components(doc, comp)
+    comp, more = links(spark, src, scan, doc)
+    # The later links join components of the earlier ones: the smallest set of both is the smallest of the smallest.
+    between = _of_components(_of_components(more, comp, "a", "x"), comp, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = C.connected_components(between, name="op1-cc2")
+    first = comp.unionByName(joined.select("node", F.col("node").alias("component")).join(comp.select("node"), "node", "left_anti"))
+    return with_components(doc, _of_components(first, joined, "component", "to").select("node", F.col("to").alias("component")))
 
 
 def _text_id(text: str):
@@ -363,8 +367,8 @@ def with_components(doc: DataFrame, comp: DataFrame) -> DataFrame:
                 "set_id", "component")
 
 
-def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets whose components are the components of all links."""
+def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components of the links found by pivots, edges (a, b) of the rest): together they have the components of all links."""
     level_rows = scan.where("part is not null").select("part", "blob").groupBy("part") \
         .applyInArrow(_add_up, "part int, blob binary").collect()  # 64 rows of 64 KB, whatever the input
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -391,19 +395,20 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
         .groupBy("set_id").agg(F.max(F.struct("shared", "pivot")).alias("best")) \
         .select(F.least("set_id", "best.pivot").alias("a"), F.greatest("set_id", "best.pivot").alias("b")).distinct()
     checked = _verify(near, src, row_of, "pivots")
-    edges = checked.where("linked").select("a", "b")
-    known = _of_components(alive, C.connected_components(edges, name="op1-cc1"))
+    comp = C.connected_components(checked.where("linked").select("a", "b"), name="op1-cc1")
+    known = _of_components(alive, comp)
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")) \
         .where("lo <> hi").select("token", "k")
     mixed = C.materialize(mixed, "op1-mixed")
     pairs = _between(known.join(mixed.where(F.col("k") <= HOT_LIST), "token", "left_semi"), checked)
     long = known.join(mixed.where(F.col("k") > HOT_LIST), "token", "left_semi").select("token", "set_id")
-    if not long.isEmpty():
+    edges = None
+    if not mixed.where(F.col("k") > HOT_LIST).isEmpty():
         apart = _differences(long, src, row_of)
-        edges = edges.unionByName(apart.where("linked").select("a", "b"))
-        pairs = pairs.unionByName(_by_difference(apart, C.connected_components(edges, name="op1-cc2"))).distinct()
-    rest = _verify(pairs, src, row_of, "rest")
-    return edges.unionByName(rest.where("linked").select("a", "b"))
+        edges = apart.where("linked").select("a", "b")
+        pairs = pairs.unionByName(_by_difference(apart, comp)).distinct()
+    rest = _verify(pairs, src, row_of, "rest").where("linked").select("a", "b")
+    return comp, rest if edges is None else rest.unionByName(edges)
 
 
 def _of_components(sets: DataFrame, comp: DataFrame, key: str = "set_id", out: str = "component") -> DataFrame:
@@ -431,28 +436,29 @@ def _differences(long: DataFrame, src: DataFrame, row_of: DataFrame) -> DataFram
 
 
 def _by_difference(apart: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets of different components with one pivot whose differences can overlap enough.
+    """Pairs (a, b) of sets of different components with one pivot, not both linked with it, whose
+    differences can overlap enough.
 
     |x - y| = |dx| + |dy| - 2 |dx n dy| (symmetric differences) must be at most
     (nx + ny) / 9, so the differences must share c = ceil((|dx| + |dy| -
     (nx + ny) div 9) / 2) tokens.  c is at least 1, as sets for which it is not
-    are linked with the pivot and so with each other.  Tokens are ordered by
+    are both linked with the pivot.  Tokens are ordered by
     their number among the pivot's differences, rare ones first; the first
     shared one must leave room for c.
     """
-    sets = _of_components(apart.select(F.col("a").alias("q"), F.col("b").alias("s"), "n", "delta"), comp, "s")
+    sets = _of_components(apart.select(F.col("a").alias("q"), F.col("b").alias("s"), "n", "delta", "linked"), comp, "s")
     sized = sets.withColumn("m", F.size("delta"))
     least = sized.groupBy("q").agg(F.min("m").alias("m0"), F.max("n").alias("n1"))
-    tokens = sized.join(least, "q").select("q", "s", "component", "n", "m", "m0", "n1", F.explode("delta").alias("t"))
+    tokens = sized.join(least, "q").select("q", "s", "component", "linked", "n", "m", "m0", "n1", F.explode("delta").alias("t"))
     often = tokens.groupBy("q", "t").agg(F.count(F.lit(1)).alias("f"))
     order = Window.partitionBy("q", "s").orderBy("f", "t")
     placed = tokens.join(often, ["q", "t"]).withColumn("i", F.row_number().over(order) - 1)
     # No partner has a smaller difference than m0 or more than n1 shingles: what stands later cannot be a first shared token.
     room = F.expr(f"m - (m + m0 - (n + n1) * {DEN - NUM} div {NUM + DEN} + 1) div 2")
-    post = placed.where(F.col("f") > 1).where(F.col("i") <= room).select("q", "t", F.struct("s", "component", "n", "m", "i").alias("e"))
+    post = placed.where(F.col("f") > 1).where(F.col("i") <= room).select("q", "t", F.struct("s", "component", "linked", "n", "m", "i").alias("e"))
     x, y = post.withColumnRenamed("e", "x"), post.withColumnRenamed("e", "y")
     c = F.expr(f"(x.m + y.m - (x.n + y.n) * {DEN - NUM} div {NUM + DEN} + 1) div 2")
-    return x.join(y, ["q", "t"]).where("x.component < y.component").where(F.least(F.expr("x.m - x.i"), F.expr("y.m - y.i")) >= c) \
+    return x.join(y, ["q", "t"]).where("x.component < y.component AND NOT (x.linked AND y.linked)").where(F.least(F.expr("x.m - x.i"), F.expr("y.m - y.i")) >= c) \
         .select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 

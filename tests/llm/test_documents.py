@@ -312,6 +312,29 @@ def test_op7_brute_force(spark, odd_wide):
     assert o7.contamination(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot_list", [64, 2])
+def test_op1_long_lists_through_differences(spark, monkeypatch, hot_list):
+    """Near copies of one text with 1 to 6 edits, some of them shared, some cut: every link, none more."""
+    import random
+    rng = random.Random(11)
+    monkeypatch.setattr(o1, "HOT_LIST", hot_list)
+    base = para(77, 110).split()
+    rows = []
+    for d in range(90):
+        w = list(base)
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(w))
+            w[at] = rng.choice(["same", f"own{d}"])
+        if rng.random() < 0.2:
+            w = w[rng.randint(0, 12):]
+        rows.append((d, " ".join(w)))
+    rows += [(200 + k, para(300 + k, 30) + " " + " ".join(base[:20])) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, want = components(rows)
+    assert {r.doc_id: r.component_id for r in o1.ngram_join(docs).collect()} == {rows[i][0]: c for i, c in want.items()}
+    assert 5 < len(set(want.values())) < 100
+
+
 def test_op7_equals_all_windows(spark):
     """Swapped halves, moved parts, edits, repeats and cut ends against every window of every document."""
     import random
