@@ -46,7 +46,7 @@ from riskloom.llm import common as C
 TOP = 50
 ITEM_BYTES = 4 << 20
 BLOCK_DOCS, BLOCK_CELLS = 16384, 3_000_000
-#: States opened at once at first; the number doubles up to the last value.
+#: States opened at once at first; once a list is full the number doubles up to the last value.
 OPEN_FIRST, OPEN_MOST = 16, 1024
 
 #: Bytes outside of terms ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+``.
@@ -204,7 +204,8 @@ def search(treap: Treap, rows: np.ndarray, ids: np.ndarray, top: int, best: tupl
             pick = np.arange(len(bound))
         rest = np.ones(len(bound), bool)
         rest[pick] = False
-        opened = min(2 * opened, OPEN_MOST)
+        if len(scores) == top:                          # first down to a full list, then wider
+            opened = min(2 * opened, OPEN_MOST)
         d, c, at = depth[pick], col[pick], node[pick]
         down = 2 * (rows[None, :] >> (treap.height - 1 - d)[:, None] & 1)
         new = np.concatenate([treap.children(at, down), treap.children(at, down + 1)])
