@@ -67,10 +67,6 @@ def no_nan(c: str | Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
-def coerce_double(c: str | Column) -> Column:
-    """F8: any value -> double, unparsable -> NULL."""
-    return F.regexp_replace(col_of(c).cast("string"), CURRENCY_STRIP, "").try_cast("double")
-
 
 def clip_prob(c: str | Column, lo: float = CLIP_LO, hi: float = CLIP_HI) -> Column:
     """clip into [1e-6, 1 - 1e-6]."""

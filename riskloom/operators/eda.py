@@ -11,9 +11,9 @@ brackets them, and only the rows inside the brackets are sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import BooleanType, NumericType
 
 from riskloom.functions.timecols import col_of
 from riskloom.operators.quantiles import exact_quantiles
@@ -212,7 +212,3 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def alert_counts(df: DataFrame, level_col: str = "level") -> DataFrame:
     """Rows per alert level."""
     return df.groupBy(level_col).agg(F.count(F.lit(1)).alias("n"))
-
-
-_TEMPORAL = (DateType, TimestampType, TimestampNTZType)
-_STRING = (StringType,)

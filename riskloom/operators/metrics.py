@@ -166,7 +166,8 @@ def ks_statistic(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
                             F.coalesce(F.max(F.abs(rec - fall)), F.lit(0.0)).alias("ks_stat"))
     en = F.sqrt(F.col("n1") * F.col("n0") / (F.col("n1") + F.col("n0")))
     lam = (en + 0.12 + 0.11 / en) * F.col("ks_stat")
-    series = sum(((-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 101))
+    sign = lambda k: F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))                                 # noqa: E731
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + sign(k) * F.exp(-2.0 * k * k * lam * lam))
     pval = F.when((F.col("n1") > 0) & (F.col("n0") > 0),
                   F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))).otherwise(F.lit(1.0))
     th = ks_threshold(df, y, p).withColumn(ALL, F.lit(0))

@@ -66,27 +66,3 @@ def bucketed_running_sums(
     out_cols += [(F.coalesce(F.col(f"__o_{n}"), F.lit(0)) + F.coalesce(F.col(f"__w_{n}"), F.lit(0)))
                  .alias(n) for n in values]
     return joined.select(*out_cols)
-
-
-def global_exclusive_cumsum(
-    df: DataFrame,
-    order_col: str,
-    values: dict[str, Column],
-    *,
-    descending: bool = True,
-    resolution: int = 1 << 20,
-    inclusive: bool = True,
-) -> DataFrame:
-    """Cumulative sums over a global order on a numeric column (PR / ROC / KS).
-
-    ``W.orderBy(x)`` with no partition runs in one task.  Instead rows are
-    cut into ``resolution`` fixed-width slices of ``order_col`` (a bounded
-    number of offsets), and the running sum runs per slice in parallel.
-    Works for any value range; slices are ``floor(x * resolution)``.
-    """
-    sign = -1 if descending else 1
-    b = F.floor(F.col(order_col) * F.lit(resolution) * F.lit(sign)).cast("long")
-    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    staged = df.withColumn("__gbucket", b)
-    out = bucketed_running_sums(staged, [], "__gbucket", [o], values, inclusive=inclusive)
-    return out.drop("__gbucket")

@@ -135,6 +135,15 @@ SELECT doc_id, coalesce(nullif(lang, 'nan'), '__missing__') AS lang,
   coalesce(CAST(quality AS DOUBLE), -999.0) AS quality, coalesce(CAST(toxic AS DOUBLE), -999.0) AS toxic,
   coalesce(CAST(n_chars AS DOUBLE), -999.0) AS n_chars
 FROM j"""
+    q["prepare_matrix"] = f"""WITH j AS ({q['label_join']})
+SELECT doc_id, coalesce(nullif(lang, 'nan'), '__missing__') AS lang, coalesce(nullif(source, 'nan'), '__missing__') AS source,
+  coalesce(CAST(quality AS DOUBLE), -999.0) AS quality, coalesce(CAST(n_chars AS DOUBLE), -999.0) AS n_chars,
+  -999.0 AS absent_number, '__missing__' AS absent_text FROM j"""
+    q["sample_rows"] = f"WITH {TX_SQL} SELECT id FROM tx ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT 100"
+    q["sample_by_label"] = (f"WITH {TX_SQL} SELECT id, is_fraud FROM tx WHERE is_fraud = 1 "
+                            "ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT 1")
+    q["splits_saved"] = f"WITH {TX_SQL} SELECT id, coalesce({SPLIT_CASE}, 'unassigned') AS split FROM tx"
+    q["gold_published"] = f"WITH {TX_SQL} SELECT id, date, round(amount, {R}) AS amount, has_label FROM tx"
     q["payload_to_features"] = """SELECT event_id AS id,
   coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), -999.0) AS k,
   coalesce(TRY_CAST(json_extract_string(props, '$.z') AS DOUBLE), -999.0) AS z

@@ -58,6 +58,22 @@ r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS pr, coalesce(tp / null
 SELECT threshold, tp, fp, tn, fn, round(pr, {R}) AS precision, round(rc, {R}) AS recall,
   round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0.0), {R}) AS f1,
   round(coalesce(tn / nullif(tn + fp, 0), 0.0), {R}) AS specificity FROM r"""
+    halves = []
+    for h in (0, 1):
+        halves.append(f"""SELECT * FROM (WITH w AS (SELECT y, id % 1000 / 1000.0::DOUBLE AS p FROM scored WHERE id % 2 = {h}),
+g AS (SELECT p, sum(y) AS pos, count(*) - sum(y) AS neg FROM w GROUP BY p),
+c AS (SELECT sum(pos) OVER d AS cp, sum(neg) OVER d AS cn, sum(pos) OVER () AS n1, sum(neg) OVER () AS n0 FROM g WINDOW d AS (ORDER BY p DESC)),
+k AS (SELECT max(abs(cp / n1 - cn / n0)) AS ks, any_value(n1)::DOUBLE AS n1, any_value(n0)::DOUBLE AS n0 FROM c),
+e AS (SELECT ks, sqrt(n1 * n0 / (n1 + n0)) AS en FROM k),
+l AS (SELECT ks, (en + 0.12 + 0.11 / en) * ks AS lam FROM e),
+grid AS (SELECT i, CASE WHEN i = 199 THEN 1.0::DOUBLE ELSE i * (1.0::DOUBLE / 199) END AS t FROM generate_series(0, 199) s(i)),
+tot AS (SELECT sum(y) AS tp, count(*) - sum(y) AS tn FROM w),
+d AS (SELECT g.i, g.t, count(*) FILTER (WHERE w.y = 1 AND w.p >= g.t) / any_value(tp) - count(*) FILTER (WHERE w.y = 0 AND w.p >= g.t) / any_value(tn) AS d
+      FROM grid g, w, tot GROUP BY g.i, g.t)
+SELECT round(ks, {R}) AS ks_stat,
+  round(least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lam * lam))))), {R}) AS p_value,
+  round((SELECT t FROM d ORDER BY d DESC, i LIMIT 1), {R}) AS ks_threshold, {h} AS half FROM l)""")
+    q["ks_test"] = f"WITH {SCORED_SQL} " + " UNION ALL ".join(halves)
     q["ks_stat"] = f"""WITH {SCORED_SQL}, {_curve('scored', '')},
 grid AS (SELECT i, CASE WHEN i = 199 THEN 1.0::DOUBLE ELSE i * (1.0::DOUBLE / 199) END AS t
          FROM generate_series(0, 199) s(i)),
@@ -102,6 +118,7 @@ long AS (
   SELECT model, 'roc_auc', roc_auc FROM w UNION ALL SELECT model, 'brier', brier FROM w UNION ALL
   SELECT model, 'recall_at_precision_90', recall_at_precision_90 FROM w UNION ALL
   SELECT model, 'ks_stat', ks_stat FROM w)"""
+    q["metrics_table"] = f"{ml} SELECT model, metric, round(value, {R}) AS value FROM long"
     q["metrics_long"] = f"{ml} SELECT model, metric, round(value, {R}) AS value FROM long"
     q["model_leaderboard"] = (f"{ml} SELECT model, round(value, {R}) AS pr_auc, "
                               "CAST(row_number() OVER (ORDER BY value DESC, model) AS INTEGER) AS position "

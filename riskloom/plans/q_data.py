@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from riskloom.operators import eda, gold, splits
 from riskloom.operators.score import risk_level
 from riskloom.plans import views as V
 from riskloom.plans.queries_common import rounded
+from riskloom.session import checkpoint_dir
+from riskloom.sources import sinks
 
 TX_SPLITS = SplitBoundaries(train_end="2024-01-20", val_end="2024-01-25", test_start="2024-01-26")
 DRIFT_CUT = "2024-01-16"
@@ -183,6 +187,37 @@ def q_feature_fill(spark: SparkSession, sf: str) -> DataFrame:
                     S.fill_num("n_chars").alias("n_chars"))
 
 
+def q_prepare_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Filled features of the label join; columns that are absent appear as their fill values."""
+    from riskloom.operators.features import prepare_matrix
+    return prepare_matrix(q_label_join(spark, sf), ["lang", "source", "quality", "n_chars", "absent_number", "absent_text"],
+                          ["lang", "source", "absent_text"], keep=["doc_id"])
+
+
+def q_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.sample_rows(V.tx(spark, sf), 100).select("id")
+
+
+def q_sample_by_label(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.sample_by_label(V.tx(spark, sf), 1).select("id", "is_fraud")
+
+
+def q_splits_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The splits as they are read back from where they were saved."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+    return spark.read.parquet(splits.save_splits(V.tx(spark, sf).select("id", "date"), path, TX_SPLITS)).select("id", "split")
+
+
+def q_gold_published(spark: SparkSession, sf: str) -> DataFrame:
+    """A table written in date order and published, then published again; readers get the last version."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/gold-{uuid.uuid4().hex}"
+    t = V.tx(spark, sf).select("id", "date", "amount", "has_label")
+    sinks.write_gold(t, f"{root}/sorted")
+    sinks.publish(t.where("has_label"), f"{root}/table")
+    sinks.publish(sinks.read_gold(spark, f"{root}/sorted"), f"{root}/table", expected_rows=t.count())
+    return rounded(sinks.read_published(spark, f"{root}/table"))
+
+
 def q_payload_to_features(spark: SparkSession, sf: str) -> DataFrame:
     from riskloom.operators.features import payload_to_features
     e = V.read_table(spark, sf, "events")
@@ -256,7 +291,9 @@ QUERIES = {
     "static_cards": q_static_cards, "static_users": q_static_users, "gold_join": q_gold_join,
     "gold_table": q_gold_table, "label_attach": q_label_attach, "label_join": q_label_join, "ref_integrity": q_ref_integrity, "time_split": q_time_split,
     "split_rates": q_split_rates, "sample_entities": q_sample_entities,
-    "stratified_sample": q_stratified_sample, "risk_level": q_risk_level, "feature_fill": q_feature_fill,
+    "stratified_sample": q_stratified_sample, "risk_level": q_risk_level, "feature_fill": q_feature_fill, "prepare_matrix": q_prepare_matrix,
+    "sample_rows": q_sample_rows, "sample_by_label": q_sample_by_label, "splits_saved": q_splits_saved,
+    "gold_published": q_gold_published,
     "payload_to_features": q_payload_to_features, "missing_rate": q_missing_rate,
     "numeric_summary": q_numeric_summary, "categorical_summary": q_categorical_summary,
     "schema_audit": q_schema_audit, "dq_checks": q_dq_checks, "daily_volume": q_daily_volume,

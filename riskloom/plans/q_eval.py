@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from riskloom.operators import metrics as M
 from riskloom.operators import risk as RK
 from riskloom.plans import views as V
 from riskloom.plans.queries_common import rounded
+from riskloom.session import checkpoint_dir
+from riskloom.sources.sinks import write_metrics
 
 DRIFT_CUT = "2024-01-16"
 
@@ -58,6 +62,21 @@ def q_ks_stat(spark, sf):
     return rounded(M.ks_statistic(_scored(spark, sf)).select("ks_stat", "ks_threshold"))
 
 
+def q_ks_test(spark, sf):
+    """M7 for each half of the ids: statistic, asymptotic p-value and threshold of a score that separates little."""
+    s = _scored(spark, sf)
+    weak = s.select("y", F.col("id"), (F.col("id") % 1000 / 1000.0).alias("p"))
+    parts = [M.ks_statistic(weak.where(F.col("id") % 2 == h)).withColumn("half", F.lit(h)) for h in (0, 1)]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+def q_metrics_table(spark, sf):
+    """The metrics as they are read back from the metrics table."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/metrics-{uuid.uuid4().hex}"
+    write_metrics(metrics_long(candidate_scores(spark, sf)), path)
+    return rounded(spark.read.parquet(path))
+
+
 def q_lift_chart(spark, sf):
     return rounded(M.lift_table(_scored(spark, sf)))
 
@@ -124,6 +143,6 @@ QUERIES = {
     "ks_stat": q_ks_stat, "lift_chart": q_lift_chart, "gain_chart": q_gain_chart,
     "calibration_curve": q_calibration_curve, "ece": q_ece, "metrics_long": q_metrics_long,
     "model_leaderboard": q_model_leaderboard, "metric_winners": q_metric_winners,
-    "performance_by_period": q_performance_by_period, "psi_numeric": q_psi_numeric,
+    "ks_test": q_ks_test, "metrics_table": q_metrics_table, "performance_by_period": q_performance_by_period, "psi_numeric": q_psi_numeric,
     "psi_categorical": q_psi_categorical, "new_categories": q_new_categories, "drift_report": q_drift_report,
 }
