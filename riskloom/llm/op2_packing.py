@@ -16,8 +16,9 @@ tokens; the pieces are packed into as few sequences as possible.
   new blocks at the next level, until one block is left: the rounding loss of
   a block is not paid for every block.
 
-Full pieces are sequences of their own.  Results are deterministic: every
-random choice is seeded by level, block, island and epoch.
+Full pieces are sequences of their own.  Every random choice is seeded by level,
+block, island and epoch; the deal also takes the row's number in the table, so
+that equal rows do not meet in one block.
 
 Defined cases: a null or empty text is its end id alone (one piece of length
 1).  Repeated rows are packed as often as they occur.  A null doc_id is kept.
@@ -358,7 +359,9 @@ def _spread(capacity: int, level: int, keep_free: int):
 
 def _level(items: DataFrame, n: int, capacity: int, level: int, last: bool) -> DataFrame:
     n_blocks = max(1, round(n / BLOCK))
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(n_blocks)).alias("block")
+    # The row's number as well: rows that are equal in all columns are dealt over all blocks.
+    items = items.withColumn("deal", F.monotonically_increasing_id())
+    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal", F.lit(level)), F.lit(n_blocks)).alias("block")
     fields = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
     blocks = C.materialize(items.groupBy(block).agg(F.array_sort(F.collect_list(fields)).alias("items")), f"op2-blocks{level}")
     sizes = blocks.select("block", F.transform("items", lambda x: x["length"]).alias("sizes"))

@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve (DataFrame functions only).
 
 Metadata dimensions (source, lang, size and doc_id order) are quantised to
-2^BITS cells each by quantile edges, the cell's Hilbert index orders the rows,
+2^BITS cells each by quantile edges (of strings: the whole strings, ranked over
+the table of distinct values), the cell's Hilbert index orders the rows,
 and the order is cut into runs of equal row counts: neighbours on the curve
 are neighbours in every dimension, so the files of a shard have narrow ranges
 in all of them and can be pruned by any.
@@ -62,10 +63,28 @@ def hilbert_index(cells: list[str], bits: int) -> Column:
                   f"(a, i) -> CASE WHEN i % 2 = 0 THEN {first} ELSE {second} END, a -> a.h)")
 
 
-def _code(col: str) -> Column:
-    """First six bytes of a string as a number of the same order."""
-    six = F.rpad(F.substring(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"), 1, 6), 6, b"\x00")
-    return F.conv(F.hex(six), 16, 10).cast("double")
+def _cumulative(rows: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """``rows`` with ``upto`` (running sum of ``weight`` in the order, the row included) and ``total``.
+
+    Rows are dealt by range and written, so that numbers of partitions hold; their
+    sums are a table of as many rows as partitions, whatever the input.
+    """
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = C.materialize(rows.repartitionByRange(n_parts, *order).withColumn("pid", F.spark_partition_id()), name)
+    per = dealt.groupBy("pid").agg(F.sum(weight).alias("s"))
+    before = per.select("pid", (F.sum("s").over(Window.orderBy("pid")) - F.col("s")).alias("before"),
+                        F.sum("s").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.join(before, "pid").withColumn("upto", F.col("before") + F.sum(weight).over(inside)).drop("pid", "before")
+
+
+def string_edges(rows: DataFrame, col: str, bits: int) -> list[str]:
+    """The values at which a new one of 2^bits cells of near equal counts begins."""
+    counts = rows.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    placed = _cumulative(counts, [col], "n", "op4-values")
+    cells = 1 << bits
+    starts = F.expr(f"upto * {cells} div total > (upto - n) * {cells} div total AND (upto - n) * {cells} div total < {cells - 1}")
+    return sorted(r[0] for r in placed.where(starts).select(col).collect())       # at most 2^bits values
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -76,7 +95,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.xxhash64(raw).alias("th"),
-        *[(_code(c) if c in have else F.lit(0.0)).alias(c) for c in ("source", "lang")])
+        *[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c) for c in ("source", "lang")])
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -84,29 +103,23 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     spark = docs.sparkSession
     rows = C.materialize(metadata(docs), "op4-meta")
     lead = rows.groupBy("th").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "source", "lang", "size")).alias("g"))
-    dims = ("source", "lang", "size", "k")
+    strings, numbers = ("source", "lang"), ("size", "k")
+    dims = strings + numbers
     grid = [k / (1 << bits) for k in range(1, 1 << bits)]
-    groups = lead.select("th", *[F.col(f"g.{d}").alias(d) for d in dims])
-    edges = groups.agg(*[F.percentile_approx(F.col(d).cast("double"), grid, 10_000).alias(d) for d in dims]).first()
+    groups = C.materialize(lead.select("th", *[F.col(f"g.{d}").alias(d) for d in dims]), "op4-groups")
+    edges = groups.agg(*[F.percentile_approx(F.col(d).cast("double"), grid, 10_000).alias(d) for d in numbers]).first().asDict()
+    edges = {d: [float(x) for x in v or [0.0]] for d, v in edges.items()} | {d: string_edges(groups, d, bits) or [""] for d in strings}
 
     def cell(d: str) -> Column:
-        at = F.array(*[F.lit(float(x)) for x in edges[d] or [0.0]])
-        return F.size(F.filter(at, lambda x: x <= F.col(d).cast("double"))).cast("int")
+        at = F.array(*[F.lit(x) for x in edges[d]])
+        return F.size(F.filter(at, lambda x: x <= (F.col(d) if d in strings else F.col(d).cast("double")))).cast("int")
 
-    curve = groups.select("th", *[cell(d).alias(f"c_{d}") for d in dims]) \
+    # At most 2^bits edges are at or below a value: the last cell takes the rest.
+    curve = groups.select("th", *[F.least(cell(d), F.lit((1 << bits) - 1)).alias(f"c_{d}") for d in dims]) \
         .select("th", hilbert_index([f"c_{d}" for d in dims], bits).alias("curve"))
-    placed = rows.join(curve, "th").select("doc_id", "size", "text_crc32", "th", "curve")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = C.materialize(placed.repartitionByRange(n_parts, "curve", "th", "doc_id")
-                          .withColumn("pid", F.spark_partition_id()), "op4-runs")
-    # As many rows as partitions: their running total is small whatever the input.
-    per = dealt.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    before = per.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("before"),
-                        F.sum("n").over(Window.partitionBy()).alias("total"))
-    inside = Window.partitionBy("pid").orderBy("curve", "th", "doc_id")
-    ranked = dealt.join(before, "pid") \
-        .withColumn("rank", F.col("before") + F.row_number().over(inside) - 1) \
-        .withColumn("shard", F.expr(f"rank * {shards} div total"))
+    placed = rows.join(curve, "th").select("doc_id", "size", "text_crc32", "th", "curve", F.lit(1).cast("long").alias("one"))
+    ranked = _cumulative(placed, ["curve", "th", "doc_id"], "one", "op4-runs") \
+        .withColumn("rank", F.col("upto") - 1).withColumn("shard", F.expr(f"rank * {shards} div total"))
     first = F.expr(f"(shard * total + {shards - 1}) div {shards}")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
                          F.col("shard").cast("int").alias("shard"), (F.col("rank") - first).alias("slot"),

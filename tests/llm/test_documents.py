@@ -444,6 +444,41 @@ def test_empty_table(no_docs, run):
     assert run(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 7])
+def test_op2_crossover_wins_back_a_bin_that_best_fit_loses(monkeypatch, seed):
+    """Triplets that fill 16 bins exactly: best fit in decreasing order needs 18, islands with migration 17;
+    with children that are copies of their parent (mutation alone) it stays at 18."""
+    import random
+    rng, sizes = random.Random(seed), []
+    for _ in range(16):
+        a = rng.randint(251, 499)
+        b = rng.randint((1000 - a) // 2 - 100, (1000 - a) // 2 + 100)
+        sizes += [a, b, 1000 - a - b]
+    rng.shuffle(sizes)
+
+    def islands():
+        pops = [[], [], []]
+        for epoch in range(o2.EPOCHS):
+            best = [o2.evolve(sizes, pops[i], 1000, seed=10 * epoch + i) for i in range(3)]
+            pops = [[g for _, g in r] + [g for _, g in best[i - 1][:o2.ELITES]] for i, r in enumerate(best)]
+        return min(len(o2._bins_of(r[0][1])) for r in best)
+    assert len(o2.first_packing(sizes, 1000, random.Random(0), 0.0)) == 18
+    assert islands() == 17
+    monkeypatch.setattr(o2, "cross", lambda a, b, *rest: [list(x) for x in a])
+    assert islands() == 18
+
+
+def test_op2_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(o2, "BLOCK", 50)
+    seen = []
+    real = o2.C.materialize
+    monkeypatch.setattr(o2.C, "materialize", lambda df, name: seen.append((name, out := real(df, name))) or out)
+    docs = spark.createDataFrame([(None, "")] * 400, "doc_id long, text string")
+    assert o2.pack_documents(docs).count() == 400
+    sizes = [r.n for r in next(d for n, d in seen if n == "op2-blocks0").select(F.size("items").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 100
+
+
 def test_op2_ids_equal_the_library_on_random_texts():
     import random
 
