@@ -58,6 +58,7 @@ NUM, DEN = 4, 5
 SKETCH_BITS = 22
 SLICES = 64
 MARK_BITS = 26
+MARK_FULL = 16
 #: Entries a task holds before it hands them on.
 FLUSH_ROWS = 500_000
 #: Postings of one bucket of the index, on average.
@@ -231,18 +232,20 @@ def _has_partner(x: np.ndarray, run: np.ndarray, longest: int) -> np.ndarray:
 
 
 def _tokens(batches):
-    """(set_id, tokens) of the rows, tokens as signed hashes; a set is given once by a task."""
-    schema = pa.schema([("set_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-    seen: set[int] = set()
+    """(key, set_id, tokens) of the rows, tokens as signed hashes; a set of one key is given once by a task."""
+    schema = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    seen: set[tuple[int, int]] = set()
     for b in batches:
+        keys = b.column("key").to_pylist()
         for i, j, s, row, n, digest in _sets(b):
             fresh = np.zeros(j - i, bool)
-            for r, d in enumerate(digest.tolist()):
+            for r, d in enumerate(zip(keys[i:j], digest.tolist())):
                 fresh[r] = d not in seen
                 seen.add(d)
             off = np.concatenate(([0], np.cumsum(n[fresh]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(digest[fresh]), pa.ListArray.from_arrays(
-                pa.array(off), pa.array(s[fresh[row]].view(np.int64)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k for k, f in zip(keys[i:j], fresh) if f], pa.int64()), pa.array(digest[fresh]),
+                pa.ListArray.from_arrays(pa.array(off), pa.array(s[fresh[row]].view(np.int64)))], schema=schema)
 
 
 def _marked(bitmap):
@@ -264,11 +267,11 @@ def _marked(bitmap):
 
 
 def _only(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``src`` whose key (doc_id, text_id where that is null) is in ``ids``.
+    """Rows (key, text) of ``src`` whose key (doc_id, text_id where that is null) may be in ``ids``.
 
     A bitmap of 2^MARK_BITS bits (8 MB, whatever the input) drops most other
-    rows before the exact semi join shuffles their texts; where so many ids are
-    wanted that the bitmap fills up, the join alone decides.
+    rows, and the join with the wanted sets drops the rest.  Where so many ids are
+    wanted that a bit in MARK_FULL is set, a semi join goes before the sets are made.
     """
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << MARK_BITS))
     part = ids.select((bit + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")) \
@@ -278,7 +281,9 @@ def _only(src: DataFrame, ids: DataFrame) -> DataFrame:
         whole[(r["k"] - 1) * 4096:r["k"] * 4096] = r["bits"]
     shared = src.sparkSession.sparkContext.broadcast(bytes(whole))
     rows = src.select("doc_id", "text", F.coalesce("doc_id", "text_id").alias("key")).withColumn("bit", bit)
-    return rows.mapInArrow(_marked(shared), rows.schema).select("key", "text").join(ids, "key", "left_semi")
+    rows = rows.mapInArrow(_marked(shared), rows.schema).select("key", "text")
+    full = int(np.bitwise_count(np.frombuffer(whole, np.uint8)).sum()) > (1 << MARK_BITS) // MARK_FULL
+    return rows.join(ids, "key", "left_semi") if full else rows
 
 
 def _possible(x: str, y: str, first: bool = False):
@@ -308,12 +313,15 @@ def _enough(shared: str, nx: str, ny: str):
 
 def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
     """``pairs`` (a, b) with the tokens ta and tb of their sets; only these sets are made again."""
-    pairs = C.materialize(pairs.select("a", "b"), f"op1-{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(row_of, "set_id").select("key")
-    sets = C.materialize(_only(src, ids).mapInArrow(_tokens, "set_id long, tokens array<long>"), f"op1-{name}-sets")
+    key_of = {c: row_of.select(F.col("set_id").alias(c), F.col("key").alias(f"key_{c}")) for c in "ab"}
+    pairs = C.materialize(pairs.select("a", "b").join(key_of["a"], "a").join(key_of["b"], "b"), f"op1-{name}-pairs")
+    ids = pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct()
+    sets = C.materialize(_only(src, ids).mapInArrow(_tokens, "key long, set_id long, tokens array<long>"), f"op1-{name}-sets")
     # Sorted on both sides at every size: the sets are no data to broadcast.
-    return pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a") \
-        .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
+    for c in "ab":
+        pairs = pairs.join(sets.select(F.col("set_id").alias(c), F.col("key").alias(f"key_{c}"), F.col("tokens").alias(f"t{c}")).hint("merge"),
+                           [c, f"key_{c}"])
+    return pairs.drop("key_a", "key_b")
 
 
 def _verify(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
