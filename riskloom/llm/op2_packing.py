@@ -56,7 +56,7 @@ ELITES = 2
 MAX_LEVELS = 5
 #: A bin with at most this many free tokens is final before the last level.
 KEEP_FREE = 2
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 CACHE_CHARS = 48
 
 
@@ -197,7 +197,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
         step = 4 * capacity
         for b in batches:
             texts = b.column("text")
-            for i, j in C.row_slices(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))), 1 << 21):
+            for i, j in C.row_slices(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))), 1 << 20):
                 split = [_words(t) for t in texts.slice(i, j - i).to_pylist()]
                 words = set().union(*split)
                 ids.learn(words)
