@@ -166,7 +166,8 @@ def test_op12_equals_brute_force(spark, odd, odd_wide, no_docs, monkeypatch):
     assert o12.lexical_search(odd, items.limit(0)).count() == 0
 
 
-def test_op12_treap_maxima_and_pruning():
+def test_op12_treap_maxima_and_pruning(monkeypatch):
+    monkeypatch.setattr(o12, "OPEN_MOST", 16)        # a small grid: no wider steps than at first
     rng = np.random.default_rng(3)
     cell = np.unique(rng.integers(0, 64 * 1024, 4000))
     row, col = cell // 1024, cell % 1024
