@@ -122,7 +122,8 @@ def permuted_rows(df: DataFrame, features: list[str], label: str, n_repeats: int
                                   (value.cast("double") if is_num[f] else F.lit(None).cast("double")).alias("num"),
                                   (F.lit(None).cast("string") if is_num[f] else value.cast("string")).alias("txt")))
     values = ranked.select(F.explode(F.array(*moved)).alias("v")).select("v.*")
-    joined = ranked.join(values, F.col("__rank") == F.col("to"))
+    # Sorted on both sides at every size: the rows are no data to broadcast, small as their file may be.
+    joined = ranked.join(values.hint("merge"), F.col("__rank") == F.col("to"))
     own = {f: F.when(F.col("f") == i, F.col("num" if is_num[f] else "txt").cast(types[f])).otherwise(F.col(f)) for i, f in enumerate(features)}
     permuted = joined.select(F.col("f").alias("__feature"), F.col("r").alias("__repeat"), label, *[c.alias(f) for f, c in own.items()], *other)
     return permuted.unionByName(ranked.select(F.lit(-1).alias("__feature"), F.lit(0).alias("__repeat"), label, *features, *other))

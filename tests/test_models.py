@@ -86,6 +86,15 @@ def test_permuted_rows_ignore_partitions_and_are_permutations(spark):
             assert sorted(r[4 - f] for r in part) == sorted(x[1 - f] for x in plain)
 
 
+def test_permuted_rows_are_not_broadcast(spark):
+    """The ranked rows are data: however small their file, the join by rank sorts both sides."""
+    df = spark.range(200).selectExpr("id", "id * 3 AS v", "cast(id % 2 AS int) AS is_fraud")
+    rows = SE.permuted_rows(df, ["v"], "is_fraud", 2, 5, "id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert rows.count() == 3 * 200
+
+
 def test_permutation_keeps_columns_that_are_not_permuted(spark):
     """A scorer of x and z, of which only x is judged (the filters before dropped z)."""
     df = spark.range(300).selectExpr("id", "cast(id % 4 = 0 AS int) AS is_fraud", "cast(id % 4 AS double) AS x", "id * 1.0D AS z")
