@@ -47,6 +47,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -230,55 +231,69 @@ def _has_partner(x: np.ndarray, run: np.ndarray, longest: int) -> np.ndarray:
     return keep
 
 
-def _tokens(batches):
-    """(set_id, tokens) of the rows, tokens as signed hashes; a set is given once by a task."""
+def _tokens(bitmap):
+    """(set_id, tokens) of the rows whose bit is set, tokens as signed hashes; a set is given once by a task.
+
+    Bit test and sets are one step, so a task has one Python worker.
+    """
     schema = pa.schema([("set_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-    seen: set[int] = set()
-    for b in batches:
-        for i, j, s, row, n, digest in _sets(b):
-            fresh = np.zeros(j - i, bool)
-            for r, d in enumerate(digest.tolist()):
-                fresh[r] = d not in seen
-                seen.add(d)
-            off = np.concatenate(([0], np.cumsum(n[fresh]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(digest[fresh]), pa.ListArray.from_arrays(
-                pa.array(off), pa.array(s[fresh[row]].view(np.int64)))], schema=schema)
-
-
-def _marked(bitmap):
-    """Rows whose bit is set; of the rows without doc_id a task gives one for each key."""
+
     def run(batches):
         bits = np.frombuffer(bitmap.value, np.uint8)
         seen: set[int] = set()
+        keys: set[int] = set()
         for b in batches:
             at = b.column("bit").to_numpy(zero_copy_only=False)
             keep = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
             doc_id = b.column("doc_id")
-            if doc_id.null_count:
+            if doc_id.null_count:  # of the rows without doc_id one for each key will do
                 for r in np.flatnonzero(keep & doc_id.is_null().to_numpy(zero_copy_only=False)).tolist():
                     key = b.column("key")[r].as_py()
-                    keep[r] = key not in seen
-                    seen.add(key)
-            yield b.filter(pa.array(keep))
+                    keep[r] = key not in keys
+                    keys.add(key)
+            if not keep.any():
+                continue
+            for i, j, s, row, n, digest in _sets(b.filter(pa.array(keep))):
+                fresh = np.zeros(j - i, bool)
+                for r, d in enumerate(digest.tolist()):
+                    fresh[r] = d not in seen
+                    seen.add(d)
+                off = np.concatenate(([0], np.cumsum(n[fresh]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[fresh]), pa.ListArray.from_arrays(
+                    pa.array(off), pa.array(s[fresh[row]].view(np.int64)))], schema=schema)
     return run
 
 
-def _only(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``src`` whose key (doc_id, text_id where that is null) is in ``ids``.
+def _bitmap_bits(n: int) -> int:
+    """Bits of a bitmap for ``n`` keys: 32 a key and more, between 2^20 and 2^MARK_BITS (8 MB, whatever the input)."""
+    return 1 << min(max((32 * n).bit_length(), 20), MARK_BITS)
 
-    A bitmap of 2^MARK_BITS bits (8 MB, whatever the input) drops most other
-    rows before the exact semi join shuffles their texts; where so many ids are
-    wanted that the bitmap fills up, the join alone decides.
-    """
-    bit = F.pmod(F.xxhash64("key"), F.lit(1 << MARK_BITS))
-    part = ids.select((bit + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")) \
+
+def _bitmap(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
+    """(k, bits): the bitmap of the keys in pieces of 4096 bytes, k from 1."""
+    return keys.select((_bit(columns, bits) + 1).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    whole = bytearray(1 << (MARK_BITS - 3))
-    for r in part.collect():
+
+
+def _bit(columns: list[str], bits: int):
+    return F.pmod(F.xxhash64(*columns), F.lit(bits))
+
+
+def _sets_of(src: DataFrame, ids: DataFrame, n_ids: int) -> tuple[DataFrame, Broadcast]:
+    """(set_id, tokens) of the rows of ``src`` whose key (doc_id, text_id where that is null) is in ``ids``, and of a few others;
+    the bitmap, to be destroyed when they were read.
+
+    A bitmap drops the other rows before their sets are made, so no text is
+    shuffled.  Rows that share a bit with a wanted key pass: their sets are
+    joined by no pair.
+    """
+    bits = _bitmap_bits(n_ids)
+    whole = bytearray(bits >> 3)
+    for r in _bitmap(ids, ["key"], bits).toLocalIterator():
         whole[(r["k"] - 1) * 4096:r["k"] * 4096] = r["bits"]
     shared = src.sparkSession.sparkContext.broadcast(bytes(whole))
-    rows = src.select("doc_id", "text", F.coalesce("doc_id", "text_id").alias("key")).withColumn("bit", bit)
-    return rows.mapInArrow(_marked(shared), rows.schema).select("key", "text").join(ids, "key", "left_semi")
+    rows = src.select("doc_id", "text", F.coalesce("doc_id", "text_id").alias("key")).withColumn("bit", _bit(["key"], bits))
+    return rows.mapInArrow(_tokens(shared), "set_id long, tokens array<long>"), shared
 
 
 def _possible(x: str, y: str, first: bool = False):
@@ -306,23 +321,29 @@ def _enough(shared: str, nx: str, ny: str):
     return (F.greatest(nx, ny) >= 65535) | (F.col(shared) >= need)
 
 
-def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
-    """``pairs`` (a, b) with the tokens ta and tb of their sets; only these sets are made again."""
+def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> tuple[DataFrame, Broadcast]:
+    """``pairs`` (a, b) with the tokens ta and tb of their sets; only these sets are made again.  The bitmap of their
+    rows comes with them, to be destroyed when the result is written."""
     pairs = C.materialize(pairs.select("a", "b"), f"op1-{name}-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(row_of, "set_id").select("key")
-    sets = C.materialize(_only(src, ids).mapInArrow(_tokens, "set_id long, tokens array<long>"), f"op1-{name}-sets")
+    sets, shared = _sets_of(src, ids, 2 * pairs.count())
+    # Tasks may give a set more than once (repeated rows).  Both joins read the one shuffle of this grouping.
+    sets = sets.groupBy("set_id").agg(F.first("tokens").alias("tokens"))
     # Sorted on both sides at every size: the sets are no data to broadcast.
-    return pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a") \
+    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a") \
         .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
+    return both, shared
 
 
 def _verify(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
     """(a, b, d, linked) with the exact Jaccard distance d of each pair."""
-    out = _with_sets(pairs, src, row_of, name) \
-        .select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+    both, shared = _with_sets(pairs, src, row_of, name)
+    out = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
     union = F.col("na") + F.col("nb") - F.col("both")
-    return C.materialize(out.select("a", "b", (F.lit(1.0) - F.col("both") / union).alias("d"),
-                                    (F.col("both") * DEN >= union * NUM).alias("linked")), f"op1-{name}")
+    out = C.materialize(out.select("a", "b", (F.lit(1.0) - F.col("both") / union).alias("d"),
+                                   (F.col("both") * DEN >= union * NUM).alias("linked")), f"op1-{name}")
+    shared.destroy()
+    return out
 
 
 def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -383,6 +404,7 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
     posted = src.mapInArrow(_post(shared_levels, n_buckets, hot_level), "bucket int, hot boolean, blob binary") \
         .repartition(n_buckets, "bucket")
     alive = C.materialize(posted.mapInArrow(_shared, "token long, set_id long, n int, pos int"), "op1-lists")
+    shared_levels.destroy()
     row_of = doc.groupBy("set_id").agg(F.coalesce(F.min("doc_id"), F.min("text_id")).alias("key"))
 
     # Answers by pivot: one candidate for each set, the pivot that it shares most prefix shingles with.
@@ -427,12 +449,14 @@ def _differences(long: DataFrame, src: DataFrame, row_of: DataFrame) -> DataFram
     held = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists"))
     pivots = long.join(held, "set_id").groupBy("token").agg(F.max(F.struct("lists", "set_id")).alias("q"))
     pairs = long.join(pivots, "token").where("set_id <> q.set_id").select(F.col("q.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
-    both = _with_sets(pairs, src, row_of, "differences")
+    both, shared = _with_sets(pairs, src, row_of, "differences")
     delta = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
     out = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("n"), delta.alias("delta"))
     # Linked: |A n B| >= 0.8 |A u B|, in terms of the symmetric difference.
     linked = F.size("delta") * (NUM + DEN) <= (F.col("na") + F.col("n")) * (DEN - NUM)
-    return C.materialize(out.select("a", "b", "n", "delta", linked.alias("linked")), "op1-apart")
+    out = C.materialize(out.select("a", "b", "n", "delta", linked.alias("linked")), "op1-apart")
+    shared.destroy()
+    return out
 
 
 def _by_difference(apart: DataFrame, comp: DataFrame) -> DataFrame:
@@ -488,16 +512,30 @@ def keep_one(docs: DataFrame) -> DataFrame:
     document.  Of a group without any doc_id, and of different linked texts under
     the smallest doc_id, the one with the smallest hash stays.
     """
-    found = _joined(docs)
+    found = C.materialize(_joined(docs).select("doc_id", "text_id", "n_shingles", "component"), "op1-found")
     first = found.where("n_shingles > 0").groupBy("component") \
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("f"))
     keep = first.select("f.doc_id", "f.text_id") \
-        .unionByName(found.where("n_shingles = 0").select("doc_id", "text_id")) \
-        .select(F.col("doc_id").alias("_keep"), F.col("text_id").alias("_keep_text"))
+        .unionByName(found.where("n_shingles = 0").select("doc_id", "text_id"))
+    # Keys of rows that go or come more than once: only rows that share a bit with one of these are shuffled with their texts.
+    # Those that go are named, as rows that share a bit must stay.
+    marked = found.select("doc_id", "text_id", F.lit(1).alias("n"), F.lit(0).alias("stays")) \
+        .unionByName(keep.select("doc_id", "text_id", F.lit(0).alias("n"), F.lit(1).alias("stays"))) \
+        .groupBy("doc_id", "text_id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
+    marked = C.materialize(marked.where("n > 1 OR stays = 0").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "stays"), "op1-marked")
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), _text_id("text").alias("_text"))
-    return rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_keep_text")), "left_semi") \
-        .dropDuplicates(["_id", "_text"]).select("_row.*")
+    bits = _bitmap_bits(marked.count())
+    bit = _bit(["_id", "_text"], bits)
+    pieces = F.broadcast(_bitmap(marked, ["_id", "_text"], bits))
+    is_marked = F.expr("shiftright(cast(conv(hex(substring(bits, cast(_bit % 32768 div 8 + 1 AS int), 1)), 16, 10) AS int), cast(_bit % 8 AS int)) & 1 = 1")
+    tested = rows.withColumn("_bit", bit).join(pieces, F.expr("_bit div 32768 + 1") == F.col("k"), "left") \
+        .select("_row", "_id", "_text", F.coalesce(is_marked, F.lit(False)).alias("_marked"))
+    stay = marked.select(F.col("_id").alias("_keep"), F.col("_text").alias("_keep_text"), F.col("stays").alias("_stays"))
+    rest = tested.where("_marked") \
+        .join(stay.where("_stays = 0"), F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_keep_text")), "left_anti") \
+        .dropDuplicates(["_id", "_text"])
+    return tested.where("NOT _marked").select("_row.*").unionByName(rest.select("_row.*"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,44 @@ def test_op1_groups_of_near_copies(spark):
     assert sorted(r.doc_id for r in o1.keep_one(df).collect()) == sorted(set(comp.values()))
 
 
+def _near_rows():
+    rows, k = [], 0
+    for g in range(6):
+        own = para(400 + g, 120).split()
+        for c in range(5):
+            w = list(own)
+            w[c * 9:c * 9 + c] = [f"edit{c}x{e}" for e in range(c)]
+            rows += [(k, " ".join(w))] * (1 + c % 2)                  # every other row comes twice
+            k += 1
+    return rows + [(None, para(400, 120)), (None, None), (None, None), (90, ""), (90, "")]
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 20])
+def test_op1_rows_that_share_a_bit(spark, monkeypatch, bits):
+    """Bitmaps only spare work: with nearly every bit set the results are those of the joins."""
+    monkeypatch.setattr(o1, "_bitmap_bits", lambda n: bits)
+    rows = _near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets, comp = components(rows)
+    want = sorted(((d, len(sets[i]), comp[i]) for i, (d, _) in enumerate(rows)), key=str)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in o1.ngram_join(df).collect()), key=str) == want
+    firsts = {(d, t) for i, (d, t) in enumerate(rows) if d is not None and comp[i] == d and sets[i]}
+    assert sorted(((r.doc_id, r.text) for r in o1.keep_one(df).collect()), key=str) == sorted(firsts | {(None, None), (90, "")}, key=str)
+
+
+def test_op1_sets_are_made_without_moving_texts(spark, monkeypatch):
+    plans, real, write = [], o1._sets_of, o1.C.materialize
+
+    def seen(*args):
+        sets, shared = real(*args)
+        plans.append(sets._jdf.queryExecution().executedPlan().toString())
+        return sets, shared
+    monkeypatch.setattr(o1, "_sets_of", seen)
+    df = spark.createDataFrame(_near_rows(), "doc_id long, text string").repartition(4)
+    o1.ngram_join(write(df, "rows")).collect()
+    assert plans and all("Exchange" not in p and "Join" not in p for p in plans)
+
+
 def test_op1_prefix_bound_holds():
     """Linked sets share at least the demanded number of prefix shingles in any order."""
     rng = np.random.default_rng(3)
