@@ -58,11 +58,15 @@ MAX_LEVELS = 5
 KEEP_FREE = 2
 CACHE_WORDS = 100_000
 CACHE_CHARS = 48
+#: Words whose ids a worker remembers as arrays (about 30 bytes a word), and bytes of text encoded at once.
+KNOWN_WORDS = 400_000
+TEXT_BYTES = 4 << 20
 
 
 # --- pieces ---------------------------------------------------------------
 
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_PLAIN_LETTERS = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -94,6 +98,10 @@ class _Ids(dict):
             for piece, i in vocab.items():
                 self.final[i] = piece.endswith(self.tokenizer.model.end_of_word_suffix)
         self[""] = b""
+        # Encoding plain words can do without a normalizer that leaves all pairs of their letters as they are.
+        pairs = " ".join(a + b for a in _PLAIN_LETTERS for b in _PLAIN_LETTERS)
+        self.normalizer = self.tokenizer.normalizer
+        self.bare = self.normalizer is not None and self.normalizer.normalize_str(pairs) == pairs
         self.old: dict[str, bytes] = {}                 # the table before the last change: what is asked for again moves over
         self.long: list[str] = []
 
@@ -128,20 +136,32 @@ class _Ids(dict):
             part = self.tokenizer.encode_batch_fast(strings[k:k + 64], add_special_tokens=False)
             yield np.concatenate([np.asarray(e.ids, "<u4") for e in part])
 
-    def _learn_plain(self, words: list[str]) -> bool:
-        """Words that are one pre-token each: the last piece of a pre-token is marked as such."""
+    def plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words that are one pre-token each, and how many each has: the last piece of a pre-token is marked as
+        such.  None where that does not tell them apart."""
         if self.final is None:
+            return None
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        if self.bare:
+            from tokenizers import normalizers
+            self.tokenizer.normalizer = normalizers.Sequence([])
+        try:
+            ids = np.concatenate(list(self._encode([" ".join(words[i:i + 256]) for i in range(0, len(words), 256)])))
+        finally:
+            if self.bare:
+                self.tokenizer.normalizer = self.normalizer
+        ends = np.flatnonzero(self.final[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else None
+
+    def _learn_plain(self, words: list[str]) -> bool:
+        found = self.plain(words)
+        if found is None:
             return not words
-        for k in range(0, len(words), 16384):
-            part = words[k:k + 16384]
-            ids = np.concatenate(list(self._encode([" ".join(part[i:i + 256]) for i in range(0, len(part), 256)])))
-            ends = ((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()
-            if len(ends) != len(part):
-                return False
-            data, start = ids.tobytes(), 0
-            for w, end in zip(part, ends):
-                self[w] = data[start:end]
-                start = end
+        data, start = found[0].tobytes(), 0
+        for w, n in zip(words, (found[1] * 4).tolist()):
+            self[w] = data[start:start + n]
+            start += n
         return True
 
     def _learn_marked(self, new: list[str]) -> None:
@@ -175,13 +195,141 @@ def _words(text: str | None) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-_tables: dict[str, _Ids] = {}
-
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[0x20, 0x0A]] = True
+_CUTTING = np.zeros(256, bool)
+_CUTTING[list(_PUNCTUATION.encode())] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Second bytes (after 0xC3) of the letters U+00C0 to U+00FF, and all bytes of plain words.
+_SECOND = np.zeros(256, bool)
+_SECOND[[c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)]] = True
+_PLAIN_BYTE = np.zeros(256, bool)
+_PLAIN_BYTE[[0xC3, *range(97, 123), *(c for c in range(0x9F, 0xC0) if c != 0xB7)]] = True
+
+
+def cut_words(raw: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words of the rows in ``raw`` and the number of each row's first one (n_rows + 1 entries).
+
+    Words lie between blanks and line feeds, and end where ASCII punctuation
+    other than an apostrophe meets a digit or a letter up to U+00FF: the
+    pre-tokenizer never joins these.  A-Z is lower-cased as the normalizer will
+    do.  Rows marked in ``whole`` (they may spell a special token) are neither
+    lower-cased nor cut at punctuation.
+    """
+    rows = len(offsets) - 1
+    n = len(raw)
+    if n == 0:
+        return pa.array([], pa.binary()), np.zeros(rows + 1, np.int64)
+    keep = ~_SEPARATOR[raw]
+    start = keep.copy()
+    second = np.zeros(n, bool)
+    second[1:] = (raw[:-1] == 0xC3) & _SECOND[raw[1:]]
+    ascii_alnum, cutting = _ALNUM[raw], _CUTTING[raw]
+    ends, begins = ascii_alnum | second, ascii_alnum.copy()
+    begins[:-1] |= second[1:]
+    cut = np.zeros(n, bool)
+    cut[1:] = (ends[:-1] & cutting[1:]) | (cutting[:-1] & begins[1:])
+    low = C._LOWER[raw]
+    if whole.any():
+        same = np.repeat(whole, np.diff(offsets))
+        cut[same] = False
+        low[same] = raw[same]
+    start[1:] &= ~keep[:-1] | cut[1:]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    start[first] = keep[first]
+    data = low[keep]
+    at = np.append(np.flatnonzero(start[keep]), len(data)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
+    kind = pa.binary() if at.dtype == np.int32 else pa.large_binary()
+    words = pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
+    return words, np.searchsorted(np.flatnonzero(start), offsets)
+
+
+class _Encoder:
+    """Ids of whole texts: each different word of some texts is encoded once, and a bounded table of words is kept
+    as arrays (words, their ids one after the other, and where each word's ids start)."""
 
-def _table(name: str) -> _Ids:
+    def __init__(self, path: str):
+        self.ids = _Ids(path)
+        self._keep(pa.array([], pa.binary()), np.zeros(0, "<u4"), np.zeros(1, np.int64))
+
+    def _keep(self, words: pa.Array, flat: np.ndarray, at: np.ndarray) -> None:
+        self.words, self.flat, self.at = words, flat, at
+
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``words`` one after the other, and how many each has."""
+        raw, off = C.string_buffers(words.cast(pa.string()))
+        odd = np.concatenate(([0], np.cumsum(~_PLAIN_BYTE[raw])))
+        plain = odd[off[1:]] == odd[off[:-1]]
+        texts = np.array(words.cast(pa.string()).to_pylist(), object)
+        found = self.ids.plain(texts[plain].tolist())
+        if found is None:
+            plain[:] = False
+            found = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        others = texts[~plain].tolist()
+        self.ids.learn(set(others))
+        data = list(map(self.ids.__getitem__, others))
+        self.ids.drop_long()
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain], counts[~plain] = found[1], [len(d) // 4 for d in data]
+        flat = np.empty(int(counts.sum()), "<u4")
+        of_plain = np.repeat(plain, counts)
+        flat[of_plain], flat[~of_plain] = found[0], np.frombuffer(b"".join(data), "<u4")
+        return flat, counts
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, ``end_id`` after each, and where each text's ids start (n + 1 entries)."""
+        raw, off = C.string_buffers(texts)
+        whole = pc.fill_null(pc.match_substring(texts, "<|"), False).to_numpy(zero_copy_only=False)
+        words, first = cut_words(raw, off, whole)
+        coded = words.dictionary_encode()
+        different = coded.dictionary
+        known = pc.index_in(different, value_set=self.words)
+        missing = known.is_null().to_numpy(zero_copy_only=False)
+        fresh = different.filter(pa.array(missing))
+        flat, counts = self._new(fresh)
+        starts = np.empty(len(different) + 1, np.int64)
+        sizes = np.ones(len(different) + 1, np.int64)
+        old = known.drop_null().to_numpy()
+        starts[:-1][~missing], sizes[:-1][~missing] = self.at[old], self.at[old + 1] - self.at[old]
+        starts[:-1][missing], sizes[:-1][missing] = len(self.flat) + np.cumsum(counts) - counts, counts
+        pool = np.concatenate((self.flat, flat, np.asarray([end_id], "<u4")))
+        starts[-1] = len(pool) - 1
+        ends = first[1:] + np.arange(len(texts))
+        word = np.empty(len(words) + len(texts), np.int32)
+        is_word = np.ones(len(word), bool)
+        is_word[ends] = False
+        word[is_word], word[ends] = coded.indices.to_numpy(), len(different)
+        ids, at = _gather(pool, starts, sizes, word)
+        self._remember(different, fresh, pool, starts, sizes, missing)
+        return ids, np.append(0, at[ends + 1])
+
+    def _remember(self, different: pa.Array, fresh: pa.Array, pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, missing: np.ndarray) -> None:
+        """Add the new words that are not long; a full table is begun anew with the words of the last texts."""
+        full = len(self.words) + len(fresh) > KNOWN_WORDS
+        use = np.flatnonzero((pc.binary_length(different).to_numpy() <= CACHE_CHARS) & (missing | full))[:KNOWN_WORDS]
+        words, (flat, at) = different.take(pa.array(use)), _gather(pool, starts, sizes, use)
+        if not full:
+            words = pa.concat_arrays([self.words, words])
+            flat, at = np.concatenate((self.flat, flat)), np.concatenate((self.at, self.at[-1] + at[1:]))
+        self._keep(words, flat, at)
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``pool`` one after the other, and where each starts (one more entry: the end)."""
+    n = sizes[which]
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    kind = np.int32 if max(int(at[-1]), len(pool)) < 1 << 31 else np.int64
+    return pool[np.repeat((starts[which] - at[:-1]).astype(kind), n) + np.arange(at[-1], dtype=kind)], at
+
+
+_tables: dict[str, _Encoder] = {}
+
+
+def _table(name: str) -> _Encoder:
     if name not in _tables:
         import public_tokenizers
-        _tables[name] = _Ids(name if os.sep in name else public_tokenizers.path(name))
+        _tables[name] = _Encoder(name if os.sep in name else public_tokenizers.path(name))
     return _tables[name]
 
 
@@ -190,25 +338,19 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     """doc_id, piece, start, length, ids_crc32 of every piece of every row; with_ids adds the
     ids themselves as little-endian unsigned 32-bit binary."""
     C.prepare(docs.sparkSession)
-    last = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids = _table(tokenizer)
-        step = 4 * capacity
+        table = _table(tokenizer)
         for b in batches:
             texts = b.column("text")
-            for i, j in C.row_slices(np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))), 1 << 20):
-                split = [_words(t) for t in texts.slice(i, j - i).to_pylist()]
-                words = set().union(*split)
-                ids.learn(words)
+            for i, j in C.row_slices(C.string_buffers(texts)[1], TEXT_BYTES):
+                ids, at = table.encode(texts.slice(i, j - i), end_id)
                 out = [[], [], [], [], [], []]
-                for doc_id, ws in zip(b.column("doc_id").slice(i, j - i).to_pylist(), split):
-                    data = b"".join(map(ids.__getitem__, ws)) + last
-                    for k in range(0, len(data), step):
-                        part = data[k:k + step]
-                        for col, v in zip(out, (doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
+                for doc_id, x, y in zip(b.column("doc_id").slice(i, j - i).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    for k in range(x, y, capacity):
+                        part = ids[k:min(k + capacity, y)]
+                        for col, v in zip(out, (doc_id, (k - x) // capacity, k - x, len(part), zlib.crc32(part), part.tobytes() if with_ids else None)):
                             col.append(v)
-                ids.drop_long()
                 cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:

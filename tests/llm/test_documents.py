@@ -560,3 +560,33 @@ def test_op2_word_table_equals_the_tokenizer():
         ws = o2._words(t)
         table.learn(set(ws))
         assert b"".join(table[w] for w in ws) == np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_op2_whole_texts_equal_the_library_and_words_are_encoded_once(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(o2.TOKENIZER)
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    parts = ["\u0130", "a", "B", "the", "\u00c9", "\u00e9", "e\u0301", "\u0301", "\u00df", "\u00d7", "\u00f7", "\u03a3", "\u6f22", "1", "42", "\uff12", "\u00b2",
+             ".", ",", "...", "'", "'s", "'re", "''", "!", "(", ")", "\"", "-", "_", "|", "<", "<|", "|>", "<|endoftext|>", "&", "\u2026", "\u00a0", "\u200b", "\ufb01",
+             "x\u0327", "\t", "\n", "\x1c", "K", "\U0001f600", "\u0338", "word", "wort"]
+    texts = ["".join(rng.choice(parts) + (" " if rng.random() < 0.3 else "") for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    texts += [None, "", " ", "\n \n", "(word).", "'(word", "x'.s", "\u00e9.\u00e9", "\u2026.a", "x" * 60, "x" * 60]
+    want = [np.asarray(tok.encode(t or "", add_special_tokens=False).ids + [7], "<u4").tolist() for t in texts]
+    for known in (o2.KNOWN_WORDS, 40):
+        monkeypatch.setattr(o2, "KNOWN_WORDS", known)
+        table, learned = o2._Encoder(path), []
+        for k in range(0, len(texts), 1500):
+            ids, at = table.encode(pa.array(texts[k:k + 1500], pa.string()), 7)
+            assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == want[k:k + 1500]
+            assert len(table.words) <= max(known, 1500 * 14) and "x" * 60 not in table.words.cast(pa.string()).to_pylist()
+    # What is known is not encoded again, whatever punctuation stands beside it.
+    table = o2._Encoder(path)
+    table.encode(pa.array(["some words here"]), 7)
+    monkeypatch.setattr(table, "_new", lambda words: (learned.extend(words.to_pylist()), o2._Encoder._new(table, words))[1])
+    table.encode(pa.array(["(some words), here. Words! here"]), 7)
+    assert sorted(learned) == [b"!", b"(", b"),", b"."]
