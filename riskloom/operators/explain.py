@@ -68,14 +68,14 @@ def shapley_contributions(df: DataFrame, features: list[str], base: dict[str, fl
     own = {f: F.when(F.col("__mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f)).otherwise(F.lit(base[f]).cast(df.schema[f].dataType))
            for i, f in enumerate(features)}
     parts = {c: F.col(c) for c in [id_col, *keep]} | {f"__show_{f}": display_value(F.col(f)) for f in features}
-    kept = F.named_struct(*[x for n, c in parts.items() for x in (F.lit(n), c)]).alias("__kept")
-    mixed = df.select("*", kept, F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")) \
-        .select(F.col(id_col).alias("__id"), "__mask", *[own[f].alias(f) for f in features],
-                F.when(F.col("__mask") == masks[-1], F.col("__kept")).alias("__kept"))
-    scored = margin(mixed)
-    # One row again: the margin of each mixture by its mask.
-    whole = scored.groupBy("__id").agg(F.max("__kept").alias("__kept"),
-                                       *[F.max(F.when(F.col("__mask") == m, F.col("margin"))).alias(f"__m{m}") for m in masks])
+    kept = F.named_struct(*[x for n, c in parts.items() for x in (F.lit(n), c)])
+    mixed = df.select("*", F.explode(F.array(*[F.lit(m) for m in masks])).alias("__mask")) \
+        .select(F.col(id_col).alias("__id"), "__mask", *[own[f].alias(f) for f in features])
+    # One row again: the margin of each mixture by its mask. What a row keeps is a struct, which no hash aggregate
+    # takes, so it comes by a join and is in no sort of the mixtures.
+    margins = margin(mixed).groupBy("__id").agg(*[F.max(F.when(F.col("__mask") == m, F.col("margin"))).alias(f"__m{m}") for m in masks])
+    shown = df.groupBy(F.col(id_col).alias("__of")).agg(F.max(kept).alias("__kept"))
+    whole = margins.join(shown, F.col("__id").eqNullSafe(F.col("__of")))
     impacts = []
     for i, f in enumerate(features):
         steps = []

@@ -1,3 +1,7 @@
+import math
+import threading
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,3 +338,17 @@ def test_scoring_keeps_every_row(spark):
         else:
             assert r.error is None and 0 < r.risk_score < 1 and r.reason_1_value is not None
             assert abs(r.reason_1_impact) >= abs(r.reason_2_impact) >= abs(r.reason_3_impact)
+
+
+
+
+def test_mixtures_are_not_sorted(spark):
+    """The mixtures of a row meet in a hash aggregate; what the row keeps is in no aggregate of theirs. Rows without id stay."""
+    from riskloom.operators import explain as X
+
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 3.0, 7.0), (None, 4.0, 1.0)], "id long, a double, b double")
+    out = X.shapley_contributions(df, ["a", "b"], {"a": 0.0, "b": 0.0}, lambda d: d.withColumn("margin", F.col("a") * F.col("b")), ["id", "a"])
+    got = {r["id"]: (r["a"], r["margin"], [round(c["impact"], 9) for c in r["contrib"]], [c["value"] for c in r["contrib"]]) for r in out.collect()}
+    assert {k: v[:3] for k, v in got.items()} == {1: (1.0, 5.0, [2.5, 2.5]), 2: (3.0, 21.0, [10.5, 10.5]), None: (4.0, 4.0, [2.0, 2.0])}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and not any("__mask" in line for line in plan.splitlines() if "SortAggregate" in line)
