@@ -341,6 +341,29 @@ def test_scoring_keeps_every_row(spark):
 
 
 
+def _tx(spark, ids):
+    rows = [(i, datetime(2024, 1, 1 + i % 25, i % 24), i % 3, i % 4, "ab"[i % 2], "vm"[i % 2], float(i), i % 3 != 0, i % 2) for i in ids]
+    return spark.createDataFrame(rows, "id long, date timestamp_ntz, client_id long, merchant_id long, mcc_str string, card_brand string, "
+                                       "amount double, has_label boolean, is_fraud int")
+
+
+def test_features_are_joined_at_once(spark):
+    """The rates do not compute the windows again; where ids come twice, the rows are those of one join after the other."""
+    from riskloom.operators import risk as RK
+    from riskloom.operators import windows as W
+    from riskloom.plans import q_ml as Q
+
+    for ids in ([*range(60), None], [*range(60), 7, 7]):
+        t = _tx(spark, [i for i in ids if i is not None])
+        if None in ids:
+            t = t.unionByName(_tx(spark, [61, 62]).withColumn("id", F.lit(None).cast("long")))
+        one_by_one = RK.add_risk_aggregates(W.add_velocity(t, "client_id", "user", windows=Q.ML_WINDOWS))
+        out = Q.ml_features(t)
+        assert out.columns == one_by_one.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, one_by_one.collect()))
+        if None in ids:
+            assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
 
 def test_mixtures_are_not_sorted(spark):
     """The mixtures of a row meet in a hash aggregate; what the row keeps is in no aggregate of theirs. Rows without id stay."""
