@@ -340,6 +340,28 @@ def test_scoring_keeps_every_row(spark):
             assert abs(r.reason_1_impact) >= abs(r.reason_2_impact) >= abs(r.reason_3_impact)
 
 
+def test_trees_are_scored_by_leaves_as_one_by_one(spark):
+    """What each round adds is what that tree predicts, categories included, with one call of the model for a row."""
+    df = spark.range(600).select("id", (F.col("id") * 7919 % 101 % 3 == 0).cast("int").alias("is_fraud"), (F.col("id") * 37 % 91).cast("double").alias("x"),
+                                 F.when(F.col("id") % 5 == 0, "a").when(F.col("id") % 3 == 0, "b").otherwise("c").alias("c"))
+    m = L.fit_classifier(df, ["x", "c"], ["c"], val=df, params=L.TreeParams(max_iter=9, max_depth=4))
+    rows = m.stages.transform(L.prepare_matrix(df, ["x", "c"], ["c"], keep=["id", "is_fraud"]))
+    for rounds in (1, 9):
+        want = rows
+        for k, tree in enumerate(m.model.trees[:rounds]):
+            want = tree.transform(want, {tree.predictionCol: f"t{k}"})
+        steps = L._tree_columns(m.model, rows, rounds)
+        assert "__leaves" not in steps.columns
+        got = {r["id"]: r["__steps"] for r in steps.collect()}
+        assert got == {r["id"]: [r[f"t{k}"] * m.model.treeWeights[k] for k in range(rounds)] for r in want.collect()}
+    plan = L._tree_columns(m.model, rows, 9).select("__steps")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(features") <= 1
+    seen = L._tree_columns(m.model, rows, 9).select(F.col("is_fraud").alias("y"), "__steps").collect()
+    from riskloom.operators.metrics import evaluate
+    for rounds, ap in m.history:
+        p = spark.createDataFrame([(r["y"], 1 / (1 + math.exp(-2 * sum(r["__steps"][:rounds])))) for r in seen], "y int, p double")
+        assert evaluate(p).first().pr_auc == pytest.approx(ap, abs=1e-6)
+
 
 def _tx(spark, ids):
     rows = [(i, datetime(2024, 1, 1 + i % 25, i % 24), i % 3, i % 4, "ab"[i % 2], "vm"[i % 2], float(i), i % 3 != 0, i % 2) for i in ids]
