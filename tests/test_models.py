@@ -397,3 +397,22 @@ def test_mixtures_are_not_sorted(spark):
     assert {k: v[:3] for k, v in got.items()} == {1: (1.0, 5.0, [2.5, 2.5]), 2: (3.0, 21.0, [10.5, 10.5]), None: (4.0, 4.0, [2.0, 2.0])}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" in plan and not any("__mask" in line for line in plan.splitlines() if "SortAggregate" in line)
+
+
+def test_benchmark_fits_kinds_concurrently(spark, tmp_path, monkeypatch):
+    """All kinds are in work before one has ended, and all are in the log."""
+    began, together = [], threading.Barrier(3, timeout=120)
+    real = L.fit_classifier
+
+    def fit(train, features, cats, *, kind="gbt", **kw):
+        if kind in ("gbt", "rf", "lr") and kind not in began:
+            began.append(kind)
+            together.wait()
+        return real(train, features, cats, kind=kind, **kw)
+
+    monkeypatch.setattr(L, "fit_classifier", fit)
+    df = spark.range(200).select("id", (F.col("id") % 7 == 0).cast("int").alias("is_fraud"), (F.col("id") % 7).cast("double").alias("x"))
+    log = str(tmp_path / "runs")
+    out = L.run_benchmark(df, df, ["x"], [], kinds=("gbt", "rf", "lr"), params=L.TreeParams(max_iter=2, max_depth=2), log=log)
+    assert [r["model"] for r in out.collect()][::4] == ["gbt", "rf", "lr"]
+    assert {r["model_type"] for r in spark.read.parquet(log).collect()} == {"gbt", "rf", "lr"}
