@@ -24,6 +24,9 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 #: Bytes of text worked on at once inside a task (one longer document goes alone).
 SLICE_BYTES = 1 << 20
+#: Tables of up to SMALL_ROWS rows of a few numbers are written as files of about FILE_ROWS rows.
+SMALL_ROWS = 500_000
+FILE_ROWS = 50_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -56,13 +59,20 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     This cuts the lineage and survives the loss of an executor; the folder is
     the one the cluster names in spark.checkpoint.dir.
+
+    ``rows``: the most rows that ``df`` can have, where that is known.  A small
+    table then meets in a few files, however many tasks make it: each file costs
+    an executor a process or a request of its own (on a local file system one
+    ``chmod`` for the file and one for its checksum).
     """
     spark = df.sparkSession
+    if rows is not None and rows <= SMALL_ROWS:
+        df = df.repartition(rows // FILE_ROWS + 1)
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -174,16 +184,17 @@ def distinct_per_row(s: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nda
     return s[keep], row[keep]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node.
 
     Alternating large-star and small-star rounds over an edge table that is
     written to the shared folder each round, until a round changes nothing.
     Every step is a grouped minimum and a join, so a hub of any degree is
-    pre-aggregated and its rows may be split by the skew join.
+    pre-aggregated and its rows may be split by the skew join.  ``rows``: the
+    most edges there can be, where that is known.
     """
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                    .where("u <> v").distinct(), name)
+                    .where("u <> v").distinct(), name, rows)
 
     def mark(d: DataFrame):
         r = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -201,7 +212,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                               F.struct(F.col("u"), F.col("m").alias("v")))).alias("p")) \
             .select("p.u", "p.v").where("u <> v").distinct()
-        e = materialize(small, name)
+        e = materialize(small, name, 2 * seen[0])       # two rows for an edge at most
         now = mark(e)
         if now == seen:
             break

@@ -44,10 +44,11 @@ columns are ignored.  An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,8 @@ BUCKET_ROWS = 1_500_000
 HOT_LIST = 64
 #: Lists up to this length are pruned by position entry by entry; longer ones pass whole.
 SHORT_LIST = 24
+#: Tokens that a difference is taken to hold, for the number of files only.
+DELTA = 50
 _POST = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<u2"), ("p", "<u2")])
 
 
@@ -321,28 +324,34 @@ def _enough(shared: str, nx: str, ny: str):
     return (F.greatest(nx, ny) >= 65535) | (F.col(shared) >= need)
 
 
-def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> tuple[DataFrame, Broadcast]:
-    """``pairs`` (a, b) with the tokens ta and tb of their sets; only these sets are made again.  The bitmap of their
-    rows comes with them, to be destroyed when the result is written."""
-    pairs = C.materialize(pairs.select("a", "b"), f"op1-{name}-pairs")
+def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame) -> tuple[DataFrame, int, Callable[[], None]]:
+    """``pairs`` (a, b) with the tokens ta and tb of their sets; only these sets are made again.  The number of pairs
+    comes with them, and what frees the pairs and the bitmap of their rows when the result is written."""
+    pairs = pairs.select("a", "b").persist(StorageLevel.DISK_ONLY)      # read by each of the steps below
+    n_pairs = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(row_of, "set_id").select("key")
-    sets, shared = _sets_of(src, ids, 2 * pairs.count())
+    sets, shared = _sets_of(src, ids, 2 * n_pairs)
     # Tasks may give a set more than once (repeated rows).  Both joins read the one shuffle of this grouping.
     sets = sets.groupBy("set_id").agg(F.first("tokens").alias("tokens"))
     # Sorted on both sides at every size: the sets are no data to broadcast.
     both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")).hint("merge"), "a") \
         .join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")).hint("merge"), "b")
-    return both, shared
+
+    def free():
+        shared.destroy()
+        pairs.unpersist()
+
+    return both, n_pairs, free
 
 
 def _verify(pairs: DataFrame, src: DataFrame, row_of: DataFrame, name: str) -> DataFrame:
     """(a, b, d, linked) with the exact Jaccard distance d of each pair."""
-    both, shared = _with_sets(pairs, src, row_of, name)
+    both, n_pairs, free = _with_sets(pairs, src, row_of)
     out = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("both"))
     union = F.col("na") + F.col("nb") - F.col("both")
     out = C.materialize(out.select("a", "b", (F.lit(1.0) - F.col("both") / union).alias("d"),
-                                   (F.col("both") * DEN >= union * NUM).alias("linked")), f"op1-{name}")
-    shared.destroy()
+                                   (F.col("both") * DEN >= union * NUM).alias("linked")), f"op1-{name}", n_pairs)
+    free()
     return out
 
 
@@ -366,7 +375,7 @@ def _joined(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     comp, more = links(spark, src, scan, doc)
     # The later links join components of the earlier ones: the smallest set of both is the smallest of the smallest.
     between = _of_components(_of_components(more, comp, "a", "x"), comp, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    joined = C.connected_components(between, name="op1-cc2")
+    joined = C.connected_components(between, name="op1-cc2", rows=more.count())
     first = comp.unionByName(joined.select("node", F.col("node").alias("component")).join(comp.select("node"), "node", "left_anti"))
     return with_components(doc, _of_components(first, joined, "component", "to").select("node", F.col("to").alias("component")))
 
@@ -417,11 +426,11 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
         .groupBy("set_id").agg(F.max(F.struct("shared", "pivot")).alias("best")) \
         .select(F.least("set_id", "best.pivot").alias("a"), F.greatest("set_id", "best.pivot").alias("b")).distinct()
     checked = _verify(near, src, row_of, "pivots")
-    comp = C.connected_components(checked.where("linked").select("a", "b"), name="op1-cc1")
+    comp = C.connected_components(checked.where("linked").select("a", "b"), name="op1-cc1", rows=checked.count())
     known = _of_components(alive, comp)
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")) \
         .where("lo <> hi").select("token", "k")
-    mixed = C.materialize(mixed, "op1-mixed")
+    mixed = C.materialize(mixed, "op1-mixed", alive.count() // 2)      # lists of two sets or more
     pairs = _between(known.join(mixed.where(F.col("k") <= HOT_LIST), "token", "left_semi"), checked)
     long = known.join(mixed.where(F.col("k") > HOT_LIST), "token", "left_semi").select("token", "set_id")
     edges = None
@@ -449,13 +458,13 @@ def _differences(long: DataFrame, src: DataFrame, row_of: DataFrame) -> DataFram
     held = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists"))
     pivots = long.join(held, "set_id").groupBy("token").agg(F.max(F.struct("lists", "set_id")).alias("q"))
     pairs = long.join(pivots, "token").where("set_id <> q.set_id").select(F.col("q.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
-    both, shared = _with_sets(pairs, src, row_of, "differences")
+    both, n_pairs, free = _with_sets(pairs, src, row_of)
     delta = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
     out = both.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("n"), delta.alias("delta"))
     # Linked: |A n B| >= 0.8 |A u B|, in terms of the symmetric difference.
     linked = F.size("delta") * (NUM + DEN) <= (F.col("na") + F.col("n")) * (DEN - NUM)
-    out = C.materialize(out.select("a", "b", "n", "delta", linked.alias("linked")), "op1-apart")
-    shared.destroy()
+    out = C.materialize(out.select("a", "b", "n", "delta", linked.alias("linked")), "op1-apart", DELTA * n_pairs)
+    free()
     return out
 
 
@@ -512,7 +521,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     document.  Of a group without any doc_id, and of different linked texts under
     the smallest doc_id, the one with the smallest hash stays.
     """
-    found = C.materialize(_joined(docs).select("doc_id", "text_id", "n_shingles", "component"), "op1-found")
+    found = C.materialize(_joined(docs).select("doc_id", "text_id", "n_shingles", "component"), "op1-found", docs.count())
     first = found.where("n_shingles > 0").groupBy("component") \
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("f"))
     keep = first.select("f.doc_id", "f.text_id") \
@@ -522,7 +531,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = found.select("doc_id", "text_id", F.lit(1).alias("n"), F.lit(0).alias("stays")) \
         .unionByName(keep.select("doc_id", "text_id", F.lit(0).alias("n"), F.lit(1).alias("stays"))) \
         .groupBy("doc_id", "text_id").agg(F.sum("n").alias("n"), F.max("stays").alias("stays"))
-    marked = C.materialize(marked.where("n > 1 OR stays = 0").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "stays"), "op1-marked")
+    marked = C.materialize(marked.where("n > 1 OR stays = 0").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"), "stays"), "op1-marked",
+                           found.count())
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), _text_id("text").alias("_text"))
     bits = _bitmap_bits(marked.count())

@@ -157,6 +157,43 @@ def test_op1_sets_are_made_without_moving_texts(spark, monkeypatch):
     assert plans and all("Exchange" not in p and "Join" not in p for p in plans)
 
 
+def test_small_tables_are_written_as_few_files(spark):
+    rows = [(k % 50, None if k % 3 else f"t{k}") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    assert len(C.materialize(df, "many").inputFiles()) == 30
+    few = C.materialize(df, "few", rows=120)
+    assert len(few.inputFiles()) == 1 and few.schema == df.schema
+    assert sorted((tuple(r) for r in few.collect()), key=str) == sorted(rows, key=str)
+    assert len(C.materialize(df, "large", rows=C.SMALL_ROWS + 1).inputFiles()) == 30
+
+
+@pytest.mark.parametrize("hot_list", [64, 1])
+def test_op1_files_do_not_follow_the_shuffle_partitions(spark, monkeypatch, hot_list):
+    """Each file written costs an executor processes, so the tables between the steps have few of them."""
+    files, real = {}, C.materialize
+
+    def seen(df, name, *rows):
+        out = real(df, name, *rows)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+    monkeypatch.setattr(o1, "HOT_LIST", hot_list)
+    docs = real(spark.createDataFrame(_near_rows(), "doc_id long, text string").repartition(3), "rows")
+    monkeypatch.setattr(C, "materialize", seen)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = o1.keep_one(docs).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    sets, comp = components(_near_rows())
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted({c for c in comp.values() if c is not None})
+    by_input = {"op1-scan", "op1-lists"}                  # work of their own in each task
+    assert {"op1-cc1", "op1-mixed", "op1-found", "op1-marked", *["op1-apart"] * (hot_list == 1)} <= set(files)
+    assert all(n <= 1 for name, n in files.items() if name not in by_input), files
+
+
 def test_op1_prefix_bound_holds():
     """Linked sets share at least the demanded number of prefix shingles in any order."""
     rng = np.random.default_rng(3)
