@@ -21,14 +21,19 @@ sets without emitting the pairs inside a group of copies:
    nothing is compared again, and a pair (x, y) is dropped when the verified
    distances to a common pivot p give d(x,y) >= |d(x,p) - d(y,p)| > 0.2
    (Jaccard distance is a metric).
-5. what is left between different components shares a list.  Lists of up to
-   HOT_LIST sets give their pairs, the rest of a long list is joined through
-   differences: each of its sets is verified against the set that most of the
-   long lists hold, and keeps its symmetric difference to that pivot.  Two sets
-   link exactly when their differences overlap enough, so the same prefix join
-   runs over the differences, which are short, and in which what the group
-   shares is gone; no pair of a long list is written out unless its differences
-   leave room for a link.
+5. what is left between different components shares a list.  A pair must share
+   as many shingles of its prefixes as its sizes demand; those in lists of up to
+   HOT_LIST sets are counted, and in the rest, the long lists, two sets share no
+   more than the one in fewer of them holds.  Pairs that share long lists only
+   fall in two kinds.  Where one set is in few long lists (a line that many texts
+   hold), it can only link with sets of quite another size, so hardly any pair
+   of such a list is written out.  The others are in many long lists (a group of
+   near copies) and are joined through differences: each is verified against the
+   set that most of the long lists hold, and keeps its symmetric difference to
+   that pivot.  Two sets link exactly when their differences overlap enough, so
+   the same prefix join runs over the differences, which are short, and in which
+   what the group shares is gone; no pair of a group is written out unless its
+   differences leave room for a link.
 6. the pairs found are verified in full.
 
 Sets are identified by 64 bits of a digest; two different sets share one with
@@ -64,7 +69,7 @@ MARK_BITS = 26
 FLUSH_ROWS = 500_000
 #: Postings of one bucket of the index, on average.
 BUCKET_ROWS = 1_500_000
-#: Lists up to this length give their pairs; longer ones are joined through differences to a pivot.
+#: Lists up to this length give their pairs; sets in many longer ones are joined through differences to a pivot.
 HOT_LIST = 64
 #: Lists up to this length are pruned by position entry by entry; longer ones pass whole.
 SHORT_LIST = 24
@@ -299,29 +304,28 @@ def _sets_of(src: DataFrame, ids: DataFrame, n_ids: int) -> tuple[DataFrame, Bro
     return rows.mapInArrow(_tokens(shared), "set_id long, tokens array<long>"), shared
 
 
-def _possible(x: str, y: str, first: bool = False):
+def _possible(x: str, y: str):
     """Whether sizes and positions of a shared prefix shingle leave room for the needed overlap.
 
     At most min(pos) shared shingles come before it, at most the shorter rest
-    from it on.  ``first``: the bound of the first shared shingle, before which
-    there is none; it finds a pair with far fewer rows.  65535 stands for "not
-    known" and passes.
+    from it on.  65535 stands for "not known" and passes.
     """
     nx, ny, px, py = (F.col(f"{c}.{f}").cast("long") for f in ("n", "pos") for c in (x, y))
     known = (nx < 65535) & (ny < 65535)
-    room = F.least(nx - px, ny - py) + (F.lit(0) if first else F.least(px, py))
+    room = F.least(nx - px, ny - py) + F.least(px, py)
     return ~known | ((F.least(nx, ny) * DEN >= F.greatest(nx, ny) * NUM) & (room * (NUM + DEN) >= (nx + ny) * NUM))
 
 
 def _enough(shared: str, nx: str, ny: str):
-    """Whether two prefixes share as many shingles as linked sets must.
+    """Whether two prefixes share as many shingles as linked sets must (an expression in ``shared``).
 
     Of the needed overlap o = ceil(0.8 / 1.8 (nx + ny)), the k-th shared shingle
     stands at position k + n - o or before, so the first
     o - ceil(0.8 max(nx, ny)) + 1 of them lie in both prefixes.
     """
+    nx, ny = f"cast({nx} AS long)", f"cast({ny} AS long)"
     need = F.expr(f"({NUM} * ({nx} + {ny}) + {NUM + DEN - 1}) div {NUM + DEN} - ({NUM} * greatest({nx}, {ny}) + {DEN - 1}) div {DEN} + 1")
-    return (F.greatest(nx, ny) >= 65535) | (F.col(shared) >= need)
+    return F.expr(f"greatest({nx}, {ny}) >= 65535") | (F.expr(shared) >= need)
 
 
 def _with_sets(pairs: DataFrame, src: DataFrame, row_of: DataFrame) -> tuple[DataFrame, int, Callable[[], None]]:
@@ -399,8 +403,9 @@ def with_components(doc: DataFrame, comp: DataFrame) -> DataFrame:
 
 def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(components of the links found by pivots, edges (a, b) of the rest): together they have the components of all links."""
-    level_rows = scan.where("part is not null").select("part", "blob").groupBy("part") \
-        .applyInArrow(_add_up, "part int, blob binary").collect()  # 64 rows of 64 KB, whatever the input
+    with C.shuffles_freed(spark):
+        level_rows = scan.where("part is not null").select("part", "blob").groupBy("part") \
+            .applyInArrow(_add_up, "part int, blob binary").collect()  # 64 rows of 64 KB, whatever the input
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     width = (1 << SKETCH_BITS) // SLICES
     for r in level_rows:
@@ -431,13 +436,19 @@ def links(spark: SparkSession, src: DataFrame, scan: DataFrame, doc: DataFrame)
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")) \
         .where("lo <> hi").select("token", "k")
     mixed = C.materialize(mixed, "op1-mixed", alive.count() // 2)      # lists of two sets or more
-    pairs = _between(known.join(mixed.where(F.col("k") <= HOT_LIST), "token", "left_semi"), checked)
-    long = known.join(mixed.where(F.col("k") > HOT_LIST), "token", "left_semi").select("token", "set_id")
+    short = known.join(mixed.where(F.col("k") <= HOT_LIST), "token", "left_semi")
+    n_long = mixed.where(F.col("k") > HOT_LIST).agg(F.sum("k")).first()[0] or 0
     edges = None
-    if not mixed.where(F.col("k") > HOT_LIST).isEmpty():
-        apart = _differences(long, src, row_of)
+    if not n_long:
+        pairs = _not_far(_between(short.withColumn("held", F.lit(0))), checked)
+    else:
+        long = C.materialize(known.join(mixed.where(F.col("k") > HOT_LIST), "token", "left_semi"), "op1-long", n_long)
+        held = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("held"))
+        long = long.join(held, "set_id").withColumn("dense", _enough("held", "n", "n"))
+        apart = _differences(long.where("dense").select("token", "set_id"), src, row_of)
         edges = apart.where("linked").select("a", "b")
-        pairs = pairs.unionByName(_by_difference(apart, comp)).distinct()
+        counted = _between(short.join(held, "set_id", "left").withColumn("held", F.coalesce("held", F.lit(0))))
+        pairs = _not_far(counted, checked).unionByName(_sparse(long)).unionByName(_by_difference(apart, comp)).distinct()
     rest = _verify(pairs, src, row_of, "rest").where("linked").select("a", "b")
     return comp, rest if edges is None else rest.unionByName(edges)
 
@@ -449,10 +460,10 @@ def _of_components(sets: DataFrame, comp: DataFrame, key: str = "set_id", out: s
 
 
 def _differences(long: DataFrame, src: DataFrame, row_of: DataFrame) -> DataFrame:
-    """(a, b, n, delta, linked): each set b of the long lists with the pivot a of a list that holds it,
+    """(a, b, n, delta, linked): each set b of the lists with the pivot a of a list that holds it,
     its size and its symmetric difference to the pivot.
 
-    A list's pivot is that of its sets which most long lists hold, so the lists
+    A list's pivot is that of its sets which most lists hold, so the lists
     of one group of near copies have few pivots.
     """
     held = long.groupBy("set_id").agg(F.count(F.lit(1)).alias("lists"))
@@ -495,14 +506,42 @@ def _by_difference(apart: DataFrame, comp: DataFrame) -> DataFrame:
         .select(F.least("x.s", "y.s").alias("a"), F.greatest("x.s", "y.s").alias("b")).distinct()
 
 
-def _between(known: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of sets of different components in one list that no bound rules out."""
-    blocks = known.groupBy("token", "component", "n", "pos").agg(F.collect_set("set_id").alias("members"))
+def _between(short: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share enough shingles of short lists.
+
+    ``held``: the long lists that a set is in, which two sets may share besides.
+    """
+    blocks = short.groupBy("token", "component", "n", "pos").agg(F.collect_list(F.struct("set_id", "held")).alias("members"))
     x = blocks.select("token", F.struct("component", "n", "pos", "members").alias("x"))
     y = blocks.select("token", F.struct("component", "n", "pos", "members").alias("y"))
-    pairs = x.join(y, "token").where("x.component < y.component").where(_possible("x", "y", first=True)) \
-        .select(F.explode("x.members").alias("u"), "y.members").select("u", F.explode("members").alias("v")) \
-        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    return x.join(y, "token").where("x.component < y.component").where(_possible("x", "y")) \
+        .select(F.explode("x.members").alias("u"), "y.members", F.col("x.n").alias("n"), F.col("y.n").alias("m")) \
+        .select("u", F.explode("members").alias("v"), "n", "m") \
+        .groupBy(F.col("u.set_id").alias("u"), F.col("v.set_id").alias("v"), "n", "m") \
+        .agg(F.count(F.lit(1)).alias("shared"), F.max(F.least("u.held", "v.held")).alias("held")) \
+        .where(_enough("shared + held", "n", "m")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def _sparse(long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share enough shingles of long lists, one of them
+    at least in few.
+
+    A set is dense where it is in as many long lists as it must share with a
+    linked set of its own size.  What a group of near copies shares makes its
+    sets dense; one line that many texts hold does not, and a set in few long
+    lists can only link with sets of quite another size, or through short lists.
+    """
+    x = long.select("token", F.struct("component", "set_id", "n", "pos", "held", "dense").alias("x")).where("NOT x.dense")
+    y = long.select("token", F.struct("component", "set_id", "n", "pos", "held", "dense").alias("y"))
+    return x.join(y, "token").where("x.component <> y.component AND (y.dense OR x.set_id < y.set_id)") \
+        .where(_enough("least(x.held, y.held)", "x.n", "y.n")).where(_possible("x", "y")) \
+        .groupBy(F.col("x.set_id").alias("u"), F.col("y.set_id").alias("v"), F.col("x.n").alias("n"), F.col("y.n").alias("m")) \
+        .agg(F.count(F.lit(1)).alias("shared")).where(_enough("shared", "n", "m")) \
+        .select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def _not_far(pairs: DataFrame, checked: DataFrame) -> DataFrame:
+    """The pairs that are neither checked nor ruled out by the distances to a pivot of both."""
     pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
     # Distances to a pivot that both sets were verified with.
     to = checked.select(F.col("a").alias("s"), F.col("b").alias("p"), "d") \

@@ -157,6 +157,27 @@ def test_op1_sets_are_made_without_moving_texts(spark, monkeypatch):
     assert plans and all("Exchange" not in p and "Join" not in p for p in plans)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "/shuffle_" in f}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, kept = files(), spark.conf.get(key)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k")
+    out = C.materialize(df, "freed")
+    for _ in range(100):                                    # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(key) == kept
+    assert sorted((r.k, r["count"]) for r in out.collect()) == sorted((r.k, r["count"]) for r in df.collect())
+    with pytest.raises(ZeroDivisionError), C.shuffles_freed(spark):
+        1 / 0
+    assert spark.conf.get(key) == kept
+
+
 def test_small_tables_are_written_as_few_files(spark):
     rows = [(k % 50, None if k % 3 else f"t{k}") for k in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
@@ -410,6 +431,33 @@ def test_op1_long_lists_through_differences(spark, monkeypatch, hot_list):
     assert 5 < len(set(want.values())) < 100
 
 
+@pytest.mark.parametrize("hot_list", [64, 8, 1])
+def test_op1_lines_of_many_texts(spark, monkeypatch, hot_list):
+    """Texts put together from lines that a third of them hold: their sets are not taken for a group of near copies."""
+    import random
+    rng = random.Random(5)
+    monkeypatch.setattr(o1, "HOT_LIST", hot_list)
+    given, real = [], o1._differences
+
+    def seen(long, *args):
+        given.append(long.select("set_id").distinct().count())
+        return real(long, *args)
+    monkeypatch.setattr(o1, "_differences", seen)
+    lines = [para(600 + k, 25).split() for k in range(24)]
+    texts = [sum(rng.sample(lines, 8), []) for _ in range(100)]
+    for k in range(30):                                     # near copies, and some cut to four fifths or so
+        w = list(texts[k])
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"own{k}"
+        texts.append(w[rng.choice([0, 8, 34, 36, 38, 40, 44]):])
+    rows = [(d, " ".join(w)) for d, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, want = components(rows)
+    assert {r.doc_id: r.component_id for r in o1.ngram_join(docs).collect()} == {rows[i][0]: c for i, c in want.items()}
+    assert 100 < len(set(want.values())) < 130
+    assert hot_list != 8 or sum(given) < 40
+
+
 def test_op7_equals_all_windows(spark):
     """Swapped halves, moved parts, edits, repeats and cut ends against every window of every document."""
     import random
